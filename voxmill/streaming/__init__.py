@@ -1,0 +1 @@
+"""Intentionally empty: none of the operators works on unbounded input."""
