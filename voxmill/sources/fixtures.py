@@ -12,10 +12,9 @@ _voxel_tables: dict[tuple[str, str], DataFrame] = {}
 
 
 def _grains(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = spark.read.parquet(f"{sf_dir}/part.parquet").filter("p_partkey % 2 = 0")
-    return part.selectExpr(
-        "cast(floor(p_partkey / 64) as int) as vol_id",
-        "cast(p_partkey % 64 as int) + 1 as g",
+    return spark.read.parquet(f"{sf_dir}/part.parquet").selectExpr(
+        "cast(floor(p_partkey / 32) as int) as vol_id",
+        "cast(p_partkey % 32 as int) + 1 as g",
         "cast((p_partkey * 7 + 3) % 24 as int) as cz",
         "cast((p_partkey * 11 + 5) % 24 as int) as cy",
         "cast((p_partkey * 17 + 1) % 24 as int) as cx",
@@ -83,10 +82,9 @@ def crops(spark: SparkSession) -> DataFrame:
 
 
 def results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per-crop result rows of three methods on two scans."""
-    part = spark.read.parquet(f"{sf_dir}/part.parquet").filter("p_partkey < 36")
-    return part.selectExpr(
-        "case when p_partkey < 18 then 'scan_00' else 'scan_01' end as scan",
+    """Per-crop result rows of three methods, six crops to a scan."""
+    return spark.read.parquet(f"{sf_dir}/part.parquet").selectExpr(
+        "concat('scan_', cast(cast(floor(p_partkey / 18) as int) as string)) as scan",
         "concat('crop0', cast(cast(floor(p_partkey / 3) as int) % 6 + 2 as string)) as crop_id",
         "case p_partkey % 3 when 0 then 'mintree_ws' when 1 then 'otsu_ws' else 'refined_ws' end as method",
         "cast(100 + p_size as int) as gt_valid",
