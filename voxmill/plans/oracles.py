@@ -231,16 +231,18 @@ def _sampled(name: str, points: str) -> str:
     """Centre and ring means and ring coverage by the external mask."""
     s = _P.sampling
     i2, o2 = s.ring_inner**2, s.ring_outer**2
-    return f"""{name}_c AS MATERIALIZED (SELECT p.vol_id, p.component, avg(v.gray) AS center_mean
-  FROM {points} p CROSS JOIN {_ball(s.center_radius)} o
-  JOIN voxels v ON v.vol_id=p.vol_id AND v.z=p.cz+o.dz AND v.y=p.cy+o.dy AND v.x=p.cx+o.dx GROUP BY p.vol_id, p.component),
-{name}_r AS MATERIALIZED (SELECT p.vol_id, p.component, avg(v.gray) AS ring_mean, avg(CASE WHEN e.vol_id IS NULL THEN 0 ELSE 1 END) AS ring_external_cov
-  FROM {points} p CROSS JOIN (SELECT b.s AS dy, c.s AS dx FROM axis b, axis c WHERE b.s*b.s+c.s*c.s > {i2} AND b.s*b.s+c.s*c.s <= {o2}) o
-  JOIN voxels v ON v.vol_id=p.vol_id AND v.z=p.cz AND v.y=p.cy+o.dy AND v.x=p.cx+o.dx
-  LEFT JOIN ext e ON e.vol_id=v.vol_id AND e.z=v.z AND e.y=v.y AND e.x=v.x GROUP BY p.vol_id, p.component),
-{name} AS MATERIALIZED (SELECT p.*, center_mean, ring_mean, ring_external_cov, ring_mean - center_mean AS ring_contrast,
-    (ring_mean - center_mean) + greatest(0, {params.SCORE_REFERENCE} - center_mean) * {params.SCORE_WEIGHT} AS score
-  FROM {points} p JOIN {name}_c USING (vol_id, component) JOIN {name}_r USING (vol_id, component))"""
+    return f"""{name}_c AS MATERIALIZED (SELECT vol_id, component, avg(gray) AS center_mean
+  FROM (SELECT vol_id, component, cz+dz AS z, cy+dy AS y, cx+dx AS x FROM {points} CROSS JOIN {_ball(s.center_radius)})
+  JOIN voxels USING (vol_id, z, y, x) GROUP BY vol_id, component),
+{name}_r AS MATERIALIZED (SELECT vol_id, component, avg(gray) AS ring_mean, avg(outer_) AS ring_external_cov
+  FROM (SELECT vol_id, component, cz AS z, cy+dy AS y, cx+dx AS x FROM {points}
+    CROSS JOIN (SELECT b.s AS dy, c.s AS dx FROM axis b, axis c WHERE b.s*b.s+c.s*c.s > {i2} AND b.s*b.s+c.s*c.s <= {o2}))
+  JOIN (SELECT vol_id, z, y, x, gray, CASE WHEN e.outer_ IS NULL THEN 0 ELSE 1 END AS outer_
+    FROM voxels LEFT JOIN (SELECT *, 1 AS outer_ FROM ext) e USING (vol_id, z, y, x)) USING (vol_id, z, y, x) GROUP BY vol_id, component),
+{name}_m AS MATERIALIZED (SELECT p.*, center_mean, ring_mean, ring_external_cov
+  FROM {points} p JOIN {name}_c USING (vol_id, component) JOIN {name}_r USING (vol_id, component)),
+{name} AS MATERIALIZED (SELECT *, ring_mean - center_mean AS ring_contrast,
+    (ring_mean - center_mean) + greatest(0, {params.SCORE_REFERENCE} - center_mean) * {params.SCORE_WEIGHT} AS score FROM {name}_m)"""
 
 
 _cte("grainvox", ("voxels",), "grainvox AS MATERIALIZED (SELECT vol_id, z, y, x, gt_id AS component FROM voxels WHERE gt_id > 0)")
@@ -259,10 +261,10 @@ def _shares(name: str, rel: str) -> str:
 
 
 def _near(name: str, points: str, radius: int) -> str:
-    return f"""{name} AS MATERIALIZED (SELECT p.vol_id, p.component, min(o.dz*o.dz+o.dy*o.dy+o.dx*o.dx) AS d2
-  FROM {points} p CROSS JOIN (SELECT a.s AS dz, b.s AS dy, c.s AS dx FROM axis a, axis b, axis c
-    WHERE greatest(abs(a.s), abs(b.s), abs(c.s)) <= {radius}) o
-  JOIN internal i ON i.vol_id=p.vol_id AND i.z=p.cz+o.dz AND i.y=p.cy+o.dy AND i.x=p.cx+o.dx GROUP BY p.vol_id, p.component)"""
+    return f"""{name} AS MATERIALIZED (SELECT vol_id, component, min(d2) AS d2
+  FROM (SELECT vol_id, component, cz+a.s AS z, cy+b.s AS y, cx+c.s AS x, a.s*a.s+b.s*b.s+c.s*c.s AS d2
+    FROM {points}, axis a, axis b, axis c WHERE greatest(abs(a.s), abs(b.s), abs(c.s)) <= {radius})
+  JOIN internal USING (vol_id, z, y, x) GROUP BY vol_id, component)"""
 
 
 _cte("grainshares", ("grainvox", "ext", "internal"), _shares("grainshares", "grainvox"))
@@ -274,15 +276,16 @@ _cte("grainnear", ("points", "internal", "axis"), _near("grainnear", "points", 3
 
 def _seed_judged(name: str, rules) -> str:
     return _near(f"{name}_near", "seedpoints", rules.internal_search_radius) + f""",
-{name} AS MATERIALIZED (SELECT s.*, h.external_overlap, h.internal_overlap, sqrt(n.d2) AS internal_dist,
-  CASE WHEN area < {rules.area_min} OR area > {rules.area_max} THEN 'seed_area'
+{name}_all AS MATERIALIZED (SELECT s.*, h.external_overlap, h.internal_overlap, n.d2
+  FROM seedsampled s JOIN seedshares h USING (vol_id, component) LEFT JOIN {name}_near n USING (vol_id, component)),
+{name} AS MATERIALIZED (SELECT *, sqrt(d2) AS internal_dist,
+  concat('', CASE WHEN area < {rules.area_min} OR area > {rules.area_max} THEN 'seed_area'
        WHEN external_overlap > {rules.max_external_overlap} THEN 'external_background'
-       WHEN internal_overlap < {rules.min_internal_overlap} AND n.d2 IS NULL THEN 'not_internal_dark'
+       WHEN internal_overlap < {rules.min_internal_overlap} AND d2 IS NULL THEN 'not_internal_dark'
        WHEN center_mean > {rules.center_dark_max} THEN 'center_not_dark'
        WHEN ring_contrast < {rules.min_ring_contrast} THEN 'low_ring_contrast'
        WHEN ring_external_cov > {rules.max_ring_external_coverage} THEN 'ring_too_external'
-       ELSE 'candidate' END AS reason
-  FROM seedsampled s JOIN seedshares h USING (vol_id, component) LEFT JOIN {name}_near n USING (vol_id, component))"""
+       ELSE 'candidate' END) AS reason FROM {name}_all)"""
 
 
 _cte("seedjudged", ("seedsampled", "seedshares", "seedpoints", "internal", "axis"), _seed_judged("seedjudged", _P.seeds))
@@ -293,10 +296,10 @@ _cte("seedjudged_default", ("seedsampled", "seedshares", "seedpoints", "internal
 _M = {"area_min": 1, "area_max": 900, "max_dim": 30, "max_elongation": 3.0, "min_fill": 0.005,
       "center": 150.0, "contrast": -2.0}
 _cte("corejudged", ("coresampled",), f"""corejudged AS MATERIALIZED (SELECT *,
-  CASE WHEN area < {_M['area_min']} OR area > {_M['area_max']} THEN 'area'
+  concat('', CASE WHEN area < {_M['area_min']} OR area > {_M['area_max']} THEN 'area'
        WHEN greatest(dz, dy, dx) > {_M['max_dim']} OR elongation > {_M['max_elongation']} OR fill < {_M['min_fill']} THEN 'shape'
        WHEN center_mean > {_M['center']} THEN 'center'
-       WHEN ring_contrast < {_M['contrast']} THEN 'contrast' ELSE 'candidate' END AS reason
+       WHEN ring_contrast < {_M['contrast']} THEN 'contrast' ELSE 'candidate' END) AS reason
   FROM (SELECT *, greatest(dz, dy, dx)/greatest(1, least(dz, dy, dx))::DOUBLE AS elongation, area/(dz*dy*dx)::DOUBLE AS fill
     FROM (SELECT *, z1-z0+1 AS dz, y1-y0+1 AS dy, x1-x0+1 AS dx FROM coresampled)))""")
 
@@ -524,8 +527,9 @@ CROSS JOIN (SELECT 'ball' AS shape, a.s AS dz, b.s AS dy, c.s AS dx FROM axis a,
   UNION ALL SELECT 'ring', 0, b.s, c.s FROM axis b, axis c WHERE b.s*b.s+c.s*c.s > 16 AND b.s*b.s+c.s*c.s <= 100) o
 WHERE cz+dz BETWEEN 0 AND 23 AND cy+dy BETWEEN 0 AND 23 AND cx+dx BETWEEN 0 AND 23 GROUP BY vol_id, g, shape"""),
     "m2_neighbour_pairs": _sql(("gtmask", "steps1", "steps2", "steps3"), "\nUNION ALL ".join(
-        f"""SELECT a.vol_id, count(*) AS pairs, {k} AS k FROM gtmask a CROSS JOIN steps{k} s
-JOIN gtmask b ON b.vol_id=a.vol_id AND b.z=a.z+s.dz AND b.y=a.y+s.dy AND b.x=a.x+s.dx GROUP BY a.vol_id""" for k in (1, 2, 3))),
+        f"""SELECT vol_id, count(*) AS pairs, {k} AS k
+FROM (SELECT vol_id, z+dz AS z, y+dy AS y, x+dx AS x FROM gtmask CROSS JOIN steps{k}) JOIN gtmask USING (vol_id, z, y, x) GROUP BY vol_id"""
+        for k in (1, 2, 3))),
     "m3_dilation": _sql(("markgrown2",), _digest("markgrown2")),
     "m4_erosion": _sql(("gteroded",), _digest("gteroded")),
     "m5_closing": _sql(("predclosed1",), _digest("predclosed1")),
