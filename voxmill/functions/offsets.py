@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from itertools import product
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -66,14 +66,10 @@ def cube_spans(radius: int) -> list[tuple[int, int, int, int]]:
     return _spans(lambda z, y, x: True, side, side, r)
 
 
-def span_column(spans: list[tuple[int, int, int, int]]):
+def span_column(spans: list[tuple[int, int, int, int]]) -> Column:
     """The stretches as one constant array column, ready to explode."""
-    return F.array(
-        *[
-            F.struct(*[F.lit(v).cast("int").alias(n) for n, v in zip(("dz", "dy", "dx0", "dx1"), s)])
-            for s in spans
-        ]
-    )
+    rows = (f"named_struct('dz', {a}, 'dy', {b}, 'dx0', {c}, 'dx1', {d})" for a, b, c, d in spans)
+    return F.expr(f"array({', '.join(rows)})")
 
 
 def neighbour_steps(k: int) -> list[tuple[int, int, int, int]]:

@@ -223,7 +223,7 @@ def split_external(mask: DataFrame, catalog: DataFrame, k: int = 1, tile: int =
         F.max(on_border()).alias("_touch")
     )
     flagged = mapping.join(touching, ["vol_id", "piece"])
-    whole = flagged.groupBy("vol_id", "root").agg(F.max("_touch").alias("external"))
+    whole = store(flagged.groupBy("vol_id", "root").agg(F.max("_touch").alias("external")), "external")
     flags = lookup_join(mapping, whole, ["vol_id", "root"]).select("vol_id", "piece", "external")
     return lookup_join(pieces, flags, ["vol_id", "piece"]).drop("piece")
 
@@ -239,8 +239,9 @@ def drop_small(mask: DataFrame, min_size: int, tile: int = TILE) -> DataFrame:
     pieces, mapping = components(mask, 1, tile)
     sizes = pieces.groupBy("vol_id", "piece").agg(F.sum(R.length()).alias("_n"))
     whole = mapping.join(sizes, ["vol_id", "piece"]).groupBy("vol_id", "root").agg(F.sum("_n").alias("_n"))
-    kept = lookup_join(mapping, whole.filter(F.col("_n") >= min_size), ["vol_id", "root"])
-    return lookup_join(pieces, kept.select("vol_id", "piece"), ["vol_id", "piece"]).select(*R.RUN)
+    whole = store(whole.filter(F.col("_n") >= min_size).select("vol_id", "root"), "large")
+    kept = lookup_join(mapping, whole, ["vol_id", "root"]).select("vol_id", "piece")
+    return lookup_join(pieces, kept, ["vol_id", "piece"]).select(*R.RUN)
 
 
 def restrict_markers(markers: DataFrame, foreground: DataFrame, tile: int = TILE) -> DataFrame:

@@ -4,14 +4,19 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections import OrderedDict
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Lookup sides up to this many rows are held as a local table.
+LOCAL_ROWS = 20_000
 #: Largest lookup side that is broadcast; beyond it the join is salted.
 BROADCAST_ROWS = 500_000
 SALT = 16
 
+_held: OrderedDict[tuple, tuple[DataFrame, DataFrame | None]] = OrderedDict()
+
 
 def workspace(spark: SparkSession) -> str:
     """Shared folder of this application, below ``spark.checkpoint.dir``."""
@@ -41,12 +46,34 @@ def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     return df.select(F.lit(1)).limit(rows + 1).count() <= rows
 
 
+def _hold(small: DataFrame) -> DataFrame | None:
+    """``small`` as a local table, or None if it has more than ``LOCAL_ROWS`` rows.
+
+    Evaluates an aggregate such as per-volume thresholds once, where a size
+    check followed by the join would scan the volumes twice.  Recent results
+    are kept, so that a catalog is read once per application.
+    """
+    spark = small.sparkSession
+    key = (spark.sparkContext.applicationId, small.semanticHash(), tuple(small.columns))
+    if key not in _held or not _held[key][0].sameSemantics(small):
+        rows = small.limit(LOCAL_ROWS + 1).toArrow()
+        fits = rows.num_rows <= LOCAL_ROWS
+        _held[key] = small, spark.createDataFrame(rows, small.schema) if fits else None
+        while len(_held) > 64:
+            _held.popitem(last=False)
+    return _held[key][1]
+
+
 def lookup_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
     """Join ``big`` to a side with unique keys whose size is checked first.
 
     A small side is broadcast.  A large one is joined by shuffle, each hot key
     split over ``SALT`` tasks by a hash of the whole row of ``big``.
     """
+    held = _hold(small)
+    if held is not None:
+        return big.join(F.broadcast(held), on, how)
+    small = store(small, "lookup")
     if is_small(small):
         return big.join(F.broadcast(small), on, how)
     salted = big.withColumn("_salt", F.pmod(F.xxhash64(*big.columns), F.lit(SALT)).cast("int"))
