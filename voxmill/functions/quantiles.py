@@ -14,9 +14,9 @@ from pyspark.sql.window import Window as W
 
 from ..session import lookup_join, store
 
-CELLS = 4096
+CELLS = 1024
 #: Most rows with differing values of one cell that are ordered inside one window.
-FINAL_ROWS = 200_000
+FINAL_ROWS = 10_000
 
 
 def _ranks(totals: DataFrame, by: list[str], probs: list[float]) -> DataFrame:
@@ -37,14 +37,24 @@ def _locate(counts: DataFrame, by: list[str], cell: str, wanted: DataFrame) -> D
     return hit.withColumn("rank", F.col("rank") - (F.col("_upto") - F.col("n")))
 
 
-def exact_quantiles(df: DataFrame, by: list[str], value: str, probs: list[float], names: list[str]) -> DataFrame:
-    """One row per group with one column per probability (in percent)."""
+def exact_quantiles(
+    df: DataFrame, by: list[str], value: str, probs: list[float], names: list[str], positive: bool = False
+) -> DataFrame:
+    """One row per group with one column per probability (in percent).
+
+    ``positive`` looks at values above zero only, in groups that have any.
+    """
     data = df.select(*by, F.col(value).cast("double").alias("v")).filter("v is not null")
-    if not by:
-        data, by = data.withColumn("_all", F.lit(0)), ["_all"]
+    above = F.when(F.col("v") > 0, F.col("v"))
     totals = data.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")
+        F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"),
+        F.count(above).alias("_n"), F.min(above).alias("_lo"),
     )
+    if positive:
+        some = F.col("_n") > 0
+        totals = totals.withColumn("n", F.when(some, F.col("_n")).otherwise(F.col("n"))).withColumn(
+            "lo", F.when(some, F.col("_lo")).otherwise(F.col("lo"))
+        )
     wanted = store(_ranks(totals, by, probs), "ranks")
 
     group = [*by, "lo", "hi"]
@@ -75,7 +85,7 @@ def exact_quantiles(df: DataFrame, by: list[str], value: str, probs: list[float]
     )
     value_at = F.col("a") + (F.col("b") - F.col("a")) * F.col("t")
     picks = [F.max(F.when(F.col("i") == i, value_at)).alias(name) for i, name in enumerate(names)]
-    return both.groupBy(*by).agg(*picks).drop("_all")
+    return both.groupBy(*by).agg(*picks)
 
 
 def _inside(data: DataFrame, wanted: DataFrame, by: list[str]) -> DataFrame:

@@ -15,22 +15,26 @@ from ..params import Flatten
 from ..session import by_block, lookup_join, store
 from .intensity import rescale
 
-_KEYS = ["vol_id", "z", "y", "xb"]
-_LINES = 32
+# Planes and lines that one task call filters together.
+_PLANES = 8
+_LINES = 64
+_COLUMNS = ["vol_id", "z", "y", "xb", "v", "bg"]
 _SCHEMA = "vol_id int, z int, y int, xb int, v array<float>, bg array<float>"
 
 
 def _smooth_axis(rows: DataFrame, axis: str, sigma: float) -> DataFrame:
-    """Filter ``bg`` along ``z`` or ``y``; ``v`` rides along unchanged."""
+    """Filter ``bg`` along ``z`` or ``y``, a few planes per task call; ``v`` rides along."""
     taps = gaussian_taps(sigma)
+    across = "y" if axis == "z" else "z"
 
     def apply(table: pa.Table) -> pa.Table:
-        table = table.sort_by(axis)
-        smooth = bricks.as_lists(smooth_columns(bricks.matrix(table["bg"]), taps))
-        return table.set_column(table.schema.get_field_index("bg"), "bg", smooth)
+        table = table.sort_by([(axis, "ascending"), (across, "ascending")])
+        block = bricks.matrix(table["bg"])
+        n = len(pc.unique(table[axis]))
+        smooth = smooth_columns(block.reshape(n, -1), taps).reshape(block.shape)
+        return _with_background(table, bricks.as_lists(smooth))
 
-    fixed = [k for k in _KEYS if k != axis]
-    return by_block(rows, *fixed).groupBy(*fixed).applyInArrow(apply, _SCHEMA)
+    return _by_planes(rows, across, _PLANES, "xb").applyInArrow(apply, _SCHEMA)
 
 
 def _smooth_x(rows: DataFrame, sigma: float) -> DataFrame:
@@ -38,18 +42,26 @@ def _smooth_x(rows: DataFrame, sigma: float) -> DataFrame:
     taps = gaussian_taps(sigma)
 
     def apply(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("y", "ascending"), ("xb", "ascending")])
+        table = table.sort_by([(c, "ascending") for c in ("z", "y", "xb")])
         lists = table["bg"].combine_chunks()
-        lines = len(pc.unique(table["y"]))
+        lines = len(table) // len(pc.unique(table["xb"]))
         block = lists.flatten().to_numpy(zero_copy_only=False).reshape(lines, -1)
         smooth = np.ascontiguousarray(smooth_columns(block.T, taps).T).reshape(-1)
-        bg = pa.ListArray.from_arrays(lists.offsets, pa.array(smooth))
-        table = table.set_column(table.schema.get_field_index("bg"), "bg", bg)
-        return table.drop_columns(["yb"])
+        return _with_background(table, pa.ListArray.from_arrays(lists.offsets, pa.array(smooth)))
 
-    block = ["vol_id", "z", "yb"]
-    rows = rows.withColumn("yb", F.floor(F.col("y") / _LINES).cast("int"))
-    return by_block(rows, *block).groupBy(*block).applyInArrow(apply, _SCHEMA)
+    rows = rows.withColumn("lines", F.floor(F.col("y") / _LINES).cast("int"))
+    return _by_planes(rows, "z", _PLANES, "lines").applyInArrow(apply, _SCHEMA)
+
+
+def _by_planes(rows: DataFrame, coordinate: str, size: int, fixed: str):
+    """Group rows by a range of one coordinate and a second, fixed one."""
+    block = ["vol_id", "part", fixed]
+    rows = rows.withColumn("part", F.floor(F.col(coordinate) / size).cast("int"))
+    return by_block(rows, *block).groupBy(*block)
+
+
+def _with_background(table: pa.Table, bg: pa.Array) -> pa.Table:
+    return table.set_column(table.schema.get_field_index("bg"), "bg", bg).select(_COLUMNS)
 
 
 def gaussian_background(voxels: DataFrame, lambda_xy: float, sigma_z: float = 0.0, value: str = "gray") -> DataFrame:
@@ -67,9 +79,7 @@ def gaussian_background(voxels: DataFrame, lambda_xy: float, sigma_z: float = 0.
 def background_reference(background: DataFrame) -> DataFrame:
     """Median background over positive values, over all values where none is."""
     values = background.select("vol_id", F.explode("bg").alias("bg"))
-    any_positive = values.groupBy("vol_id").agg(F.max(F.col("bg") > 0).alias("_some"))
-    kept = lookup_join(values, any_positive, ["vol_id"]).filter("bg > 0 or not _some")
-    median = exact_quantiles(kept, ["vol_id"], "bg", [50.0], ["bg_ref"])
+    median = exact_quantiles(values, ["vol_id"], "bg", [50.0], ["bg_ref"], positive=True)
     return median.select("vol_id", F.col("bg_ref").cast("float").alias("bg_ref"))
 
 

@@ -79,20 +79,24 @@ def lightest_edges(n: int, u: np.ndarray, v: np.ndarray, rooted: np.ndarray) ->
 
 def _flood_tile(tile: int):
     def flood(pdf: pd.DataFrame) -> pd.DataFrame:
-        base = [int(pdf[t].iloc[0]) * tile for t in ("tz", "ty", "tx")]
+        own = [int(pdf[t].iloc[0]) * tile for t in _BLOCK[1:]]
         z, y, x, d2, label = (pdf[c].to_numpy(np.int64) for c in ("z", "y", "x", "d2", "label"))
-        grid_d = np.zeros((tile + 2,) * 3, np.int64)
-        grid_l = np.zeros((tile + 2,) * 3, np.int64)
-        at = np.stack([z - base[0] + 1, y - base[1] + 1, x - base[2] + 1])
+        # A dense block around the given voxels, one empty layer on each side.
+        low = [int(c.min()) - 1 for c in (z, y, x)]
+        shape = tuple(int(c.max()) - a + 2 for c, a in zip((z, y, x), low))
+        axes = [(np.arange(m) + a).reshape([-1 if i == j else 1 for j in range(3)])
+                for i, (m, a) in enumerate(zip(shape, low))]
+        grid_d, grid_l = np.zeros(shape, np.int64), np.zeros(shape, np.int64)
+        at = np.stack([c - a for c, a in zip((z, y, x), low)])
         for grid, value in ((grid_d, d2), (grid_l, label)):
             given = value > 0
             grid[tuple(at[:, given])] = value[given]
-        core = np.zeros(grid_d.shape, bool)
-        core[1:-1, 1:-1, 1:-1] = grid_d[1:-1, 1:-1, 1:-1] > 0
-        node = np.full(grid_d.shape, -1)
+        core = grid_d > 0
+        for ax, start in zip(axes, own):
+            core &= (ax >= start) & (ax < start + tile)
+        node = np.full(shape, -1)
         n = int(core.sum())
         node[core] = np.arange(n)
-        axes = np.ogrid[tuple(slice(b - 1, b + tile + 1) for b in base)]
         place = _position(*axes)
 
         parts = []

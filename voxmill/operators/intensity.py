@@ -28,7 +28,7 @@ def percentiles(voxels: DataFrame, value: str, probs: list[float], names: list[s
     if isinstance(voxels.schema[value].dataType, T.IntegralType):
         hist = _foreground(histogram(voxels, value), "value")
         return histogram_quantiles(hist, ["vol_id"], "value", probs, names)
-    return exact_quantiles(_foreground(voxels, value), ["vol_id"], value, probs, names)
+    return exact_quantiles(voxels, ["vol_id"], value, probs, names, positive=True)
 
 
 def rescale(voxels: DataFrame, value: str = "gray", p_low: float = 0.5, p_high: float = 99.5) -> DataFrame:
