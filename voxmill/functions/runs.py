@@ -15,6 +15,8 @@ from ..session import lookup_join, union_all
 
 LINE = ["vol_id", "z", "y"]
 RUN = [*LINE, "x0", "x1"]
+#: Width of the stretches of a line within which runs are joined.
+BLOCK = 64
 
 
 def from_voxels(voxels: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -115,12 +117,28 @@ def complement(runs: DataFrame, catalog: DataFrame) -> DataFrame:
     return covered(union_all(full_lines(catalog), runs.select(*RUN)), lambda n: n == 1)
 
 
+def blocks(runs: DataFrame, width: int = BLOCK) -> DataFrame:
+    """Runs cut at multiples of ``width``, with the number ``xb`` of their block."""
+    first, last = (F.floor(F.col(c) / width).cast("int") for c in ("x0", "x1"))
+    cut = runs.withColumn("xb", F.explode(F.sequence(first, last)))
+    return cut.withColumns(
+        {
+            "x0": F.greatest("x0", F.col("xb") * width),
+            "x1": F.least("x1", F.col("xb") * width + (width - 1)),
+        }
+    )
+
+
 def overlap(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Common stretches of two run tables, keeping the other columns of both."""
-    b = right.withColumnsRenamed({"x0": "_b0", "x1": "_b1"})
+    """Common stretches of two run tables, keeping the other columns of both.
+
+    Runs meet per block of a line, so a line crowded with runs does not pair
+    them all; stretches end at block borders.
+    """
+    b = blocks(right).withColumnsRenamed({"x0": "_b0", "x1": "_b1"})
     rest = [c for c in [*left.columns, *right.columns] if c not in RUN]
     return (
-        left.join(b, LINE)
+        blocks(left).join(b, [*LINE, "xb"])
         .filter("x0 <= _b1 and _b0 <= x1")
         .select(*LINE, F.greatest("x0", "_b0").alias("x0"), F.least("x1", "_b1").alias("x1"), *rest)
     )

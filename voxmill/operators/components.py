@@ -96,7 +96,11 @@ def _face_pairs(pieces: DataFrame, k: int, tile: int) -> DataFrame:
         | (F.col("x1") % tile == edge)
     )
     face = pieces.filter(near).select("*", *_tile_of(tile))
-    b = face.select("vol_id", "z", "y", *[F.col(c).alias("_" + c) for c in ("x0", "x1", "piece", "tz", "ty", "tx")])
+    # A run lies in one tile along x; whoever touches it lies there or beside it.
+    b = face.select(
+        "vol_id", "z", "y", F.col("tx").alias("at"),
+        *[F.col(c).alias("_" + c) for c in ("x0", "x1", "piece", "tz", "ty", "tx")],
+    )
     steps = F.array(
         *[F.struct(*[F.lit(v).alias(n) for n, v in zip(("dz", "dy", "s"), o)]) for o in [(0, 0, 1), *_AHEAD[k]]]
     )
@@ -106,7 +110,9 @@ def _face_pairs(pieces: DataFrame, k: int, tile: int) -> DataFrame:
         (F.col("y") + F.col("o.dy")).alias("y"),
         *["x0", "x1", "piece", "tz", "ty", "tx", "o.s"],
     )
-    met = a.join(b, R.LINE).filter(
+    reach = [F.floor(x / tile).cast("int") for x in (F.col("x0") - F.col("s"), F.col("x1") + F.col("s"))]
+    a = a.withColumn("at", F.explode(F.sequence(*reach)))
+    met = a.join(b, [*R.LINE, "at"]).filter(
         "(tz <> _tz or ty <> _ty or tx <> _tx) and x0 - s <= _x1 and _x0 <= x1 + s"
     )
     return met.select(

@@ -85,18 +85,19 @@ def nearest_in_mask(points: DataFrame, mask: DataFrame, catalog: DataFrame, radi
 
 
 def pack_lines(voxels: DataFrame, value: str) -> DataFrame:
-    """Dense gray volume as one array per line."""
+    """Dense gray volume as one array per block of a line."""
     packed = F.sort_array(F.collect_list(F.struct("x", F.col(value).alias("v"))))
-    lines = voxels.groupBy(*R.LINE).agg(packed.alias("p"))
-    return lines.select(*R.LINE, F.col("p.v").alias("values"))
+    split = voxels.select(*R.LINE, "x", value, F.floor(F.col("x") / R.BLOCK).cast("int").alias("xb"))
+    lines = split.groupBy(*R.LINE, "xb").agg(packed.alias("p"))
+    return lines.select(*R.LINE, "xb", F.col("p.v").alias("values"))
 
 
 def sampled_mean(points: DataFrame, lines: DataFrame, catalog: DataFrame, spans, empty: float, name: str) -> DataFrame:
     """Mean gray over a neighbourhood of each centroid, in-bounds voxels only."""
-    asked = _stretches(points, catalog, spans)
-    part = F.slice("values", F.col("x0") + 1, F.col("x1") - F.col("x0") + 1)
+    asked = R.blocks(_stretches(points, catalog, spans))
+    part = F.slice("values", F.col("x0") - F.col("xb") * R.BLOCK + 1, F.col("x1") - F.col("x0") + 1)
     total = F.aggregate(part, F.lit(0).cast("long"), lambda s, v: s + v.cast("long"))
-    met = asked.join(lines, R.LINE).select(*ID, R.length().alias("_n"), total.alias("_sum"))
+    met = asked.join(lines, [*R.LINE, "xb"]).select(*ID, R.length().alias("_n"), total.alias("_sum"))
     means = met.groupBy(*ID).agg((F.sum("_sum") / F.sum("_n")).alias(name))
     return points.select(*ID).join(means, ID, "left").fillna(empty, [name])
 
