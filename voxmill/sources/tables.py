@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
 TILE = 64
@@ -20,9 +19,7 @@ def read_voxels(spark: SparkSession, path: str, value: str, kind: str = "int", f
     first channel is kept.  Volumes without ``z`` are one slice, which
     ``strict`` refuses.
     """
-    schema = T.StructType([T.StructField(c, T.IntegerType()) for c in columns])
-    schema = schema.add(value, kind)
-    reader = spark.read.schema(schema)
+    reader = spark.read.schema(", ".join([*(f"{c} int" for c in columns), f"{value} {kind}"]))
     rows = reader.csv(path, header=True) if fmt == "csv" else reader.format(fmt).load(path)
     return normalise(rows, value, strict)
 
