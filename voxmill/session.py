@@ -65,7 +65,7 @@ def _hold(small: DataFrame) -> DataFrame | None:
 
 
 def lookup_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
-    """Join ``big`` to a side with unique keys whose size is checked first.
+    """Join ``big`` to a lookup side whose size is checked first.
 
     A small side is broadcast.  A large one is joined by shuffle, each hot key
     split over ``SALT`` tasks by a hash of the whole row of ``big``.

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import lookup_join
 
 TILE = 64
 RESULT_COUNTS = ("gt_valid", "pred_labels", "fp050", "fn050")
@@ -60,8 +61,8 @@ def require_same_shape(left: DataFrame, right: DataFrame) -> None:
 def cut_crops(voxels: DataFrame, crops: DataFrame) -> DataFrame:
     """Voxels of each box, moved to the origin; boxes end at the volume edge.
 
-    Boxes are listed by the tile columns they reach, so the range condition
-    rides on an equi-join and holds for any number of boxes.
+    Boxes are listed by the tiles they reach, so the range condition rides on an
+    equi-join: a broadcast for few boxes, else by shuffle with salted tiles.
     """
     def reach(c: str):
         return F.explode(
@@ -72,7 +73,7 @@ def cut_crops(voxels: DataFrame, crops: DataFrame) -> DataFrame:
     for c in "zyx":
         boxes = boxes.withColumn("t" + c, reach(c))
     tiled = voxels.withColumns({"t" + c: F.floor(F.col(c) / TILE).cast("int") for c in "zyx"})
-    met = tiled.join(boxes, ["tz", "ty", "tx"])
+    met = lookup_join(tiled, boxes, ["tz", "ty", "tx"])
     for c in "zyx":
         met = met.filter((F.col(c) >= F.col("c" + c)) & (F.col(c) < F.col("c" + c) + F.col("size")))
     moved = {c: F.col(c) - F.col("c" + c) for c in "zyx"}
