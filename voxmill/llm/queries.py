@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxmill.llm import decontaminate, fingerprints, jaccard, lm, mixing, quality, secrets, urls
+from voxmill.llm import decontaminate, fingerprints, jaccard, lm, mixing, quality, secrets, substrings, urls
 from voxmill.llm.frames import table
 
 
@@ -26,6 +26,11 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(items, 256).alias("items_sha256"), "contaminated")
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substrings.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -50,6 +55,6 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_importance_resampling, op2_url_filter, op3_decontamination, op5_jaccard_join, op6_lm_scoring,
+    op1_importance_resampling, op2_url_filter, op3_decontamination, op4_substring_dedup, op5_jaccard_join, op6_lm_scoring,
     op8_secret_scan, op9_fingerprints, op10_source_mixing)}
 ORACLES: dict[str, str] = {}
