@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxmill.llm import decontaminate, fingerprints, jaccard, lm, mixing, quality, secrets, substrings, urls
+from voxmill.llm import decontaminate, fingerprints, jaccard, lm, mixing, pages, quality, secrets, substrings, urls
 from voxmill.llm.frames import table
 
 
@@ -15,8 +15,8 @@ def op1_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    return urls.judge(pages, urls.train(urls.labelled(spark))).drop("url")
+    addresses = table(spark, sf_dir, "pages").select("page_id", "url")
+    return urls.judge(addresses, urls.train(urls.labelled(spark))).drop("url")
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,6 +39,10 @@ def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = secrets.scan(docs, redact=False)
@@ -56,5 +60,5 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_importance_resampling, op2_url_filter, op3_decontamination, op4_substring_dedup, op5_jaccard_join, op6_lm_scoring,
-    op8_secret_scan, op9_fingerprints, op10_source_mixing)}
+    op7_html_extraction, op8_secret_scan, op9_fingerprints, op10_source_mixing)}
 ORACLES: dict[str, str] = {}
