@@ -73,10 +73,10 @@ def mix(docs: DataFrame, seed: int = SEED) -> DataFrame:
     taken_names = {n.lower() for n in new}
     kept = [c for c in docs.columns if c.lower() not in taken_names]
     names = {c.lower(): c for c in docs.columns}
-    source, text = F.col(f"d.`{names['source']}`"), F.col(f"d.`{names['text']}`")
-    doc_id = F.col(f"d.`{names['doc_id']}`")
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in kept)).alias("d"))
-    rows = rows.select("d", n_words(text).alias("size"))
+    held = {c: f"_kept{k}" for k, c in enumerate(kept)}  # apart from the names used here; unused ones are pruned
+    source, text, doc_id = (F.col(held[names[c]]) for c in ("source", "text", "doc_id"))
+    rows = docs.select(*(F.col(f"`{c}`").alias(held[c]) for c in kept))
+    rows = rows.withColumn("size", n_words(text))
     # SQL's md5 agrees everywhere, so that reruns and other engines draw alike.
     rows = rows.withColumn("draw", F.md5(F.concat_ws(":", F.lit(str(seed)), doc_id.cast("string")).cast("binary")))
     width = F.floor(F.log2(F.col("size") + 1) * 8).cast("int")
@@ -98,7 +98,7 @@ def mix(docs: DataFrame, seed: int = SEED) -> DataFrame:
     rank = F.col("ahead") + F.col("place")
     upto = lambda r: F.floor(r * F.col("rate") + F.col("offset"))
     met = met.withColumn("copies", (upto(rank) - upto(rank - 1)).cast("long"))
-    return met.select(*(F.col(f"d.`{c}`").alias(c) for c in kept), "size", "source_size", "target", "copies",
+    return met.select(*(F.col(held[c]).alias(c) for c in kept), "size", "source_size", "target", "copies",
                       (F.col("copies") * F.col("size")).alias("taken"))
 
 
