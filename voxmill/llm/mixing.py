@@ -79,8 +79,10 @@ def mix(docs: DataFrame, seed: int = SEED) -> DataFrame:
     rows = rows.withColumn("size", n_words(text))
     # SQL's md5 agrees everywhere, so that reruns and other engines draw alike.
     rows = rows.withColumn("draw", F.md5(F.concat_ws(":", F.lit(str(seed)), doc_id.cast("string")).cast("binary")))
-    width = F.floor(F.log2(F.col("size") + 1) * 8).cast("int")
-    rows = rows.withColumn("class", width).withColumn("block", F.conv(F.substring("draw", 1, 4), 16, 10).cast("int") % BLOCKS)
+    # Eight classes per doubling of the size: the leading bit and the three behind it, in whole numbers.
+    bit = F.length(F.bin("size")) - 1
+    rows = rows.withColumn("class", (8 * bit + F.call_function("shiftright", F.col("size") * 8, bit)).cast("int"))
+    rows = rows.withColumn("block", F.conv(F.substring("draw", 1, 4), 16, 10).cast("int") % BLOCKS)
     rows = rows.withColumn("src", source)
     counted = rows.groupBy("src", "class", "block").agg(F.count("*").alias("n"), F.sum("size").alias("words"))
     # Within a class the blocks are laid one behind the other.

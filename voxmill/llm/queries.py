@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from voxmill.llm import decontaminate, fingerprints, jaccard, lm, mixing, pages, quality, secrets, substrings, urls
 from voxmill.llm.frames import table
+from voxmill.llm.oracles import ORACLES
+
+__all__ = ["ORACLES", "QUERIES"]
 
 
 def op1_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,4 +64,3 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_importance_resampling, op2_url_filter, op3_decontamination, op4_substring_dedup, op5_jaccard_join, op6_lm_scoring,
     op7_html_extraction, op8_secret_scan, op9_fingerprints, op10_source_mixing)}
-ORACLES: dict[str, str] = {}
