@@ -105,7 +105,7 @@ def _shingle_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 def possible_pairs(left: np.ndarray, right: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of rows of two signature tables that survive the Bayesian pruning."""
     n = len(left)
-    found_i, found_j = [], []
+    found_i, found_j = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]  # a side may be empty
     for a in range(0, n, 128):
         i, j = np.indices((min(128, n - a), len(right))).reshape(2, -1)
         i += a

@@ -23,8 +23,8 @@ HEAD = 254
 WIDTH = 16
 ORDER = 2
 NOISE = 32
-BATCH = 4096
-RATE = 0.1
+BATCH = 1024
+RATE = 0.05
 #: Most words whose counts are broadcast; counts of rarer words are joined.
 KNOWN = 1 << 18
 #: Different words a task holds before it passes counts on.
@@ -168,7 +168,7 @@ class LogBilinear:
 
     def trainer(self):
         """A step on ids and what is before them, by AdaGrad."""
-        squares = {k: np.full_like(p, 1e-2) for k, p in self.parts.items()}
+        squares = {k: np.full_like(p, 1e-6) for k, p in self.parts.items()}
         rng = np.random.default_rng(4)
         log_noise = np.log(NOISE * self.unigram)
 
