@@ -76,7 +76,7 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 rows[row] = signature.tobytes()
             nodes += [None if r is None else _node(words, i) for i, r in enumerate(rows)]
             signed += rows
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.int64()), pa.array(signed, pa.binary())], ["doc_id", "node", "signature"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(nodes, pa.int64()), pa.array(signed, pa.binary())], ["doc_id", "h", "node", "signature"])
 
 
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,8 +198,14 @@ def classes(docs: DataFrame) -> DataFrame:
     Repeated rows are copies of one another.  Texts are told apart by 63 bits of a
     digest of their words.
     """
+    return _classes(docs).drop("h")
+
+
+def _classes(docs: DataFrame) -> DataFrame:
+    """As ``classes``, with the hash ``h`` of each text."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = store(rows.mapInArrow(_signatures, "doc_id long, node long, signature binary"), "signatures")
+    hashed = rows.withColumn("h", F.xxhash64(F.coalesce("text", F.lit(""))))
+    signed = store(hashed.mapInArrow(_signatures, "doc_id long, h long, node long, signature binary"), "signatures")
     known = (signed.where("node is not null").groupBy("node")
              .agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.first("signature").alias("signature")))
     known = store(known, "texts")
@@ -226,24 +232,27 @@ def classes(docs: DataFrame) -> DataFrame:
     named = store(named, "named")
     whole = named.groupBy("root").agg(F.min("least").alias("class_id"), F.sum("copies").alias("class_size"))
     named = named.join(whole, "root").select("node", "class_id", "class_size", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    out = signed.select("doc_id", "node").join(named, "node", "left")
-    return out.select("doc_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
+    out = signed.select("doc_id", "h", "node").join(named, "node", "left")
+    return out.select("doc_id", "h", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
                       F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("class_size", F.lit(1)).alias("class_size"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """``docs`` with one document of each class, that of the least doc_id.
 
-    Other rows and all columns stay.  Of rows that repeat the kept doc_id and text one
-    stays; documents without words stay.
+    Other rows and all columns stay, and so do all documents without words.  Rows that
+    repeat the kept doc_id and text are one row.  A row without an id goes if its class
+    has an id; else one row of each of its texts stays.
     """
-    found = store(classes(docs), "classes")
-    out = found.where("class_id is not null and doc_id is not null and doc_id <> class_id").select(F.col("doc_id").alias("_gone")).distinct()
-    kept = docs.join(frames.lookup(store(out, "gone")), F.col("doc_id") == F.col("_gone"), "left_anti")
-    twice = store(found.where("class_size > 1 and doc_id <=> class_id").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_twice")), "twice")
-    nameless = found.where("doc_id is null and class_size > 1").limit(1).count()
-    if twice.limit(1).count() or nameless:
-        named = kept.join(frames.lookup(twice), F.col("doc_id") == F.col("_twice"), "left")
-        again = named.where("_twice is not null or doc_id is null").drop("_twice").dropDuplicates(["doc_id", "text"])
-        kept = named.where("_twice is null and doc_id is not null").drop("_twice").unionByName(again)
-    return kept
+    found = store(_classes(docs), "classes")
+    gone = found.where("class_id is not null and not doc_id <=> class_id").select(F.col("doc_id").alias("_id"), F.col("h").alias("_h")).distinct()
+    gone = frames.lookup(store(gone, "gone"))
+    rows = docs.withColumn("_key", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    kept = rows.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_h")), "left_anti")
+    again = found.where("class_size > 1 and doc_id <=> class_id").groupBy("doc_id", "h").count().where("count > 1")
+    again = store(again.select(F.col("doc_id").alias("_id"), F.col("h").alias("_h")), "again")
+    if again.limit(1).count():
+        marked = kept.join(frames.lookup(again), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_h")), "left")
+        once = marked.where("_h is not null").dropDuplicates(["doc_id", "_key"])
+        kept = marked.where("_h is null").unionByName(once)
+    return kept.select(*docs.columns)
