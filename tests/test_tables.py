@@ -1,5 +1,7 @@
 import tempfile
 
+import os
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -76,13 +78,42 @@ def test_lookup_join_without_broadcast_gives_the_same(spark, monkeypatch):
     big = spark.range(500).withColumn("k", (F.col("id") % 7).cast("int"))
     small = spark.createDataFrame([(k, k * k) for k in range(6)], "k int, v int")
     want = sorted(map(tuple, session.lookup_join(big, small, ["k"], "left").collect()), key=repr)
-    monkeypatch.setattr(session, "_hold", lambda df: None)
     for limit in (100, 2):
-        monkeypatch.setattr(session.is_small, "__defaults__", (limit,))
+        monkeypatch.setattr(session, "BROADCAST_ROWS", limit)
         got = sorted(map(tuple, session.lookup_join(big, small, ["k"], "left").collect()), key=repr)
         assert got == want
 
 
+def test_lookup_join_reads_a_table_that_was_overwritten(spark, tmp_path):
+    path, big = str(tmp_path / "small"), spark.range(2).withColumn("k", F.lit(1))
+    for value in (10, 99):
+        spark.createDataFrame([(1, value)], "k int, v int").write.mode("overwrite").parquet(path)
+        assert {r.v for r in session.lookup_join(big, spark.read.parquet(path), ["k"]).collect()} == {value}
+
+
+def test_stored_tables_can_be_discarded(spark):
+    stored = session.store(spark.range(3), "few")
+    assert stored.count() == 3 and os.path.isdir(stored._stored_at.removeprefix("file:"))
+    session.discard(stored, None, spark.range(1))
+    assert not os.path.exists(stored._stored_at.removeprefix("file:"))
+
+
+def test_a_cluster_without_a_shared_folder_is_an_error():
+    class Session:
+        class conf:  # noqa: N801
+            get = staticmethod(lambda *a: None)
+
+        class sparkContext:  # noqa: N801
+            master, applicationId = "spark://host:7077", "app"
+            getCheckpointDir = staticmethod(lambda: None)
+
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        session.workspace(Session)
+    Session.sparkContext.master = "local-cluster[2,1,1024]"
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        session.workspace(Session)
+
+
 def test_partition_count_does_not_matter(spark):
     mask = H.voxel_table(spark, {1: np.random.default_rng(6).random((8, 8, 8)) < 0.5}).drop("value")
     found = []

@@ -122,8 +122,21 @@ def matches(matched: DataFrame, scoring: Scoring) -> DataFrame:
     return rows.select("vol_id", "threshold", "gt_id", "pred_id", "iou")
 
 
-def threshold_metrics(table: DataFrame, scoring: Scoring, matched: DataFrame | None = None) -> DataFrame:
-    """One row per volume and threshold."""
+def _of_all(volumes: DataFrame | None, rows: DataFrame) -> DataFrame:
+    """``rows``, plus a row of zeros for each listed volume that has none."""
+    if volumes is None:
+        return rows
+    return volumes.select("vol_id").distinct().join(rows, "vol_id", "left").fillna(0)
+
+
+def threshold_metrics(
+    table: DataFrame, scoring: Scoring, matched: DataFrame | None = None, volumes: DataFrame | None = None
+) -> DataFrame:
+    """One row per volume and threshold.
+
+    Volumes without any label only have rows if ``volumes`` (a catalog) lists them;
+    the same holds for the other scores below.
+    """
     if matched is None:
         matched = matching(table, scoring)
     gts = true_instances(table, scoring)
@@ -132,7 +145,7 @@ def threshold_metrics(table: DataFrame, scoring: Scoring, matched: DataFrame | N
         F.count(F.lit(1)).alias("pred_total"), F.sum(F.col("evaluable").cast("long")).alias("pred_eval")
     )
     hits = matches(matched, scoring).groupBy("vol_id", "threshold").agg(F.count(F.lit(1)).alias("tp"))
-    rows = true_counts.join(pred_counts, "vol_id", "full").fillna(0)
+    rows = _of_all(volumes, true_counts.join(pred_counts, "vol_id", "full").fillna(0))
     rows = rows.withColumn("threshold", _thresholds(scoring))
     rows = rows.join(hits, ["vol_id", "threshold"], "left").fillna(0, ["tp"])
     rows = rows.withColumn("fp", F.col("pred_eval") - F.col("tp")).withColumn("fn", F.col("gt_valid") - F.col("tp"))
@@ -148,7 +161,7 @@ def threshold_metrics(table: DataFrame, scoring: Scoring, matched: DataFrame | N
     )
 
 
-def foreground_overlap(table: DataFrame) -> DataFrame:
+def foreground_overlap(table: DataFrame, volumes: DataFrame | None = None) -> DataFrame:
     """Voxel counts and IoU, Dice, precision, recall of the two foregrounds."""
     def voxels(condition: str) -> Column:
         return F.sum(F.when(F.expr(condition), F.col("n")).otherwise(0))
@@ -158,6 +171,7 @@ def foreground_overlap(table: DataFrame) -> DataFrame:
         voxels("pred_id > 0").alias("foreground_pred_voxels"),
         voxels("gt_id > 0 and pred_id > 0").alias("foreground_intersection"),
     )
+    counts = _of_all(volumes, counts)
     gt, pred = F.col("foreground_gt_voxels"), F.col("foreground_pred_voxels")
     both = F.col("foreground_intersection")
     return counts.select(
@@ -227,28 +241,31 @@ def marker_overlap(voxels: DataFrame) -> DataFrame:
     )
 
 
-def marker_tallies(voxels: DataFrame) -> DataFrame:
+def marker_tallies(voxels: DataFrame, volumes: DataFrame | None = None) -> DataFrame:
     """Number of markers and their voxels on and off true instances."""
     counts = voxels.filter("marker_id > 0").groupBy("vol_id", "marker_id").agg(
         F.sum((F.col("gt_id") > 0).cast("long")).alias("on"), F.sum((F.col("gt_id") == 0).cast("long")).alias("off")
     )
-    return counts.groupBy("vol_id").agg(
+    return _of_all(volumes, counts.groupBy("vol_id").agg(
         F.count(F.lit(1)).alias("marker_components"),
         F.sum("on").alias("marker_voxels_on_gt"),
         F.sum("off").alias("marker_voxels_on_background"),
-    )
+    ))
 
 
-def object_recall(best: DataFrame, scoring: Scoring) -> DataFrame:
-    """Valid true instances whose best IoU reaches each threshold."""
-    rows = best.withColumn("threshold", _thresholds(scoring))
-    hit = ((F.col("status") == "matched") & (F.col("iou") >= F.col("threshold"))).cast("long")
+def object_recall(best: DataFrame, scoring: Scoring, volumes: DataFrame | None = None) -> DataFrame:
+    """Valid true instances whose best IoU reaches each threshold; 0 where there are none."""
+    rows = best.select("vol_id", "status", "iou")
+    if volumes is not None:
+        rows = volumes.select("vol_id").distinct().join(rows, "vol_id", "left")
+    rows = rows.withColumn("threshold", _thresholds(scoring))
+    hit = F.coalesce((F.col("status") == "matched") & (F.col("iou") >= F.col("threshold")), F.lit(False)).cast("long")
     return rows.groupBy("vol_id", "threshold").agg(
         F.avg(hit).alias("gt_object_recall"), F.sum(hit).alias("gt_matched_count")
     )
 
 
-def summary(table: DataFrame, voxels: DataFrame | None, scoring: Scoring) -> DataFrame:
+def summary(table: DataFrame, voxels: DataFrame | None, scoring: Scoring, volumes: DataFrame | None = None) -> DataFrame:
     """Long ``(vol_id, position, metric, value)`` table in report order."""
     gts = true_instances(table, scoring)
     border = F.sum(F.col("on_border").cast("long")) if scoring.ignore_gt_border else F.lit(0).cast("long")
@@ -260,7 +277,7 @@ def summary(table: DataFrame, voxels: DataFrame | None, scoring: Scoring) -> Dat
             border.alias("gt_border_ids_ignored_if_enabled"),
         )
         .join(predicted_instances(table).groupBy("vol_id").agg(F.count(F.lit(1)).alias("pred_label_count")), "vol_id", "full")
-        .join(foreground_overlap(table), "vol_id", "full")
+        .join(foreground_overlap(table, volumes), "vol_id", "full")
         .withColumn("gt_min_area_filter", F.lit(scoring.min_gt_area))
         .withColumn("ignore_gt_border", F.lit(int(scoring.ignore_gt_border)))
     )
@@ -271,7 +288,7 @@ def summary(table: DataFrame, voxels: DataFrame | None, scoring: Scoring) -> Dat
         "foreground_precision", "foreground_recall", "marker_components",
     ]
     if voxels is not None:
-        base = base.join(marker_tallies(voxels), "vol_id", "left")
+        base = base.join(marker_tallies(voxels, volumes), "vol_id", "left")
         names += ["marker_voxels_on_gt", "marker_voxels_on_background"]
     else:
         base = base.withColumn("marker_components", F.lit(0))
@@ -280,7 +297,7 @@ def summary(table: DataFrame, voxels: DataFrame | None, scoring: Scoring) -> Dat
         for i, n in enumerate(names)
     ]
     fixed = base.select("vol_id", F.explode(F.array(*entries)).alias("e")).select("vol_id", "e.*")
-    recall = object_recall(best_per_true(table, scoring), scoring)
+    recall = object_recall(best_per_true(table, scoring), scoring, volumes)
     order = {float(t): i for i, t in enumerate(scoring.thresholds)}
     at = F.lit(len(names)).cast("int")
     for t, i in order.items():
@@ -308,12 +325,10 @@ def label_count(voxels: DataFrame, label: str = "label") -> DataFrame:
     )
 
 
-def component_areas(labelled: DataFrame) -> DataFrame:
+def component_areas(labelled: DataFrame, volumes: DataFrame | None = None) -> DataFrame:
     """Number of components and their smallest, mean and largest area."""
-    from ..functions import runs as R
-
     areas = labelled.groupBy("vol_id", "component").agg(F.sum(R.length()).alias("area"))
-    return areas.groupBy("vol_id").agg(
+    return _of_all(volumes, areas.groupBy("vol_id").agg(
         F.count(F.lit(1)).alias("components"), F.min("area").alias("area_min"),
         F.avg("area").alias("area_mean"), F.max("area").alias("area_max"),
-    )
+    ))

@@ -1,25 +1,32 @@
 """Optimal one-to-one matching of true and predicted instances.
 
-Maximises the total IoU.  Pairs that do not overlap add nothing, so the problem
+Maximises the total IoU, and of equal totals the sum of a hash of the chosen pairs, so
+that there is one answer.  Pairs that do not overlap add nothing, so the problem
 falls apart along the overlap graph.  Touching neighbours usually tie a whole
 volume into one component, so certain pairs are taken first: a pair that beats
-the best alternatives of both its members together is in every optimum.  What
-remains are small knots, solved one per group; a knot of any larger size is
-solved by bidding rounds over the whole table.
+the best alternatives of both its members together is in every optimum (any
+pair above two thirds does).  What remains are knots, each solved by shortest
+augmenting paths on whole numbers.
 """
 
 from __future__ import annotations
 
+import hashlib
+import heapq
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import by_block, store, union_all
+from ..session import by_block, discard, store, union_all
 from .components import merge
 
-#: Largest number of pairs of a knot that one task solves.
-KNOT_PAIRS = 2_000
+#: Most pairs of one knot, which is a task's block (some 500 bytes a pair).  A larger
+#: one is refused: uncertain overlaps of one volume that are tied together this far
+#: mean that the labels do not fit at all.
+KNOT_PAIRS = 500_000
 _MARGIN = 1e-12
 _PAIR = "vol_id int, gt_id long, pred_id long, iou double"
 
@@ -36,11 +43,13 @@ def optimal_matching(pairs: DataFrame, knot_pairs: int = KNOT_PAIRS) -> DataFram
         if sure.isEmpty():
             break
         chosen.append(sure)
+        before = left
         for end in ("gt_id", "pred_id"):
             left = left.join(sure.select("vol_id", end), ["vol_id", end], "left_anti")
         left = store(left.select("vol_id", "gt_id", "pred_id", "iou"), "overlaps")
+        discard(before)
     if not left.isEmpty():
-        chosen += _knots(left, knot_pairs)
+        chosen.append(_knots(left, knot_pairs))
     return union_all(*chosen) if chosen else left
 
 
@@ -62,145 +71,77 @@ def _certain(pairs: DataFrame) -> DataFrame:
     return sure.filter(F.col("iou") > rivals + _MARGIN).select("vol_id", "gt_id", "pred_id", "iou")
 
 
-def _knots(pairs: DataFrame, knot_pairs: int) -> list[DataFrame]:
+def _knots(pairs: DataFrame, knot_pairs: int) -> DataFrame:
     """Solve each component of the remaining overlap graph."""
     g, p = F.col("gt_id") * 2, F.col("pred_id") * 2 + 1
     roots = merge(pairs.select("vol_id", F.least(g, p).alias("a"), F.greatest(g, p).alias("b")))
     tied = pairs.withColumn("node", g).join(roots, ["vol_id", "node"]).drop("node")
     tied = store(tied.withColumnRenamed("root", "knot"), "knots")
-    sizes = tied.groupBy("vol_id", "knot").count()
-    small = tied.join(sizes.filter(F.col("count") <= knot_pairs), ["vol_id", "knot"], "left_semi")
-    large = tied.join(sizes.filter(F.col("count") > knot_pairs), ["vol_id", "knot"], "left_semi")
-    solved = by_block(small, "vol_id", "knot").groupBy("vol_id", "knot").applyInPandas(_solve, _PAIR)
-    found = [store(solved, "matched")]
-    if not large.isEmpty():
-        found.append(bid(large.drop("knot")))
-    return found
+    largest = tied.groupBy("vol_id", "knot").count().agg(F.max("count")).first()[0]
+    if largest > knot_pairs:
+        raise ValueError(f"a knot of {largest} overlapping pairs; at most {knot_pairs} are supported")
+    return store(by_block(tied, "vol_id", "knot").groupBy("vol_id", "knot").applyInPandas(_solve, _PAIR), "matched")
+
+
+def pair_weight(gt_id: int, pred_id: int, iou: float) -> int:
+    """IoU in steps of 2^-60, then the tie rule: 40 bits of the pair's md5, with room for 2^20 pairs."""
+    tie = int(hashlib.md5(f"{gt_id}:{pred_id}".encode()).hexdigest()[:10], 16)
+    return (math.floor(iou * 2.0**60) << 60) + tie + 1
 
 
 def _solve(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Best assignment of one knot; of equal ones the first in pair order."""
-    pdf = pdf.sort_values(["gt_id", "pred_id"], ignore_index=True)
+    """Best assignment of one knot."""
+    pdf = pdf.reset_index(drop=True)
     gts, gi = np.unique(pdf["gt_id"], return_inverse=True)
     preds, pi = np.unique(pdf["pred_id"], return_inverse=True)
-    gain = np.zeros((len(gts), len(preds)))
-    gain[gi, pi] = pdf["iou"]
-    taken = assign(gain)
+    links: list[list[tuple[int, int]]] = [[] for _ in gts]
+    for row, col, g, p, iou in zip(gi.tolist(), pi.tolist(), pdf["gt_id"].tolist(), pdf["pred_id"].tolist(), pdf["iou"].tolist()):
+        links[row].append((col, pair_weight(g, p, iou)))
+    taken = assign(links, len(preds))
     return pdf.loc[taken[gi] == pi, ["vol_id", "gt_id", "pred_id", "iou"]]
 
 
-def assign(gain: np.ndarray) -> np.ndarray:
-    """Column of each row (-1: none) with the largest total gain.
+def assign(links: list[list[tuple[int, int]]], cols: int) -> np.ndarray:
+    """Column of each row (-1: none) with the largest total weight, exactly.
 
-    Shortest augmenting paths with row and column prices; every row owns an
-    extra column without gain, so staying alone is always possible.
+    ``links`` has (column, positive whole weight) per row.  Shortest augmenting paths
+    with row and column prices over the links alone; every row owns an extra column of
+    weight 0, so staying alone is always possible.
     """
-    rows, cols = gain.shape
-    cost = np.full((rows, cols + rows), np.inf)
-    cost[:, :cols] = np.where(gain > 0, -gain, np.inf)
-    cost[np.arange(rows), cols + np.arange(rows)] = 0.0
-    price = np.zeros(cols + rows)
-    owner = np.full(cols + rows, -1)
-    held = np.full(rows, -1)
-    row_price = cost.min(axis=1)
-    for start in range(rows):
-        reach = np.full(cols + rows, np.inf)
-        via = np.full(cols + rows, -1)
-        done = np.zeros(cols + rows, bool)
-        row, so_far = start, 0.0
+    price: dict[int, int] = {}
+    owner: dict[int, int] = {}
+    held = [-1] * len(links)
+    costs = [[*((c, -w) for c, w in own), (cols + r, 0)] for r, own in enumerate(links)]
+    row_price = [min(w for _, w in own) for own in costs]
+    for start in range(len(links)):
+        reach: dict[int, int] = {}
+        via: dict[int, int] = {}
+        done: dict[int, int] = {}
+        heap: list[tuple[int, int]] = []
+        row, so_far = start, 0
         while True:
-            step = so_far + cost[row] - row_price[row] - price
-            closer = ~done & (step < reach)
-            reach[closer], via[closer] = step[closer], row
-            nearest = int(np.argmin(np.where(done, np.inf, reach)))
-            so_far = reach[nearest]
-            done[nearest] = True
-            if owner[nearest] < 0:
+            base = so_far - row_price[row]
+            for col, cost in costs[row]:
+                step = base + cost - price.get(col, 0)
+                if col not in done and step < reach.get(col, step + 1):
+                    reach[col], via[col] = step, row
+                    heapq.heappush(heap, (step, col))
+            so_far, nearest = heapq.heappop(heap)
+            while nearest in done:
+                so_far, nearest = heapq.heappop(heap)
+            done[nearest] = so_far
+            if nearest not in owner:
                 break
             row = owner[nearest]
-        reached = np.flatnonzero(done)
-        slack = so_far - reach[reached]
-        price[reached] -= slack
         row_price[start] += so_far
-        owned = owner[reached]
-        row_price[owned[owned >= 0]] += slack[owned >= 0]
+        for col, at in done.items():
+            price[col] = price.get(col, 0) - (so_far - at)
+            if col in owner:
+                row_price[owner[col]] += so_far - at
         col = nearest
-        while col >= 0:
+        while True:
             row = via[col]
             owner[col], held[row], col = row, col, held[row]
             if row == start:
                 break
-    return np.where(held < cols, held, -1)
-
-
-#: Resolution of the bids: totals are exact for gains rounded to this grid.
-_GRID = 2**31
-
-
-def bid(pairs: DataFrame) -> DataFrame:
-    """The same matching by auction rounds over the whole table.
-
-    Bidders and items are both copies of all instances, joined by the pairs,
-    their mirror image, and one free link per instance; a perfect matching of
-    the doubled graph carries the best matching twice.  With gains scaled by
-    more than the number of bidders and a final increment of one the result is
-    optimal (Bertsekas, auction algorithm with scaling).  Rows of a bidder or
-    item are only ever aggregated, never collected.
-    """
-    g, p = F.col("gt_id") * 2, F.col("pred_id") * 2 + 1
-    gain = F.round(F.col("iou") * _GRID).cast("long").alias("gain")
-    links = union_all(
-        pairs.select("vol_id", g.alias("bidder"), p.alias("item"), gain),
-        pairs.select("vol_id", p.alias("bidder"), g.alias("item"), gain),
-    ).select("vol_id", "bidder", "item", "gain")
-    free = links.select("vol_id", "bidder").distinct().select(
-        "vol_id", "bidder", F.col("bidder").alias("item"), F.lit(0).cast("long").alias("gain")
-    )
-    count = free.groupBy("vol_id").count().agg(F.max("count")).first()[0]
-    scale = int(count) + 1
-    links = store(links.unionByName(free).withColumn("gain", F.col("gain") * scale), "links")
-    prices = store(free.select("vol_id", "item", F.lit(0).cast("long").alias("price")), "prices")
-    step = max(1, _GRID * scale // 4)
-    while True:
-        held, prices = _auction(links, prices, step)
-        if step == 1:
-            break
-        step = max(1, step // 5)
-    # The two halves of the doubled matching have equal total; read the one
-    # in which true instances bid.
-    taken = held.filter("bidder % 2 = 0 and item % 2 = 1").select(
-        "vol_id",
-        F.shiftright("bidder", 1).alias("gt_id"),
-        F.shiftright("item", 1).alias("pred_id"),
-    )
-    return store(pairs.join(taken, ["vol_id", "gt_id", "pred_id"]).select("vol_id", "gt_id", "pred_id", "iou"), "matched")
-
-
-def _auction(links: DataFrame, prices: DataFrame, step: int) -> tuple[DataFrame, DataFrame]:
-    """One scaling phase: bid until every bidder holds an item."""
-    held = links.select("vol_id", "item", "bidder").limit(0)
-    bidders = links.select("vol_id", "bidder").distinct()
-    while True:
-        idle = bidders.join(held, ["vol_id", "bidder"], "left_anti")
-        offers = links.join(idle, ["vol_id", "bidder"], "left_semi").join(prices, ["vol_id", "item"])
-        offers = offers.withColumn("value", F.col("gain") - F.col("price"))
-        top = offers.groupBy("vol_id", "bidder").agg(F.max(F.struct("value", "item", "price")).alias("t"))
-        others = offers.join(top, ["vol_id", "bidder"]).filter("item <> t.item")
-        second = others.groupBy("vol_id", "bidder").agg(F.max("value").alias("second"))
-        margin = F.coalesce(F.col("t.value") - F.col("second"), F.lit(0)) + step
-        bids = top.join(second, ["vol_id", "bidder"], "left").select(
-            "vol_id", "bidder", "t.item", (F.col("t.price") + margin).alias("bid")
-        )
-        won = bids.groupBy("vol_id", "item").agg(F.max(F.struct("bid", "bidder")).alias("w"))
-        won = store(won.select("vol_id", "item", F.col("w.bidder").alias("bidder"), F.col("w.bid").alias("bid")), "won")
-        if won.isEmpty():
-            return held, prices
-        held = store(
-            held.join(won, ["vol_id", "item"], "left_anti").unionByName(won.select("vol_id", "item", "bidder")), "held"
-        )
-        prices = store(
-            prices.join(won, ["vol_id", "item"], "left").select(
-                "vol_id", "item", F.coalesce("bid", "price").alias("price")
-            ),
-            "prices",
-        )
+    return np.array([c if c < cols else -1 for c in held], dtype=np.int64)

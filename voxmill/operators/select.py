@@ -148,12 +148,13 @@ def _first_failing(rules, names) -> Column:
     return reason
 
 
-def tallies(judged: DataFrame, kept: DataFrame, names: tuple[str, ...]) -> DataFrame:
+def tallies(judged: DataFrame, kept: DataFrame, names: tuple[str, ...], volumes: DataFrame | None = None) -> DataFrame:
     """``(vol_id, reason, n)`` with zeros, plus counts around the suppression.
 
-    ``rejected_nms`` is the number of candidates that were not kept.
+    ``rejected_nms`` is the number of candidates that were not kept.  Volumes without
+    any component only have rows if ``volumes`` (a catalog) lists them.
     """
-    listed = judged.select("vol_id").distinct().withColumn(
+    listed = (judged if volumes is None else volumes).select("vol_id").distinct().withColumn(
         "reason", F.explode(F.array(*[F.lit(n) for n in (*names, "candidate", "keep", "rejected_nms")]))
     )
     seen = judged.groupBy("vol_id", "reason").agg(F.count(F.lit(1)).alias("n"))

@@ -70,7 +70,8 @@ class MarkerRules:
     center_dark_max: float = 205.0
     min_ring_contrast: float = -2.0
     nms_min_dist: float = 7.0
-    max_markers: int = 420
+    #: Most markers per volume, 0 for all; 420 reproduces the published crops.
+    max_markers: int = 0
 
 
 @dataclass(frozen=True)
@@ -131,13 +132,3 @@ PRESETS = {
         scoring=Scoring(min_gt_area=20, ignore_gt_border=True, thresholds=(0.50,)),
     ),
 }
-
-# The crop boxes (crop_id, x, y, z, size) of the published comparison.
-PUBLISHED_CROPS = (
-    ("crop02", 600, 800, 300, 200),
-    ("crop03", 900, 600, 300, 200),
-    ("crop04", 500, 500, 700, 200),
-    ("crop05", 800, 900, 700, 200),
-    ("crop06", 350, 650, 500, 200),
-    ("crop07", 700, 400, 500, 200),
-)

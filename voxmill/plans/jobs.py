@@ -23,6 +23,16 @@ class Segmentation:
     marker_report: DataFrame | None = None
 
 
+@dataclass(frozen=True)
+class Evaluation:
+    """Tables of the detailed evaluation."""
+
+    best_per_true: DataFrame
+    best_per_prediction: DataFrame
+    summary: DataFrame
+    object_recall: DataFrame
+
+
 def foreground(gray: DataFrame, catalog: DataFrame, params: Flood, value: str = "gray") -> DataFrame:
     mask = R.from_voxels(intensity.foreground_mask(gray, params.threshold_offset, value))
     mask = morphology.close(mask, catalog, params.close_radius)
@@ -78,4 +88,20 @@ def score(gt: DataFrame, pred: DataFrame, catalog: DataFrame, preset: str | Pres
     """Threshold metrics of predicted labels against true ones, all volumes at once."""
     p = PRESETS[preset] if isinstance(preset, str) else preset
     table = store(evaluate.contingency(evaluate.align(gt, pred), catalog), "contingency")
-    return evaluate.threshold_metrics(table, p.scoring)
+    return evaluate.threshold_metrics(table, p.scoring, volumes=catalog)
+
+
+def detailed(
+    gt: DataFrame, pred: DataFrame, catalog: DataFrame, preset: str | Preset = "production", markers: DataFrame | None = None
+) -> Evaluation:
+    """Best pairs, summary and recall of every listed volume; markers ``(…, label)`` are optional."""
+    p = PRESETS[preset] if isinstance(preset, str) else preset
+    both = evaluate.align(gt, pred)
+    table = store(evaluate.contingency(both, catalog), "contingency")
+    voxels = None
+    if markers is not None:
+        voxels = evaluate.align(gt, markers).withColumnRenamed("pred_id", "marker_id")
+    best = store(evaluate.best_per_true(table, p.detail), "best")
+    return Evaluation(
+        best, evaluate.best_per_prediction(table, p.detail),
+        evaluate.summary(table, voxels, p.detail, catalog), evaluate.object_recall(best, p.detail, catalog))

@@ -325,7 +325,9 @@ def _greedy(name: str, judged: str, order: str, min_dist: float, cap: int) -> st
 _cte("seedkept", ("seedjudged",), _greedy(
     "seedkept", "seedjudged", "internal_overlap DESC, ring_contrast DESC, area, component", _P.seeds.nms_min_dist, 0))
 _cte("corekept", ("corejudged",), _greedy(
-    "corekept", "corejudged", "score DESC, area, elongation, component", _P.markers.nms_min_dist, 10))
+    "corekept", "corejudged", "score DESC, area, elongation, component", _P.markers.nms_min_dist, 0))
+# The same with the cap of the registered c4: the first ten of each volume.
+_cte("corecapped", ("corekept",), "corecapped AS (SELECT * FROM corekept WHERE new_label <= 10)")
 
 
 def _tallies(judged: str, kept: str, names: tuple[str, ...]) -> str:
@@ -378,9 +380,9 @@ _cte("metrics", ("strict", "strictpreds", "strictpairs"), """metrics AS MATERIAL
     CASE WHEN p + r > 0 THEN 2*p*r/(p+r) ELSE 0 END AS f1,
     CASE WHEN gt_valid > 0 THEN pred_eval/gt_valid::DOUBLE ELSE 0 END AS overseg_ratio_pred_eval_gt
   FROM (SELECT *, CASE WHEN pred_eval > 0 THEN tp/pred_eval::DOUBLE ELSE 0 END AS p, CASE WHEN gt_valid > 0 THEN tp/gt_valid::DOUBLE ELSE 0 END AS r
-    FROM (SELECT a.vol_id, t.threshold, CAST(COALESCE(gt_valid, 0) AS BIGINT) AS gt_valid, COALESCE(pred_total, 0) AS pred_total,
+    FROM (SELECT COALESCE(a.vol_id, b.vol_id) AS vol_id, t.threshold, CAST(COALESCE(gt_valid, 0) AS BIGINT) AS gt_valid, COALESCE(pred_total, 0) AS pred_total,
             CAST(COALESCE(pred_eval, 0) AS BIGINT) AS pred_eval,
-            (SELECT count(*) FROM strictpairs s WHERE s.vol_id = a.vol_id AND s.iou >= t.threshold) AS tp
+            (SELECT count(*) FROM strictpairs s WHERE s.vol_id = COALESCE(a.vol_id, b.vol_id) AND s.iou >= t.threshold) AS tp
       FROM (SELECT vol_id, sum(CASE WHEN valid THEN 1 ELSE 0 END) AS gt_valid FROM strict GROUP BY vol_id) a
       FULL JOIN (SELECT vol_id, count(*) AS pred_total, sum(CASE WHEN evaluable THEN 1 ELSE 0 END) AS pred_eval FROM strictpreds GROUP BY vol_id) b
         ON a.vol_id = b.vol_id
@@ -503,17 +505,20 @@ _cte("optimum", ("loosepairs", "loose"), """knot(vol_id, gt_id, root) USING KEY
     JOIN loosepairs p ON p.vol_id=e.vol_id AND p.gt_id=e.gt_id JOIN loosepairs q ON q.vol_id=p.vol_id AND q.pred_id=p.pred_id
     JOIN recurring.knot d ON d.vol_id=q.vol_id AND d.gt_id=q.gt_id WHERE e.root < d.root GROUP BY d.vol_id, d.gt_id),
 turn AS MATERIALIZED (SELECT vol_id, gt_id, root, row_number() OVER (PARTITION BY vol_id, root ORDER BY gt_id) AS rn FROM knot),
-options AS MATERIALIZED (SELECT vol_id, root, rn, pred_id, iou FROM turn JOIN loosepairs USING (vol_id, gt_id)
-  UNION ALL SELECT vol_id, root, rn, NULL, 0 FROM turn),
+options AS MATERIALIZED (SELECT vol_id, root, rn, gt_id, pred_id, iou, CAST(floor(iou * 1152921504606846976.0::DOUBLE) AS HUGEINT) * 1152921504606846976::HUGEINT
+    + CAST('0x' || substr(md5(CAST(gt_id AS VARCHAR) || ':' || CAST(pred_id AS VARCHAR)), 1, 10) AS BIGINT) + 1 AS weight FROM turn JOIN loosepairs USING (vol_id, gt_id)
+  UNION ALL SELECT vol_id, root, rn, gt_id, NULL, 0, 0 FROM turn),
 ways AS (
-  SELECT DISTINCT vol_id, root, CAST(0 AS BIGINT) AS rn, CAST([] AS BIGINT[]) AS used, CAST(0 AS DOUBLE) AS total, CAST([] AS DOUBLE[]) AS ious FROM turn
+  SELECT DISTINCT vol_id, root, CAST(0 AS BIGINT) AS rn, CAST([] AS BIGINT[]) AS used, CAST(0 AS HUGEINT) AS total, CAST([] AS DOUBLE[]) AS ious,
+    CAST([] AS STRUCT(g BIGINT, p BIGINT, iou DOUBLE)[]) AS picks FROM turn
   UNION ALL
-  SELECT vol_id, root, rn, used, max(total), arg_max(ious, total) FROM (
+  SELECT vol_id, root, rn, used, max(total), arg_max(ious, total), arg_max(picks, total) FROM (
     SELECT w.vol_id, w.root, o.rn, CASE WHEN o.pred_id IS NULL THEN w.used ELSE list_sort(list_append(w.used, CAST(o.pred_id AS BIGINT))) END AS used,
-      w.total + o.iou AS total, CASE WHEN o.pred_id IS NULL THEN w.ious ELSE list_append(w.ious, o.iou) END AS ious
+      w.total + o.weight AS total, CASE WHEN o.pred_id IS NULL THEN w.ious ELSE list_append(w.ious, o.iou) END AS ious,
+      CASE WHEN o.pred_id IS NULL THEN w.picks ELSE list_append(w.picks, {'g': CAST(o.gt_id AS BIGINT), 'p': CAST(o.pred_id AS BIGINT), 'iou': o.iou}) END AS picks
     FROM ways w JOIN options o ON o.vol_id=w.vol_id AND o.root=w.root AND o.rn=w.rn+1
     WHERE o.pred_id IS NULL OR NOT list_contains(w.used, CAST(o.pred_id AS BIGINT))) GROUP BY vol_id, root, rn, used),
-optimum AS MATERIALIZED (SELECT w.vol_id, w.root, arg_max(ious, total) AS ious FROM ways w
+optimum AS MATERIALIZED (SELECT w.vol_id, w.root, arg_max(ious, total) AS ious, arg_max(picks, total) AS picks FROM ways w
   JOIN (SELECT vol_id, root, max(rn) AS rn FROM turn GROUP BY vol_id, root) l ON l.vol_id=w.vol_id AND l.root=w.root AND l.rn=w.rn
   GROUP BY w.vol_id, w.root)""")
 
@@ -534,6 +539,38 @@ FROM (SELECT *, CASE WHEN pred_eval > 0 THEN tp/pred_eval::DOUBLE ELSE 0 END AS
     LEFT JOIN (SELECT vol_id, CAST(sum(len(list_filter(ious, lambda v: v >= 0.5))) AS BIGINT) AS tp FROM optimum GROUP BY vol_id) USING (vol_id)))"""
 
 
+def _holed(query: str, keys: str, zeros: tuple[str, ...]) -> str:
+    """A score over volumes of which some hold no truth, or no label at all; all are listed.
+
+    ``keys`` is a relation of the rows that must be there.
+    """
+    import re
+
+    head, body = query.removeprefix("WITH RECURSIVE ").split("\nSELECT ", 1)
+    parts = re.split(r"(?=\bvoxels AS MATERIALIZED \()", head, maxsplit=1)
+    end = _definition_end(parts[1])
+    rest = re.sub(r"\bvoxels\b", "holed", parts[1][end:])
+    holed = """,
+holed AS MATERIALIZED (SELECT * REPLACE (CASE WHEN vol_id % 3 < 2 THEN 0 ELSE gt_id END AS gt_id,
+  CASE WHEN vol_id % 3 = 0 THEN 0 ELSE pred_id END AS pred_id, CASE WHEN vol_id % 3 = 0 THEN 0 ELSE marker_id END AS marker_id) FROM voxels)"""
+    score = "SELECT " + re.sub(r"\bvoxels\b", "holed", body)
+    on = "USING (" + ", ".join(k.strip() for k in keys.split(",")) + ")"
+    listed = "(SELECT DISTINCT vol_id FROM voxels)" + (
+        " CROSS JOIN (VALUES " + ", ".join(f"({t}::DOUBLE)" for t in ((0.60, 0.75) if "fp" in zeros else (0.10, 0.25, 0.50))) + ") t(threshold)" if "threshold" in keys else "")
+    cells = ", ".join(f"COALESCE({z}, 0) AS {z}" for z in zeros)
+    return f"WITH RECURSIVE {parts[0]}{parts[1][:end]}{holed}{rest},\nscore AS ({score})\nSELECT {keys}, {cells} FROM (SELECT * FROM {listed}) LEFT JOIN score {on}"
+
+
+def _definition_end(text: str) -> int:
+    """Position behind the bracket that closes the first definition."""
+    depth = 0
+    for k, c in enumerate(text):
+        depth += (c == "(") - (c == ")")
+        if c == ")" and depth == 0:
+            return k + 1
+    raise ValueError("unbalanced definition")
+
+
 ORACLES: dict[str, str] = {
     "s1_volume_scan": _sql(("voxels",), _digest("voxels", "gray")),
     "s1_slice_scan": _sql(("voxels",), _digest("(SELECT vol_id, 0 AS z, y, x, max(gray) AS gray FROM voxels GROUP BY vol_id, y, x)", "gray")),
@@ -619,7 +656,8 @@ FROM points LEFT JOIN grainnear USING (vol_id, component)"""),
     "c1_seed_cascade_default": _sql(("seedjudged_default",), "SELECT vol_id, component, reason FROM seedjudged_default"),
     "c2_marker_cascade": _sql(("corejudged",), "SELECT vol_id, component, reason FROM corejudged"),
     "c3_seed_suppression": _sql(("seedkept",), "SELECT vol_id, component, new_label FROM seedkept"),
-    "c4_marker_suppression": _sql(("corekept",), "SELECT vol_id, component, new_label FROM corekept"),
+    "c4_marker_suppression": _sql(("corecapped",), "SELECT vol_id, component, new_label FROM corecapped"),
+    "c4_marker_suppression_all": _sql(("corekept",), "SELECT vol_id, component, new_label FROM corekept"),
     "c5_seed_tallies": _sql(("seedjudged", "seedkept"), _tallies("seedjudged", "seedkept", params.REJECT_SEED)),
     "c5_marker_tallies": _sql(("corejudged", "corekept"), _tallies("corejudged", "corekept", params.REJECT_MARKER)),
     "c6_seed_report": _sql(("seedjudged", "seedkept"), """SELECT j.vol_id, j.component AS seed_component, COALESCE(new_label, 0) AS new_label,
@@ -651,7 +689,7 @@ FROM corejudged JOIN corekept USING (vol_id, component)"""),
 WHERE s.valid OR vol_id NOT IN (SELECT vol_id FROM strict WHERE valid)"""),
     "e5_pair_iou_dice": _sql(("pairs",), "SELECT vol_id, gt_id, pred_id, round(iou, 9) AS iou, round(dice, 9) AS dice FROM pairs"),
     "e6_evaluable_predictions": _sql(("strictpreds",), "SELECT * FROM strictpreds"),
-    "e7_matched_pairs": _sql(("loosepairs",), "SELECT vol_id, CAST(gt_id AS BIGINT) AS gt_id, CAST(pred_id AS BIGINT) AS pred_id, round(iou, 9) AS iou FROM loosepairs WHERE iou >= 0.6"),
+    "e7_matched_pairs": _sql(("optimum",), "SELECT vol_id, e.g AS gt_id, e.p AS pred_id, round(e.iou, 9) AS iou FROM (SELECT vol_id, unnest(picks) AS e FROM optimum)"),
     "e7_optimal_matching": _sql(("optimum",), """SELECT vol_id, CAST(sum(len(ious)) AS BIGINT) AS pairs, round(sum(list_sum(ious)), 6) AS total_iou
 FROM optimum WHERE len(ious) > 0 GROUP BY vol_id"""),
     "e8_threshold_metrics": _sql(("metrics",), """SELECT * REPLACE (round(precision, 9) AS precision, round(recall, 9) AS recall, round(f1, 9) AS f1,
@@ -687,9 +725,9 @@ FROM (SELECT vol_id, threshold, CASE WHEN pred_id IS NOT NULL AND iou >= thresho
   round(avg(gt_id), 9) AS mean, count(DISTINCT gt_id) FILTER (gt_id > 0) AS labels FROM voxels GROUP BY vol_id"""),
     "e18_component_qc": _sql(("markc",), """SELECT vol_id, count(*) AS components, min(area) AS area_min, round(avg(area), 9) AS area_mean, max(area) AS area_max
 FROM (SELECT vol_id, component, count(*) AS area FROM markc GROUP BY vol_id, component) GROUP BY vol_id"""),
-    "x1_crop_summary": _sql(("metrics",), _crop_row(
-        "(SELECT *, pred_total AS pred_labels FROM metrics WHERE threshold = 0.60)",
-        "concat('scan_0', vol_id % 2) AS scan, concat('crop', vol_id) AS crop_id, 'refined_ws' AS method")),
+    "x1_crop_summary": """SELECT concat('scan_0', vol_id % 2) AS scan, concat('crop', vol_id) AS crop_id, 'refined_ws' AS method, gt_valid, pred_total AS pred_labels,
+  pred_eval, pred_ignored_border AS pred_ignored, precision AS precision050, recall AS recall050, f1 AS f1050, fp AS fp050, fn AS fn050,
+  overseg_ratio_pred_eval_gt AS overseg_ratio FROM (""" + _published() + ")",
     "x2_scan_union": _sql(("results",), "SELECT * FROM results"),
     "x3_grouped_stats": _sql(("stats",), """SELECT "group", method, metric, round(mean, 9) AS mean, round(median, 9) AS median, round(min, 9) AS min,
   round(max, 9) AS max, round(std, 9) AS std FROM stats"""),
@@ -705,3 +743,16 @@ UNION ALL SELECT "group", method, metric, CAST(CAST(mean AS BIGINT) AS VARCHAR),
         "(SELECT *, k // 3 AS v FROM km)",
         "concat('scan_0', v % 2) AS scan, concat('crop', v) AS crop_id, CASE k % 3 WHEN 0 THEN 'mintree_ws' WHEN 1 THEN 'otsu_ws' ELSE 'refined_ws' END AS method")),
 }
+
+_METRIC_COLUMNS = ("gt_valid", "pred_total", "pred_eval", "pred_ignored_border", "tp", "fp", "fn", "precision", "recall", "f1", "overseg_ratio_pred_eval_gt")
+_OVERLAP_COLUMNS = ("foreground_gt_voxels", "foreground_pred_voxels", "foreground_intersection", "foreground_iou", "foreground_dice",
+                    "foreground_precision", "foreground_recall")
+ORACLES |= {
+    "e8_threshold_metrics_holed": _holed(ORACLES["e8_threshold_metrics"], "vol_id, threshold", _METRIC_COLUMNS),
+    "e10_foreground_overlap_holed": _holed(ORACLES["e10_foreground_overlap"].replace(
+        "(foreground_gt_voxels+foreground_pred_voxels-foreground_intersection)::DOUBLE", "nullif(foreground_gt_voxels+foreground_pred_voxels-foreground_intersection, 0)::DOUBLE").replace(
+        "(foreground_gt_voxels+foreground_pred_voxels)::DOUBLE", "nullif(foreground_gt_voxels+foreground_pred_voxels, 0)::DOUBLE"), "vol_id", _OVERLAP_COLUMNS),
+    "e14_marker_voxel_tallies_holed": _holed(
+        ORACLES["e14_marker_voxel_tallies"], "vol_id", ("marker_components", "marker_voxels_on_gt", "marker_voxels_on_background")),
+    "e16_object_recall_holed": _holed(ORACLES["e16_object_recall"], "vol_id, threshold", ("gt_object_recall", "gt_matched_count")),
+}

@@ -448,7 +448,7 @@ def _kept_seeds(judged, rules=_PRODUCTION.seeds):
     return store(select.suppress_seeds(judged.filter("reason = 'candidate'"), rules.nms_min_dist), "kept")
 
 
-def _kept_markers(judged, rules=_MARKERS, cap=10):
+def _kept_markers(judged, rules=_MARKERS, cap=0):
     return store(select.suppress_markers(judged.filter("reason = 'candidate'"), rules.nms_min_dist, cap), "kept")
 
 
@@ -469,6 +469,11 @@ def seed_suppression(s, d):
 
 
 def marker_suppression(s, d):
+    """With the cap per volume, which is a feature of this operator."""
+    return _kept_markers(_judged_markers(s, d)[1], cap=10).select("vol_id", "component", "new_label")
+
+
+def marker_suppression_all(s, d):
     return _kept_markers(_judged_markers(s, d)[1]).select("vol_id", "component", "new_label")
 
 
@@ -545,9 +550,8 @@ def evaluable_predictions(s, d):
 
 
 def matched_pairs(s, d):
-    """Optimal matching, kept above 0.6 where every optimum agrees."""
-    matched = evaluate.matching(_table(s, d), _LOOSE).filter("iou >= 0.6")
-    return _rounded(matched, "iou")
+    """Optimal matching: every chosen pair."""
+    return _rounded(evaluate.matching(_table(s, d), _LOOSE), "iou")
 
 
 def optimal_matching(s, d):
@@ -576,7 +580,7 @@ def match_table(s, d):
 
 def foreground_overlap(s, d):
     names = ("foreground_iou", "foreground_dice", "foreground_precision", "foreground_recall")
-    return _rounded(evaluate.foreground_overlap(_table(s, d)), *names)
+    return _rounded(evaluate.foreground_overlap(_table(s, d), _catalog(s, d)), *names)
 
 
 def best_per_truth(s, d):
@@ -592,11 +596,11 @@ def marker_dominant_truth(s, d):
 
 
 def marker_voxel_tallies(s, d):
-    return evaluate.marker_tallies(_voxels(s, d))
+    return evaluate.marker_tallies(_voxels(s, d), _catalog(s, d))
 
 
 def evaluation_summary(s, d):
-    return _rounded(evaluate.summary(_table(s, d), _voxels(s, d), _DETAIL), "value")
+    return _rounded(evaluate.summary(_table(s, d), _voxels(s, d), _DETAIL, _catalog(s, d)), "value")
 
 
 def object_recall(s, d):
@@ -604,6 +608,36 @@ def object_recall(s, d):
     return _rounded(recall, "gt_object_recall")
 
 
+def _holed(s, d) -> DataFrame:
+    """Volumes of which a third has no label and another third no truth."""
+    none, lost = F.col("vol_id") % 3 == 0, F.col("vol_id") % 3 < 2
+    return _voxels(s, d).withColumns({
+        "gt_id": F.when(lost, 0).otherwise(F.col("gt_id")), "pred_id": F.when(none, 0).otherwise(F.col("pred_id")),
+        "marker_id": F.when(none, 0).otherwise(F.col("marker_id"))})
+
+
+def _holed_table(s, d) -> DataFrame:
+    return store(evaluate.contingency(_holed(s, d), _catalog(s, d)), "contingency")
+
+
+def threshold_metrics_holed(s, d):
+    return _rounded(evaluate.threshold_metrics(_holed_table(s, d), _CHECKED, volumes=_catalog(s, d)), *_METRICS)
+
+
+def foreground_overlap_holed(s, d):
+    names = ("foreground_iou", "foreground_dice", "foreground_precision", "foreground_recall")
+    return _rounded(evaluate.foreground_overlap(_holed_table(s, d), _catalog(s, d)), *names)
+
+
+def marker_voxel_tallies_holed(s, d):
+    return evaluate.marker_tallies(_holed(s, d), _catalog(s, d))
+
+
+def object_recall_holed(s, d):
+    best = evaluate.best_per_true(_holed_table(s, d), _DETAIL)
+    return _rounded(evaluate.object_recall(best, _DETAIL, _catalog(s, d)), "gt_object_recall")
+
+
 def label_count(s, d):
     return _rounded(evaluate.label_count(_voxels(s, d), "gt_id"), "mean")
 
@@ -628,8 +662,8 @@ _SUMMARY = ("precision050", "recall050", "f1050", "overseg_ratio")
 
 def crop_summary(s, d):
     names = _crop_names(_catalog(s, d)).withColumn("method", F.lit("refined_ws"))
-    metrics = evaluate.threshold_metrics(_table(s, d), _CHECKED)
-    return _rounded(compare.crop_summary(metrics, names, 0.60), *_SUMMARY)
+    metrics = evaluate.threshold_metrics(_table(s, d), _FIXTURE.scoring, volumes=_catalog(s, d))
+    return _rounded(compare.crop_summary(metrics, names, 0.50), *_SUMMARY)
 
 
 def scan_union(s, d):
@@ -747,6 +781,7 @@ QUERIES = {
     "c2_marker_cascade": marker_cascade,
     "c3_seed_suppression": seed_suppression,
     "c4_marker_suppression": marker_suppression,
+    "c4_marker_suppression_all": marker_suppression_all,
     "c5_seed_tallies": seed_tallies,
     "c5_marker_tallies": marker_tallies,
     "c6_seed_report": seed_report,
@@ -764,15 +799,19 @@ QUERIES = {
     "e7_matched_pairs": matched_pairs,
     "e7_optimal_matching": optimal_matching,
     "e8_threshold_metrics": threshold_metrics,
+    "e8_threshold_metrics_holed": threshold_metrics_holed,
     "e8_threshold_metrics_published": threshold_metrics_published,
     "e9_match_table": match_table,
     "e10_foreground_overlap": foreground_overlap,
+    "e10_foreground_overlap_holed": foreground_overlap_holed,
     "e11_best_per_truth": best_per_truth,
     "e12_best_per_prediction": best_per_prediction,
     "e13_marker_dominant_truth": marker_dominant_truth,
     "e14_marker_voxel_tallies": marker_voxel_tallies,
+    "e14_marker_voxel_tallies_holed": marker_voxel_tallies_holed,
     "e15_evaluation_summary": evaluation_summary,
     "e16_object_recall": object_recall,
+    "e16_object_recall_holed": object_recall_holed,
     "e17_label_count": label_count,
     "e18_component_qc": component_qc,
     "x1_crop_summary": crop_summary,

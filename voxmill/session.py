@@ -2,31 +2,31 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
-from collections import OrderedDict
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Lookup sides up to this many rows are held as a local table.
-LOCAL_ROWS = 20_000
-#: Largest lookup side that is broadcast; beyond it the join is salted.
+#: Largest lookup side, in rows, that is broadcast.
 BROADCAST_ROWS = 500_000
-SALT = 16
-
-_held: OrderedDict[tuple, tuple[DataFrame, DataFrame | None]] = OrderedDict()
 
 
 def workspace(spark: SparkSession) -> str:
-    """Shared folder of this application, below ``spark.checkpoint.dir``."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = spark.sparkContext.getCheckpointDir()
+    """Shared folder of this application, below ``spark.checkpoint.dir``.
+
+    Where the setting is missing, a session on one machine gets a folder of its own;
+    on a cluster that is an error, because executors would not see each other's files.
+    """
+    context = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/{spark.sparkContext.applicationId}"
+        context.setCheckpointDir(base)
+    return f"{base.rstrip('/')}/{context.applicationId}"
 
 
 def store(df: DataFrame, tag: str) -> DataFrame:
@@ -38,7 +38,19 @@ def store(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{workspace(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete stored tables that nothing will read again, such as those of earlier rounds."""
+    for df in tables:
+        path = getattr(df, "_stored_at", None)
+        if path:
+            spark = df.sparkSession
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
@@ -46,39 +58,16 @@ def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     return df.select(F.lit(1)).limit(rows + 1).count() <= rows
 
 
-def _hold(small: DataFrame) -> DataFrame | None:
-    """``small`` as a local table, or None if it has more than ``LOCAL_ROWS`` rows.
-
-    Evaluates an aggregate such as per-volume thresholds once, where a size
-    check followed by the join would scan the volumes twice.  Recent results
-    are kept, so that a catalog is read once per application.
-    """
-    spark = small.sparkSession
-    key = (spark.sparkContext.applicationId, small.semanticHash(), tuple(small.columns))
-    if key not in _held or not _held[key][0].sameSemantics(small):
-        rows = small.limit(LOCAL_ROWS + 1).toArrow()
-        fits = rows.num_rows <= LOCAL_ROWS
-        _held[key] = small, spark.createDataFrame(rows, small.schema) if fits else None
-        while len(_held) > 64:
-            _held.popitem(last=False)
-    return _held[key][1]
-
-
 def lookup_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
     """Join ``big`` to a lookup side whose size is checked first.
 
-    A small side is broadcast.  A large one is joined by shuffle, each hot key
-    split over ``SALT`` tasks by a hash of the whole row of ``big``.
+    ``small`` is evaluated once, into a stored table whose files tell the number of rows.
+    Up to ``BROADCAST_ROWS`` it is broadcast; beyond, Spark joins by shuffle and splits
+    keys that turn out hot.
     """
-    held = _hold(small)
-    if held is not None:
-        return big.join(F.broadcast(held), on, how)
-    small = store(small, "lookup")
-    if is_small(small):
-        return big.join(F.broadcast(small), on, how)
-    salted = big.withColumn("_salt", F.pmod(F.xxhash64(*big.columns), F.lit(SALT)).cast("int"))
-    copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
-    return salted.join(copies, [*on, "_salt"], how).drop("_salt")
+    if not hasattr(small, "_stored_at"):
+        small = store(small, "lookup")
+    return big.join(F.broadcast(small) if small.count() <= BROADCAST_ROWS else small, on, how)
 
 
 def union_all(first: DataFrame, *rest: DataFrame) -> DataFrame:
