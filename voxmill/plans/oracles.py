@@ -487,6 +487,36 @@ _cte("dist", ("voxels",), _distance_sql())
 _cte("notfg", ("voxels", "fg"), "notfg AS MATERIALIZED (SELECT vol_id, z, y, x FROM voxels ANTI JOIN fg USING (vol_id, z, y, x))")
 _cte("outside", ("notfg", "steps1"), _reach("outside", "notfg"))
 
+
+
+def _flooded(name: str, markers: str) -> str:
+    """Labels of the spanning forest from the markers, over edges ranked by weight.
+
+    b is the smallest possible largest rank on a path to a marker.  A voxel hangs on the
+    edge of that rank, on the end whose own b is smaller, and so on to a marker.
+    """
+    return f"""{name}_n AS MATERIALIZED (SELECT vol_id, z, y, x, (z*24+y)*24+x AS p, d2 FROM dist WHERE d2 > 0),
+{name}_e AS MATERIALIZED (SELECT vol_id, lo, hi, row_number() OVER (PARTITION BY vol_id ORDER BY -least(da, db), -greatest(da, db), lo, hi) AS r FROM (
+  SELECT a.vol_id, a.p AS lo, b.p AS hi, a.d2 AS da, b.d2 AS db FROM (SELECT *, unnest([0, 0, 1]) AS dz, unnest([0, 1, 0]) AS dy, unnest([1, 0, 0]) AS dx FROM {name}_n) a
+  JOIN {name}_n b ON b.vol_id = a.vol_id AND b.z = a.z + a.dz AND b.y = a.y + a.dy AND b.x = a.x + a.dx)),
+{name}_s AS MATERIALIZED (SELECT vol_id, lo AS p, hi AS q, r FROM {name}_e UNION ALL SELECT vol_id, hi, lo, r FROM {name}_e),
+{name}_m AS MATERIALIZED (SELECT n.vol_id, p, component AS label FROM {markers} m JOIN {name}_n n USING (vol_id, z, y, x)),
+{name}_b(vol_id, p, r) USING KEY (vol_id, p) AS (
+  SELECT n.vol_id, n.p, CASE WHEN m.p IS NULL THEN 1000000000 ELSE 0 END FROM {name}_n n LEFT JOIN {name}_m m ON m.vol_id = n.vol_id AND m.p = n.p
+  UNION
+  SELECT s.vol_id, s.q, min(greatest(b.r, s.r)) FROM {name}_b b JOIN {name}_s s ON s.vol_id = b.vol_id AND s.p = b.p
+    JOIN recurring.{name}_b d ON d.vol_id = s.vol_id AND d.p = s.q WHERE greatest(b.r, s.r) < d.r GROUP BY s.vol_id, s.q),
+{name}_f AS MATERIALIZED (SELECT * FROM {name}_b),
+{name}_u AS MATERIALIZED (SELECT v.vol_id, v.p, CASE WHEN a.r < v.r THEN e.lo ELSE e.hi END AS w FROM {name}_f v
+  JOIN {name}_e e ON e.vol_id = v.vol_id AND e.r = v.r JOIN {name}_f a ON a.vol_id = e.vol_id AND a.p = e.lo WHERE v.r > 0),
+{name} AS (SELECT vol_id, p, CAST(label AS BIGINT) AS label FROM {name}_m
+  UNION ALL SELECT u.vol_id, u.p, l.label FROM {name} l JOIN {name}_u u ON u.vol_id = l.vol_id AND u.w = l.p)"""
+
+
+_cte("markgt", ("voxels",), "markgt AS MATERIALIZED (SELECT vol_id, z, y, x FROM voxels WHERE marker_id > 0 AND gt_id > 0)")
+_cte("markgtc", ("markgt", "steps1"), _components("markgtc", "markgt", "steps1"))
+_cte("flooded", ("dist", "markgtc"), _flooded("flooded", "markgtc"))
+
 # Voxels that no neighbour exceeds, thinned greedily by distance, then numbered.
 _cte("tops", ("dist", "steps3"), """higher AS MATERIALIZED (SELECT DISTINCT a.vol_id, a.z, a.y, a.x
   FROM (SELECT vol_id, z, y, x, d2, z+dz AS nz, y+dy AS ny, x+dx AS nx FROM dist CROSS JOIN steps3 WHERE d2 > 0) a
@@ -633,6 +663,7 @@ FROM dark d LEFT JOIN ext e USING (vol_id, z, y, x) GROUP BY vol_id, z, y"""),
   round(sum(sqrt(d2)), 6) AS sum_distance FROM dist WHERE d2 > 0 GROUP BY vol_id, z, y"""),
     "m12_marker_restriction": _sql(("insidec",), _component_rows("insidec")),
     "m13_forced_markers": _sql(("fg", "markgrown1"), _digest("(SELECT * FROM fg UNION SELECT * FROM markgrown1)")),
+    "m14_marker_flooding": _sql(("flooded",), "SELECT vol_id, label, count(*) AS voxels FROM flooded GROUP BY vol_id, label"),
     "m15_label_size_filter": _sql(("preds", "voxels"), _digest("""(SELECT v.vol_id, z, y, x, label FROM voxels v
   JOIN (SELECT vol_id, pred_id, row_number() OVER (PARTITION BY vol_id ORDER BY pred_id) AS label FROM preds WHERE pred_voxels >= 100) k
     ON k.vol_id=v.vol_id AND k.pred_id=v.pred_id)""", "label")),
@@ -756,3 +787,6 @@ ORACLES |= {
         ORACLES["e14_marker_voxel_tallies"], "vol_id", ("marker_components", "marker_voxels_on_gt", "marker_voxels_on_background")),
     "e16_object_recall_holed": _holed(ORACLES["e16_object_recall"], "vol_id, threshold", ("gt_object_recall", "gt_matched_count")),
 }
+# The same results from small tiles, merged across their faces.
+ORACLES |= {f"{n}_tiled": ORACLES[n] for n in (
+    "m8_external_internal", "m9_hole_filling", "m10_small_object_removal", "m12_marker_restriction", "m14_marker_flooding")}

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import uuid
 from dataclasses import replace
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -304,20 +305,20 @@ def border_voxels(s, d):
     return _digest(components.border_voxels(voxels, _catalog(s, d)), "gt_id")
 
 
-def external_internal(s, d):
-    split = _split(s, d)
+def external_internal(s, d, tile=components.TILE):
+    split = components.split_external(_dark(s, d), _catalog(s, d), 1, tile)
     return split.groupBy(*LINE).agg(
         F.sum(F.when(F.col("external"), R.length()).otherwise(0)).alias("external"),
         F.sum(F.when(F.col("external"), 0).otherwise(R.length())).alias("internal"),
     )
 
 
-def hole_filling(s, d):
-    return _run_digest(components.fill_holes(_foreground(s, d), _catalog(s, d)))
+def hole_filling(s, d, tile=components.TILE):
+    return _run_digest(components.fill_holes(_foreground(s, d), _catalog(s, d), tile))
 
 
-def small_object_removal(s, d):
-    return _run_digest(components.drop_small(_mask(s, d, "seed = 1"), 8))
+def small_object_removal(s, d, tile=components.TILE):
+    return _run_digest(components.drop_small(_mask(s, d, "seed = 1"), 8, tile))
 
 
 def distance_transform(s, d):
@@ -329,8 +330,8 @@ def distance_transform(s, d):
     return _rounded(sums, "sum_distance", digits=6)
 
 
-def marker_restriction(s, d):
-    inside = components.restrict_markers(_mask(s, d, "marker_id > 0"), _mask(s, d, "pred_id > 0"))
+def marker_restriction(s, d, tile=components.TILE):
+    inside = components.restrict_markers(_mask(s, d, "marker_id > 0"), _mask(s, d, "pred_id > 0"), tile)
     return _component_rows(inside)
 
 
@@ -339,10 +340,10 @@ def forced_markers(s, d):
     return _run_digest(grown)
 
 
-def marker_flooding(s, d):
+def marker_flooding(s, d, tile=64):
     mask = store(_mask(s, d, "gt_id > 0"), "mask")
     markers = components.restrict_markers(_mask(s, d, "marker_id > 0"), mask)
-    labels = flood(distance.distance_bricks(mask, _catalog(s, d)), markers)
+    labels = flood(distance.distance_bricks(mask, _catalog(s, d)), markers, tile)
     return labels.groupBy("vol_id", "label").agg(F.sum(R.length()).alias("voxels"))
 
 
@@ -824,3 +825,7 @@ QUERIES = {
     "p1_segmentation_job": segmentation_job,
     "p2_otsu_baseline_job": otsu_baseline_job,
 }
+#: Tiles smaller than the test volumes, so that results have to meet across faces.
+SMALL_TILE = 8
+QUERIES |= {f"{n}_tiled": partial(QUERIES[n], tile=SMALL_TILE) for n in (
+    "m8_external_internal", "m9_hole_filling", "m10_small_object_removal", "m12_marker_restriction", "m14_marker_flooding")}
