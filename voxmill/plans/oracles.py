@@ -475,27 +475,27 @@ FROM (SELECT *, CASE WHEN pred_eval > 0 THEN tp/pred_eval::DOUBLE ELSE 0 END AS
   {names} FROM {source})"""
 
 
-def _distance_sql() -> str:
-    """Squared distance by three one-axis minima over whole lines."""
-    return """allv AS MATERIALIZED (SELECT vol_id, z, y, x, CASE WHEN gt_id > 0 THEN 1000000 ELSE 0 END AS d FROM voxels),
-dx AS MATERIALIZED (SELECT a.vol_id, a.z, a.y, a.x, min(b.d + (a.x-b.x)*(a.x-b.x)) AS d FROM allv a JOIN allv b ON a.vol_id=b.vol_id AND a.z=b.z AND a.y=b.y GROUP BY ALL),
-dy AS MATERIALIZED (SELECT a.vol_id, a.z, a.y, a.x, min(b.d + (a.y-b.y)*(a.y-b.y)) AS d FROM dx a JOIN dx b ON a.vol_id=b.vol_id AND a.z=b.z AND a.x=b.x GROUP BY ALL),
-dist AS MATERIALIZED (SELECT a.vol_id, a.z, a.y, a.x, min(b.d + (a.z-b.z)*(a.z-b.z)) AS d2 FROM dy a JOIN dy b ON a.vol_id=b.vol_id AND a.y=b.y AND a.x=b.x GROUP BY ALL)"""
+def _distance_sql(name: str, inside: str) -> str:
+    """Squared distance to the outside of ``inside`` by three one-axis minima over whole lines."""
+    return f"""{name}_v AS MATERIALIZED (SELECT vol_id, z, y, x, CASE WHEN {inside} THEN 1000000 ELSE 0 END AS d FROM voxels),
+{name}_x AS MATERIALIZED (SELECT a.vol_id, a.z, a.y, a.x, min(b.d + (a.x-b.x)*(a.x-b.x)) AS d FROM {name}_v a JOIN {name}_v b ON a.vol_id=b.vol_id AND a.z=b.z AND a.y=b.y GROUP BY ALL),
+{name}_y AS MATERIALIZED (SELECT a.vol_id, a.z, a.y, a.x, min(b.d + (a.y-b.y)*(a.y-b.y)) AS d FROM {name}_x a JOIN {name}_x b ON a.vol_id=b.vol_id AND a.z=b.z AND a.x=b.x GROUP BY ALL),
+{name} AS MATERIALIZED (SELECT a.vol_id, a.z, a.y, a.x, min(b.d + (a.z-b.z)*(a.z-b.z)) AS d2 FROM {name}_y a JOIN {name}_y b ON a.vol_id=b.vol_id AND a.y=b.y AND a.x=b.x GROUP BY ALL)"""
 
 
-_cte("dist", ("voxels",), _distance_sql())
+_cte("dist", ("voxels",), _distance_sql("dist", "gt_id > 0"))
 _cte("notfg", ("voxels", "fg"), "notfg AS MATERIALIZED (SELECT vol_id, z, y, x FROM voxels ANTI JOIN fg USING (vol_id, z, y, x))")
 _cte("outside", ("notfg", "steps1"), _reach("outside", "notfg"))
 
 
 
-def _flooded(name: str, markers: str) -> str:
+def _flooded(name: str, markers: str, dist: str = "dist") -> str:
     """Labels of the spanning forest from the markers, over edges ranked by weight.
 
     b is the smallest possible largest rank on a path to a marker.  A voxel hangs on the
     edge of that rank, on the end whose own b is smaller, and so on to a marker.
     """
-    return f"""{name}_n AS MATERIALIZED (SELECT vol_id, z, y, x, (z*24+y)*24+x AS p, d2 FROM dist WHERE d2 > 0),
+    return f"""{name}_n AS MATERIALIZED (SELECT vol_id, z, y, x, (z*24+y)*24+x AS p, d2 FROM {dist} WHERE d2 > 0),
 {name}_e AS MATERIALIZED (SELECT vol_id, lo, hi, row_number() OVER (PARTITION BY vol_id ORDER BY -least(da, db), -greatest(da, db), lo, hi) AS r FROM (
   SELECT a.vol_id, a.p AS lo, b.p AS hi, a.d2 AS da, b.d2 AS db FROM (SELECT *, unnest([0, 0, 1]) AS dz, unnest([0, 1, 0]) AS dy, unnest([1, 0, 0]) AS dx FROM {name}_n) a
   JOIN {name}_n b ON b.vol_id = a.vol_id AND b.z = a.z + a.dz AND b.y = a.y + a.dy AND b.x = a.x + a.dx)),
@@ -518,13 +518,28 @@ _cte("markgtc", ("markgt", "steps1"), _components("markgtc", "markgt", "steps1")
 _cte("flooded", ("dist", "markgtc"), _flooded("flooded", "markgtc"))
 
 # Voxels that no neighbour exceeds, thinned greedily by distance, then numbered.
-_cte("tops", ("dist", "steps3"), """higher AS MATERIALIZED (SELECT DISTINCT a.vol_id, a.z, a.y, a.x
-  FROM (SELECT vol_id, z, y, x, d2, z+dz AS nz, y+dy AS ny, x+dx AS nx FROM dist CROSS JOIN steps3 WHERE d2 > 0) a
-  JOIN dist b ON b.vol_id=a.vol_id AND b.z=a.nz AND b.y=a.ny AND b.x=a.nx WHERE b.d2 > a.d2),
-tops AS MATERIALIZED (SELECT vol_id, CAST(z AS INT) AS cz, CAST(y AS INT) AS cy, CAST(x AS INT) AS cx, d2, (z*24+y)*24+x AS component, 'candidate' AS reason
-  FROM dist ANTI JOIN higher USING (vol_id, z, y, x) WHERE d2 > 0)""")
+def _tops(name: str, dist: str) -> str:
+    return f"""{name}_h AS MATERIALIZED (SELECT DISTINCT a.vol_id, a.z, a.y, a.x
+  FROM (SELECT vol_id, z, y, x, d2, z+dz AS nz, y+dy AS ny, x+dx AS nx FROM {dist} CROSS JOIN steps3 WHERE d2 > 0) a
+  JOIN {dist} b ON b.vol_id=a.vol_id AND b.z=a.nz AND b.y=a.ny AND b.x=a.nx WHERE b.d2 > a.d2),
+{name} AS MATERIALIZED (SELECT vol_id, CAST(z AS INT) AS cz, CAST(y AS INT) AS cy, CAST(x AS INT) AS cx, d2, (z*24+y)*24+x AS component, 'candidate' AS reason
+  FROM {dist} ANTI JOIN {name}_h USING (vol_id, z, y, x) WHERE d2 > 0)"""
+
+
+_cte("tops", ("dist", "steps3"), _tops("tops", "dist"))
 _cte("peaks", ("tops",), _greedy("peaks", "tops", "d2 DESC, component", float(_P.peak_min_distance), 0))
 
+# The threshold baseline: threshold, close, distance, peaks, flood.
+_FX = params.PRESETS["fixture"]
+_cte("fggrown", ("fg", "axis"), _dilated("fggrown", "fg", _FX.flood.close_radius))
+_cte("fgclosed", ("fggrown",), _eroded("fgclosed", "fggrown", _FX.flood.close_radius))
+_cte("fgdist", ("voxels", "fgclosed"), _distance_sql("fgdist", "(vol_id, z, y, x) IN (SELECT vol_id, z, y, x FROM fgclosed)"))
+_cte("fgtops", ("fgdist", "steps3"), _tops("fgtops", "fgdist"))
+_cte("fgpeaks", ("fgtops",), _greedy("fgpeaks", "fgtops", "d2 DESC, component", float(_FX.peak_min_distance), 0))
+_cte("fgmarks", ("fgtops", "fgpeaks"), """fgmarks AS MATERIALIZED (SELECT vol_id, cz AS z, cy AS y, cx AS x, row_number() OVER (PARTITION BY vol_id ORDER BY component) AS component
+  FROM fgtops JOIN fgpeaks USING (vol_id, component))""")
+_cte("fgflooded", ("fgdist", "fgmarks"), _flooded("fgflooded", "fgmarks", "fgdist"))
+
 # Optimal matching by exhaustion: within each knot of the overlap graph, true
 # instances are placed one after another; of all ways that use the same
 # predictions only the best total goes on.
@@ -790,3 +805,4 @@ ORACLES |= {
 # The same results from small tiles, merged across their faces.
 ORACLES |= {f"{n}_tiled": ORACLES[n] for n in (
     "m8_external_internal", "m9_hole_filling", "m10_small_object_removal", "m12_marker_restriction", "m14_marker_flooding")}
+ORACLES["p2_otsu_baseline_job"] = _sql(("fgflooded",), "SELECT vol_id, label, count(*) AS voxels FROM fgflooded GROUP BY vol_id, label")
