@@ -295,13 +295,17 @@ _cte("seedjudged_default", ("seedsampled", "seedshares", "seedpoints", "internal
 # The marker rules the marker queries use (tightened so that every rule fires).
 _M = {"area_min": 1, "area_max": 900, "max_dim": 30, "max_elongation": 3.0, "min_fill": 0.005,
       "center": 150.0, "contrast": -2.0}
-_cte("corejudged", ("coresampled",), f"""corejudged AS MATERIALIZED (SELECT *,
-  concat('', CASE WHEN area < {_M['area_min']} OR area > {_M['area_max']} THEN 'area'
-       WHEN greatest(dz, dy, dx) > {_M['max_dim']} OR elongation > {_M['max_elongation']} OR fill < {_M['min_fill']} THEN 'shape'
-       WHEN center_mean > {_M['center']} THEN 'center'
-       WHEN ring_contrast < {_M['contrast']} THEN 'contrast' ELSE 'candidate' END) AS reason
+def _core_judged(m: dict) -> str:
+    return f"""corejudged AS MATERIALIZED (SELECT *,
+  concat('', CASE WHEN area < {m['area_min']} OR area > {m['area_max']} THEN 'area'
+       WHEN greatest(dz, dy, dx) > {m['max_dim']} OR elongation > {m['max_elongation']} OR fill < {m['min_fill']} THEN 'shape'
+       WHEN center_mean > {m['center']} THEN 'center'
+       WHEN ring_contrast < {m['contrast']} THEN 'contrast' ELSE 'candidate' END) AS reason
   FROM (SELECT *, greatest(dz, dy, dx)/greatest(1, least(dz, dy, dx))::DOUBLE AS elongation, area/(dz*dy*dx)::DOUBLE AS fill
-    FROM (SELECT *, z1-z0+1 AS dz, y1-y0+1 AS dy, x1-x0+1 AS dx FROM coresampled)))""")
+    FROM (SELECT *, z1-z0+1 AS dz, y1-y0+1 AS dy, x1-x0+1 AS dx FROM coresampled)))"""
+
+
+_cte("corejudged", ("coresampled",), _core_judged(_M))
 
 
 def _greedy(name: str, judged: str, order: str, min_dist: float, cap: int) -> str:
@@ -540,6 +544,33 @@ _cte("fgmarks", ("fgtops", "fgpeaks"), """fgmarks AS MATERIALIZED (SELECT vol_id
   FROM fgtops JOIN fgpeaks USING (vol_id, component))""")
 _cte("fgflooded", ("fgdist", "fgmarks"), _flooded("fgflooded", "fgmarks", "fgdist"))
 
+
+def _segmentation() -> str:
+    """The whole job: flatten, find and judge dark cores on the flat gray, flood the original gray from them."""
+    import re
+
+    rules = _FX.markers
+    limits = {"area_min": rules.area_min, "area_max": rules.area_max, "max_dim": rules.max_dim, "max_elongation": rules.max_elongation,
+              "min_fill": rules.min_fill, "center": rules.center_dark_max, "contrast": rules.min_ring_contrast}
+    chain = ("otsu", "limits", "dark", "ext", "internal", "cores", "corepoints", "coresampled")
+    inner = re.compile(r"\b(" + "|".join((*chain, "cores_cc", "corejudged", "voxels")) + r")\b")
+    flat = lambda text: inner.sub(lambda m: "flatvox" if m[0] == "voxels" else "p_" + m[0], text)
+    parts = [_sql(("flat", "steps1", "fgclosed"), "").rstrip(),
+             "flatvox AS MATERIALIZED (SELECT o.* REPLACE (f.v AS gray) FROM voxels o JOIN flat f USING (vol_id, z, y, x))",
+             *(flat(_CTES[n][1]) for n in chain), flat(_core_judged(limits)),
+             _greedy("p_kept", "p_corejudged", "score DESC, area, elongation, component", rules.nms_min_dist, 0),
+             "p_marks AS MATERIALIZED (SELECT vol_id, z, y, x FROM p_cores SEMI JOIN p_kept USING (vol_id, component))",
+             _dilated("p_grown", "p_marks", _FX.flood.force_radius),
+             "p_mask AS MATERIALIZED (SELECT vol_id, z, y, x FROM fgclosed UNION SELECT vol_id, z, y, x FROM p_grown)",
+             "p_in AS MATERIALIZED (SELECT * FROM p_marks SEMI JOIN p_mask USING (vol_id, z, y, x))",
+             _components("p_inc", "p_in", "steps1"),
+             _distance_sql("p_dist", "(vol_id, z, y, x) IN (SELECT vol_id, z, y, x FROM p_mask)"),
+             _flooded("p_flood", "p_inc", "p_dist")]
+    return ",\n".join(parts) + f"""
+SELECT vol_id, row_number() OVER (PARTITION BY vol_id ORDER BY old) AS label, voxels
+FROM (SELECT vol_id, label AS old, count(*) AS voxels FROM p_flood GROUP BY vol_id, label HAVING count(*) >= {_FX.min_label_size})"""
+
+
 # Optimal matching by exhaustion: within each knot of the overlap graph, true
 # instances are placed one after another; of all ways that use the same
 # predictions only the best total goes on.
@@ -806,3 +837,4 @@ ORACLES |= {
 ORACLES |= {f"{n}_tiled": ORACLES[n] for n in (
     "m8_external_internal", "m9_hole_filling", "m10_small_object_removal", "m12_marker_restriction", "m14_marker_flooding")}
 ORACLES["p2_otsu_baseline_job"] = _sql(("fgflooded",), "SELECT vol_id, label, count(*) AS voxels FROM fgflooded GROUP BY vol_id, label")
+ORACLES["p1_segmentation_job"] = _segmentation()
