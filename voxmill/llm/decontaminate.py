@@ -101,6 +101,7 @@ def find_hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     results.  Earlier columns of the new names are replaced.  A benchmark beyond
     ``INDEX_BYTES`` is searched in several passes, one broadcast each.
     """
+    frames.modest_batches(docs.sparkSession)
     spark = docs.sparkSession
     docs = frames.fresh(docs, *NEW)
     name = {c.lower(): c for c in docs.columns}["text"]

@@ -78,6 +78,7 @@ def fingerprint(docs: DataFrame) -> DataFrame:
     Null and empty texts have an empty sketch, equal texts equal ones.  One narrow
     pass.  Earlier columns of the new names are replaced.
     """
+    frames.modest_batches(docs.sparkSession)
     docs = frames.fresh(docs, "sketch", "fingerprint")
     name = {c.lower(): c for c in docs.columns}["text"]
     schema = frames.with_columns(docs, sketch=T.ArrayType(T.LongType()), fingerprint=T.StringType())
@@ -157,4 +158,5 @@ def against_edits(docs: DataFrame) -> DataFrame:
     a single document follows itself.  Null texts count as empty; repeated rows follow
     one another.  Texts are moved once, to their range of doc_id.
     """
+    frames.modest_batches(docs.sparkSession)
     return _in_ranges(docs).mapInArrow(_pairs, _PAIRS)

@@ -10,6 +10,17 @@ from pyspark.sql import types as T
 BROADCAST_ROWS = 100_000
 
 
+#: Most texts in one Arrow batch; a batch, not only a slice of it, is in memory at once.
+BATCH_ROWS = 1_000
+
+
+def modest_batches(spark: SparkSession) -> None:
+    """Lowers the session's Arrow batches to ``BATCH_ROWS`` rows: texts are long."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name, "0")) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

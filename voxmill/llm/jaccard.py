@@ -203,6 +203,7 @@ def classes(docs: DataFrame) -> DataFrame:
 
 def _classes(docs: DataFrame) -> DataFrame:
     """As ``classes``, with the hash ``h`` of each text."""
+    frames.modest_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     hashed = rows.withColumn("h", F.xxhash64(F.coalesce("text", F.lit(""))))
     signed = store(hashed.mapInArrow(_signatures, "doc_id long, h long, node long, signature binary"), "signatures")

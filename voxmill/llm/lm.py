@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxmill.llm import texts
+from voxmill.llm import frames, texts
 from voxmill.session import store
 
 #: Words that the neural model tells apart; the end of a text and another word come on top.
@@ -267,6 +267,7 @@ def score(docs: DataFrame) -> DataFrame:
     an empty one, which is held out.  Repeated rows are scored separately and alike.
     With nothing to learn from, every word is another word and every count 0.
     """
+    frames.modest_batches(docs.sparkSession)
     spark = docs.sparkSession
     folded = _folded(docs)
     counts = count_words(folded)

@@ -95,6 +95,7 @@ def resample(docs: DataFrame, labels: DataFrame, seed: int = SEED) -> DataFrame:
     rows, are kept or rejected together.  With no good labelled row, or no bad one,
     every document is kept.  Earlier columns of the new names are replaced.
     """
+    frames.modest_batches(docs.sparkSession)
     spark = docs.sparkSession
     docs = frames.fresh(docs, "log_weight", "sample_key", "kept")
     names = {c.lower(): c for c in docs.columns}

@@ -166,6 +166,7 @@ def scan(docs: DataFrame, redact: bool = True) -> DataFrame:
     text is null).  Null and empty texts have no spans; rows are judged one by one, so
     repeated rows get equal results.  Earlier columns of the new names are replaced.
     """
+    frames.modest_batches(docs.sparkSession)
     docs = frames.fresh(docs, *NEW)
     name = {c.lower(): c for c in docs.columns}["text"]
     long, string = T.LongType(), T.StringType()

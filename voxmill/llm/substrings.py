@@ -136,6 +136,7 @@ def _text_hash(text):
 
 def repeats(docs: DataFrame, anchors: int = ANCHORS) -> DataFrame:
     """(h, owner, starts): by the hash of a text, its least doc_id and the window starts that an earlier document has."""
+    frames.modest_batches(docs.sparkSession)
     slim = docs.select(_text_hash(F.col("text")).alias("h"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("owner"), F.col("text").cast("string").alias("text"))
     marked = slim.select("h", "text").mapInArrow(_anchors, "m long, h long")
     n = F.count("*")
@@ -202,6 +203,7 @@ def without_repeats(docs: DataFrame, anchors: int = ANCHORS) -> DataFrame:
     another; a null id counts as greater than all.  Earlier columns of the new names are
     replaced.  Equal 64-bit text hashes are taken for equal texts.
     """
+    frames.modest_batches(docs.sparkSession)
     docs = frames.fresh(docs, "n_words", "n_removed", "kept_text")
     found = repeats(docs, anchors)
     if found.agg(F.coalesce(F.sum(F.size(F.coalesce("starts", F.array())) + 1), F.lit(0))).first()[0] <= STARTS:

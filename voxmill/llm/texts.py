@@ -15,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that are handled at once.
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 19
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -133,8 +133,11 @@ class Words:
 
 
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:
-    """A string column, nulls as empty texts."""
-    return pc.fill_null(batch.column(batch.schema.get_field_index(name)).cast(pa.large_string()), "")
+    """A string column, nulls as empty texts; shares the batch's memory where nothing is null."""
+    texts = batch.column(batch.schema.get_field_index(name))
+    if not (pa.types.is_string(texts.type) or pa.types.is_large_string(texts.type)):
+        texts = texts.cast(pa.large_string())
+    return pc.fill_null(texts, "") if texts.null_count else texts
 
 
 def slices(texts: pa.Array, budget: int = SLICE_BYTES) -> Iterator[Texts]:
@@ -143,7 +146,8 @@ def slices(texts: pa.Array, budget: int = SLICE_BYTES) -> Iterator[Texts]:
     if n == 0:
         return
     _, offs, data = texts.buffers()
-    offsets = np.frombuffer(offs, dtype=np.int64)[texts.offset:texts.offset + n + 1]
+    wide = np.int64 if pa.types.is_large_string(texts.type) else np.int32
+    offsets = np.frombuffer(offs, dtype=wide)[texts.offset:texts.offset + n + 1].astype(np.int64)
     whole = np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, dtype=np.uint8)
     i = 0
     while i < n:
