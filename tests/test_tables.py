@@ -1,6 +1,5 @@
-import tempfile
-
 import os
+import tempfile
 
 import numpy as np
 import pytest
@@ -8,8 +7,12 @@ from pyspark.sql import functions as F
 
 import helpers as H
 from voxmill import session
+from voxmill.functions import bricks
+from voxmill.functions import quantiles as Q
 from voxmill.operators import components as C
+from voxmill.operators import evaluate, features
 from voxmill.operators import intensity as I
+from voxmill.params import Scoring
 from voxmill.sources import tables
 
 
@@ -40,12 +43,13 @@ def test_crop_ends_at_the_volume_edge(spark):
 
 
 def test_labels_round_trip_and_width(spark):
-    labels = spark.createDataFrame([(1, 0, 0, 0, 7), (1, 0, 0, 1, 0), (2, 0, 0, 0, 70000)],
+    labels = spark.createDataFrame([(1, 0, 0, 0, 7), (1, 0, 0, 1, 0), (2, 0, 0, 0, 70000), (3, 0, 0, 0, 65535)],
                                    "vol_id int, z int, y int, x int, label long")
-    assert {r.vol_id: r.stored_bits for r in tables.label_width(labels).collect()} == {1: 16, 2: 32}
+    assert {r.vol_id: r.stored_bits for r in tables.label_width(labels).collect()} == {1: 16, 2: 32, 3: 16}
     path = _folder("labels")
     tables.write_labels(labels, path)
-    assert {(r.vol_id, r.label) for r in spark.read.parquet(path).collect()} == {(1, 7), (2, 70000)}
+    assert {(r.vol_id, r.label, r.stored_bits) for r in tables.read_labels(spark, path).collect()} == {(1, 7, 16), (2, 70000, 32), (3, 65535, 16)}
+    assert dict(spark.read.parquet(f"{path}/bits=16").dtypes)["label"] == "smallint"
 
 
 def test_shape_mismatch_is_refused(spark):
@@ -121,3 +125,46 @@ def test_partition_count_does_not_matter(spark):
         spark.conf.set("spark.sql.shuffle.partitions", n)
         found.append(sorted(map(tuple, C.label(mask, 2, 3).collect())))
     assert found[0] == found[1]
+
+
+def test_gray_that_is_not_8bit_is_rescaled_or_refused(spark):
+    rng = np.random.default_rng(8)
+    wide = H.voxel_table(spark, {1: rng.integers(1, 4000, (4, 5, 6))}, "gray", keep_zero=True)
+    with pytest.raises(Exception, match="8-bit"):
+        I.otsu(I.histogram(wide)).collect()
+    eight = I.to_8bit(wide, "uint16")
+    low, high = eight.agg(F.min("gray"), F.max("gray")).first()
+    assert (low, high) == (0, 255) and I.otsu(I.histogram(eight)).count() == 1
+    huge = wide.withColumn("gray", F.col("gray").cast("long") * 100_000)
+    got = I.percentiles(huge, "gray", [25.0], ["q"]).first().q
+    values = [r.gray for r in huge.collect()]
+    assert np.isclose(got, np.percentile(values, 25))
+
+
+def test_values_that_are_not_finite_are_refused(spark):
+    rows = spark.createDataFrame([(1, 1.0), (1, float("inf"))], "g int, v double")
+    with pytest.raises(Exception, match="finite"):
+        Q.exact_quantiles(rows, ["g"], "v", [50.0], ["m"]).collect()
+
+
+def test_a_missing_voxel_is_an_error(spark):
+    voxels = H.voxel_table(spark, {1: np.ones((2, 2, 5), int)}, "gray", keep_zero=True).filter("x <> 2")
+    for pack in (lambda v: bricks.from_voxels(v, "gray"), lambda v: features.pack_lines(v, "gray")):
+        with pytest.raises(Exception, match="missing"):
+            pack(voxels).collect()
+
+
+def test_loops_without_progress_end(spark):
+    with pytest.raises(RuntimeError, match="cycle"):
+        C.shorten(session.store(spark.createDataFrame([(1, 1, 2), (1, 2, 1)], "vol_id int, node long, root long"), "loop"))
+
+
+def test_volumes_without_labels_have_rows(spark):
+    table = spark.createDataFrame([(1, 5, 7, 9, 0), (3, 0, 2, 4, 0)], "vol_id int, gt_id int, pred_id int, n long, border long")
+    volumes = spark.createDataFrame([(1,), (2,), (3,)], "vol_id int")
+    scoring = Scoring(min_gt_area=1, thresholds=(0.5,))
+    rows = {r.vol_id: r for r in evaluate.threshold_metrics(table, scoring, volumes=volumes).collect()}
+    assert set(rows) == {1, 2, 3} and rows[1].tp == 1 and rows[2].f1 == 0 and rows[3].fp == 1
+    recall = {r.vol_id: r.gt_object_recall for r in evaluate.object_recall(evaluate.best_per_true(table, scoring), scoring, volumes).collect()}
+    assert recall == {1: 1.0, 2: 0.0, 3: 0.0}
+    assert evaluate.summary(table, None, scoring, volumes).groupBy("vol_id").count().select("count").distinct().count() == 1

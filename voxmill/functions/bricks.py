@@ -35,15 +35,22 @@ def as_lists(block: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(offsets, pa.array(np.ascontiguousarray(block).reshape(-1)))
 
 
+def in_step(packed: str, first: F.Column) -> F.Column:
+    """Values of ``packed`` (sorted structs ``x, v``), or an error if an x is missing or doubled."""
+    ends = F.element_at(packed, 1)["x"], F.element_at(packed, -1)["x"]
+    whole = (ends[0] == first) & (ends[1] - ends[0] + 1 == F.size(packed))
+    return F.when(whole, F.col(f"{packed}.v")).otherwise(F.raise_error(F.lit("a line of a dense volume has a missing or doubled voxel")))
+
+
 def from_voxels(voxels: DataFrame, value: str, kind: str = "float") -> DataFrame:
-    """Pack a dense voxel table; every line must be complete."""
+    """Pack a dense voxel table; a voxel that is missing inside a line is an error."""
     packed = F.sort_array(F.collect_list(F.struct("x", F.col(value).cast(kind).alias("v"))))
     split = voxels.select("vol_id", "z", "y", "x", value).withColumn("xb", brick())
     return (
         by_block(split, "vol_id", "z", "xb")
         .groupBy("vol_id", "z", "y", "xb")
         .agg(packed.alias("p"))
-        .select("vol_id", "z", "y", "xb", F.col("p.v").alias("v"))
+        .select("vol_id", "z", "y", "xb", in_step("p", F.col("xb") * SPAN).alias("v"))
     )
 
 

@@ -17,6 +17,8 @@ from ..session import lookup_join, store
 CELLS = 1024
 #: Most rows with differing values of one cell that are ordered inside one window.
 FINAL_ROWS = 10_000
+#: A pass narrows a cell a thousandfold; doubles cannot need more.
+MOST_PASSES = 220
 
 
 def _ranks(totals: DataFrame, by: list[str], probs: list[float]) -> DataFrame:
@@ -44,7 +46,10 @@ def exact_quantiles(
 
     ``positive`` looks at values above zero only, in groups that have any.
     """
-    data = df.select(*by, F.col(value).cast("double").alias("v")).filter("v is not null")
+    v = F.col(value).cast("double")
+    odd = F.isnan(v) | (F.abs(v) == float("inf"))
+    v = F.when(odd, F.raise_error(F.lit("quantiles need finite values")).cast("double")).otherwise(v)
+    data = df.select(*by, v.alias("v")).filter("v is not null")
     above = F.when(F.col("v") > 0, F.col("v"))
     totals = data.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"),
@@ -58,7 +63,7 @@ def exact_quantiles(
     wanted = store(_ranks(totals, by, probs), "ranks")
 
     group = [*by, "lo", "hi"]
-    while True:
+    for _ in range(MOST_PASSES):
         inside = _inside(data, wanted, by)
         if wanted.filter((F.col("n") > FINAL_ROWS) & (F.col("lo") < F.col("hi"))).isEmpty():
             break
@@ -75,6 +80,8 @@ def exact_quantiles(
             ),
             "ranks",
         )
+    else:
+        raise RuntimeError("quantile cells made no progress")
 
     distinct = inside.groupBy(*group, "v").agg(F.count(F.lit(1)).alias("n"))
     ends = _locate(distinct, group, "v", wanted)

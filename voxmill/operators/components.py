@@ -16,9 +16,11 @@ from pyspark.sql import functions as F
 from ..functions import runs as R
 from ..functions.numeric import expand, roots
 from ..functions.ranking import number_by_bucket
-from ..session import by_block, lookup_join, store
+from ..session import by_block, discard, lookup_join, store
 
 TILE = 64
+#: Both loops at least halve what is left per round.
+MOST_ROUNDS = 64
 
 # Per connectivity k: line offsets (dz, dy) ahead in raster order, with the x
 # slack within which two runs on these lines touch.
@@ -127,8 +129,11 @@ def merge(pairs: DataFrame) -> DataFrame:
     are shortened by doubling, and the graph of the hooks' ends is solved next.
     """
     pairs = store(pairs.filter("a <> b").distinct(), "pairs")
-    root = None
+    root, rounds = None, 0
     while not pairs.isEmpty():
+        rounds += 1
+        if rounds > MOST_ROUNDS:
+            raise RuntimeError("merging made no progress")
         hooks = store(
             pairs.groupBy("vol_id", F.col("b").alias("node")).agg(F.min("a").alias("root")), "hooks"
         )
@@ -138,12 +143,13 @@ def merge(pairs: DataFrame) -> DataFrame:
         root = hooks.unionByName(tops) if root is None else _follow(root, "root", hooks)
         root = store(root, "roots")
         moved = _follow(_follow(pairs, "a", hooks), "b", hooks)
-        pairs = store(
+        before, pairs = pairs, store(
             moved.select("vol_id", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
             .filter("a <> b")
             .distinct(),
             "pairs",
         )
+        discard(before)
     if root is None:
         root = pairs.select("vol_id", F.col("a").alias("node"), F.col("b").alias("root"))
     return root
@@ -162,7 +168,7 @@ def _follow(df: DataFrame, column: str, parents: DataFrame) -> DataFrame:
 
 def shorten(parents: DataFrame) -> DataFrame:
     """Point every node of an acyclic ``(vol_id, node, root)`` table at its end."""
-    while True:
+    for _ in range(MOST_ROUNDS):
         further = store(
             lookup_join(
                 parents,
@@ -175,6 +181,7 @@ def shorten(parents: DataFrame) -> DataFrame:
         parents = further.select("vol_id", "node", F.coalesce("_next", "root").alias("root"))
         if further.filter("_next is not null").isEmpty():
             return parents
+    raise RuntimeError("parents form a cycle")
 
 
 def components(mask: DataFrame, k: int = 1, tile: int = TILE) -> tuple[DataFrame, DataFrame]:

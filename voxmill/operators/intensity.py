@@ -12,11 +12,20 @@ from ..params import Dark
 from ..session import lookup_join
 
 
+#: Range of whole numbers that is counted level by level.
+LEVELS = 65_535
+
+
 def histogram(voxels: DataFrame, value: str = "gray") -> DataFrame:
     """``(vol_id, value, n)``: one pass, counted before the shuffle."""
     return voxels.groupBy("vol_id", F.col(value).alias("value")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def _eight_bit(value) -> F.Column:
+    """The value, or an error if it is not an 8-bit level."""
+    return F.when(value.between(0, 255), value).otherwise(F.raise_error(F.lit("8-bit levels expected: rescale first")).cast("int"))
+
+
 def _foreground(values: DataFrame, value: str) -> DataFrame:
     """Rows above zero, or all rows of a volume without any."""
     some = values.groupBy("vol_id").agg(F.max(F.col(value) > 0).alias("_some"))
@@ -24,8 +33,16 @@ def _foreground(values: DataFrame, value: str) -> DataFrame:
 
 
 def percentiles(voxels: DataFrame, value: str, probs: list[float], names: list[str]) -> DataFrame:
-    """Exact percentiles of the non-zero values of each volume."""
-    if isinstance(voxels.schema[value].dataType, T.IntegralType):
+    """Exact percentiles of the non-zero values of each volume.
+
+    Whole numbers up to ``LEVELS`` are counted level by level; anything wider goes
+    through cells, so that no task orders all distinct values of a volume.
+    """
+    whole = isinstance(voxels.schema[value].dataType, T.IntegralType)
+    if whole:
+        low, high = voxels.agg(F.min(value), F.max(value)).first()
+        whole = low is None or high - low <= LEVELS
+    if whole:
         hist = _foreground(histogram(voxels, value), "value")
         return histogram_quantiles(hist, ["vol_id"], "value", probs, names)
     return exact_quantiles(voxels, ["vol_id"], value, probs, names, positive=True)
@@ -46,8 +63,8 @@ def rescale(voxels: DataFrame, value: str = "gray", p_low: float = 0.5, p_high:
     return lookup_join(voxels, ends, ["vol_id"]).select(*rest, bounded.cast("int").alias(value))
 
 
-def to_8bit(voxels: DataFrame, dtype: str, value: str = "gray") -> DataFrame:
-    """8-bit volumes pass unchanged, all others are rescaled."""
+def to_8bit(voxels: DataFrame, dtype: str = "uint8", value: str = "gray") -> DataFrame:
+    """8-bit volumes pass unchanged, all others are rescaled: the entry of every job."""
     return voxels if dtype == "uint8" else rescale(voxels, value)
 
 
@@ -66,6 +83,7 @@ def otsu(hist: DataFrame, constant_value: bool = False) -> DataFrame:
     A volume with a single gray level has none: null, or that level itself
     with ``constant_value`` (the convention of the foreground threshold).
     """
+    hist = hist.withColumn("value", _eight_bit(F.col("value")))
     upto = W.partitionBy("vol_id").orderBy("value").rowsBetween(W.unboundedPreceding, W.currentRow)
     whole = W.partitionBy("vol_id")
     weight = F.col("n") * F.col("value")

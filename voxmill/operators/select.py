@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import runs as R
 from ..functions.ranking import number_in_order
 from ..params import REJECT_MARKER, REJECT_SEED, SEED_POINT_VALUE, MarkerRules, Sampling, SeedRules
-from ..session import lookup_join, store, union_all
+from ..session import discard, lookup_join, store, union_all
 from . import features as feat
 
 ID = feat.ID
@@ -40,17 +40,21 @@ def suppress(points: DataFrame, min_dist: float, order: list[Column]) -> DataFra
         (F.col("_rank") < F.col("_lower")) & (d2 < float(min_dist * min_dist))
     )
     pairs = store(pairs.select("vol_id", F.col("_rank").alias("better"), F.col("_lower").alias("worse")), "pairs")
-    gone = None
+    gone, open_pairs = None, pairs
     while not pairs.isEmpty():
         beaten = pairs.select("vol_id", F.col("worse").alias("better")).distinct()
         kept = pairs.select("vol_id", "better").distinct().join(beaten, ["vol_id", "better"], "left_anti")
         removed = pairs.join(kept, ["vol_id", "better"], "left_semi").select("vol_id", "worse").distinct()
         removed = store(removed, "removed")
+        if removed.isEmpty():
+            raise RuntimeError("suppression made no progress")
         gone = removed if gone is None else gone.unionByName(removed)
         pairs = pairs.join(removed, ["vol_id", "worse"], "left_anti").join(
             removed.select("vol_id", F.col("worse").alias("better")), ["vol_id", "better"], "left_anti"
         )
-        pairs = store(pairs, "pairs")
+        before, pairs = open_pairs, store(pairs, "pairs")
+        open_pairs = pairs
+        discard(before)
     kept = best if gone is None else best.join(
         gone.select("vol_id", F.col("worse").alias("_rank")), ["vol_id", "_rank"], "left_anti"
     )

@@ -11,6 +11,7 @@ from ..operators import background, components, distance, evaluate, features, in
 from ..operators.flood import flood, peaks
 from ..params import PRESETS, Flood, Preset
 from ..session import store
+from ..sources.tables import require_same_shape
 
 
 @dataclass(frozen=True)
@@ -43,8 +44,11 @@ def foreground(gray: DataFrame, catalog: DataFrame, params: Flood, value: str =
     return mask
 
 
-def flood_from(gray: DataFrame, markers: DataFrame, catalog: DataFrame, params: Flood, value: str = "gray") -> Segmentation:
+def flood_from(
+    gray: DataFrame, markers: DataFrame, catalog: DataFrame, params: Flood, value: str = "gray", dtype: str = "uint8"
+) -> Segmentation:
     """Foreground, markers inside it, and the flooded labels."""
+    gray = intensity.to_8bit(gray, dtype, value)
     mask = foreground(gray, catalog, params, value)
     if params.force_markers:
         mask = morphology.force_markers(mask, markers, catalog, params.force_radius)
@@ -54,9 +58,16 @@ def flood_from(gray: DataFrame, markers: DataFrame, catalog: DataFrame, params:
     return Segmentation(store(labels, "labels"), mask, inside)
 
 
-def segment(gray: DataFrame, catalog: DataFrame, preset: str | Preset = "production", value: str = "gray") -> Segmentation:
-    """Flatten, find inner dark cores, refine them to markers, flood, drop small labels."""
+def segment(
+    gray: DataFrame, catalog: DataFrame, preset: str | Preset = "production", value: str = "gray", dtype: str = "uint8"
+) -> Segmentation:
+    """Flatten, find inner dark cores, refine them to markers, flood, drop small labels.
+
+    ``dtype`` is the stored type of the gray values; all but ``uint8`` are rescaled first.
+    """
     p = PRESETS[preset] if isinstance(preset, str) else preset
+    if dtype != "uint8":
+        gray = store(intensity.to_8bit(gray, dtype, value), "gray")
     flat = store(background.flatten(gray, p.flatten, value), "flat")
     limits = intensity.dark_threshold(flat, p.dark, "flat")
     dark = intensity.dark_mask(flat, limits, "flat")
@@ -74,9 +85,12 @@ def segment(gray: DataFrame, catalog: DataFrame, preset: str | Preset = "product
     return Segmentation(labels, result.foreground, result.markers, select.marker_report(judged, kept))
 
 
-def otsu_baseline(gray: DataFrame, catalog: DataFrame, preset: str | Preset = "production", value: str = "gray") -> Segmentation:
+def otsu_baseline(
+    gray: DataFrame, catalog: DataFrame, preset: str | Preset = "production", value: str = "gray", dtype: str = "uint8"
+) -> Segmentation:
     """Threshold, close, and flood from distance peaks."""
     p = PRESETS[preset] if isinstance(preset, str) else preset
+    gray = intensity.to_8bit(gray, dtype, value)
     mask = R.from_voxels(intensity.foreground_mask(gray, p.flood.threshold_offset, value))
     mask = store(morphology.close(mask, catalog, p.flood.close_radius), "foreground")
     rows = store(distance.distance_bricks(mask, catalog), "distance")
@@ -84,8 +98,15 @@ def otsu_baseline(gray: DataFrame, catalog: DataFrame, preset: str | Preset = "p
     return Segmentation(store(flood(rows, markers), "labels"), mask, markers)
 
 
-def score(gt: DataFrame, pred: DataFrame, catalog: DataFrame, preset: str | Preset = "production") -> DataFrame:
-    """Threshold metrics of predicted labels against true ones, all volumes at once."""
+def score(
+    gt: DataFrame, pred: DataFrame, catalog: DataFrame, preset: str | Preset = "production", pred_catalog: DataFrame | None = None
+) -> DataFrame:
+    """Threshold metrics of predicted labels against true ones, all volumes at once.
+
+    With a catalog of the predicted volumes, shapes that differ are an error.
+    """
+    if pred_catalog is not None:
+        require_same_shape(catalog, pred_catalog)
     p = PRESETS[preset] if isinstance(preset, str) else preset
     table = store(evaluate.contingency(evaluate.align(gt, pred), catalog), "contingency")
     return evaluate.threshold_metrics(table, p.scoring, volumes=catalog)

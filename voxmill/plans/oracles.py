@@ -838,3 +838,17 @@ ORACLES |= {f"{n}_tiled": ORACLES[n] for n in (
     "m8_external_internal", "m9_hole_filling", "m10_small_object_removal", "m12_marker_restriction", "m14_marker_flooding")}
 ORACLES["p2_otsu_baseline_job"] = _sql(("fgflooded",), "SELECT vol_id, label, count(*) AS voxels FROM fgflooded GROUP BY vol_id, label")
 ORACLES["p1_segmentation_job"] = _segmentation()
+
+# 16-bit gray, rescaled before anything else.
+_cte("wide", ("voxels",), "wide AS MATERIALIZED (SELECT * REPLACE (gray*16 + x AS gray) FROM voxels)")
+_cte("eight", ("wide",), """eight AS MATERIALIZED (SELECT v.vol_id, z, y, x, CAST(floor(least(greatest(
+  (CAST(gray AS FLOAT) - CAST(lo AS FLOAT)) * CAST(255 AS FLOAT) / CAST(hi - lo AS FLOAT), CAST(0 AS FLOAT)), CAST(255 AS FLOAT))) AS INT) AS gray
+  FROM wide v JOIN (SELECT vol_id, quantile_cont(gray, 0.005) AS lo, quantile_cont(gray, 0.995) AS hi FROM wide WHERE gray > 0 GROUP BY vol_id) e ON e.vol_id = v.vol_id)""")
+_cte("hist8", ("eight",), _CTES["hist"][1].replace("voxels", "eight").replace("hist AS", "hist8 AS"))
+_cte("otsu8", ("hist8",), _CTES["otsu"][1].replace("FROM hist)", "FROM hist8)").replace("otsu AS MAT", "otsu8 AS MAT"))
+_cte("fg8", ("eight", "otsu8"), _CTES["fg"][1].replace("voxels", "eight").replace("JOIN otsu o", "JOIN otsu8 o").replace("fg AS", "fg8 AS"))
+ORACLES |= {
+    "i2_rescale_16bit": _sql(("eight",), _digest("eight", "gray")),
+    "i8_otsu_16bit": _sql(("otsu8",), "SELECT * FROM otsu8"),
+    "i11_foreground_16bit": _sql(("fg8",), _digest("fg8")),
+}

@@ -135,9 +135,8 @@ def paired_crop(s, d):
 def label_sink(s, d):
     path = f"{workspace(s)}/labels-{uuid.uuid4().hex}"
     tables.write_labels(_labels(s, d, "pred_id"), path)
-    stored = s.read.schema("z int, y int, x int, label int, vol_id int").parquet(path)
-    digest = stored.groupBy("vol_id").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("sum_label"))
-    return digest.join(tables.label_width(stored), "vol_id")
+    return tables.read_labels(s, path).groupBy("vol_id").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("label").alias("sum_label"), F.max("label").alias("max_label"), F.max("stored_bits").alias("stored_bits"))
 
 
 def report_sink(s, d):
@@ -172,6 +171,23 @@ def rescale_8bit(s, d):
     return _digest(intensity.rescale(_voxels(s, d)), "gray")
 
 
+def _wide(s, d) -> DataFrame:
+    """The gray volumes with 16-bit values."""
+    return _voxels(s, d).withColumn("gray", F.col("gray") * 16 + F.col("x"))
+
+
+def rescale_16bit(s, d):
+    return _digest(intensity.to_8bit(_wide(s, d), "uint16"), "gray")
+
+
+def otsu_16bit(s, d):
+    return intensity.otsu(intensity.histogram(intensity.to_8bit(_wide(s, d), "uint16")))
+
+
+def foreground_mask_16bit(s, d):
+    return _run_digest(jobs.foreground(intensity.to_8bit(_wide(s, d), "uint16"), _catalog(s, d), replace(_FIXTURE.flood, close_radius=0)))
+
+
 def _background_digest(rows: DataFrame) -> DataFrame:
     sums = unpack(rows).groupBy(*LINE).agg(
         F.sum(F.col("bg").cast("double")).alias("sum_bg"),
@@ -825,6 +841,7 @@ QUERIES = {
     "p1_segmentation_job": segmentation_job,
     "p2_otsu_baseline_job": otsu_baseline_job,
 }
+QUERIES |= {"i2_rescale_16bit": rescale_16bit, "i8_otsu_16bit": otsu_16bit, "i11_foreground_16bit": foreground_mask_16bit}
 #: Tiles smaller than the test volumes, so that results have to meet across faces.
 SMALL_TILE = 8
 QUERIES |= {f"{n}_tiled": partial(QUERIES[n], tile=SMALL_TILE) for n in (

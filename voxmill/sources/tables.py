@@ -87,12 +87,28 @@ def label_width(labels: DataFrame, label: str = "label") -> DataFrame:
 
 
 def write_labels(labels: DataFrame, path: str, label: str = "label") -> None:
-    """Write labels above zero as one folder per volume, 32 bits wide.
+    """Write labels above zero as one folder per volume, in its ``label_width``.
 
-    Rows are spread by slices first, so a huge volume is written by many tasks.
+    16-bit labels lie in ``bits=16`` as shorts, those from 32768 on less 65536 (Spark
+    has no unsigned type); the others in ``bits=32``.  Rows are spread by slices first,
+    so a huge volume is written by many tasks.
     """
-    rows = labels.filter(F.col(label) > 0).withColumn(label, F.col(label).cast("int"))
-    rows.repartition("vol_id", F.floor(F.col("z") / TILE)).write.partitionBy("vol_id").parquet(path)
+    some = labels.filter(F.col(label) > 0)
+    wide = lookup_join(some, label_width(some, label).select("vol_id", "stored_bits"), ["vol_id"])
+    wide = wide.withColumn("_slice", F.floor(F.col("z") / TILE))
+    short = F.when(F.col(label) > 32767, F.col(label) - 65536).otherwise(F.col(label)).cast("short")
+    for bits, value in ((16, short), (32, F.col(label).cast("int"))):
+        rows = wide.filter(F.col("stored_bits") == bits).withColumn(label, value)
+        rows.repartition("vol_id", "_slice").drop("stored_bits", "_slice").write.partitionBy("vol_id").parquet(f"{path}/bits={bits}")
+
+
+def read_labels(spark: SparkSession, path: str, label: str = "label") -> DataFrame:
+    """Labels as written, with ``stored_bits`` from the folder they lie in."""
+    narrow = spark.read.schema(f"z int, y int, x int, {label} short, vol_id int").parquet(f"{path}/bits=16")
+    wide = spark.read.schema(f"z int, y int, x int, {label} int, vol_id int").parquet(f"{path}/bits=32")
+    value = F.col(label).cast("int")
+    narrow = narrow.withColumn(label, F.when(value < 0, value + 65536).otherwise(value)).withColumn("stored_bits", F.lit(16))
+    return narrow.unionByName(wide.withColumn("stored_bits", F.lit(32)))
 
 
 def write_mask(mask: DataFrame, path: str) -> None:
