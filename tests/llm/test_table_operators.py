@@ -22,6 +22,8 @@ def test_hosts_paths_and_rules(spark):
         "x://b.org/fr/1://c": ("b.org", "/fr/1://c", "org/fr/", "allow"),
         "b.org/fr/": ("", "", None, None),
         "x://?q": ("", "", None, None),
+        "http://a.org?to=http://b.org/fr/1": ("a.org", "", None, None),
+        "http://a.org#http://b.net/": ("a.org", "", None, None),
         "x://É.Org\n/fr/": ("É.org\n", "/fr/", None, None),
         "": ("", "", None, None),
         None: ("", "", None, None),

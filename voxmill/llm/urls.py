@@ -48,14 +48,20 @@ SURE = 0.8
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+def _behind_scheme(url: Column) -> Column:
+    """What follows the first ``://``; empty if there is none."""
+    at = F.locate("://", url)
+    return F.coalesce(F.when(at > 0, F.substring(url, at + 3, F.length(url))), F.lit(""))
+
+
 def host_of(url: Column) -> Column:
     """Host: after the first :// up to / ? # or the end, A-Z lower-cased."""
-    return F.translate(F.coalesce(F.regexp_extract(url, r"(?s)^.*?://([^/?#]*)", 1), F.lit("")), _UPPER, _LOWER)
+    return F.translate(F.regexp_extract(_behind_scheme(url), r"^[^/?#]*", 0), _UPPER, _LOWER)
 
 
 def path_of(url: Column) -> Column:
     """Path: what follows the host, up to ? # or the end."""
-    return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*(/[^?#]*)", 1), F.lit(""))
+    return F.regexp_extract(_behind_scheme(url), r"^[^/?#]*(/[^?#]*)", 1)
 
 
 @dataclass(frozen=True)
