@@ -214,9 +214,10 @@ def _classes(docs: DataFrame) -> DataFrame:
     hubs = bands.groupBy("bucket").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1")
     edges = bands.join(hubs, "bucket").where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
     groups = store(graph.components(edges.distinct()), "groups")
-    sized = groups.groupBy("root").agg(F.count("*").alias("n"))
+    # Only groups of several blocks need their size; there is at most one for BLOCK texts.
+    large = groups.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("blocks > 1")
     members = store(
-        groups.join(sized, "root").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+        groups.join(frames.lookup(large), "root", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
         .join(known, "node").select("node", "root", "blocks", "least", "copies", "signature"), "members")
     wanted = frames.lookup(members.select(F.col("least").alias("doc_id"), "node"))
     lists = rows.alias("r").join(wanted.alias("w"), F.expr("r.doc_id <=> w.doc_id")).select("node", "text")
