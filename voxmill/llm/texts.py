@@ -154,6 +154,7 @@ def slices(texts: pa.Array, budget: int = SLICE_BYTES) -> Iterator[Texts]:
         j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + budget, side="right")) - 1)
         yield Texts(whole[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i], i)
         i = j
+    pa.default_memory_pool().release_unused()  # earlier batches' memory goes back to the system
 
 
 def shingles(words: Words, h: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
