@@ -552,7 +552,7 @@ def _segmentation() -> str:
     rules = _FX.markers
     limits = {"area_min": rules.area_min, "area_max": rules.area_max, "max_dim": rules.max_dim, "max_elongation": rules.max_elongation,
               "min_fill": rules.min_fill, "center": rules.center_dark_max, "contrast": rules.min_ring_contrast}
-    chain = ("otsu", "limits", "dark", "ext", "internal", "cores", "corepoints", "coresampled")
+    chain = ("hist", "otsu", "limits", "dark", "ext", "internal", "cores", "corepoints", "coresampled")
     inner = re.compile(r"\b(" + "|".join((*chain, "cores_cc", "corejudged", "voxels")) + r")\b")
     flat = lambda text: inner.sub(lambda m: "flatvox" if m[0] == "voxels" else "p_" + m[0], text)
     parts = [_sql(("flat", "steps1", "fgclosed"), "").rstrip(),
