@@ -256,6 +256,15 @@ def test_secret_base_patterns_and_literals():
     assert [s.kind for s in secrets.base_spans("Secret=abcdefgh toKen=abcdefgh")] == ["assign", "assign"]
 
 
+def test_secret_constants_reach_every_name():
+    # What doubles from line to line must not double the work.
+    text = 'v = "Zx81kPq0Lm55Rt"\nw = "short"\n' + "v = v + v + w\n" * 200 + "dbPassword = v\nv = 5\n"
+    assert [text[s.start:s.end] for s in secrets.literal_spans(text)] == ["Zx81kPq0Lm55Rt"]
+    # A name keeps its last binding; of several names, the most sensitive counts.
+    assert secrets.literal_spans('v = "Zx81kPq0Lm55Rt"\nv = "x"\ndbPassword = v\n') == []
+    assert len(secrets.literal_spans('v = "Zx81kPq0Lm55Rt"\nplain = v\napi_secret = plain\nother = v\n')) == 1
+
+
 def test_secret_scan_of_a_table(spark, rows, docs, empty):
     told = spark.createDataFrame([*rows, (900, 'é token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff" z', "s", 1)], H.DOCS)
     found = secrets.scan(told.withColumn("spans", F.lit(0))).where("doc_id = 900").first()

@@ -86,8 +86,9 @@ def literal_spans(text: str) -> list[Span]:
     keeps the literals of its last binding, so a literal counts for every name that it
     reaches; the most sensitive of them scores it.
     """
-    bound: dict[str, list[tuple[int, int]]] = {}
-    best: dict[tuple[int, int], float] = {}
+    bound: dict[str, int] = {}  # a name's last binding
+    pieces: list[list[tuple[int, int] | int]] = []  # of each binding: literals, and bindings that it takes up
+    told: list[float] = []
     behind = -1
     for m in _SEPARATOR.finditer(text):
         at = m.start()
@@ -96,30 +97,36 @@ def literal_spans(text: str) -> list[Span]:
         left = _NAME.search(text[max(0, at - _LOOK_BACK):at])
         if not left or text[at - 1:at] in ("!", "<", ">", "="):
             continue
-        name, pieces, pos = left[2], [], at + 1
+        name, found, pos = left[2], [], at + 1
         if text[at] == ":" and text[pos:pos + 1] == "=":
             pos += 1
         while operand := _OPERAND.match(text, pos):
             group = operand.lastindex
             value, pos = operand[group], operand.end()
             if group == 4 and value in bound:
-                pieces += bound[value]
+                found.append(bound[value])
             elif group != 4 or any(c.isdigit() for c in value):
-                pieces.append((operand.start(group), operand.end(group)))
+                found.append((operand.start(group), operand.end(group)))
             plus = _PLUS.match(text, pos)
             if not plus:
                 break
             pos = plus.end()
-        if not pieces:
+        if not found:
             continue
         behind = pos if text[pos - 1:pos] in "\"'`" else at
-        bound[name] = pieces
-        told = name_score(name)
-        if told >= 2:
-            for a, b in pieces:
-                if value_score := literal_score(text[a:b]):
-                    best[a, b] = max(best.get((a, b), 0.0), told + value_score)
-    return [Span(a, b, "literal", a) for (a, b), s in sorted(best.items()) if s >= ENOUGH]
+        bound[name] = len(pieces)
+        pieces.append(found)
+        told.append(name_score(name))
+    # Bindings take up earlier ones only: from the last to the first, each passes on the best name that it reaches.
+    best: dict[tuple[int, int], float] = {}
+    for k in range(len(pieces) - 1, -1, -1):
+        for piece in pieces[k]:
+            if isinstance(piece, int):
+                told[piece] = max(told[piece], told[k])
+            elif told[k] >= 2:
+                best[piece] = max(best.get(piece, 0.0), told[k])
+    scored = ((a, b, told_of, literal_score(text[a:b])) for (a, b), told_of in sorted(best.items()))
+    return [Span(a, b, "literal", a) for a, b, name, value in scored if value and name + value >= ENOUGH]
 
 
 def spans_of(text: str) -> tuple[list[Span], list[Span]]:
