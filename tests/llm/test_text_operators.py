@@ -75,9 +75,9 @@ def test_substring_dedup_of_nothing(empty):
     assert substrings.without_repeats(empty).count() == 0
 
 
-@pytest.mark.parametrize("block", [jaccard.BLOCK, 2])
-def test_jaccard_classes(docs, rows, block, monkeypatch):
-    monkeypatch.setattr(jaccard, "BLOCK", block)
+@pytest.mark.parametrize("name, block", [("BLOCK", jaccard.BLOCK), ("BLOCK", 2), ("BLOCK_SHINGLES", 100)])
+def test_jaccard_classes(docs, rows, name, block, monkeypatch):
+    monkeypatch.setattr(jaccard, name, block)
     H.same(jaccard.classes(docs.withColumn("node", F.lit("clash"))).collect(), H.jaccard_classes(rows))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxmill.session import store
+from voxmill.session import discard, store
 
 #: More rounds than any graph of a cluster's size can need.
 MOST_ROUNDS = 60
@@ -32,14 +32,15 @@ def components(edges: DataFrame) -> DataFrame:
 
     Large and small stars alternate until nothing changes; the number of edges never
     grows, a hub's edges meet its least neighbour in a join that Spark may split, and
-    each round is stored.  Loops count as nodes of their own.
+    each round is stored and takes the place of the one before.  Loops count as nodes of their own.
     """
-    pairs = store(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    lone = pairs.where("a = b").select(F.col("a").alias("node"))
-    pairs = pairs.where("a <> b")
-    state = None
+    start = store(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    lone = start.where("a = b").select(F.col("a").alias("node"))
+    pairs, before, state = start.where("a <> b"), None, None
     for _ in range(MOST_ROUNDS):
         pairs = store(_stars(_stars(pairs, True), False), "stars")
+        discard(before)
+        before = pairs
         seen = pairs.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first()
         if seen == state:
             break

@@ -23,8 +23,9 @@ VALUES, BAND = 128, 4
 TOLERANCE = 1e-9
 #: MinHash values compared before each decision.
 STEP = 16
-#: Texts of one candidate group that one task compares with as many others.
+#: Texts of one candidate group, and about how many shingles of them, that one task compares with as many others.
 BLOCK = 1024
+BLOCK_SHINGLES = 1 << 22
 #: Columns of the incidence matrix that are multiplied at once.
 COLUMNS = 4096
 
@@ -64,7 +65,7 @@ def _node(words: texts.Words, i: int) -> int:
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        nodes, signed = [], []
+        nodes, signed, sizes = [], [], []
         for part, words, grams, doc in _shingled(texts.column(batch, "text")):
             bounds = np.searchsorted(doc, np.arange(len(part) + 1))
             some = np.flatnonzero(bounds[1:] > bounds[:-1])
@@ -76,7 +77,10 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 rows[row] = signature.tobytes()
             nodes += [None if r is None else _node(words, i) for i, r in enumerate(rows)]
             signed += rows
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(nodes, pa.int64()), pa.array(signed, pa.binary())], ["doc_id", "h", "node", "signature"])
+            sizes.append(np.diff(bounds))
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), batch.column(2), pa.array(nodes, pa.int64()), pa.array(np.concatenate([*sizes, np.zeros(0, dtype=np.int64)])), pa.array(signed, pa.binary())],
+            ["doc_id", "h", "node", "size", "signature"])
 
 
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,7 +192,7 @@ def classes(docs: DataFrame) -> DataFrame:
 
     Documents of equal words are one text from the start.  Texts that share a band
     of MinHash values make up candidate groups (components of band buckets, found by
-    joins and stars).  Inside a group, in blocks of ``BLOCK`` texts, every pair is
+    joins and stars).  Inside a group, in blocks of bounded numbers of texts and shingles, every pair is
     compared value by value, dropped when its chance of reaching the threshold falls
     below ``TOLERANCE``, and verified exactly otherwise; tasks report links per text
     and a forest, never pairs.
@@ -206,31 +210,31 @@ def _classes(docs: DataFrame) -> DataFrame:
     frames.modest_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     hashed = rows.withColumn("h", F.xxhash64(F.coalesce("text", F.lit(""))))
-    signed = store(hashed.mapInArrow(_signatures, "doc_id long, h long, node long, signature binary"), "signatures")
+    signed = store(hashed.mapInArrow(_signatures, "doc_id long, h long, node long, size long, signature binary"), "signatures")
     known = (signed.where("node is not null").groupBy("node")
-             .agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.first("signature").alias("signature")))
+             .agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.first("size").alias("size"), F.first("signature").alias("signature")))
     known = store(known, "texts")
     bands = known.select("node", "signature").mapInArrow(_bands, "node long, bucket long")
     hubs = bands.groupBy("bucket").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1")
     edges = bands.join(hubs, "bucket").where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
-    groups = store(graph.components(edges.distinct()), "groups")
-    # Only groups of several blocks need their size; there is at most one for BLOCK texts.
-    large = groups.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("blocks > 1")
-    members = store(
-        groups.join(frames.lookup(large), "root", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-        .join(known, "node").select("node", "root", "blocks", "least", "copies", "signature"), "members")
+    groups = graph.components(edges.distinct())
+    members = store(groups.join(known, "node").select("node", "root", "least", "copies", "size", "signature"), "members")
+    # Only groups of several blocks need their number; there is at most one for BLOCK texts or BLOCK_SHINGLES shingles.
+    blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("size") / BLOCK_SHINGLES)).cast("int")
+    large = store(members.groupBy("root").agg(blocks.alias("blocks")).where("blocks > 1"), "large")
     wanted = frames.lookup(members.select(F.col("least").alias("doc_id"), "node"))
     lists = rows.alias("r").join(wanted.alias("w"), F.expr("r.doc_id <=> w.doc_id")).select("node", "text")
     lists = lists.mapInArrow(_shingle_lists, "node long, shingles binary")
     block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    work = members.join(lists, "node").withColumn("block", block).withColumn("other", other).select(
+    sized = members.join(frames.lookup(large), "root", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    work = sized.join(lists, "node").withColumn("block", block).withColumn("other", other).select(
         "root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "copies", "signature", "shingles",
         F.when(F.col("block") == F.col("other"), 0).when(F.col("block") < F.col("other"), 1).otherwise(2).alias("side"))
     met = store(work.groupBy("root", "i", "j").applyInArrow(_verify, "node long, links long, root long"), "links")
     links = met.groupBy("node").agg(F.sum("links").alias("links"))
     forest = graph.components(met.where("links > 0").select(F.col("node").alias("a"), F.col("root").alias("b")))
-    named = known.drop("signature").join(links, "node", "left").join(forest, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    named = known.drop("size", "signature").join(links, "node", "left").join(forest, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = store(named, "named")
     whole = named.groupBy("root").agg(F.min("least").alias("class_id"), F.sum("copies").alias("class_size"))
     named = named.join(whole, "root").select("node", "class_id", "class_size", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
