@@ -83,20 +83,21 @@ def mix(docs: DataFrame, seed: int = SEED) -> DataFrame:
     bit = F.length(F.bin("size")) - 1
     rows = rows.withColumn("class", (8 * bit + F.call_function("shiftright", F.col("size") * 8, bit)).cast("int"))
     rows = rows.withColumn("block", F.conv(F.substring("draw", 1, 4), 16, 10).cast("int") % BLOCKS)
-    rows = rows.withColumn("src", source)
+    # A key without nulls: the join below keeps the partitions of the ranking.
+    rows = rows.withColumn("src", F.coalesce(F.concat(F.lit("="), source.cast("string")), F.lit("")))
     counted = rows.groupBy("src", "class", "block").agg(F.count("*").alias("n"), F.sum("size").alias("words"))
     # Within a class the blocks are laid one behind the other.
-    totals = counted.groupBy(F.col("src").alias("source")).agg(F.sum("words").alias("source_size"), F.sum("n").alias("n_docs"))
-    goals = targets(totals)
+    totals = counted.groupBy("src").agg(F.sum("words").alias("source_size"), F.sum("n").alias("n_docs"))
+    goals = targets(totals.withColumn("source", F.when(F.col("src") != "", F.expr("substring(src, 2)"))).drop("src"))
     before = Window.partitionBy("src").orderBy("class", "block").rowsBetween(Window.unboundedPreceding, -1)
     starts = counted.withColumn("ahead", F.coalesce(F.sum("n").over(before), F.lit(0)))
     offset = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit("offset"), F.coalesce("source", F.lit("\x01null"))).cast("binary")), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
     goals = goals.withColumn("offset", offset)
-    plan = starts.join(goals, F.col("src").eqNullSafe(F.col("source"))).select(
-        F.col("src").alias("p_src"), F.col("class").alias("p_class"), F.col("block").alias("p_block"), "ahead", "source_size", "target", "rate", "offset")
+    goals = goals.withColumn("src", F.coalesce(F.concat(F.lit("="), "source"), F.lit("")))
+    plan = starts.join(goals, "src").select("src", "class", "block", "ahead", "source_size", "target", "rate", "offset")
     inside = Window.partitionBy("src", "class", "block").orderBy("size", "draw", doc_id.asc_nulls_first())
     ranked = rows.withColumn("place", F.row_number().over(inside))
-    met = ranked.join(plan, F.col("src").eqNullSafe(F.col("p_src")) & (F.col("class") == F.col("p_class")) & (F.col("block") == F.col("p_block")))
+    met = ranked.join(plan, ["src", "class", "block"])
     rank = F.col("ahead") + F.col("place")
     upto = lambda r: F.floor(r * F.col("rate") + F.col("offset"))
     met = met.withColumn("copies", (upto(rank) - upto(rank - 1)).cast("long"))
