@@ -6,13 +6,11 @@ return the columns of ``documents``.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from voxmill.llm import decontaminate, jaccard, mixing, quality, secrets
 from voxmill.llm.frames import table
-from voxmill.session import workspace
+from voxmill.session import discard, store
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,7 +54,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages on ``documents``; each stage's result is stored and read again."""
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
-        path = f"{workspace(spark)}/stage-{uuid.uuid4().hex}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        before, docs = docs, store(stage(spark, docs, sf_dir), "stage")
+        discard(before)
     return docs
