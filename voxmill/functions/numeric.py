@@ -27,14 +27,21 @@ def smooth_columns(block: np.ndarray, taps: np.ndarray) -> np.ndarray:
 
 
 def lower_envelope(block: np.ndarray) -> np.ndarray:
-    """``min over j of block[j] + (i - j)^2`` down axis 0 (squared distances)."""
+    """``min over j of block[j] + (i - j)^2`` down axis 0 (squared distances).
+
+    Columns without background stay ``FAR`` and take no part in the search.
+    """
+    out = np.full_like(block, FAR)
+    live = (block < FAR).any(axis=0)
+    block = block[:, live]
     best = block.copy()
     for k in range(1, len(block)):
         if k * k >= best.max(initial=0):
             break
         np.minimum(best[k:], block[:-k] + k * k, out=best[k:])
         np.minimum(best[:-k], block[k:] + k * k, out=best[:-k])
-    return np.minimum(best, FAR)
+    out[:, live] = np.minimum(best, FAR)
+    return out
 
 
 def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
