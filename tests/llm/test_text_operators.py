@@ -183,6 +183,30 @@ def test_lm_is_normalised_and_learns_what_follows(spark):
         assert (10.0**p).sum() == pytest.approx(1, abs=1e-5)
 
 
+def _pairs(rng, n, partners):
+    """Texts of two-word phrases: the second word is given by the first."""
+    return [" ".join(f"{w} {partners[w]}" for w in (rng.choice(list(partners)) for _ in range(n))) for _ in range(1200)]
+
+
+def test_lm_knows_all_words_above_a_count(spark):
+    # 1,200 words, far more than a fixed head holds; half of them follow from the word before.
+    rng = random.Random(6)
+    partners = {f"first{k}": f"then{k}" for k in range(600)}
+    rows = [(k, t, "s", 1) for k, t in enumerate(_pairs(rng, 90, partners))]
+    docs = spark.createDataFrame(rows, H.DOCS)
+    counts = lm.count_words(lm._folded(docs))
+    known, found = lm._frequent(counts, lm.KNOWN)
+    words = lm.Vocabulary(known, found, int(found.sum()), len(known))
+    assert words.size == 1200 + 2 and words.other_total == 0
+    every = np.arange(words.size)
+    p = lm.LogBilinear(words).log10_probabilities(every, np.stack([np.full(words.size, 7), np.full(words.size, 1100)]))
+    assert (10.0**p).sum() == pytest.approx(1, abs=1e-4)
+    # Many small partitions train as well.
+    for parts in (2, 40):
+        told = lm.score(docs.repartition(parts)).where("held_out").agg(F.sum("base_score"), F.sum("score")).first()
+        assert told[1] > 0.92 * told[0]
+
+
 def test_fingerprints_against_edits(docs, rows, empty):
     found = fingerprints.against_edits(docs).collect()
     ordered = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""))

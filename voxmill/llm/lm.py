@@ -1,12 +1,16 @@
 """LM scoring: a log-bilinear neural model, trained in NumPy by noise-contrastive estimation.
 
-The model predicts the next of the ``HEAD`` most frequent words, the end of a text,
-or "another word" from the two tokens before; another word is then drawn by its
-smoothed count.  So every text has a normalised probability, whatever its words.
+The model predicts the next of the frequent words, the end of a text, or "another
+word" from the two tokens before; another word is then drawn by its smoothed count.
+The frequent words are all that occur ``LEAST`` times, so they grow with the corpus;
+a word is predicted as its class, then as itself in the class, so that normalising
+takes about the root of their number.  So every text has a normalised probability,
+whatever its words.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,14 +22,25 @@ from pyspark.sql import functions as F
 from voxmill.llm import frames, texts
 from voxmill.session import store
 
-#: Words that the neural model tells apart; the end of a text and another word come on top.
+#: Training count from which the neural model tells a word apart, and most of the top
+#: words that it knows in any case; the end of a text and another word come on top.
+LEAST = 100
 HEAD = 254
 WIDTH = 16
 ORDER = 2
-NOISE = 32
+#: Noise classes of a batch, and noise words of a token in its class.
+NOISE, NOISE_INSIDE = 32, 4
 BATCH = 1024
+#: Parts of the training texts; after each, the tasks' models are averaged.
+ROUNDS = 4
+#: A task with fewer batches in a round repeats them up to this number, at most ``EPOCHS`` times.
+STEPS, EPOCHS = 200, 10
+#: Models that learn at once, by core: each goes to the average once a round, so their number is not that of the partitions.
+LEARNERS = 2
+#: Rows of the model in one row of the averaging.
+BLOCK = 64
 RATE = 0.05
-#: Most words whose counts are broadcast; counts of rarer words are joined.
+#: Most words whose counts are broadcast beside the model's own; counts of rarer words are joined.
 KNOWN = 1 << 18
 #: Different words a task holds before it passes counts on.
 HELD = 1 << 20
@@ -89,7 +104,7 @@ def count_words(folded: DataFrame) -> DataFrame:
 
 
 def _frequent(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes (sorted) and counts of at most ``most`` words, none rarer than those left out."""
+    """Hashes (sorted) and counts of at most ``most`` words, or of all with ``LEAST``, none rarer than those left out."""
     level = F.floor(F.log2("c") * 16).cast("int")
     rows = sorted(counts.groupBy(level.alias("level")).agg(F.count("*").alias("n"), F.min("c").alias("c")).collect(), key=lambda r: -r["level"])
     least, n = None, 0
@@ -98,36 +113,46 @@ def _frequent(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
         if n > most:
             break
         least = r["c"]
-    if least is None:
-        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
-    table = counts.where(F.col("c") >= least).select("h", "c").toArrow()  # at most ``most`` rows
+    least = LEAST if least is None else min(least, LEAST)
+    table = counts.where(F.col("c") >= least).select("h", "c").toArrow()  # at most ``most`` rows, or the model's words
     h, c = np.asarray(table["h"]).astype(np.int64).view(np.uint64), np.asarray(table["c"]).astype(np.int64)
     order = np.argsort(h)
     return h[order], c[order]
 
 
 class Vocabulary:
-    """Ids of tokens in the model: words of the head, the end, another word."""
+    """Ids of tokens in the model: words of the head by falling count, the end, another word.
+
+    Classes are runs of ids, about as many as a class has words; the end and another
+    word are classes of their own.
+    """
 
     def __init__(self, known: np.ndarray, counts: np.ndarray, total: int, different: int):
         self.known, self.counts, self.total, self.different = known, counts, total, different
         words = np.flatnonzero(known != END_HASH)
-        top = words[np.lexsort((known[words], -counts[words]))[:HEAD]]
-        self.head = np.sort(known[top])
+        words = words[np.lexsort((known[words], -counts[words]))]
+        top = words[:max(HEAD, int((counts[words] >= LEAST).sum()))]
+        self.id_of = np.argsort(known[top])
+        self.head = known[top][self.id_of]
         self.size = len(self.head) + 2
         self.end, self.other = len(self.head), len(self.head) + 1
-        own = counts[np.searchsorted(known, self.head)] if len(top) else np.zeros(0, dtype=np.int64)
+        own = counts[top].astype(np.int64)
         ends = int(counts[known == END_HASH].sum())
         self.other_total = total - int(own.sum()) - ends
         self.other_words = different - len(self.head) - (ends > 0)
         unigram = np.concatenate([own, [ends, self.other_total]]).astype(np.float64) + 1.0
         self.unigram = unigram / unigram.sum()
+        in_class = max(1, math.isqrt(len(top)))
+        self.first = np.concatenate([np.arange(0, len(top), in_class), [self.end, self.other, self.size]])
+        self.class_of = np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
+        self.class_unigram = np.add.reduceat(self.unigram, self.first[:-1])
+        self.inside = self.unigram / self.class_unigram[self.class_of]
 
     def ids(self, h: np.ndarray) -> np.ndarray:
         out = np.full(len(h), self.other, dtype=np.int64)
         if len(self.head):
             at = np.minimum(np.searchsorted(self.head, h), len(self.head) - 1)
-            out = np.where(self.head[at] == h, at, out)
+            out = np.where(self.head[at] == h, self.id_of[at], out)
         out[h == END_HASH] = self.end
         return out
 
@@ -139,77 +164,138 @@ class Vocabulary:
         return np.where(self.known[at] == h, self.counts[at], -1)
 
 
+def _by_row(rows: np.ndarray, grads: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Different rows and the sum of the gradients of each."""
+    order = np.argsort(rows, kind="stable")
+    near = rows[order]
+    first = np.flatnonzero(np.concatenate([[True], near[1:] != near[:-1]])) if len(near) else np.zeros(0, dtype=np.int64)
+    return near[first], np.add.reduceat(grads[order], first, axis=0) if len(near) else grads
+
+
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+
+
 class LogBilinear:
-    """score(w | u, v) = (A[u] * a + A[v] * b) . Q[w] + bias[w]; u and v are the tokens before.
+    """P(w | u, v) = P(class of w | u, v) P(w | its class, u, v), both by q = A[u] * a + A[v] * b.
 
-    Id ``size`` stands for what is before a text.
+    A class's score is q . R[class] + its bias, a word's in its class q . Q[w] + its
+    bias; u and v are the tokens before.  Id ``size`` stands for what is before a text.
+    All parameters are rows of one table: (A, Q, bias) of the ids, (R, bias) of the
+    classes, and a and b; ``squares`` are AdaGrad's sums.
     """
 
     def __init__(self, vocabulary: Vocabulary):
         rng = np.random.default_rng(3)
-        n = vocabulary.size
-        self.unigram = vocabulary.unigram
-        self.parts = {
-            "A": rng.normal(0, 0.1, (n + 1, WIDTH)), "Q": rng.normal(0, 0.1, (n, WIDTH)),
-            "C": np.ones((ORDER, WIDTH)), "bias": np.log(self.unigram)[:, None]}
+        n, m = vocabulary.size, len(vocabulary.class_unigram)
+        self.words = vocabulary
+        self.table = np.zeros((n + 1 + m + ORDER, 2 * WIDTH + 1), dtype=np.float32)
+        self.table[:, :2 * WIDTH] = rng.normal(0, 0.1, (len(self.table), 2 * WIDTH))
+        self.table[:n, -1] = np.log(vocabulary.inside)
+        self.table[n + 1:n + 1 + m, -1] = np.log(vocabulary.class_unigram)
+        self.table[n + 1 + m:] = 1
+        self.squares = np.full_like(self.table, 1e-6)
+        self._views()
+
+    def _views(self) -> None:
+        n, m = self.words.size, len(self.words.class_unigram)
+        for of, name in ((self.table, ""), (self.squares, "_squares")):
+            parts = {"A": of[:n + 1, :WIDTH], "Q": of[:n, WIDTH:2 * WIDTH], "bias": of[:n, -1], "R": of[n + 1:n + 1 + m, WIDTH:2 * WIDTH],
+                     "class_bias": of[n + 1:n + 1 + m, -1], "C": of[n + 1 + m:, :WIDTH]}
+            for k, part in parts.items():
+                setattr(self, k + name, part)
 
     def flat(self) -> np.ndarray:
-        return np.concatenate([p.ravel() for p in self.parts.values()])
+        """One row for each of the table's: parameters, then sums of squares."""
+        return np.concatenate([self.table, self.squares], axis=1)
 
     def load(self, flat: np.ndarray) -> LogBilinear:
-        at = 0
-        for name, p in self.parts.items():
-            self.parts[name] = flat[at:at + p.size].reshape(p.shape)
-            at += p.size
+        self.table, self.squares = flat[:, :2 * WIDTH + 1].copy(), flat[:, 2 * WIDTH + 1:].copy()
+        self._views()
         return self
 
     def context(self, before: np.ndarray) -> np.ndarray:
-        return sum(self.parts["A"][before[k]] * self.parts["C"][k] for k in range(ORDER))
-
-    def trainer(self):
-        """A step on ids and what is before them, by AdaGrad."""
-        squares = {k: np.full_like(p, 1e-6) for k, p in self.parts.items()}
-        rng = np.random.default_rng(4)
-        log_noise = np.log(NOISE * self.unigram)
-
-        def gather(rows: np.ndarray, grads: np.ndarray, n: int) -> np.ndarray:
-            return np.stack([np.bincount(rows, g, n) for g in grads.T], axis=1)
-
-        def step(words: np.ndarray, before: np.ndarray) -> None:
-            A, Q, C, bias = self.parts.values()
-            noise = rng.choice(len(self.unigram), NOISE, p=self.unigram)
+        return sum(self.A[before[k]] * self.C[k] for k in range(ORDER))
+
+    def _move(self, name: str, rows: np.ndarray | slice, g: np.ndarray, n: int) -> None:
+        of, squares = getattr(self, name), getattr(self, name + "_squares")
+        g = g / np.float32(n)
+        own = squares[rows] + g * g
+        squares[rows] = own
+        of[rows] += np.float32(RATE) * g / np.sqrt(own)
+
+    def trainer(self, seed: tuple[int, ...] = (4,)):
+        """A step on ids and what is before them, by AdaGrad; only rows that a batch meets move."""
+        rng = np.random.default_rng(seed)
+        words = self.words
+        log_class = np.log(NOISE * words.class_unigram).astype(np.float32)
+        log_inside = np.log(NOISE_INSIDE * words.inside).astype(np.float32)
+        upto = np.cumsum(words.unigram)
+        below = np.concatenate([[0.0], upto])[words.first]
+        every = slice(None)
+
+        def step(ids: np.ndarray, before: np.ndarray) -> None:
+            n = len(ids)
             q = self.context(before)
-            met = (q * Q[words]).sum(1) + bias[words, 0] - log_noise[words]
-            odd = q @ Q[noise].T + bias[noise, 0] - log_noise[noise]
-            up = 1 / (1 + np.exp(np.clip(met, -30, 30)))
-            down = -1 / (1 + np.exp(-np.clip(odd, -30, 30)))
-            dq = up[:, None] * Q[words] + down @ Q[noise]
-            dQ = gather(words, up[:, None] * q, len(Q)) + gather(noise, down.T @ q, len(Q))
-            db = np.bincount(words, up, len(Q)) + np.bincount(noise, down.sum(0), len(Q))
-            dA = sum(gather(before[k], dq * C[k], len(A)) for k in range(ORDER))
-            dC = np.stack([(dq * A[before[k]]).sum(0) for k in range(ORDER)])
-            for name, g in (("A", dA), ("Q", dQ), ("C", dC), ("bias", db[:, None])):
-                g = g / len(words)
-                squares[name] += g * g
-                self.parts[name] += RATE * g / np.sqrt(squares[name])
+            own = words.class_of[ids]
+            noise = rng.choice(len(words.class_unigram), NOISE, p=words.class_unigram)
+            up = 1 - _sigmoid((q * self.R[own]).sum(1) + self.class_bias[own] - log_class[own])
+            down = -_sigmoid(q @ self.R[noise].T + self.class_bias[noise] - log_class[noise])
+            dq = up[:, None] * self.R[own] + down @ self.R[noise]
+            rows, g = _by_row(np.concatenate([own, noise]), np.concatenate(
+                [np.column_stack([up[:, None] * q, up]), np.column_stack([down.T @ q, down.sum(0)])]).astype(np.float32))
+
+            # Words within their class; the end and another word are alone in theirs.
+            at = np.flatnonzero(ids < words.end)
+            w, c, qw = ids[at], own[at], q[at]
+            drawn = below[c][:, None] + rng.random((len(at), NOISE_INSIDE)) * (below[c + 1] - below[c])[:, None]
+            odd = np.clip(np.searchsorted(upto, drawn, side="right"), words.first[c][:, None], words.first[c + 1][:, None] - 1)
+            both = np.concatenate([w[:, None], odd], axis=1)
+            Q = self.Q[both]
+            pull = -_sigmoid(np.einsum("nkw,nw->nk", Q, qw) + self.bias[both] - log_inside[both])
+            pull[:, 0] += 1
+            dq[at] += np.einsum("nk,nkw->nw", pull, Q)
+            inner, h = _by_row(both.ravel(), np.concatenate([pull[:, :, None] * qw[:, None, :], pull[:, :, None]], axis=2).reshape(-1, WIDTH + 1))
+
+            seen, a = _by_row(before.ravel(), np.concatenate([dq * self.C[k] for k in range(ORDER)]))
+            dC = np.stack([(dq * self.A[before[k]]).sum(0) for k in range(ORDER)])
+            self._move("R", rows, g[:, :-1], n)
+            self._move("class_bias", rows, g[:, -1], n)
+            if len(at):
+                self._move("Q", inner, h[:, :-1], n)
+                self._move("bias", inner, h[:, -1], n)
+            self._move("A", seen, a, n)
+            self._move("C", every, dC, n)
 
         return step
 
     def log10_probabilities(self, words: np.ndarray, before: np.ndarray) -> np.ndarray:
-        """Normalised, by one matrix product per run of different contexts."""
-        n = len(self.parts["A"])
+        """Normalised: over the classes by a matrix product per run of different contexts, then within each class."""
+        n = len(self.A)
         code, where = np.unique(before[0] * n + before[1], return_inverse=True)
         order = np.argsort(where, kind="stable")
         edges = np.searchsorted(where[order], np.arange(0, len(code) + BATCH, BATCH))
+        contexts = self.context(np.stack([code // n, code % n]))
+        classes = self.words.class_of[words]
         out = np.empty(len(words))
         for k in range(0, len(code), BATCH):
-            q = self.context(np.stack([code[k:k + BATCH] // n, code[k:k + BATCH] % n]))
-            scores = (q @ self.parts["Q"].T + self.parts["bias"][:, 0]).astype(np.float32)
-            top = scores.max(1)
-            total = np.log(np.exp(scores - top[:, None]).sum(1)) + top
             own = order[edges[k // BATCH]:edges[k // BATCH + 1]]
-            out[own] = (scores[where[own] - k, words[own]] - total[where[own] - k]) / np.log(10)
-        return out
+            out[own] = _log_softmax(contexts[k:k + BATCH], self.R, self.class_bias, where[own] - k, classes[own])
+        inside = np.flatnonzero(words < self.words.end)
+        inside = inside[np.argsort(classes[inside], kind="stable")]
+        for run in np.split(inside, np.flatnonzero(np.diff(classes[inside])) + 1) if len(inside) else []:
+            a, b = self.words.first[classes[run[0]]:][:2]
+            for k in range(0, len(run), BATCH):
+                own = run[k:k + BATCH]
+                out[own] += _log_softmax(contexts[where[own]], self.Q[a:b], self.bias[a:b], np.arange(len(own)), words[own] - a)
+        return out / np.log(10)
+
+
+def _log_softmax(q: np.ndarray, vectors: np.ndarray, bias: np.ndarray, row: np.ndarray, column: np.ndarray) -> np.ndarray:
+    scores = q @ vectors.T + bias
+    top = scores.max(1)
+    total = np.log(np.exp(scores - top[:, None]).sum(1)) + top
+    return scores[row, column] - total[row]
 
 
 def _before(ids: np.ndarray, tokens: Tokens, nothing: int) -> np.ndarray:
@@ -222,30 +308,79 @@ def _before(ids: np.ndarray, tokens: Tokens, nothing: int) -> np.ndarray:
     return out
 
 
+def _weights(vocabulary: Vocabulary, met: np.ndarray, docs: int) -> np.ndarray:
+    """Weight of each row of a task's model in the average: how often the task met it."""
+    classes = np.add.reduceat(met, vocabulary.first[:-1])
+    return np.concatenate([met, [docs], classes, np.full(ORDER, met.sum())]).astype(np.float64)
+
+
+def _mean(table: pa.Table) -> pa.Table:
+    """Weighted mean of one block of rows over the tasks; NaN where no task met a row."""
+    total, weight = 0.0, 0.0
+    for w, v in zip(table["w"], table["v"], strict=True):
+        w = np.frombuffer(w.as_py(), dtype=np.float64)
+        total = total + w[:, None] * np.frombuffer(v.as_py(), dtype=np.float32).reshape(len(w), -1)
+        weight = weight + w
+    with np.errstate(invalid="ignore"):
+        mean = (total / weight[:, None]).astype(np.float32)
+    return pa.table({"k": table["k"].slice(0, 1), "v": pa.array([mean.tobytes()], pa.binary())})
+
+
 def train(folded: DataFrame, vocabulary: Vocabulary) -> np.ndarray:
-    """Parameters of the model: every task trains on all its texts, then all are averaged by tokens."""
-    shared = folded.sparkSession.sparkContext.broadcast(vocabulary)
+    """Parameters of the model, by ``ROUNDS`` of training in every task and averaging.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = LogBilinear(shared.value)
-        step, seen = model.trainer(), 0
-        for batch in batches:
-            for part in texts.slices(texts.column(batch, "text")):
-                tokens = Tokens(part)
-                ids = shared.value.ids(tokens.hashes)
-                before = _before(ids, tokens, shared.value.size)
-                for k in range(0, len(ids), BATCH):
-                    step(ids[k:k + BATCH], before[:, k:k + BATCH])
-                seen += len(ids)
-        if seen:
-            flat = model.flat()
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat)), pa.int32()), pa.array(flat * seen), pa.array(np.full(len(flat), float(seen)))], ["k", "v", "w"])
-
-    rows = folded.where("not held_out").select("text").mapInArrow(run, "k int, v double, w double")
-    mean = rows.groupBy("k").agg((F.sum("v") / F.sum("w")).alias("v")).collect()  # as many rows as the model has parameters
+    A round is a part of the texts.  Tasks start from the last average; those with few
+    texts repeat them, so the number of steps behind a model does not fall with the
+    size of the partitions.  Each row's average is by how often a task met its word: a
+    task that never saw a word does not hold it back.
+    """
+    context = folded.sparkSession.sparkContext
+    texts_of = folded.where("not held_out")
     flat = LogBilinear(vocabulary).flat()
-    for r in mean:
-        flat[r["k"]] = r["v"]
+    for turn in range(ROUNDS):
+        shared = context.broadcast((vocabulary, flat))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, turn=turn) -> Iterator[pa.RecordBatch]:
+            words, start = shared.value
+            model = LogBilinear(words).load(start)
+            step = model.trainer((4, turn, TaskContext.get().partitionId()))
+            met, docs, steps, held = np.zeros(words.size, dtype=np.int64), 0, 0, []
+            for batch in batches:
+                for part in texts.slices(texts.column(batch, "text")):
+                    tokens = Tokens(part)
+                    ids = words.ids(tokens.hashes)
+                    before = _before(ids, tokens, words.size)
+                    for k in range(0, len(ids), BATCH):
+                        step(ids[k:k + BATCH], before[:, k:k + BATCH])
+                        steps += 1
+                        if steps < STEPS:
+                            held.append((ids[k:k + BATCH], before[:, k:k + BATCH]))
+                        else:
+                            held = []
+                    met += np.bincount(ids, minlength=words.size)
+                    docs += len(part)
+            for _ in range(EPOCHS - 1):
+                for own in held if steps < STEPS else []:
+                    step(*own)
+                    steps += 1
+            if docs:
+                rows, weights = model.flat(), _weights(words, met, docs)
+                first = range(0, len(rows), BLOCK)
+                for a in range(0, len(first), 256):
+                    own = first[a:a + 256]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([k // BLOCK for k in own], pa.int32()), pa.array([rows[k:k + BLOCK].tobytes() for k in own], pa.binary()),
+                         pa.array([weights[k:k + BLOCK].tobytes() for k in own], pa.binary())], ["k", "v", "w"])
+
+        part = texts_of.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(ROUNDS)) == turn)
+        rows = part.select("text").coalesce(LEARNERS * context.defaultParallelism).mapInArrow(run, "k int, v binary, w binary")
+        mean = rows.groupBy("k").applyInArrow(_mean, "k int, v binary").collect()  # the model once
+        flat = flat.copy()
+        for r in mean:
+            own = flat[r["k"] * BLOCK:(r["k"] + 1) * BLOCK]
+            new = np.frombuffer(r["v"], dtype=np.float32).reshape(own.shape)
+            own[:] = np.where(np.isnan(new), own, new)
+        shared.destroy()
     return flat
 
 
@@ -262,7 +397,7 @@ def score(docs: DataFrame) -> DataFrame:
     (c + 0.1) / (its total + 0.1 * (its words + 1)).
 
     Counts are exact over the whole corpus, by 64-bit hashes of words.  Up to ``KNOWN``
-    frequent words are looked up in a broadcast table; rarer ones meet their counts in a
+    frequent words (or the model's own, if more) are looked up in a broadcast table; rarer ones meet their counts in a
     join, summed per document before.  Null texts count as empty (one end), a null id as
     an empty one, which is held out.  Repeated rows are scored separately and alike.
     With nothing to learn from, every word is another word and every count 0.
