@@ -289,6 +289,24 @@ def test_secret_constants_reach_every_name():
     assert len(secrets.literal_spans('v = "Zx81kPq0Lm55Rt"\nplain = v\napi_secret = plain\nother = v\n')) == 1
 
 
+@pytest.mark.parametrize("form", [
+    'config["db_password"] = "{}"', "os.environ['DB_PASSWORD']='{}'", "'password' => '{}',", '"api_secret" => "{}"', 'password: str = "{}"',
+    'let dbPassword: string = "{}";', 'db_pwd: Optional[str] = "{}"', 'auth_token: str | None = "{}"', 'var dbPassword string = "{}"',
+    'secret: string = "{}"', 'password = """{}"""', "db_pwd = '''\n{}\n'''"])
+def test_secret_assignment_forms(form):
+    value = "Zx81kPq0Lm55Rt"
+    text = "x\n" + form.format(value) + "\ny"
+    base, every = secrets.spans_of(text)
+    assert value in [text[s.cut_from:s.end] for s in every] and value not in secrets.redacted(text, every)
+
+
+def test_secret_bare_values_without_digits():
+    for text in ("db_pwd=correcthorsebattery", "A=b\nexport DB_PWD=correcthorsebattery # x\n", "db:\n  db_pwd: correcthorsebattery\n"):
+        assert [text[s.start:s.end] for s in secrets.literal_spans(text)] == ["correcthorsebattery"]
+    for text in ("db_pwd = default_account_value", "f(db_pwd=correcthorsebattery)", "a db_pwd: whichever you like", "dbPwd: SecretStringProvider = x", "pwd => decode2utf8(pwd)"):
+        assert secrets.literal_spans(text) == []
+
+
 def test_secret_scan_of_a_table(spark, rows, docs, empty):
     told = spark.createDataFrame([*rows, (900, 'é token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff" z', "s", 1)], H.DOCS)
     found = secrets.scan(told.withColumn("spans", F.lit(0))).where("doc_id = 900").first()

@@ -33,10 +33,22 @@ HARMLESS = frozenset("count counts length len size max min limit limits type nam
                      "hint policy regex pattern format expiry expires ttl timeout public column header prefix suffix".split())
 PLACEHOLDER = re.compile(r"(?i)^(x+|\*+|\.+|-+|0+|none|null|true|false|undefined|changeme|example|placeholder|todo|your[-_ ].*|<.*>|\$\{.*\}|\{\{.*\}\}|%.*%)$")
 ENOUGH = 5.0
+#: Least score of a bare value without a digit, which may be a word or a name.
+BARE = 3.0
 
 _SEPARATOR = re.compile(r"[:=]")
 _NAME = re.compile(r"""(?:^|[^\w.\-$])(["']?)([A-Za-z_$][\w.\-$]*)\1[ \t]*:?$""", re.ASCII)
-_OPERAND = re.compile(r"""[ \t]*(?:[rbufRBUF]{0,2}"((?:[^"\\\n]|\\.)*)"|[rbufRBUF]{0,2}'((?:[^'\\\n]|\\.)*)'|`([^`\n]*)`|([A-Za-z0-9_$+/.\-]+=*))""", re.ASCII)
+#: The key of a subscript: name["key"].
+_KEY = re.compile(r'''\[[ \t]*(["'])([A-Za-z_$][\w.\-$]*)\1[ \t]*\][ \t]*:?$''', re.ASCII)
+#: A name with its type: name: type, or var name type.
+_TYPED = re.compile(r'''(?:^|[^\w.\-$])(?:([A-Za-z_$][\w$]*)[?!]?[ \t]*:|(?:var|const|let)[ \t]+([A-Za-z_$][\w$]*)[ \t])[ \t]*&?[A-Za-z_][\w.:]*'''
+                    r'''(?:[\[<][\w., \t|:<>\[\]'&"]*[\]>])?(?:[ \t]*\|[ \t]*[A-Za-z_][\w.]*)*\??[ \t]*$''', re.ASCII)
+_OPERAND = re.compile(r'''[ \t]*(?:[rbufRBUF]{0,2}\"""((?:[^"\\]|\\.|"(?!""))*)\"""|[rbufRBUF]{0,2}\'\'\'((?:[^'\\]|\\.|'(?!''))*)\'\'\''''
+                      r'''|[rbufRBUF]{0,2}"((?:[^"\\\n]|\\[^\n])*)"|[rbufRBUF]{0,2}'((?:[^'\\\n]|\\[^\n])*)'|`([^`\n]*)`|([A-Za-z0-9_$+/.\-]+=*))''', re.ASCII | re.DOTALL)
+_BARE_GROUP = 6
+#: A line that is a name so far, as in settings; and what may follow a bare value there.
+_SETTING = re.compile(r'''(?:^|\n)[ \t]*(?:(?:export|set)[ \t]+|-[ \t]+)?["']?[\w.\-]+["']?$''', re.ASCII)
+_LINE_END = re.compile(r"[ \t]*(?:[#;][^\n]*)?\r?(?:\n|\Z)")
 _PLUS = re.compile(r"[ \t]*\+(?=[ \t]*[\"'`A-Za-z_$])")
 _PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 _LOOK_BACK = 120
@@ -81,8 +93,10 @@ def literal_score(value: str) -> float:
 def literal_spans(text: str) -> list[Span]:
     """Literals bound to sensitive names, directly or through other names.
 
-    Reads ``name = value``, ``name: value``, ``name := value`` and ``"name": value``.
-    A value is a quoted literal, a bare one, a known name, or a sum of these.  A name
+    Reads ``name = value``, ``name: value``, ``name := value``, ``name => value``, and
+    ``"name"``, ``x["name"]``, ``name: type`` or ``var name type`` in the name's place.
+    A value is a literal in quotes or triple quotes, a bare one, a known name, or a sum
+    of these; a bare one without a digit has to be all of a setting's line.  A name
     keeps the literals of its last binding, so a literal counts for every name that it
     reaches; the most sensitive of them scores it.
     """
@@ -94,19 +108,30 @@ def literal_spans(text: str) -> list[Span]:
         at = m.start()
         if at < behind or text[at + 1:at + 2] in ("=", ":") and text[at] == text[at + 1:at + 2]:
             continue
-        left = _NAME.search(text[max(0, at - _LOOK_BACK):at])
-        if not left or text[at - 1:at] in ("!", "<", ">", "="):
+        before = text[max(0, at - _LOOK_BACK):at]
+        left = _KEY.search(before) or _NAME.search(before)
+        if text[at - 1:at] in ("!", "<", ">", "=") and not (text[at] == "=" and _TYPED.search(before)):
             continue
-        name, found, pos = left[2], [], at + 1
-        if text[at] == ":" and text[pos:pos + 1] == "=":
+        name, found, pos = left[2] if left else None, [], at + 1
+        arrow = text[at] == "=" and text[pos:pos + 1] == ">"
+        if text[at] == "=" and not arrow and (typed := _TYPED.search(before)):
+            name = typed[1] or typed[2]
+        if name is None:
+            continue
+        if arrow or text[at] == ":" and text[pos:pos + 1] == "=":
             pos += 1
         while operand := _OPERAND.match(text, pos):
             group = operand.lastindex
-            value, pos = operand[group], operand.end()
-            if group == 4 and value in bound:
+            value, start, pos = operand[group], operand.start(group), operand.end()
+            if group == _BARE_GROUP and value in bound:
                 found.append(bound[value])
-            elif group != 4 or any(c.isdigit() for c in value):
-                found.append((operand.start(group), operand.end(group)))
+            elif group != _BARE_GROUP:
+                inner = value.strip() if group < 3 else value
+                start += value.index(inner)
+                found.append((start, start + len(inner)))
+            elif not arrow and (any(c.isdigit() for c in value) or not found and literal_score(value) >= BARE
+                                and (text[at] == ":" or start == at + 1) and _SETTING.search(before) and _LINE_END.match(text, pos)):
+                found.append((start, pos))
             plus = _PLUS.match(text, pos)
             if not plus:
                 break
