@@ -80,4 +80,21 @@ SELECT doc_id, size, source_size, target, CAST(floor(k * rate + start) - floor((
 FROM r JOIN goal ON r.source IS NOT DISTINCT FROM goal.source
 """
 
-ORACLES = {"op3_decontamination": OP3, "op4_substring_dedup": OP4, "op5_jaccard_join": OP5, "op10_source_mixing": OP10}
+OP12 = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER}, {_PLAIN}) AS w FROM documents),
+k AS (SELECT count(*) AS docs, CAST(sum(len(w)) AS BIGINT) AS terms FROM d WHERE len(w) > 0),
+q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all({_LOWER}, {_PLAIN})) AS t FROM benchmark),
+f AS (
+  SELECT doc_id, n, t, count(*) AS tf FROM (SELECT doc_id, CAST(len(w) AS BIGINT) AS n, unnest(w) AS t FROM d)
+  WHERE t IN (SELECT t FROM q) GROUP BY 1, 2, 3),
+wt AS (SELECT t, CAST(floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE)) AS BIGINT) AS weight
+  FROM (SELECT t, count(*) AS df FROM f GROUP BY 1) CROSS JOIN k),
+s AS (
+  SELECT item_id, doc_id, CAST(sum(weight * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // terms)))) AS BIGINT) AS score
+  FROM q JOIN f USING (t) JOIN wt USING (t) CROSS JOIN k GROUP BY 1, 2)
+SELECT item_id, rank, doc_id, score FROM (
+  SELECT item_id, doc_id, score, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM s WHERE score > 0)
+WHERE rank <= 10
+"""
+
+ORACLES = {"op3_decontamination": OP3, "op4_substring_dedup": OP4, "op5_jaccard_join": OP5, "op10_source_mixing": OP10, "op12_lexical_search": OP12}

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxmill.llm import decontaminate, fingerprints, jaccard, lm, mixing, pages, quality, secrets, substrings, urls
+from voxmill.llm import decontaminate, fingerprints, jaccard, lexical, lm, mixing, packing, pages, quality, secrets, substrings, trie, urls
 from voxmill.llm.frames import table
 from voxmill.llm.oracles import ORACLES
 
@@ -61,6 +62,20 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    pieces = packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.rank(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_importance_resampling, op2_url_filter, op3_decontamination, op4_substring_dedup, op5_jaccard_join, op6_lm_scoring,
-    op7_html_extraction, op8_secret_scan, op9_fingerprints, op10_source_mixing)}
+    op7_html_extraction, op8_secret_scan, op9_fingerprints, op10_source_mixing, op11_packing, op12_lexical_search, op13_prefix_trie)}
