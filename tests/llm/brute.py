@@ -50,8 +50,9 @@ def trie(turns, family=100, heads=6):
     own = defaultdict(list)
     for c, turn, role, text in turns:
         if c is not None:
-            own[c].append((turn is not None, turn or 0, role or "", text or ""))
-    own = {c: [t[2:] for t in sorted(ts)] for c, ts in own.items()}
+            tie = hashlib.md5(f"{role or ''}\n{text or ''}".encode()).hexdigest()
+            own[c].append((turn is not None, turn or 0, tie, role or "", text or ""))
+    own = {c: [t[3:] for t in sorted(ts)] for c, ts in own.items()}
     members, ends = defaultdict(list), defaultdict(list)
     for c in sorted(own):
         h = zlib.crc32(str(c).encode()) % heads

@@ -64,7 +64,7 @@ def test_cuts_cost_least():
             total = rng.randrange(1, 70)
             ends = np.array(sorted({*rng.sample(range(1, total + 1), min(total, rng.randrange(1, 6))), total}))
             inner = np.array(sorted(set(rng.sample(range(1, total + 1), min(total, rng.randrange(8)))) - set(ends.tolist())), dtype=np.int64)
-            at, cost = packing.candidates(ends, inner, rng.choice([1, 3, limit]))
+            at, cost = packing.candidates(ends, inner, rng.choice([1, 3, limit]), rng.choice([0, 5]))
             assert np.diff(at).max() <= limit and at[0] == 0 and at[-1] == total
             cuts = packing.best_cuts(at, cost, limit)
             assert cuts[0] == 0 and cuts[-1] == total and max(np.diff(cuts)) <= limit

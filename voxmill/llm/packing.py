@@ -32,14 +32,18 @@ BLOCK_BYTES, MOST_BLOCKS = 16 << 20, 1 << 15
 ENCODE_BYTES = 8 << 20
 
 
-def candidates(doc_ends: np.ndarray, sentence_ends: np.ndarray, stride: int = STRIDE) -> tuple[np.ndarray, np.ndarray]:
-    """Positions where a window may end, ascending from 0, and the cost of a cut at each."""
+def candidates(doc_ends: np.ndarray, sentence_ends: np.ndarray, stride: int = STRIDE, fine: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Positions where a window may end, ascending from 0, and the cost of a cut at each.
+
+    Each of the last ``fine`` positions is one of them: what is left at the end of a block is
+    then cut into lengths that need no padding, if that is cheaper.
+    """
     marks = np.union1d(np.append(doc_ends, 0), sentence_ends)
     gaps = np.diff(marks)
     wide = np.flatnonzero(gaps > stride)
     more = (gaps[wide] - 1) // stride
     inner = np.repeat(marks[wide], more) + stride * (np.arange(more.sum()) - np.repeat(np.cumsum(more) - more, more) + 1)
-    at = np.union1d(marks, inner)
+    at = np.union1d(marks, np.append(inner, np.arange(max(0, marks[-1] - fine), marks[-1])))
     cost = np.full(len(at), INNER_CUT, dtype=np.int64)
     cost[np.searchsorted(at, sentence_ends)] = SENTENCE_CUT
     cost[np.searchsorted(at, doc_ends)] = 0
@@ -120,7 +124,7 @@ class Packer:
         doc_ends = np.cumsum(left)
         begins = doc_ends - left
         sentences = [b + s[(s > out) & (s < len(ids) - 1)] - out for b, (_, ids, s, out) in zip(begins.tolist(), self.docs, strict=True)]
-        marks = candidates(doc_ends, np.concatenate(sentences), min(STRIDE, self.limit))
+        marks = candidates(doc_ends, np.concatenate(sentences), min(STRIDE, self.limit), self.limit if last else 0)
         cuts = best_cuts(*marks, self.limit, last)
         d = 0
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):

@@ -170,7 +170,7 @@ def prefix_trie(conversations: DataFrame, family: int = FAMILY, heads: int = HEA
     ``depth``, ``parent_conv_id`` (null for the root), ``n_convs``, ``n_children``, ``n_leaves``,
     ``saved_tokens`` and ``ends_sha256``.
 
-    Turns are ordered by number, null first, ties by role and text.  A null role or text is empty;
+    Turns are ordered by number, null first, ties by the MD5 sum of role, line break and text.  A null role or text is empty;
     rows without conv_id belong to no conversation and go.  Repeated rows are turns of their own.
     Ids below zero have the remainder's sign.  A table without conversations gives no rows, not
     even a root.  Nodes are told apart by 128 bits of hash.
