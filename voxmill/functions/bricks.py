@@ -8,6 +8,8 @@ values, and shuffles move packed arrays instead of voxel rows.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -62,3 +64,97 @@ def to_voxels(bricks: DataFrame) -> DataFrame:
     return bricks.select("vol_id", "z", "y", "xb", zipped).select(
         "vol_id", "z", "y", (F.col("xb") * SPAN + F.col("i")).alias("x"), *[f"e.{a}" for a in arrays]
     )
+
+
+KEYS = ("vol_id", "z", "y", "xb")
+_KEY_TYPES = "vol_id int, z int, y int, xb int"
+
+
+def _flat(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False)
+
+
+def with_values(rows: DataFrame, arrays: list[str], levels: list[str], name: str, kind: str, change: Callable[..., np.ndarray]) -> DataFrame:
+    """Brick rows with one array ``name`` that ``change`` makes of others, value by value.
+
+    ``change`` gets the values of ``arrays`` and, for each value, its row's ``levels``.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            first = batch.column(len(KEYS))
+            sizes = first.value_lengths().to_numpy(zero_copy_only=False)
+            values = [_flat(batch.column(len(KEYS) + k)) for k in range(len(arrays))]
+            steps = [np.repeat(batch.column(len(KEYS) + len(arrays) + k).to_numpy(zero_copy_only=False), sizes) for k in range(len(levels))]
+            made = np.ascontiguousarray(change(*values, *steps))
+            offsets = pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:len(KEYS)], pa.ListArray.from_arrays(offsets, pa.array(made))], [*KEYS, name])
+
+    return rows.select(*KEYS, *arrays, *levels).mapInArrow(run, f"{_KEY_TYPES}, {name} array<{kind}>")
+
+
+def runs_where(rows: DataFrame, array: str, level: str, holds: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
+    """Maximal runs ``(vol_id, z, y, x0, x1)`` of the voxels whose value and row's level fulfil ``holds``.
+
+    Runs are cut in the task that holds the brick; those that meet at a border of bricks are joined.
+    """
+    from .runs import joined
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists, limit = batch.column(4), batch.column(5).to_numpy(zero_copy_only=False)
+            sizes = lists.value_lengths().to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            inside = np.asarray(holds(_flat(lists), limit[row]), bool)
+            edge = np.append(row[1:] != row[:-1], True)[:len(row)]
+            ends = inside & (edge | ~np.append(inside[1:], False)[:len(row)])
+            edge = np.append(True, edge[:-1])[:len(row)]
+            starts = inside & (edge | ~np.append(False, inside[:-1])[:len(row)])
+            x = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + batch.column(3).to_numpy().astype(np.int64)[row] * SPAN
+            at = pa.array(row[starts])
+            yield pa.RecordBatch.from_arrays([
+                *(batch.column(k).take(at) for k in range(3)), pa.array(x[starts].astype(np.int32)), pa.array(x[ends].astype(np.int32))],
+                ["vol_id", "z", "y", "x0", "x1"])
+
+    return joined(rows.select(*KEYS, array, level).mapInArrow(run, "vol_id int, z int, y int, x0 int, x1 int"))
+
+
+def per_volume(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(volume, its first row, its values) of a batch whose first column is ``vol_id``, its second an array."""
+    vol_ids = batch.column(0).to_numpy(zero_copy_only=False)
+    sizes = batch.column(1).value_lengths().to_numpy(zero_copy_only=False)
+    values = _flat(batch.column(1))
+    if not len(vol_ids):
+        return
+    order = np.argsort(vol_ids, kind="stable")
+    cuts = np.flatnonzero(np.append(True, vol_ids[order][1:] != vol_ids[order][:-1]))
+    of_value = np.repeat(vol_ids, sizes)
+    for k in cuts:
+        row = int(order[k])
+        yield int(vol_ids[row]), row, values if len(cuts) == 1 else values[of_value == vol_ids[row]]
+
+
+def histogram(rows: DataFrame, array: str) -> DataFrame:
+    """``(vol_id, value, n)`` of whole numbers: counted per batch, added before and after the shuffle."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for vol_id, _, values in per_volume(batch):
+                level, n = np.unique(values, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), vol_id, np.int32)), pa.array(level.astype(np.int32)), pa.array(n)], ["vol_id", "value", "n"])
+
+    counted = rows.select("vol_id", array).mapInArrow(run, "vol_id int, value int, n long")
+    return counted.groupBy("vol_id", "value").agg(F.sum("n").alias("n"))
+
+
+def line_sums(rows: DataFrame, array: str) -> DataFrame:
+    """Per line ``n``, ``sum_x``, ``sum_v`` and ``sum_vx`` (values times x + 1) of whole numbers."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = batch.column(4).value_lengths().to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            v = _flat(batch.column(4)).astype(np.int64)
+            x = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + batch.column(3).to_numpy().astype(np.int64)[row] * SPAN
+            sums = [np.bincount(row, w, len(sizes)).astype(np.int64) for w in (None, x, v, v * (x + 1))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *map(pa.array, sums)], ["vol_id", "z", "y", "n", "sum_x", "sum_v", "sum_vx"])
+
+    parts = rows.select(*KEYS, array).mapInArrow(run, "vol_id int, z int, y int, n long, sum_x long, sum_v long, sum_vx long")
+    return parts.groupBy("vol_id", "z", "y").agg(*(F.sum(c).alias(c) for c in ("n", "sum_x", "sum_v", "sum_vx")))

@@ -26,24 +26,77 @@ def smooth_columns(block: np.ndarray, taps: np.ndarray) -> np.ndarray:
     return total.astype(np.float32)
 
 
+#: Offsets that are tried one by one; columns with farther background build an envelope.
+NEAR = 24
+
+
 def lower_envelope(block: np.ndarray) -> np.ndarray:
     """``min over j of block[j] + (i - j)^2`` down axis 0 (squared distances).
 
-    Columns without background stay ``FAR`` and take no part in the search.
+    Columns without background stay ``FAR`` and take no part in the search.  Where all
+    minima lie within ``NEAR`` steps a few shifts of the block find them; the other
+    columns take a pass that is linear in their length.
     """
     out = np.full_like(block, FAR)
-    live = (block < FAR).any(axis=0)
+    live = np.flatnonzero((block < FAR).any(axis=0))
     block = block[:, live]
     best = block.copy()
-    for k in range(1, len(block)):
+    for k in range(1, min(len(block), NEAR + 1)):
         if k * k >= best.max(initial=0):
             break
         np.minimum(best[k:], block[:-k] + k * k, out=best[k:])
         np.minimum(best[:-k], block[k:] + k * k, out=best[:-k])
+    far = np.flatnonzero(best.max(axis=0, initial=0) > (NEAR + 1) ** 2)
+    if len(far) and len(block) > NEAR + 1:
+        best[:, far] = parabolas(block[:, far])[0]
     out[:, live] = np.minimum(best, FAR)
     return out
 
 
+def parabolas(block: np.ndarray) -> tuple[np.ndarray, int]:
+    """The same by the lower envelope of the parabolas of each column, and the comparisons made.
+
+    Positions are added one after the other, in all columns at once.  Each column keeps a
+    stack of the parabolas in its envelope and the first position where each is the least;
+    one that the new parabola undercuts from its start on is taken off, once.  So a column
+    makes at most two comparisons a position.
+    """
+    n, columns = block.shape
+    every = np.arange(columns)
+    owner = np.zeros((n, columns), np.int64)
+    start = np.zeros((n, columns), np.int64)
+    top = np.full(columns, -1)
+    compared = 0
+    for q in range(n):
+        todo = every[block[q] < FAR]
+        value = block[q] + q * q
+        while len(todo):
+            filled = top[todo] >= 0
+            first = todo[~filled]
+            top[first] = 0
+            owner[0, first], start[0, first] = q, 0
+            todo = todo[filled]
+            compared += len(todo)
+            below = owner[top[todo], todo]
+            # From the first whole position behind the crossing on, q is the lower one.
+            cross = (value[todo] - block[below, todo] - below * below) // (2 * (q - below)) + 1
+            gone = cross <= start[top[todo], todo]
+            stay, cross = todo[~gone], cross[~gone]
+            seen = cross < n
+            stay, cross = stay[seen], cross[seen]
+            top[stay] += 1
+            owner[top[stay], stay], start[top[stay], stay] = q, cross
+            todo = todo[gone]
+            top[todo] -= 1
+    out = np.full_like(block, FAR)
+    rows = np.arange(n)
+    for c in every[top >= 0]:
+        k = int(top[c]) + 1
+        own = np.repeat(owner[:k, c], np.diff(np.append(start[:k, c], n)))
+        out[:, c] = block[own, c] + (rows - own) ** 2
+    return out, compared
+
+
 def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Smallest member of the component of each of ``n`` nodes under edges a-b."""
     root = np.arange(n)

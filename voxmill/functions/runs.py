@@ -32,6 +32,14 @@ def from_voxels(voxels: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     )
 
 
+def joined(runs: DataFrame) -> DataFrame:
+    """Disjoint runs, those that touch along a line made one."""
+    line = W.partitionBy(*LINE).orderBy("x0")
+    opens = F.coalesce((F.lag("x1").over(line) + 1 < F.col("x0")).cast("int"), F.lit(1))
+    numbered = runs.select(*RUN).withColumn("_opens", opens).withColumn("_run", F.sum("_opens").over(line))
+    return numbered.groupBy(*LINE, "_run").agg(F.min("x0").alias("x0"), F.max("x1").alias("x1")).select(*RUN)
+
+
 def to_voxels(runs: DataFrame) -> DataFrame:
     rest = [c for c in runs.columns if c not in RUN]
     return runs.select(*LINE, F.explode(F.sequence("x0", "x1")).alias("x"), *rest)

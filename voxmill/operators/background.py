@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 
 from ..functions import bricks
 from ..functions.numeric import gaussian_taps, smooth_columns
-from ..functions.quantiles import exact_quantiles
+from ..functions.quantiles import brick_quantiles
 from ..params import Flatten
-from ..session import by_block, lookup_join, store
-from .intensity import rescale
+from ..session import by_block, discard, lookup_join, store
+from .intensity import stretch
 
 # Planes and lines that one task call filters together.
 _PLANES = 8
@@ -64,12 +64,14 @@ def _with_background(table: pa.Table, bg: pa.Array) -> pa.Table:
     return table.set_column(table.schema.get_field_index("bg"), "bg", bg).select(_COLUMNS)
 
 
-def gaussian_background(voxels: DataFrame, lambda_xy: float, sigma_z: float = 0.0, value: str = "gray") -> DataFrame:
+def gaussian_background(gray: DataFrame, lambda_xy: float, sigma_z: float = 0.0, value: str = "gray") -> DataFrame:
     """Brick rows with the gray values ``v`` and their background ``bg``.
 
-    Per slice for ``sigma_z`` 0, else in 3D; slow axes first, float32 between passes.
+    ``gray`` are voxels, or brick rows with ``v``.  Per slice for ``sigma_z`` 0, else in
+    3D; slow axes first, float32 between passes.
     """
-    rows = bricks.from_voxels(voxels, value).withColumn("bg", F.col("v"))
+    rows = gray if "xb" in gray.columns else bricks.from_voxels(gray, value)
+    rows = rows.select("vol_id", "z", "y", "xb", F.col("v").cast("array<float>").alias("v")).withColumn("bg", F.col("v"))
     if sigma_z > 0:
         rows = _smooth_axis(rows, "z", sigma_z)
     rows = _smooth_axis(rows, "y", lambda_xy)
@@ -78,23 +80,32 @@ def gaussian_background(voxels: DataFrame, lambda_xy: float, sigma_z: float = 0.
 
 def background_reference(background: DataFrame) -> DataFrame:
     """Median background over positive values, over all values where none is."""
-    values = background.select("vol_id", F.explode("bg").alias("bg"))
-    median = exact_quantiles(values, ["vol_id"], "bg", [50.0], ["bg_ref"], positive=True)
+    median = brick_quantiles(background, "bg", [50.0], ["bg_ref"], positive=True)
     return median.select("vol_id", F.col("bg_ref").cast("float").alias("bg_ref"))
 
 
+def _flat(v: np.ndarray, bg: np.ndarray, reference: np.ndarray) -> np.ndarray:
+    return np.maximum(v - bg + reference, np.float32(0))
+
+
+def _eight_bit(flat: np.ndarray, low: np.ndarray, span: np.ndarray) -> np.ndarray:
+    return np.clip((flat - low) * np.float32(255) / span, np.float32(0), np.float32(255)).astype(np.int32)
+
+
 def flatten_raw(background: DataFrame, reference: DataFrame) -> DataFrame:
-    """Voxels of ``v - bg + bg_ref`` clipped at zero, in float32."""
-    voxels = bricks.to_voxels(background)
-    level = lookup_join(voxels, reference, ["vol_id"])
-    flat = F.greatest(F.col("v") - F.col("bg") + F.col("bg_ref"), F.lit(0.0).cast("float"))
-    return level.select("vol_id", "z", "y", "x", flat.alias("flat"))
+    """Brick rows ``flat`` of ``v - bg + bg_ref`` clipped at zero, in float32."""
+    return bricks.with_values(lookup_join(background, reference, ["vol_id"]), ["v", "bg"], ["bg_ref"], "flat", "float", _flat)
+
+
+def flatten_bricks(gray: DataFrame, params: Flatten = Flatten(), value: str = "gray") -> DataFrame:
+    """Flattened 8-bit volume as brick rows ``(vol_id, z, y, xb, flat)``; no voxel row is made on the way."""
+    background = store(gaussian_background(gray, params.lambda_xy, params.sigma_z, value), "background")
+    raw = store(flatten_raw(background, background_reference(background)), "flat")
+    discard(background)
+    ends = stretch(brick_quantiles(raw, "flat", [params.p_low, params.p_high], ["_lo", "_hi"], positive=True))
+    return bricks.with_values(lookup_join(raw, ends, ["vol_id"]), ["flat"], ["_lo", "_range"], "flat", "int", _eight_bit)
 
 
 def flatten(voxels: DataFrame, params: Flatten = Flatten(), value: str = "gray") -> DataFrame:
     """Flattened 8-bit volume ``(vol_id, z, y, x, flat)``."""
-    background = store(
-        gaussian_background(voxels, params.lambda_xy, params.sigma_z, value), "background"
-    )
-    raw = store(flatten_raw(background, background_reference(background)), "flat")
-    return rescale(raw, "flat", params.p_low, params.p_high)
+    return bricks.to_voxels(flatten_bricks(voxels, params, value))

@@ -9,28 +9,63 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from ..functions import runs as R
 from ..params import Scoring
-from ..session import lookup_join, union_all
+from ..session import by_block, lookup_join, union_all
 from .components import on_border
 from .matching import optimal_matching
 
 
+def _label_runs(labels: DataFrame, name: str) -> DataFrame:
+    if "x0" in labels.columns:
+        return labels.filter("label > 0").select(*R.RUN, F.col("label").alias(name))
+    return R.from_voxels(labels.filter("label > 0").withColumnRenamed("label", name), (name,))
+
+
 def align(gt: DataFrame, pred: DataFrame) -> DataFrame:
-    """Two label tables ``(vol_id, z, y, x, label)`` as one, 0 for background."""
-    a = gt.select("vol_id", "z", "y", "x", F.col("label").alias("gt_id"))
-    b = pred.select("vol_id", "z", "y", "x", F.col("label").alias("pred_id"))
-    return a.join(b, ["vol_id", "z", "y", "x"], "full").fillna(0, ["gt_id", "pred_id"])
+    """Stretches ``(vol_id, z, y, x0, x1, gt_id, pred_id)`` of two label tables, 0 for background.
+
+    The tables are voxels ``(…, x, label)`` or runs ``(…, x0, x1, label)``.  One sweep along
+    each line passes the ends of both tables' runs and carries the two labels at hand, so
+    rows grow with runs, not with voxels.
+    """
+    marks = []
+    for labels, name, other in ((gt, "gt_id", "pred_id"), (pred, "pred_id", "gt_id")):
+        runs = _label_runs(labels, name)
+        v = F.col(name)
+        ends = F.explode(F.array(F.struct(F.col("x0").alias("x"), v.alias("v")), F.struct((F.col("x1") + 1).alias("x"), F.lit(0).cast(runs.schema[name].dataType).alias("v")))).alias("e")
+        marks.append(runs.select(*R.LINE, ends).select(*R.LINE, "e.x", F.col("e.v").alias(name), F.lit(None).cast(runs.schema[name].dataType).alias(other)))
+    line = W.partitionBy(*R.LINE).orderBy("x")
+    # Where one run ends and the next begins, the label above zero counts.
+    at = by_block(union_all(*marks), *R.LINE).groupBy(*R.LINE, "x").agg(F.max("gt_id").alias("gt_id"), F.max("pred_id").alias("pred_id"))
+    held = {c: F.coalesce(F.last(c, ignorenulls=True).over(line), F.lit(0)) for c in ("gt_id", "pred_id")}
+    swept = at.withColumns({"x1": F.lead("x").over(line) - 1, **held}).filter("gt_id > 0 or pred_id > 0")
+    return swept.select(*R.LINE, F.col("x").alias("x0"), "x1", "gt_id", "pred_id")
+
 
+def _size(rows: DataFrame) -> Column:
+    """Voxels of a row: a voxel, or a stretch of a line."""
+    return R.length() if "x0" in rows.columns else F.lit(1).cast("long")
 
-def contingency(voxels: DataFrame, catalog: DataFrame) -> DataFrame:
-    """``(vol_id, gt_id, pred_id, n, border)``; ``border``: voxels on a face."""
-    labelled = voxels.filter("gt_id > 0 or pred_id > 0")
-    sized = lookup_join(labelled.select("vol_id", "z", "y", "x", "gt_id", "pred_id"), catalog, ["vol_id"])
-    touches = on_border(x0="x", x1="x").cast("long")
+
+def contingency(labelled: DataFrame, catalog: DataFrame) -> DataFrame:
+    """``(vol_id, gt_id, pred_id, n, border)``; ``border``: voxels on a face.
+
+    ``labelled`` are voxels or the stretches of ``align``.
+    """
+    some = labelled.filter("gt_id > 0 or pred_id > 0")
+    if "x0" in labelled.columns:
+        sized = lookup_join(some.select(*R.RUN, "gt_id", "pred_id"), catalog, ["vol_id"])
+        face = (F.col("z") == 0) | (F.col("z") == F.col("depth") - 1) | (F.col("y") == 0) | (F.col("y") == F.col("height") - 1)
+        ends = (F.col("x0") == 0).cast("long") + (F.col("x1") == F.col("width") - 1).cast("long")
+        touches = F.when(face, R.length()).otherwise(F.least(ends, R.length()))
+    else:
+        sized = lookup_join(some.select("vol_id", "z", "y", "x", "gt_id", "pred_id"), catalog, ["vol_id"])
+        touches = on_border(x0="x", x1="x").cast("long")
     return sized.groupBy("vol_id", "gt_id", "pred_id").agg(
-        F.count(F.lit(1)).alias("n"), F.sum(touches).alias("border")
+        F.sum(_size(labelled)).alias("n"), F.sum(touches).alias("border")
     )
 
 
@@ -230,7 +265,7 @@ def best_per_prediction(table: DataFrame, scoring: Scoring) -> DataFrame:
 
 def marker_overlap(voxels: DataFrame) -> DataFrame:
     """Per marker its size and the true instance it covers most."""
-    counts = voxels.filter("marker_id > 0").groupBy("vol_id", "marker_id", "gt_id").agg(F.count(F.lit(1)).alias("n"))
+    counts = voxels.filter("marker_id > 0").groupBy("vol_id", "marker_id", "gt_id").agg(F.sum(_size(voxels)).alias("n"))
     top = F.max(F.when(F.col("gt_id") > 0, F.struct(F.col("n"), (-F.col("gt_id")).alias("o"))))
     rows = counts.groupBy("vol_id", "marker_id").agg(F.sum("n").alias("marker_voxels"), top.alias("t"))
     return rows.select(
@@ -244,7 +279,7 @@ def marker_overlap(voxels: DataFrame) -> DataFrame:
 def marker_tallies(voxels: DataFrame, volumes: DataFrame | None = None) -> DataFrame:
     """Number of markers and their voxels on and off true instances."""
     counts = voxels.filter("marker_id > 0").groupBy("vol_id", "marker_id").agg(
-        F.sum((F.col("gt_id") > 0).cast("long")).alias("on"), F.sum((F.col("gt_id") == 0).cast("long")).alias("off")
+        F.sum(F.when(F.col("gt_id") > 0, _size(voxels)).otherwise(0)).alias("on"), F.sum(F.when(F.col("gt_id") == 0, _size(voxels)).otherwise(0)).alias("off")
     )
     return _of_all(volumes, counts.groupBy("vol_id").agg(
         F.count(F.lit(1)).alias("marker_components"),

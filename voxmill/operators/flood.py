@@ -7,33 +7,34 @@ unique and does not depend on partitioning (minimum spanning forests as
 watershed cuts: Cousty, Bertrand, Najman, Couprie, PAMI 2009).
 
 Every fragment without marker joins over its lightest outgoing edge.  Within a
-tile this runs until each fragment's lightest edge leaves the tile; the rounds
-over tiles then work on fragments, not voxels.
+tile this runs until each fragment's lightest edge leaves the tile, then likewise on
+the fragments of a block of tiles; the rounds over a volume work on what is left.
+Distances reach a tile as packed stretches of lines, with a layer of its neighbours.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pyspark.sql.window import Window as W
-
 from ..functions import runs as R
-from ..functions.numeric import FAR
-from ..functions.offsets import neighbour_steps, span_column
+from ..functions import tiles
+from ..functions.numeric import FAR, expand
 from ..functions.ranking import number_in_order
-from ..session import by_block, lookup_join, store, union_all
+from ..functions.tiles import BLOCK
+from ..session import by_block, discard, lookup_join, store, union_all
 from .components import _follow, shorten
-from .distance import distance_voxels
 from .select import suppress
 
-_BLOCK = ["vol_id", "tz", "ty", "tx"]
+#: Tiles a side of the blocks in which fragments are joined before the rounds over a whole volume.
+ACROSS = 4
 _OUT = (
     "vol_id int, kind int, z int, y int, x0 int, x1 int, frag long, label long, "
     "w1 long, w2 long, lo long, hi long"
 )
+_OUT_ARROW = pa.schema([(n, pa.int32() if k == "int" else pa.int64()) for n, k in (f.split() for f in _OUT.split(", "))])
 
 
 def _position(z, y, x):
@@ -77,27 +78,60 @@ def lightest_edges(n: int, u: np.ndarray, v: np.ndarray, rooted: np.ndarray) ->
         frag = up[frag]
 
 
+def _contract(n, u, v, w1, w2, lo, hi, labels, name):
+    """Join fragments inside a block; ``u, v`` are nodes, ``v`` -1 outside, edges in any order.
+
+    Returns the fragment of each node and the table of edges that stay open: those to the
+    outside, and the lightest one between two fragments that are not both rooted.
+    """
+    rank = np.lexsort((hi, lo, w2, w1))
+    u, v, w1, w2, lo, hi = (c[rank] for c in (u, v, w1, w2, lo, hi))
+    frag = lightest_edges(n, u, v, labels > 0)
+    fu, fv = frag[u], np.where(v >= 0, frag[v], -1)
+    outer = v < 0
+    inner = np.flatnonzero((fu != fv) & ~outer & ~((labels[fu] > 0) & (labels[fv] > 0)))
+    pair = np.minimum(fu, fv)[inner] * np.int64(n) + np.maximum(fu, fv)[inner]
+    inner = inner[np.sort(np.unique(pair, return_index=True)[1])]
+    end = np.concatenate([fu[outer], fu[inner], fv[inner]])
+    edge = np.concatenate([np.flatnonzero(outer), inner, inner])
+    return frag, {"frag": name[end], "label": labels[end], "w1": w1[edge], "w2": w2[edge], "lo": lo[edge], "hi": hi[edge]}
+
+
+def _table(vol_id: int, filled: dict[str, np.ndarray], links: dict[str, np.ndarray]) -> pa.Table:
+    """Rows of kind 0 (``filled``) and 1 (``links``); columns that a kind lacks are 0."""
+    n, m = len(filled["frag"]), len(links["frag"])
+    columns = {"vol_id": np.full(n + m, vol_id), "kind": np.repeat([0, 1], [n, m])}
+    for field in _OUT_ARROW:
+        if field.name not in columns:
+            columns[field.name] = np.concatenate([part.get(field.name, np.zeros(size, np.int64)) for part, size in ((filled, n), (links, m))])
+    return pa.table({f.name: pa.array(columns[f.name].astype(f.type.to_pandas_dtype())) for f in _OUT_ARROW}, schema=_OUT_ARROW)
+
+
 def _flood_tile(tile: int):
-    def flood(pdf: pd.DataFrame) -> pd.DataFrame:
-        own = [int(pdf[t].iloc[0]) * tile for t in _BLOCK[1:]]
-        z, y, x, d2, label = (pdf[c].to_numpy(np.int64) for c in ("z", "y", "x", "d2", "label"))
-        # A dense block around the given voxels, one empty layer on each side.
-        low = [int(c.min()) - 1 for c in (z, y, x)]
-        shape = tuple(int(c.max()) - a + 2 for c, a in zip((z, y, x), low))
+    def flood(table: pa.Table) -> pa.Table:
+        marked = table["label"].to_numpy() > 0
+        rows, marks = table.filter(pa.array(~marked)), table.filter(pa.array(marked))
+        vol_id = int(table["vol_id"][0].as_py())
+        empty = np.zeros(0, np.int64)
+        if not len(rows):
+            return _table(vol_id, {"frag": empty}, {"frag": empty})
+        own = [int(table[t][0].as_py()) * tile for t in BLOCK[1:]]
+        grid_d, low = tiles.cropped(*tiles.dense(rows, tile))
+        shape = grid_d.shape
         axes = [(np.arange(m) + a).reshape([-1 if i == j else 1 for j in range(3)])
                 for i, (m, a) in enumerate(zip(shape, low))]
-        grid_d, grid_l = np.zeros(shape, np.int64), np.zeros(shape, np.int64)
-        at = np.stack([c - a for c, a in zip((z, y, x), low)])
-        for grid, value in ((grid_d, d2), (grid_l, label)):
-            given = value > 0
-            grid[tuple(at[:, given])] = value[given]
         core = grid_d > 0
         for ax, start in zip(axes, own):
             core &= (ax >= start) & (ax < start + tile)
         node = np.full(shape, -1)
         n = int(core.sum())
         node[core] = np.arange(n)
-        place = _position(*axes)
+        place = np.broadcast_to(_position(*axes), shape)
+        grid_l = np.zeros(shape, np.int64)
+        run, x = expand(marks["x0"].to_numpy().astype(np.int64), marks["x1"].to_numpy().astype(np.int64) + 1)
+        at = [c - a for c, a in zip((marks["z"].to_numpy()[run], marks["y"].to_numpy()[run], x), low)]
+        inside = np.logical_and.reduce([(c >= 0) & (c < m) for c, m in zip(at, shape)])
+        grid_l[tuple(c[inside] for c in at)] = marks["label"].to_numpy()[run][inside]
 
         parts = []
         for axis in range(3):
@@ -106,67 +140,53 @@ def _flood_tile(tile: int):
             both = (grid_d[a] > 0) & (grid_d[b] > 0) & (core[a] | core[b])
             parts.append([g[s][both] for g in (node, grid_d, place) for s in (a, b)])
         na, nb, da, db, lo, hi = (np.concatenate(p) for p in zip(*parts))
-        w1, w2 = -np.minimum(da, db), -np.maximum(da, db)
-        rank = np.lexsort((hi, lo, w2, w1))
-        na, nb, w1, w2, lo, hi = (c[rank] for c in (na, nb, w1, w2, lo, hi))
         u, v = np.where(na >= 0, na, nb), np.where(na >= 0, nb, -1)
-        labels = grid_l[core]
-        frag = lightest_edges(n, u, v, labels > 0)
+        labels, name = grid_l[core], place[core]
+        frag, links = _contract(n, u, v, -np.minimum(da, db), -np.maximum(da, db), lo, hi, labels, name)
 
-        name = place[core]
-        kz, ky, kx = (np.broadcast_to(ax, grid_d.shape)[core] for ax in axes)
+        kz, ky, kx = (np.broadcast_to(ax, shape)[core] for ax in axes)
         starts = np.ones(n, bool)
         starts[1:] = (frag[1:] != frag[:-1]) | (kx[1:] != kx[:-1] + 1) | (ky[1:] != ky[:-1]) | (kz[1:] != kz[:-1])
         ends = np.append(starts[1:], True)[:n]
-        filled = pd.DataFrame(
-            {"kind": 0, "z": kz[starts], "y": ky[starts], "x0": kx[starts], "x1": kx[ends],
-             "frag": name[frag[starts]], "label": labels[frag[starts]], "w1": 0, "w2": 0, "lo": 0, "hi": 0}
-        )
-        # Edges still open: crossing the tile face, or between two fragments.
-        fu, fv = frag[u], np.where(v >= 0, frag[v], -1)
-        outer = v < 0
-        inner = (fu != fv) & ~outer & ~((labels[fu] > 0) & (labels[fv] > 0))
-        inner_pairs = pd.DataFrame({"a": np.minimum(fu, fv)[inner], "b": np.maximum(fu, fv)[inner]})
-        inner_at = np.flatnonzero(inner)[~inner_pairs.duplicated().to_numpy()]
-        ends_u = np.concatenate([fu[outer], fu[inner_at], fv[inner_at]])
-        edge = np.concatenate([np.flatnonzero(outer), inner_at, inner_at])
-        links = pd.DataFrame(
-            {"kind": 1, "z": 0, "y": 0, "x0": 0, "x1": 0, "frag": name[ends_u], "label": labels[ends_u],
-             "w1": w1[edge], "w2": w2[edge], "lo": lo[edge], "hi": hi[edge]}
-        )
-        out = pd.concat([filled, links], ignore_index=True)
-        out.insert(0, "vol_id", pdf["vol_id"].iloc[0])
-        return out
+        filled = {"z": kz[starts], "y": ky[starts], "x0": kx[starts], "x1": kx[ends], "frag": name[frag[starts]], "label": labels[frag[starts]]}
+        return _table(vol_id, filled, links)
 
     return flood
 
 
-def _with_halo(voxels: DataFrame, tile: int) -> DataFrame:
-    """Each voxel under its own tile and under every tile it borders by face."""
-    own = [F.floor(F.col(c) / tile).cast("int") for c in ("z", "y", "x")]
-    copies = [F.struct(*[t.alias(n) for t, n in zip(own, _BLOCK[1:])])]
-    for i, c in enumerate(("z", "y", "x")):
-        for inside, step in ((0, -1), (tile - 1, 1)):
-            moved = [t + step if i == j else t for j, t in enumerate(own)]
-            box = F.struct(*[t.cast("int").alias(n) for t, n in zip(moved, _BLOCK[1:])])
-            copies.append(F.when(F.col(c) % tile == inside, box))
-    boxes = F.explode(F.array_compact(F.array(*copies))).alias("b")
-    return voxels.select("*", boxes).select(*voxels.columns, "b.*")
+def _flood_block(table: pa.Table) -> pa.Table:
+    """The same for the fragments of a block of tiles: kind 0 maps ``lo`` to ``frag``."""
+    own, label, w1, w2, lo, hi = (table[c].to_numpy() for c in ("frag", "label", "w1", "w2", "lo", "hi"))
+    name, node = np.unique(own, return_inverse=True)
+    labels = np.zeros(len(name), np.int64)
+    labels[node] = label
+    # The two ends of an edge stand one behind the other; an edge seen once leads outside.
+    order = np.lexsort((node, hi, lo))
+    node, w1, w2, lo, hi = (c[order] for c in (node, w1, w2, lo, hi))
+    first = np.ones(len(node), bool)
+    first[1:] = (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])
+    at = np.flatnonzero(first)
+    paired = np.append(~first[1:], False)[at]
+    v = np.where(paired, node[np.minimum(at + 1, len(node) - 1)], -1)
+    frag, links = _contract(len(name), node[at], v, w1[at], w2[at], lo[at], hi[at], labels, name)
+    return _table(int(table["vol_id"][0].as_py()), {"lo": name, "frag": name[frag], "label": labels[frag]}, links)
 
 
 def _join_fragments(links: DataFrame) -> DataFrame:
-    """``(vol_id, node, root, label)`` of all fragments that have open edges."""
+    """``(vol_id, node, root, label)`` of all fragments that have open edges.
+
+    Each round's tables are deleted once the next ones are stored.
+    """
     edges = links.groupBy("vol_id", "lo", "hi", "w1", "w2").agg(
         F.min("frag").alias("a"), F.max("frag").alias("b")
     )
-    state = store(
-        links.groupBy("vol_id", F.col("frag").alias("node")).agg(F.max("label").alias("label"))
-        .withColumn("root", F.col("node")),
-        "fragments",
-    )
-    labels = state.select("vol_id", "node", "label")
+    labels = store(links.groupBy("vol_id", F.col("frag").alias("node")).agg(F.max("label").alias("label")), "labels")
+    state = labels.withColumn("root", F.col("node"))
+    open_edges, old_state = None, None
     while True:
         edges = store(_open_edges(edges, labels), "edges")
+        discard(open_edges)
+        open_edges = edges
         if edges.isEmpty():
             break
         ends = F.explode(
@@ -182,8 +202,10 @@ def _join_fragments(links: DataFrame) -> DataFrame:
         one_way = lookup_join(picks, back, ["vol_id", "root"], "left").filter(
             "_back is null or _back <> node or node > root"
         )
-        hooks = shorten(store(one_way.select("vol_id", "node", "root"), "hooks"))
+        hooks = store(shorten(store(one_way.select("vol_id", "node", "root"), "hooks")), "hooks")
         state = store(_follow(state, "root", hooks), "fragments")
+        discard(old_state, picks)
+        old_state = state
         labels = labels.join(hooks, ["vol_id", "node"], "left_anti")
         labels = store(labels, "labels")
         edges = _follow(_follow(edges, "a", hooks), "b", hooks).drop("la", "lb")
@@ -191,6 +213,19 @@ def _join_fragments(links: DataFrame) -> DataFrame:
     return lookup_join(state.drop("label"), named, ["vol_id", "root"])
 
 
+def _in_blocks(links: DataFrame, tile: int) -> tuple[DataFrame, DataFrame]:
+    """One contraction per block of ``ACROSS`` tiles a side: ``(vol_id, node, root, label)``, and the links left.
+
+    A block holds at most the open edges of that many tiles.  A fragment is named by a voxel of its tile.
+    """
+    side = tile * ACROSS
+    axis = [F.shiftright("frag", 42), F.shiftright("frag", 21).bitwiseAND(F.lit((1 << 21) - 1)), F.col("frag").bitwiseAND(F.lit((1 << 21) - 1))]
+    boxed = links.withColumns({t: F.floor(a / side).cast("int") for t, a in zip(BLOCK[1:], axis)})
+    out = store(by_block(boxed, *BLOCK).groupBy(*BLOCK).applyInArrow(_flood_block, _OUT), "blocks")
+    mapped = out.filter("kind = 0").select("vol_id", F.col("lo").alias("node"), F.col("frag").alias("root"), "label")
+    return mapped, out.filter("kind = 1")
+
+
 def _open_edges(edges: DataFrame, labels: DataFrame) -> DataFrame:
     """Lightest edge per fragment pair, without pairs that can no longer join."""
     weight = F.struct("w1", "w2", "lo", "hi")
@@ -212,52 +247,58 @@ def flood(distance_rows: DataFrame, markers: DataFrame, tile: int = 64) -> DataF
     ``markers`` are runs with ``component``.  Foreground that no marker reaches
     stays out of the result.
     """
-    seeds = R.to_voxels(markers.select(*R.RUN, F.col("component").cast("long").alias("label")))
-    voxels = distance_voxels(distance_rows).select(
-        "vol_id", "z", "y", "x", F.coalesce("d2", F.lit(int(FAR))).alias("d2")
+    seeds = tiles.cut(markers, tile, F.col("component").cast("long").alias("label"))
+    rows = tiles.exchange(distance_rows, "d2", tile, corners=False)
+    # Markers ride along as runs without values; both meet inside the tile.
+    shape = ["vol_id", "tz", "ty", "tx", "z", "y", "x0", "x1", "label", "v"]
+    boxed = union_all(
+        rows.withColumns({"x1": F.lit(0), "label": F.lit(0).cast("long")}).select(*shape),
+        seeds.withColumn("v", F.lit(None).cast("array<bigint>")).select(*shape),
     )
-    # Markers ride along as rows without distance; both meet inside the tile.
-    voxels = union_all(
-        voxels.withColumn("label", F.lit(0).cast("long")), seeds.withColumn("d2", F.lit(0).cast("long"))
-    )
-    boxed = by_block(_with_halo(voxels, tile), *_BLOCK)
-    tiles = store(boxed.groupBy(*_BLOCK).applyInPandas(_flood_tile(tile), _OUT), "flooded")
-    filled = tiles.filter("kind = 0").select(*R.RUN, "frag", "label")
-    joined = _join_fragments(tiles.filter("kind = 1")).select(
-        "vol_id", F.col("node").alias("frag"), F.col("label").alias("_label")
+    tiled = store(by_block(boxed, *BLOCK).groupBy(*BLOCK).applyInArrow(_flood_tile(tile), _OUT), "flooded")
+    filled = tiled.filter("kind = 0").select(*R.RUN, "frag", "label")
+    mapped, left = _in_blocks(tiled.filter("kind = 1"), tile)
+    joined = _join_fragments(left).select("vol_id", "root", F.col("node"), F.col("label").alias("_label"))
+    final = joined.select("vol_id", F.col("node").alias("root"), "_label")
+    named = lookup_join(mapped, final, ["vol_id", "root"], "left").select(
+        "vol_id", F.col("node").alias("frag"), F.coalesce("_label", "label").alias("_label")
     )
     return (
-        lookup_join(filled, joined, ["vol_id", "frag"], "left")
+        lookup_join(filled, named, ["vol_id", "frag"], "left")
         .select(*R.RUN, F.coalesce("_label", "label").alias("label"))
         .filter("label > 0")
     )
 
 
-def peaks(distance_rows: DataFrame, min_distance: int) -> DataFrame:
+def _tops_of_tile(tile: int):
+    def tops(table: pa.Table) -> pa.Table:
+        cube, low = tiles.dense(table, tile)
+        around = cube
+        for axis in range(3):  # the maximum of three neighbours, one axis after the other
+            wide = np.pad(around, [(1, 1) if i == axis else (0, 0) for i in range(3)])
+            n = cube.shape[axis]
+            around = np.maximum.reduce([np.take(wide, np.arange(k, k + n), axis) for k in range(3)])
+        top = (cube > 0) & (cube == around)
+        inner = np.zeros_like(top)
+        inner[1:-1, 1:-1, 1:-1] = top[1:-1, 1:-1, 1:-1]
+        at = np.nonzero(inner & (cube < FAR))
+        z, y, x = (c + a for c, a in zip(at, low))
+        vol_id = np.full(len(z), table["vol_id"][0].as_py())
+        return pa.table({n: pa.array(c.astype(np.int32)) for n, c in (("vol_id", vol_id), ("z", z), ("y", y), ("x", x))} | {"d2": pa.array(cube[at])})
+
+    return tops
+
+
+def peaks(distance_rows: DataFrame, min_distance: int, tile: int = 64) -> DataFrame:
     """Markers at distance maxima at least ``min_distance`` apart.
 
     Own rule: a voxel is a candidate when none of its 26 neighbours is farther
     from the background; candidates are taken by (distance desc, position).
-    A check along x comes first, so that only few voxels ask for all neighbours.
+    Tiles with one layer of their neighbours take a running maximum per axis.
     """
-    voxels = distance_voxels(distance_rows).filter("d2 is not null").drop("distance")
-    voxels = store(voxels, "distance")
-    line = W.partitionBy("vol_id", "z", "y").orderBy("x")
-    higher_beside = [
-        (step(F.col("x")).over(line) == F.col("x") + by) & (step(F.col("d2")).over(line) > F.col("d2"))
-        for step, by in ((F.lag, -1), (F.lead, 1))
-    ]
-    beside = F.coalesce(higher_beside[0], F.lit(False)) | F.coalesce(higher_beside[1], F.lit(False))
-    tops = voxels.withColumn("_beside", beside).filter("not _beside").drop("_beside")
+    boxed = by_block(tiles.exchange(distance_rows, "d2", tile, corners=True), *BLOCK)
+    tops = boxed.groupBy(*BLOCK).applyInArrow(_tops_of_tile(tile), "vol_id int, z int, y int, x int, d2 long")
     tops = store(tops.withColumn("place", R.place(x="x")), "tops")
-    ask = tops.select("*", F.explode(span_column(neighbour_steps(3))).alias("s")).select(
-        "vol_id", "place", F.col("d2").alias("own"),
-        (F.col("z") + F.col("s.dz")).alias("z"),
-        (F.col("y") + F.col("s.dy")).alias("y"),
-        (F.col("x") + F.col("s.dx0")).alias("x"),
-    )
-    lower = ask.join(voxels, ["vol_id", "z", "y", "x"]).filter("d2 > own").select("vol_id", "place")
-    tops = store(tops.join(lower.distinct(), ["vol_id", "place"], "left_anti"), "tops")
     kept = suppress(tops, min_distance, [F.col("d2").desc(), F.col("place")])
     ranked = number_in_order(kept, [F.col("place").asc()], "component")
     return ranked.select("vol_id", "z", "y", F.col("x").alias("x0"), F.col("x").alias("x1"), "component")

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
+from ..functions import bricks
 from ..functions.quantiles import exact_quantiles, histogram_quantiles
 from ..params import Dark
 from ..session import lookup_join
@@ -17,7 +19,9 @@ LEVELS = 65_535
 
 
 def histogram(voxels: DataFrame, value: str = "gray") -> DataFrame:
-    """``(vol_id, value, n)``: one pass, counted before the shuffle."""
+    """``(vol_id, value, n)`` of voxels or of brick rows: one pass, counted before the shuffle."""
+    if "xb" in voxels.columns:
+        return bricks.histogram(voxels, value)
     return voxels.groupBy("vol_id", F.col(value).alias("value")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -48,13 +52,18 @@ def percentiles(voxels: DataFrame, value: str, probs: list[float], names: list[s
     return exact_quantiles(voxels, ["vol_id"], value, probs, names, positive=True)
 
 
-def rescale(voxels: DataFrame, value: str = "gray", p_low: float = 0.5, p_high: float = 99.5) -> DataFrame:
-    """Stretch between two percentiles to 0..255, truncated, in float32."""
-    ends = percentiles(voxels, value, [p_low, p_high], ["_lo", "_hi"])
+def stretch(ends: DataFrame) -> DataFrame:
+    """``_lo`` and ``_range`` in float32 of the two percentiles ``_lo`` and ``_hi``; an empty range counts as 1."""
     ends = ends.withColumn("_hi", F.when(F.col("_hi") <= F.col("_lo"), F.col("_lo") + 1).otherwise(F.col("_hi")))
-    ends = ends.select(
+    return ends.select(
         "vol_id", F.col("_lo").cast("float").alias("_lo"), (F.col("_hi") - F.col("_lo")).cast("float").alias("_range")
     )
+
+
+def rescale(voxels: DataFrame, value: str = "gray", p_low: float = 0.5, p_high: float = 99.5) -> DataFrame:
+    """Stretch between two percentiles to 0..255, truncated, in float32."""
+    ends = percentiles(voxels, value, [p_low, p_high], ["_lo", "_hi"])
+    ends = stretch(ends)
     scaled = (F.col(value).cast("float") - F.col("_lo")) * F.lit(255.0).cast("float")
     # float / float would be widened to double, hence the cast back
     scaled = (scaled / F.col("_range")).cast("float")
@@ -122,10 +131,12 @@ def dark_threshold(voxels: DataFrame, params: Dark = Dark(), value: str = "flat"
 
 
 def dark_mask(voxels: DataFrame, thresholds: DataFrame, value: str = "flat") -> DataFrame:
-    limit = thresholds.select("vol_id", "threshold")
-    return lookup_join(voxels, limit, ["vol_id"]).filter(F.col(value) <= F.col("threshold")).select(
-        "vol_id", "z", "y", "x"
-    )
+    """Voxels at most at the threshold; of brick rows, their runs.  A volume without threshold has none."""
+    limit = thresholds.select("vol_id", "threshold").filter("threshold is not null")
+    met = lookup_join(voxels, limit, ["vol_id"])
+    if "xb" in voxels.columns:
+        return bricks.runs_where(met, value, "threshold", np.less_equal)
+    return met.filter(F.col(value) <= F.col("threshold")).select("vol_id", "z", "y", "x")
 
 
 def foreground_threshold(voxels: DataFrame, offset: float, value: str = "gray") -> DataFrame:
@@ -135,7 +146,9 @@ def foreground_threshold(voxels: DataFrame, offset: float, value: str = "gray")
 
 
 def foreground_mask(voxels: DataFrame, offset: float, value: str = "gray") -> DataFrame:
-    limit = foreground_threshold(voxels, offset, value).select("vol_id", "threshold")
-    return lookup_join(voxels, limit, ["vol_id"]).filter(F.col(value) >= F.col("threshold")).select(
-        "vol_id", "z", "y", "x"
-    )
+    """Voxels at least at the threshold; of brick rows, their runs."""
+    limit = foreground_threshold(voxels, offset, value).select("vol_id", "threshold").filter("threshold is not null")
+    met = lookup_join(voxels, limit, ["vol_id"])
+    if "xb" in voxels.columns:
+        return bricks.runs_where(met, value, "threshold", np.greater_equal)
+    return met.filter(F.col(value) >= F.col("threshold")).select("vol_id", "z", "y", "x")

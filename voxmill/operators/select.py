@@ -2,63 +2,110 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import runs as R
 from ..functions.ranking import number_in_order
+from ..functions.tiles import BLOCK
 from ..params import REJECT_MARKER, REJECT_SEED, SEED_POINT_VALUE, MarkerRules, Sampling, SeedRules
-from ..session import discard, lookup_join, store, union_all
+from ..session import by_block, discard, lookup_join, store, union_all
 from . import features as feat
 
 ID = feat.ID
 
 
-def suppress(points: DataFrame, min_dist: float, order: list[Column]) -> DataFrame:
+#: Least side of the tiles in which points are judged.
+TILE = 64
+_POINT = "vol_id int, z int, y int, x int, rank long, kept boolean"
+
+
+def _judge_tile(side: int, reach: int, min_dist: float, shift: int):
+    """Greedy choice among the points of a tile and those within reach around it.
+
+    By rank a point is gone if a kept one is near, open if an open one is near (or if it
+    lies outside and its own tile has not decided), and else kept.
+    """
+    steps = np.arange(-reach, reach + 1)
+    ball = (steps[:, None, None] ** 2 + steps[None, :, None] ** 2 + steps[None, None, :] ** 2) < min_dist * min_dist
+
+    def judge(table: pa.Table) -> pa.Table:
+        table = table.sort_by("rank")
+        at = np.stack([table[c].to_numpy() for c in ("z", "y", "x")])
+        kept = table["kept"].to_numpy()
+        low = np.array([[int(table[t][0].as_py()) * side - shift] for t in BLOCK[1:]])
+        own = ((at >= low) & (at < low + side)).all(axis=0)
+        corner = at.min(axis=1)
+        # One byte a voxel around the points: 1 near a kept point, 2 near an open one.
+        near = np.zeros(tuple(at.max(axis=1) - corner + 2 * reach + 1), np.uint8)
+
+        def mark(p: tuple[int, int, int], flag: int) -> None:
+            box = near[p[0]:p[0] + 2 * reach + 1, p[1]:p[1] + 2 * reach + 1, p[2]:p[2] + 2 * reach + 1]
+            box[ball] |= flag
+
+        places = [tuple(p) for p in (at - corner[:, None]).T.tolist()]
+        for k in np.flatnonzero(kept).tolist():
+            mark(places[k], 1)
+        keep, left = kept & own, np.zeros(len(kept), bool)
+        is_own = own.tolist()
+        for k in np.flatnonzero(~kept).tolist():
+            p = places[k]
+            flag = near[p[0] + reach, p[1] + reach, p[2] + reach]
+            if flag & 1:
+                continue
+            if is_own[k] and not flag:
+                keep[k] = True
+                mark(p, 1)
+            else:
+                left[k] = True
+                mark(p, 2)
+        out = keep | (left & own)
+        return table.filter(pa.array(out)).select(["vol_id", "z", "y", "x", "rank"]).append_column("kept", pa.array(keep[out]))
+
+    return judge
+
+
+def _around_tiles(points: DataFrame, side: int, reach: int, shift: int) -> DataFrame:
+    """Each point under its own tile and under every tile within reach."""
+    for c, t in zip("zyx", BLOCK[1:]):
+        own = F.floor((F.col(c) + shift) / side).cast("int")
+        inside = F.col(c) + shift - own * side
+        reached = F.array(own, F.when(inside < reach, own - 1), F.when(inside >= side - reach, own + 1))
+        points = points.withColumn(t, F.explode(F.array_compact(reached)))
+    return points
+
+
+def suppress(points: DataFrame, min_dist: float, order: list[Column], tile: int = TILE) -> DataFrame:
     """Greedy suppression: keep a point unless an earlier kept one is nearer than
     ``min_dist``.  ``points`` has integer ``z, y, x``; ``order`` is a total order.
 
-    Every point is ranked; only the best of each voxel can be kept, after which
-    a grid cell holds a bounded number of points.  Each round keeps the points
-    without an undecided better neighbour and removes their neighbours, which
-    gives exactly the greedy result.
+    Every point is ranked; only the best of each voxel can be kept, which bounds what a
+    tile holds.  A tile runs the greedy choice on its points, with those just outside it;
+    a point that hangs on an undecided one outside stays open for the next round, which
+    knows what the other tiles have decided.  The best open point is always decided, and
+    no pairs of points are made.
     """
     if min_dist <= 0:
         return points
-    ranked = number_in_order(points, order, "_rank")
-    best = ranked.groupBy("vol_id", "z", "y", "x").agg(F.min("_rank").alias("_rank"))
-    best = store(best, "points")
-    cell = max(1, int(-(-min_dist // 1)))
-    own = [F.floor(F.col(c) / cell).cast("int") for c in ("z", "y", "x")]
-    home = best.select("vol_id", *[c.alias("c" + n) for c, n in zip(own, "zyx")], "z", "y", "x", "_rank")
-    steps = F.sequence(F.lit(-1), F.lit(1))
-    near = home.withColumnsRenamed({"z": "_z", "y": "_y", "x": "_x", "_rank": "_lower"})
-    for c in ("cz", "cy", "cx"):
-        near = near.withColumn("_s", F.explode(steps)).withColumn(c, F.col(c) + F.col("_s")).drop("_s")
-    d2 = sum((F.col(c) - F.col("_" + c)) * (F.col(c) - F.col("_" + c)) for c in ("z", "y", "x"))
-    pairs = near.join(home, ["vol_id", "cz", "cy", "cx"]).filter(
-        (F.col("_rank") < F.col("_lower")) & (d2 < float(min_dist * min_dist))
-    )
-    pairs = store(pairs.select("vol_id", F.col("_rank").alias("better"), F.col("_lower").alias("worse")), "pairs")
-    gone, open_pairs = None, pairs
-    while not pairs.isEmpty():
-        beaten = pairs.select("vol_id", F.col("worse").alias("better")).distinct()
-        kept = pairs.select("vol_id", "better").distinct().join(beaten, ["vol_id", "better"], "left_anti")
-        removed = pairs.join(kept, ["vol_id", "better"], "left_semi").select("vol_id", "worse").distinct()
-        removed = store(removed, "removed")
-        if removed.isEmpty():
-            raise RuntimeError("suppression made no progress")
-        gone = removed if gone is None else gone.unionByName(removed)
-        pairs = pairs.join(removed, ["vol_id", "worse"], "left_anti").join(
-            removed.select("vol_id", F.col("worse").alias("better")), ["vol_id", "better"], "left_anti"
-        )
-        before, pairs = open_pairs, store(pairs, "pairs")
-        open_pairs = pairs
-        discard(before)
-    kept = best if gone is None else best.join(
-        gone.select("vol_id", F.col("worse").alias("_rank")), ["vol_id", "_rank"], "left_anti"
-    )
-    return ranked.join(kept.select("vol_id", "_rank"), ["vol_id", "_rank"], "left_semi").drop("_rank")
+    ranked = store(number_in_order(points, order, "_rank"), "ranked")
+    state = ranked.groupBy("vol_id", "z", "y", "x").agg(F.min("_rank").alias("rank")).withColumn("kept", F.lit(False))
+    reach = int(-(-min_dist // 1)) - 1
+    side = max(tile, reach + 1)
+    done, rounds = None, 0
+    while True:
+        # Every other round moves the tiles by half their side, so that no border stays one.
+        shift = rounds % 2 * (side // 2)
+        rounds += 1
+        boxed = by_block(_around_tiles(state, side, reach, shift), *BLOCK).groupBy(*BLOCK)
+        state = store(boxed.applyInArrow(_judge_tile(side, reach, float(min_dist), shift), _POINT), "points")
+        discard(done)
+        done = state
+        if state.filter("not kept").isEmpty():
+            break
+    kept = state.select("vol_id", F.col("rank").alias("_rank"))
+    return ranked.join(kept, ["vol_id", "_rank"], "left_semi").drop("_rank")
 
 
 def suppress_seeds(candidates: DataFrame, min_dist: float) -> DataFrame:

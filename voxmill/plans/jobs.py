@@ -5,7 +5,9 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from ..functions import bricks
 from ..functions import runs as R
 from ..operators import background, components, distance, evaluate, features, intensity, morphology, select
 from ..operators.flood import flood, peaks
@@ -34,8 +36,15 @@ class Evaluation:
     object_recall: DataFrame
 
 
+def _packed(gray: DataFrame, value: str) -> DataFrame:
+    """8-bit gray voxels as stored brick rows; rows that are packed already pass."""
+    return gray if "xb" in gray.columns else store(bricks.from_voxels(gray, value, "int").withColumnRenamed("v", value), "gray")
+
+
 def foreground(gray: DataFrame, catalog: DataFrame, params: Flood, value: str = "gray") -> DataFrame:
-    mask = R.from_voxels(intensity.foreground_mask(gray, params.threshold_offset, value))
+    """Foreground runs of 8-bit voxels, or of brick rows with ``value``."""
+    mask = intensity.foreground_mask(gray, params.threshold_offset, value)
+    mask = mask if "xb" in gray.columns else R.from_voxels(mask)
     mask = morphology.close(mask, catalog, params.close_radius)
     if params.fill_holes:
         mask = components.fill_holes(mask, catalog)
@@ -48,7 +57,7 @@ def flood_from(
     gray: DataFrame, markers: DataFrame, catalog: DataFrame, params: Flood, value: str = "gray", dtype: str = "uint8"
 ) -> Segmentation:
     """Foreground, markers inside it, and the flooded labels."""
-    gray = intensity.to_8bit(gray, dtype, value)
+    gray = _packed(intensity.to_8bit(gray, dtype, value), value)
     mask = foreground(gray, catalog, params, value)
     if params.force_markers:
         mask = morphology.force_markers(mask, markers, catalog, params.force_radius)
@@ -66,14 +75,13 @@ def segment(
     ``dtype`` is the stored type of the gray values; all but ``uint8`` are rescaled first.
     """
     p = PRESETS[preset] if isinstance(preset, str) else preset
-    if dtype != "uint8":
-        gray = store(intensity.to_8bit(gray, dtype, value), "gray")
-    flat = store(background.flatten(gray, p.flatten, value), "flat")
+    gray = _packed(intensity.to_8bit(gray, dtype, value), value)
+    flat = store(background.flatten_bricks(gray.withColumnRenamed(value, "v"), p.flatten), "flat")
     limits = intensity.dark_threshold(flat, p.dark, "flat")
     dark = intensity.dark_mask(flat, limits, "flat")
     split = components.split_external(dark, catalog, p.dark.connectivity)
     cores = store(components.label(split.filter("not external").select(*R.RUN), p.markers.connectivity), "cores")
-    lines = store(features.pack_lines(flat, "flat"), "lines")
+    lines = flat.select(*R.LINE, "xb", F.col("flat").alias("values"))
     judged = select.marker_features(cores, lines, catalog, p.markers, p.sampling)
     kept = select.suppress_markers(
         judged.filter("reason = 'candidate'"), p.markers.nms_min_dist, p.markers.max_markers
@@ -90,8 +98,8 @@ def otsu_baseline(
 ) -> Segmentation:
     """Threshold, close, and flood from distance peaks."""
     p = PRESETS[preset] if isinstance(preset, str) else preset
-    gray = intensity.to_8bit(gray, dtype, value)
-    mask = R.from_voxels(intensity.foreground_mask(gray, p.flood.threshold_offset, value))
+    gray = _packed(intensity.to_8bit(gray, dtype, value), value)
+    mask = intensity.foreground_mask(gray, p.flood.threshold_offset, value)
     mask = store(morphology.close(mask, catalog, p.flood.close_radius), "foreground")
     rows = store(distance.distance_bricks(mask, catalog), "distance")
     markers = store(peaks(rows, p.peak_min_distance), "markers")

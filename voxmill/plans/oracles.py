@@ -420,27 +420,6 @@ _cte("totals", ("grouped",), """totals AS MATERIALIZED (
   UNION ALL SELECT "group", method, 'total_fn', CAST(sum(fn050) AS DOUBLE) FROM grouped GROUP BY "group", method)""")
 
 
-def _batch_metrics() -> str:
-    """Plain-join metrics for predictions, markers and the truth itself."""
-    return """keyed AS MATERIALIZED (SELECT vol_id*3+m AS k, vol_id, z, y, x, gt_id, p
-  FROM (SELECT *, unnest([0,1,2]) AS m, unnest([pred_id, marker_id, gt_id]) AS p FROM voxels)),
-kg AS MATERIALIZED (SELECT k, gt_id, n, valid FROM (SELECT k, gt_id, count(*) AS n, count(*) >= 20 AND NOT bool_or(z IN (0,23) OR y IN (0,23) OR x IN (0,23)) AS valid
-  FROM keyed WHERE gt_id > 0 GROUP BY k, gt_id)),
-kp AS MATERIALIZED (SELECT k, p, count(*) AS n FROM keyed WHERE p > 0 GROUP BY k, p),
-ki AS MATERIALIZED (SELECT k, gt_id, p, count(*) AS i FROM keyed WHERE gt_id > 0 AND p > 0 GROUP BY k, gt_id, p),
-ke AS MATERIALIZED (SELECT kp.k, kp.p, kp.n, COALESCE(sum(CASE WHEN valid THEN i ELSE 0 END), 0) >= COALESCE(sum(CASE WHEN valid THEN 0 ELSE i END), 0) AS evaluable
-  FROM kp LEFT JOIN ki ON ki.k=kp.k AND ki.p=kp.p LEFT JOIN kg ON kg.k=ki.k AND kg.gt_id=ki.gt_id GROUP BY kp.k, kp.p, kp.n),
-kt AS MATERIALIZED (SELECT ki.k, count(*) AS tp FROM ki JOIN kg ON kg.k=ki.k AND kg.gt_id=ki.gt_id JOIN ke ON ke.k=ki.k AND ke.p=ki.p
-  WHERE valid AND evaluable AND i/(kg.n+ke.n-i)::DOUBLE >= 0.60 GROUP BY ki.k),
-km AS MATERIALIZED (SELECT a.k, CAST(gt_valid AS BIGINT) AS gt_valid, CAST(COALESCE(pred_total,0) AS BIGINT) AS pred_labels, CAST(COALESCE(pred_eval,0) AS BIGINT) AS pred_eval,
-    CAST(COALESCE(tp,0) AS BIGINT) AS tp
-  FROM (SELECT k, sum(CASE WHEN valid THEN 1 ELSE 0 END) AS gt_valid FROM kg GROUP BY k) a
-  LEFT JOIN (SELECT k, count(*) AS pred_total, sum(CASE WHEN evaluable THEN 1 ELSE 0 END) AS pred_eval FROM ke GROUP BY k) b USING (k)
-  LEFT JOIN kt USING (k))"""
-
-
-_cte("batch", ("voxels",), _batch_metrics())
-
 _SUMMARY_NAMES = (
     "gt_total_ids_touching_crop", "gt_valid_ids_after_filter", "gt_border_ids_ignored_if_enabled",
     "gt_min_area_filter", "ignore_gt_border", "pred_label_count", "foreground_gt_voxels",
@@ -599,6 +578,34 @@ optimum AS MATERIALIZED (SELECT w.vol_id, w.root, arg_max(ious, total) AS ious,
   GROUP BY w.vol_id, w.root)""")
 
 
+def _batch(source: str) -> str:
+    """Crop rows at 0.50 for predictions, markers and the truth itself, from the exhaustive matching; every crop has its three rows."""
+    matched = _CTES["optimum"][1].replace("loosepairs", "kpairs")
+    return _sql(("voxels",), "").rstrip() + f""",
+source AS MATERIALIZED ({source}),
+keyed AS MATERIALIZED (SELECT vol_id*3+m AS k, vol_id, z, y, x, gt_id, p
+  FROM (SELECT *, unnest([0,1,2]) AS m, unnest([pred_id, marker_id, gt_id]) AS p FROM source)),
+kg AS MATERIALIZED (SELECT k, gt_id, n, valid FROM (SELECT k, gt_id, count(*) AS n, count(*) >= 20 AND NOT bool_or(z IN (0,23) OR y IN (0,23) OR x IN (0,23)) AS valid
+  FROM keyed WHERE gt_id > 0 GROUP BY k, gt_id)),
+kp AS MATERIALIZED (SELECT k, p, count(*) AS n FROM keyed WHERE p > 0 GROUP BY k, p),
+ki AS MATERIALIZED (SELECT k, gt_id, p, count(*) AS i FROM keyed WHERE gt_id > 0 AND p > 0 GROUP BY k, gt_id, p),
+ke AS MATERIALIZED (SELECT kp.k, kp.p, kp.n, COALESCE(sum(CASE WHEN valid THEN i ELSE 0 END), 0) >= COALESCE(sum(CASE WHEN valid THEN 0 ELSE i END), 0) AS evaluable
+  FROM kp LEFT JOIN ki ON ki.k=kp.k AND ki.p=kp.p LEFT JOIN kg ON kg.k=ki.k AND kg.gt_id=ki.gt_id GROUP BY kp.k, kp.p, kp.n),
+kpairs AS MATERIALIZED (SELECT ki.k AS vol_id, ki.gt_id, ki.p AS pred_id, i/(kg.n+ke.n-i)::DOUBLE AS iou FROM ki JOIN kg ON kg.k=ki.k AND kg.gt_id=ki.gt_id
+  JOIN ke ON ke.k=ki.k AND ke.p=ki.p WHERE valid AND evaluable),
+{matched},
+kt AS MATERIALIZED (SELECT vol_id AS k, CAST(sum(len(list_filter(ious, lambda v: v >= 0.5))) AS BIGINT) AS tp FROM optimum GROUP BY vol_id),
+km AS MATERIALIZED (SELECT l.k, CAST(COALESCE(gt_valid,0) AS BIGINT) AS gt_valid, CAST(COALESCE(pred_total,0) AS BIGINT) AS pred_labels, CAST(COALESCE(pred_eval,0) AS BIGINT) AS pred_eval,
+    CAST(COALESCE(tp,0) AS BIGINT) AS tp
+  FROM (SELECT DISTINCT vol_id*3+m AS k FROM (SELECT DISTINCT vol_id FROM source) CROSS JOIN (VALUES (0), (1), (2)) t(m)) l
+  LEFT JOIN (SELECT k, sum(CASE WHEN valid THEN 1 ELSE 0 END) AS gt_valid FROM kg GROUP BY k) a USING (k)
+  LEFT JOIN (SELECT k, count(*) AS pred_total, sum(CASE WHEN evaluable THEN 1 ELSE 0 END) AS pred_eval FROM ke GROUP BY k) b USING (k)
+  LEFT JOIN kt USING (k))
+""" + _crop_row(
+        "(SELECT *, k // 3 AS v FROM km)",
+        "concat('scan_0', v % 2) AS scan, concat('crop', v) AS crop_id, CASE k % 3 WHEN 0 THEN 'mintree_ws' WHEN 1 THEN 'otsu_ws' ELSE 'refined_ws' END AS method")
+
+
 def _published() -> str:
     """The metrics at 0.50 from the exhaustive matching of the strict pairs."""
     part = _CTES["optimum"][1].replace("loosepairs", "strictpairs")
@@ -816,11 +823,14 @@ UNION ALL SELECT "group", method, metric, CAST(CAST(mean AS BIGINT) AS VARCHAR),
         [f"round(max(mean) FILTER (metric = '{m}'), 9) AS {m}" for m in params.AVERAGED_METRICS]
         + [f"CAST(max(mean) FILTER (metric = '{m}') AS BIGINT) AS {m}" for m in params.TOTAL_METRICS])
         + """ FROM (SELECT "group", method, metric, mean FROM stats UNION ALL SELECT * FROM totals) WHERE "group" = 'ALL' GROUP BY method"""),
-    "x7_crop_method_batch": _sql(("batch",), _crop_row(
-        "(SELECT *, k // 3 AS v FROM km)",
-        "concat('scan_0', v % 2) AS scan, concat('crop', v) AS crop_id, CASE k % 3 WHEN 0 THEN 'mintree_ws' WHEN 1 THEN 'otsu_ws' ELSE 'refined_ws' END AS method")),
+    "x7_crop_method_batch": _batch("SELECT * FROM voxels"),
+    "x7_crop_method_batch_holed": _batch("""SELECT * REPLACE (CASE WHEN vol_id % 3 < 2 THEN 0 ELSE gt_id END AS gt_id,
+  CASE WHEN vol_id % 3 = 0 THEN 0 ELSE pred_id END AS pred_id, CASE WHEN vol_id % 3 = 0 THEN 0 ELSE marker_id END AS marker_id) FROM voxels"""),
 }
 
+ORACLES |= {"e3_valid_truth_runs": ORACLES["e3_valid_truth"], "e10_foreground_overlap_runs": ORACLES["e10_foreground_overlap"],
+            "e14_marker_voxel_tallies_runs": ORACLES["e14_marker_voxel_tallies"]}
+
 _METRIC_COLUMNS = ("gt_valid", "pred_total", "pred_eval", "pred_ignored_border", "tp", "fp", "fn", "precision", "recall", "f1", "overseg_ratio_pred_eval_gt")
 _OVERLAP_COLUMNS = ("foreground_gt_voxels", "foreground_pred_voxels", "foreground_intersection", "foreground_iou", "foreground_dice",
                     "foreground_precision", "foreground_recall")

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import offsets
 from ..functions import runs as R
+from ..functions.bricks import from_voxels, line_sums
 from ..functions.bricks import to_voxels as unpack
 from ..operators import background, compare, components, distance, evaluate, features, intensity, morphology, select
 from ..operators.flood import flood, peaks
@@ -210,7 +211,7 @@ def background_reference(s, d):
 
 
 def flatten(s, d):
-    return _digest(background.flatten(_voxels(s, d)), "flat")
+    return line_sums(background.flatten_bricks(_voxels(s, d)), "flat")
 
 
 def intensity_stats(s, d):
@@ -231,7 +232,9 @@ def dark_threshold_explicit(s, d):
 
 
 def dark_mask(s, d):
-    return _digest(_dark(s, d))
+    """From packed gray: threshold and runs without a voxel table."""
+    rows = store(from_voxels(_voxels(s, d), "gray", "int").withColumnRenamed("v", "gray"), "gray")
+    return _run_digest(intensity.dark_mask(rows, intensity.dark_threshold(rows, _PRODUCTION.dark, "gray"), "gray"))
 
 
 def foreground_mask(s, d):
@@ -544,9 +547,8 @@ def valid_truth(s, d):
 
 
 def pair_intersections(s, d):
-    """From two separate label tables, aligned on their coordinates."""
-    both = evaluate.align(_labels(s, d, "gt_id"), _labels(s, d, "pred_id"))
-    return evaluate.intersections(evaluate.contingency(both, _catalog(s, d)))
+    """From two separate label tables of runs, swept line by line."""
+    return evaluate.intersections(_run_table(s, d))
 
 
 def pair_intersections_valid(s, d):
@@ -595,6 +597,30 @@ def match_table(s, d):
     return _rounded(evaluate.matches(matched, _CHECKED), "iou")
 
 
+def _label_runs(s, d, column: str) -> DataFrame:
+    return R.from_voxels(_labels(s, d, column), ("label",))
+
+
+def _run_table(s, d) -> DataFrame:
+    swept = evaluate.align(_label_runs(s, d, "gt_id"), _label_runs(s, d, "pred_id"))
+    return store(evaluate.contingency(swept, _catalog(s, d)), "contingency")
+
+
+def foreground_overlap_runs(s, d):
+    names = ("foreground_iou", "foreground_dice", "foreground_precision", "foreground_recall")
+    return _rounded(evaluate.foreground_overlap(_run_table(s, d), _catalog(s, d)), *names)
+
+
+def valid_truth_runs(s, d):
+    """Sizes and contact with the faces, from runs."""
+    return evaluate.true_instances(_run_table(s, d), _CHECKED)
+
+
+def marker_voxel_tallies_runs(s, d):
+    swept = evaluate.align(_label_runs(s, d, "gt_id"), _label_runs(s, d, "marker_id"))
+    return evaluate.marker_tallies(swept.withColumnRenamed("pred_id", "marker_id"), _catalog(s, d))
+
+
 def foreground_overlap(s, d):
     names = ("foreground_iou", "foreground_dice", "foreground_precision", "foreground_recall")
     return _rounded(evaluate.foreground_overlap(_table(s, d), _catalog(s, d)), *names)
@@ -706,14 +732,14 @@ def method_table(s, d):
     return _rounded(table, *_SUMMARY)
 
 
-def crop_method_batch(s, d):
+def _batch(s, d, voxels: DataFrame) -> DataFrame:
     """Three methods on every crop in one job: each pair is its own volume key."""
     options = F.array(
         F.struct(F.lit(0).alias("m"), F.col("pred_id").alias("p")),
         F.struct(F.lit(1).alias("m"), F.col("marker_id").alias("p")),
         F.struct(F.lit(2).alias("m"), F.col("gt_id").alias("p")),
     )
-    rows = _voxels(s, d).filter("gt_id > 0 or pred_id > 0 or marker_id > 0").withColumn("o", F.explode(options))
+    rows = voxels.filter("gt_id > 0 or pred_id > 0 or marker_id > 0").withColumn("o", F.explode(options))
     keyed = rows.select(
         (F.col("vol_id") * 3 + F.col("o.m")).alias("vol_id"), "z", "y", "x", "gt_id", F.col("o.p").alias("pred_id")
     )
@@ -727,7 +753,17 @@ def crop_method_batch(s, d):
     )
     shapes = catalog.withColumn("vol_id", F.col("vol_id") * 3 + F.col("m")).drop("m")
     table = store(evaluate.contingency(keyed, shapes), "contingency")
-    return _rounded(compare.crop_summary(evaluate.threshold_metrics(table, _CHECKED), names, 0.60), *_SUMMARY)
+    metrics = evaluate.threshold_metrics(table, _FIXTURE.scoring, volumes=shapes)
+    return _rounded(compare.crop_summary(metrics, names, 0.50), *_SUMMARY)
+
+
+def crop_method_batch(s, d):
+    return _batch(s, d, _voxels(s, d))
+
+
+def crop_method_batch_holed(s, d):
+    """With crops of which no method, or no truth, has a label."""
+    return _batch(s, d, _holed(s, d))
 
 
 def segmentation_job(s, d):
@@ -838,9 +874,12 @@ QUERIES = {
     "x5_formatted_stats": formatted_stats,
     "x6_method_table": method_table,
     "x7_crop_method_batch": crop_method_batch,
+    "x7_crop_method_batch_holed": crop_method_batch_holed,
     "p1_segmentation_job": segmentation_job,
     "p2_otsu_baseline_job": otsu_baseline_job,
 }
+QUERIES |= {"e3_valid_truth_runs": valid_truth_runs, "e10_foreground_overlap_runs": foreground_overlap_runs,
+            "e14_marker_voxel_tallies_runs": marker_voxel_tallies_runs}
 QUERIES |= {"i2_rescale_16bit": rescale_16bit, "i8_otsu_16bit": otsu_16bit, "i11_foreground_16bit": foreground_mask_16bit}
 #: Tiles smaller than the test volumes, so that results have to meet across faces.
 SMALL_TILE = 8

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+from operator import and_, or_
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import lookup_join
 
 TILE = 64
+#: Most boxes that are put into one filter.
+LISTED_BOXES = 64
 RESULT_COUNTS = ("gt_valid", "pred_labels", "fp050", "fn050")
 RESULT_RATIOS = ("precision050", "recall050", "f1050", "overseg_ratio")
 
@@ -58,18 +63,43 @@ def require_same_shape(left: DataFrame, right: DataFrame) -> None:
         raise ValueError(f"shape mismatch: {wrong}")
 
 
+def write_voxels(voxels: DataFrame, path: str) -> None:
+    """Write a voxel table in the order of volume and tile.
+
+    The rows of a tile lie together, so the files' and row groups' least and largest
+    coordinates tell which of them a box needs.
+    """
+    tiles = [F.floor(F.col(c) / TILE).alias("t" + c) for c in "zyx"]
+    tiled = voxels.select("*", *tiles)
+    ordered = tiled.repartitionByRange("vol_id", "tz", "ty", "tx").sortWithinPartitions("vol_id", "tz", "ty", "tx", "z", "y", "x")
+    ordered.drop("tz", "ty", "tx").write.parquet(path)
+
+
+def _in_boxes(boxes: list) -> Column:
+    """In one of the listed boxes, by the stored columns alone: the scan can skip what lies outside."""
+    def inside(box) -> Column:
+        return reduce(and_, [(F.col(c) >= box[c]) & (F.col(c) <= box[c] + box["size"] - 1) for c in "zyx"])
+
+    return reduce(or_, map(inside, boxes), F.lit(False))
+
+
 def cut_crops(voxels: DataFrame, crops: DataFrame) -> DataFrame:
     """Voxels of each box, moved to the origin; boxes end at the volume edge.
 
-    Boxes are listed by the tiles they reach, so the range condition rides on an
-    equi-join: a broadcast for few boxes, else by shuffle with salted tiles.
+    Up to ``LISTED_BOXES`` boxes are also a filter on the coordinates, which reaches the
+    scan of the voxels; the result is the same without it.  Boxes are listed by the tiles
+    they reach, so the range condition rides on an equi-join: a broadcast for few boxes,
+    else by shuffle with salted tiles.
     """
     def reach(c: str):
         return F.explode(
             F.sequence(F.floor(F.col("c" + c) / TILE).cast("int"), F.floor((F.col("c" + c) + F.col("size") - 1) / TILE).cast("int"))
         )
 
-    boxes = crops.select("crop_id", F.col("x").alias("cx"), F.col("y").alias("cy"), F.col("z").alias("cz"), "size")
+    listed = crops.select("z", "y", "x", "size").filter("size > 0").distinct().limit(LISTED_BOXES + 1).collect()
+    if len(listed) <= LISTED_BOXES:
+        voxels = voxels.filter(_in_boxes(listed))
+    boxes = crops.select("crop_id", F.col("x").alias("cx"), F.col("y").alias("cy"), F.col("z").alias("cz"), "size").filter("size > 0")
     for c in "zyx":
         boxes = boxes.withColumn("t" + c, reach(c))
     tiled = voxels.withColumns({"t" + c: F.floor(F.col(c) / TILE).cast("int") for c in "zyx"})
