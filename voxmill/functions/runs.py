@@ -51,15 +51,17 @@ def covered(intervals: DataFrame, wanted) -> DataFrame:
     Intervals may overlap.  One sweep over the end points of a line: the running
     sum (peers included) is the cover count from that point on.
     """
+    # The line travels in the struct: a union of tables that are each partitioned by line
+    # would else pass for partitioned by line, though their partitions need not agree.
     ends = intervals.select(
-        *LINE,
+        "vol_id",
         F.explode(
             F.array(
-                F.struct(F.col("x0").alias("x"), F.lit(1).alias("step")),
-                F.struct((F.col("x1") + 1).alias("x"), F.lit(-1).alias("step")),
+                F.struct("z", "y", F.col("x0").alias("x"), F.lit(1).alias("step")),
+                F.struct("z", "y", (F.col("x1") + 1).alias("x"), F.lit(-1).alias("step")),
             )
         ).alias("e"),
-    ).select(*LINE, "e.x", "e.step")
+    ).select("vol_id", "e.z", "e.y", "e.x", "e.step")
     line = W.partitionBy(*LINE).orderBy("x")
     inside = ends.withColumn("_in", wanted(F.sum("step").over(line)))
     changes = inside.withColumn(

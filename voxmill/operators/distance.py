@@ -13,6 +13,8 @@ from ..functions.bricks import SPAN
 from ..functions.numeric import FAR, expand, lower_envelope
 from ..session import by_block, lookup_join
 
+#: Planes that one task call filters together.
+PLANES = 8
 _SCHEMA = "vol_id int, z int, y int, xb int, d2 array<long>"
 
 
@@ -26,23 +28,29 @@ def _along_x(lo, hi, first, last, width) -> tuple[np.ndarray, np.ndarray, np.nda
 
 
 def _pass_y(table: pa.Table) -> pa.Table:
-    get = {c: table[c].to_numpy() for c in ("y", "xb", "x0", "x1", "height", "width")}
+    """A few planes of one brick column: all their lines along y at once."""
+    get = {c: table[c].to_numpy() for c in ("z", "y", "xb", "x0", "x1", "height", "width")}
     start = int(get["xb"][0]) * SPAN
     lo = np.maximum(get["x0"], start).astype(np.int64)
     hi = np.minimum(get["x1"], start + SPAN - 1).astype(np.int64)
     row, x, g2 = _along_x(lo, hi, get["x0"].astype(np.int64), get["x1"].astype(np.int64), get["width"])
-    height = int(get["height"][0])
-    block = np.zeros((height, SPAN), np.int64)
-    block[get["y"][row], x - start] = g2
-    ys = np.unique(get["y"])
-    return _rows(table, lower_envelope(block)[ys], y=ys)
+    low = int(get["z"].min())
+    block = np.zeros((int(get["height"][0]), int(get["z"].max()) - low + 1, SPAN), np.int64)
+    block[get["y"][row], get["z"][row] - low, x - start] = g2
+    block = lower_envelope(block.reshape(len(block), -1)).reshape(block.shape)
+    lines = np.unique(get["z"].astype(np.int64) * len(block) + get["y"])
+    z, y = lines // len(block), lines % len(block)
+    return _rows(table, block[y, z - low], z=z, y=y)
 
 
 def _pass_z(table: pa.Table) -> pa.Table:
-    block = np.zeros((int(table["depth"][0].as_py()), SPAN), np.int64)
-    zs = table["z"].to_numpy()
-    block[zs] = bricks.matrix(table["d2"])
-    return _rows(table, lower_envelope(block)[zs], z=zs)
+    """The same along z for a few values of y."""
+    z, y = table["z"].to_numpy(), table["y"].to_numpy()
+    low = int(y.min())
+    block = np.zeros((int(table["depth"][0].as_py()), int(y.max()) - low + 1, SPAN), np.int64)
+    block[z, y - low] = bricks.matrix(table["d2"])
+    block = lower_envelope(block.reshape(len(block), -1)).reshape(block.shape)
+    return _rows(table, block[z, y - low], z=z, y=y)
 
 
 def _rows(table: pa.Table, values: np.ndarray, **varying: np.ndarray) -> pa.Table:
@@ -58,15 +66,18 @@ def distance_bricks(mask: DataFrame, catalog: DataFrame) -> DataFrame:
     """Brick rows of squared distances: 0 background, ``FAR`` without any background.
 
     The x pass needs only the ends of a run, so runs, not voxels, are shuffled
-    into the y pass, and packed rows into the z pass.
+    into the y pass, and packed rows into the z pass.  A task call takes ``PLANES``
+    neighbouring planes of one brick column.
     """
     first, last = (F.floor(F.col(c) / SPAN).cast("int") for c in ("x0", "x1"))
     cut = lookup_join(mask.select(*R.RUN), catalog, ["vol_id"]).withColumn(
         "xb", F.explode(F.sequence(first, last))
     )
-    by_y = by_block(cut.drop("depth"), "vol_id", "z", "xb").groupBy("vol_id", "z", "xb")
+    cut = cut.drop("depth").withColumn("part", F.floor(F.col("z") / PLANES).cast("int"))
+    by_y = by_block(cut, "vol_id", "part", "xb").groupBy("vol_id", "part", "xb")
     half = lookup_join(by_y.applyInArrow(_pass_y, _SCHEMA), catalog.select("vol_id", "depth"), ["vol_id"])
-    by_z = by_block(half, "vol_id", "y", "xb").groupBy("vol_id", "y", "xb")
+    half = half.withColumn("part", F.floor(F.col("y") / PLANES).cast("int"))
+    by_z = by_block(half, "vol_id", "part", "xb").groupBy("vol_id", "part", "xb")
     return by_z.applyInArrow(_pass_z, _SCHEMA)
 
 

@@ -21,7 +21,10 @@ from .matching import optimal_matching
 def _label_runs(labels: DataFrame, name: str) -> DataFrame:
     if "x0" in labels.columns:
         return labels.filter("label > 0").select(*R.RUN, F.col("label").alias(name))
-    return R.from_voxels(labels.filter("label > 0").withColumnRenamed("label", name), (name,))
+    line = W.partitionBy(*R.LINE).orderBy("x")
+    goes_on = (F.lag("x").over(line) + 1 == F.col("x")) & (F.lag("label").over(line) == F.col("label"))
+    opens = labels.filter("label > 0").withColumn("_opens", F.when(goes_on, 0).otherwise(1)).withColumn("_run", F.sum("_opens").over(line))
+    return opens.groupBy(*R.LINE, "_run").agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("label").alias(name)).drop("_run")
 
 
 def align(gt: DataFrame, pred: DataFrame) -> DataFrame:
@@ -35,8 +38,12 @@ def align(gt: DataFrame, pred: DataFrame) -> DataFrame:
     for labels, name, other in ((gt, "gt_id", "pred_id"), (pred, "pred_id", "gt_id")):
         runs = _label_runs(labels, name)
         v = F.col(name)
-        ends = F.explode(F.array(F.struct(F.col("x0").alias("x"), v.alias("v")), F.struct((F.col("x1") + 1).alias("x"), F.lit(0).cast(runs.schema[name].dataType).alias("v")))).alias("e")
-        marks.append(runs.select(*R.LINE, ends).select(*R.LINE, "e.x", F.col("e.v").alias(name), F.lit(None).cast(runs.schema[name].dataType).alias(other)))
+        kind = runs.schema[name].dataType
+        # The line travels in the struct: the two tables' partitions need not agree, so the union must not pass for partitioned.
+        ends = F.explode(F.array(
+            F.struct("z", "y", F.col("x0").alias("x"), v.alias("v")),
+            F.struct("z", "y", (F.col("x1") + 1).alias("x"), F.lit(0).cast(kind).alias("v")))).alias("e")
+        marks.append(runs.select("vol_id", ends).select("vol_id", "e.z", "e.y", "e.x", F.col("e.v").alias(name), F.lit(None).cast(kind).alias(other)))
     line = W.partitionBy(*R.LINE).orderBy("x")
     # Where one run ends and the next begins, the label above zero counts.
     at = by_block(union_all(*marks), *R.LINE).groupBy(*R.LINE, "x").agg(F.max("gt_id").alias("gt_id"), F.max("pred_id").alias("pred_id"))

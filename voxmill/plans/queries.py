@@ -598,7 +598,7 @@ def match_table(s, d):
 
 
 def _label_runs(s, d, column: str) -> DataFrame:
-    return R.from_voxels(_labels(s, d, column), ("label",))
+    return store(R.from_voxels(_labels(s, d, column), ("label",)), "runs")
 
 
 def _run_table(s, d) -> DataFrame:
