@@ -113,7 +113,7 @@ def test_components(spark):
 @pytest.fixture(scope="module")
 def items(rows):
     long = rows[8][1].split()
-    return [(1, " ".join(long[5:40])), (10, " ".join(long[20:34])), (2, "One two"), (3, ""), (4, None), (None, "alpha"), (5, "Over and out"), (5, "one two")]
+    return [(1, " ".join(long[5:40])), (10, " ".join(long[20:34])), (2, "One two"), (3, ""), (4, None), (None, " ".join(long[50:70])), (5, "Over and out"), (5, "one two")]
 
 
 @pytest.mark.parametrize("shard", [decontaminate.INDEX_BYTES, 200])
@@ -121,8 +121,8 @@ def test_decontamination(spark, docs, rows, items, shard, monkeypatch):
     monkeypatch.setattr(decontaminate, "INDEX_BYTES", shard)
     bench = spark.createDataFrame(items, "item_id long, text string")
     found = decontaminate.find_hits(docs.withColumn("items", F.lit(1)).withColumn("N_HIT", F.lit(2)), bench)
-    named = [i for i in items if i[0] is not None]
-    expected = [(r[0], *H.hits(r[1], named)) for r in rows]
+    expected = [(r[0], n, hit, [i for i in names if i is not None]) for r in rows for n, hit, names in [H.hits(r[1], items)]]
+    assert any(hit and not names for _, _, hit, names in expected) or any(None in H.hits(r[1], items)[2] for r in rows)
     H.same([(r["doc_id"], r["n_words"], r["n_hit"], r["items"]) for r in found.collect()], expected)
     for r in found.collect():
         assert sum(b - a for a, b in r["spans"]) == r["n_hit"] and r["n_items"] == len(r["items"])
@@ -188,6 +188,22 @@ def _pairs(rng, n, partners):
     return [" ".join(f"{w} {partners[w]}" for w in (rng.choice(list(partners)) for _ in range(n))) for _ in range(1200)]
 
 
+def test_lm_is_the_same_for_any_partitions(spark, docs, monkeypatch):
+    monkeypatch.setattr(lm, "LEARNER_TOKENS", 3_000)  # several learners
+    found = []
+    for parts in (1, 9):
+        rows = lm.score(docs.where("doc_id is not null").repartition(parts, "text")).collect()
+        found.append(sorted((r["doc_id"], round(r["score"], 4)) for r in rows))
+    assert found[0] == found[1]
+
+
+def test_lm_model_is_bounded(monkeypatch):
+    monkeypatch.setattr(lm, "MODEL_WORDS", 300)
+    words = lm.Vocabulary(np.arange(1000, dtype=np.uint64), np.full(1000, 500), 500_000, 1000)
+    assert words.size == 302 and words.other_words == 700 and words.other_total == 350_000
+    assert lm.LogBilinear(words.slim()).table.shape == lm.LogBilinear(words).table.shape
+
+
 def test_lm_knows_all_words_above_a_count(spark):
     # 1,200 words, far more than a fixed head holds; half of them follow from the word before.
     rng = random.Random(6)

@@ -74,17 +74,18 @@ class WindowIndex:
                     continue
                 own = np.concatenate([[False], hit[a:b], [False]])
                 turns = np.flatnonzero(own[1:] != own[:-1])
-                yield b - a, int(hit[a:b].sum()), turns.reshape(-1, 2).tolist(), sorted(items[d], key=str)
+                yield b - a, int(hit[a:b].sum()), turns.reshape(-1, 2).tolist(), sorted(items[d] - {None}, key=str)
 
 
-def _shards(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
-    """Benchmark items in parts of at most about ``INDEX_BYTES`` of text each."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null")
+def _shards(benchmark: DataFrame | None) -> tuple[int, Iterator[list[tuple[int | None, str]]]]:
+    """Number of parts of at most about ``INDEX_BYTES`` of text each, and the parts, one in the driver at a time."""
+    if benchmark is None:
+        return 1, iter([[]])
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = int(total // INDEX_BYTES) + 1
-    for p in range(parts):
-        own = items if parts == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == p)
-        yield [(r["item_id"], r["text"]) for r in own.collect()]  # bounded by INDEX_BYTES
+    own = (items if parts == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == p) for p in range(parts))
+    return parts, ([(r["item_id"], r["text"]) for r in part.collect()] for part in own)  # bounded by INDEX_BYTES
 
 
 def find_hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -96,8 +97,9 @@ def find_hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     characters beyond ASCII; a window is 13 words, or a whole shorter item.
     Matching hashes are verified on the words.
 
-    Null and empty texts have no words; items without text, words or id give no
-    window, and repeated items count once per id.  Repeated rows get equal
+    Null and empty texts have no words; items without text or words give no window.
+    Windows of an item without id hit words but name no item; repeated items count
+    once per id.  Item ids are whole numbers, others an error.  Repeated rows get equal
     results.  Earlier columns of the new names are replaced.  A benchmark beyond
     ``INDEX_BYTES`` is searched in several passes, one broadcast each.
     """
@@ -106,7 +108,7 @@ def find_hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     docs = frames.fresh(docs, *NEW)
     name = {c.lower(): c for c in docs.columns}["text"]
     schema = frames.with_columns(docs, n_words=T.LongType(), n_hit=T.LongType(), items=T.ArrayType(T.LongType()), spans=_SPANS)
-    shards = list(_shards(benchmark)) if benchmark is not None else [[]]
+    parts, shards = _shards(benchmark)
 
     def judge(shared):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,8 +119,8 @@ def find_hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                      pa.array(spans, pa.list_(pa.list_(pa.int64())))], [*batch.schema.names, "n_words", "n_hit", "items", "spans"])
         return run
 
-    if len(shards) == 1:
-        out = docs.mapInArrow(judge(spark.sparkContext.broadcast(WindowIndex(shards[0]))), schema)
+    if parts == 1:
+        out = docs.mapInArrow(judge(spark.sparkContext.broadcast(WindowIndex(next(shards)))), schema)
     else:
         out = _merged(docs, name, shards, judge, schema)
     return out.select(
@@ -126,11 +128,11 @@ def find_hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         ((F.col("n_hit") > 0) & (SHARE * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"))
 
 
-def _merged(docs: DataFrame, name: str, shards: list, judge, schema: T.StructType) -> DataFrame:
+def _merged(docs: DataFrame, name: str, shards: Iterator, judge, schema: T.StructType) -> DataFrame:
     """One pass per part of the benchmark; a text's hits are united by the text's digest."""
     spark = docs.sparkSession
-    keyed = docs.withColumn("_key", F.sha2(F.coalesce(F.col(name), F.lit("")), 256))
-    slim = keyed.select("_key", F.col(name).alias(name)).dropDuplicates(["_key"])
+    keyed = docs.select(F.struct(*docs.columns).alias("_row"), F.sha2(F.coalesce(F.col(name), F.lit("")), 256).alias("_key"))
+    slim = keyed.select("_key", F.col(f"_row.{name}").alias(name)).dropDuplicates(["_key"])
     slim_schema = T.StructType([T.StructField("_key", T.StringType()), T.StructField(name, T.StringType()), *schema.fields[-4:]])
     found = None
     for shard in shards:
@@ -149,7 +151,7 @@ def _merged(docs: DataFrame, name: str, shards: list, judge, schema: T.StructTyp
     found = items.join(covered.select("_key", F.size("w").cast("long").alias("n_hit"), runs.alias("spans")), "_key", "left")
     empty = F.expr("cast(array() as array<array<bigint>>)")
     return keyed.join(found, "_key").select(
-        *docs.columns, "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), "items", F.coalesce("spans", empty).alias("spans"))
+        "_row.*", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), "items", F.coalesce("spans", empty).alias("spans"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

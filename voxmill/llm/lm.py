@@ -2,8 +2,8 @@
 
 The model predicts the next of the frequent words, the end of a text, or "another
 word" from the two tokens before; another word is then drawn by its smoothed count.
-The frequent words are all that occur ``LEAST`` times, so they grow with the corpus;
-a word is predicted as its class, then as itself in the class, so that normalising
+The frequent words are those that occur ``LEAST`` times, up to ``MODEL_WORDS`` of them;
+counts cover all words, so they grow with the corpus.  A word is predicted as its class, then as itself in the class, so that normalising
 takes about the root of their number.  So every text has a normalised probability,
 whatever its words.
 """
@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from copy import copy
 
 import numpy as np
 import pyarrow as pa
@@ -20,12 +21,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxmill.llm import frames, texts
-from voxmill.session import store
+from voxmill.session import by_block, discard, store
 
-#: Training count from which the neural model tells a word apart, and most of the top
-#: words that it knows in any case; the end of a text and another word come on top.
+#: Training count from which the neural model tells a word apart, most of the top words
+#: that it knows in any case, and the bound on its words (its size, so that of each
+#: broadcast, is bounded too); the end of a text and another word come on top.
 LEAST = 100
 HEAD = 254
+MODEL_WORDS = 1 << 14
 WIDTH = 16
 ORDER = 2
 #: Noise classes of a batch, and noise words of a token in its class.
@@ -33,10 +36,10 @@ NOISE, NOISE_INSIDE = 32, 4
 BATCH = 1024
 #: Parts of the training texts; after each, the tasks' models are averaged.
 ROUNDS = 4
-#: A task with fewer batches in a round repeats them up to this number, at most ``EPOCHS`` times.
+#: A learner with fewer batches in a round (a corpus of under a million tokens) repeats them up to this number, at most ``EPOCHS`` times.
 STEPS, EPOCHS = 200, 10
-#: Models that learn at once, by core: each goes to the average once a round, so their number is not that of the partitions.
-LEARNERS = 2
+#: Training tokens of a learner: texts are dealt to learners by hash, so that neither partitions nor cores matter.
+LEARNER_TOKENS = 8_000_000
 #: Rows of the model in one row of the averaging.
 BLOCK = 64
 RATE = 0.05
@@ -104,7 +107,7 @@ def count_words(folded: DataFrame) -> DataFrame:
 
 
 def _frequent(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes (sorted) and counts of at most ``most`` words, or of all with ``LEAST``, none rarer than those left out."""
+    """Hashes (sorted) and counts of at most ``most`` words, none rarer than those left out."""
     level = F.floor(F.log2("c") * 16).cast("int")
     rows = sorted(counts.groupBy(level.alias("level")).agg(F.count("*").alias("n"), F.min("c").alias("c")).collect(), key=lambda r: -r["level"])
     least, n = None, 0
@@ -113,8 +116,9 @@ def _frequent(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
         if n > most:
             break
         least = r["c"]
-    least = LEAST if least is None else min(least, LEAST)
-    table = counts.where(F.col("c") >= least).select("h", "c").toArrow()  # at most ``most`` rows, or the model's words
+    if least is None:
+        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
+    table = counts.where(F.col("c") >= least).select("h", "c").toArrow()  # at most ``most`` rows
     h, c = np.asarray(table["h"]).astype(np.int64).view(np.uint64), np.asarray(table["c"]).astype(np.int64)
     order = np.argsort(h)
     return h[order], c[order]
@@ -131,7 +135,7 @@ class Vocabulary:
         self.known, self.counts, self.total, self.different = known, counts, total, different
         words = np.flatnonzero(known != END_HASH)
         words = words[np.lexsort((known[words], -counts[words]))]
-        top = words[:max(HEAD, int((counts[words] >= LEAST).sum()))]
+        top = words[:min(MODEL_WORDS, max(HEAD, int((counts[words] >= LEAST).sum())))]
         self.id_of = np.argsort(known[top])
         self.head = known[top][self.id_of]
         self.size = len(self.head) + 2
@@ -148,6 +152,12 @@ class Vocabulary:
         self.class_unigram = np.add.reduceat(self.unigram, self.first[:-1])
         self.inside = self.unigram / self.class_unigram[self.class_of]
 
+    def slim(self) -> Vocabulary:
+        """A copy without the counts of words outside the model."""
+        out = copy(self)
+        out.known, out.counts = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
+        return out
+
     def ids(self, h: np.ndarray) -> np.ndarray:
         out = np.full(len(h), self.other, dtype=np.int64)
         if len(self.head):
@@ -210,7 +220,9 @@ class LogBilinear:
         return np.concatenate([self.table, self.squares], axis=1)
 
     def load(self, flat: np.ndarray) -> LogBilinear:
-        self.table, self.squares = flat[:, :2 * WIDTH + 1].copy(), flat[:, 2 * WIDTH + 1:].copy()
+        """Takes the rows of ``flat``; without sums of squares the model is for scoring only."""
+        self.table = flat[:, :2 * WIDTH + 1].copy()
+        self.squares = flat[:, 2 * WIDTH + 1:].copy() if flat.shape[1] > 2 * WIDTH + 1 else np.zeros_like(self.table)
         self._views()
         return self
 
@@ -298,10 +310,10 @@ def _log_softmax(q: np.ndarray, vectors: np.ndarray, bias: np.ndarray, row: np.n
     return scores[row, column] - total[row]
 
 
-def _before(ids: np.ndarray, tokens: Tokens, nothing: int) -> np.ndarray:
-    """Ids of the tokens one and two places back, within each text."""
+def _before(ids: np.ndarray, counts: np.ndarray, nothing: int) -> np.ndarray:
+    """Ids of the tokens one and two places back, within each text; ``counts`` are the texts' tokens."""
     out = np.full((ORDER, len(ids)), nothing, dtype=np.int64)
-    place = np.arange(len(ids)) - tokens.starts[tokens.doc]
+    place = np.arange(len(ids)) - np.repeat(np.cumsum(counts) - counts, counts)
     for k in range(ORDER):
         there = np.flatnonzero(place > k)
         out[k, there] = ids[there - k - 1]
@@ -315,7 +327,8 @@ def _weights(vocabulary: Vocabulary, met: np.ndarray, docs: int) -> np.ndarray:
 
 
 def _mean(table: pa.Table) -> pa.Table:
-    """Weighted mean of one block of rows over the tasks; NaN where no task met a row."""
+    """Weighted mean of one block of rows over the learners, in their order; NaN where none met a row."""
+    table = table.sort_by("learner")
     total, weight = 0.0, 0.0
     for w, v in zip(table["w"], table["v"], strict=True):
         w = np.frombuffer(w.as_py(), dtype=np.float64)
@@ -326,61 +339,73 @@ def _mean(table: pa.Table) -> pa.Table:
     return pa.table({"k": table["k"].slice(0, 1), "v": pa.array([mean.tobytes()], pa.binary())})
 
 
+def _dealt(folded: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """(turn, learner, draw, ids) of every training text, stored: its round, its learner, its place there, its ids."""
+    shared = folded.sparkSession.sparkContext.broadcast(vocabulary)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = shared.value
+        for batch in batches:
+            for part in texts.slices(texts.column(batch, "text")):
+                tokens = Tokens(part)
+                ids = words.ids(tokens.hashes).astype("<u2")
+                streams = [ids[a:a + n].tobytes() for a, n in zip(tokens.starts.tolist(), tokens.counts.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(part.first, len(part)), pa.array(streams, pa.binary())], ["draw", "ids"])
+
+    learners = max(1, -(-vocabulary.total // LEARNER_TOKENS))
+    rows = folded.where("not held_out").select(F.xxhash64("doc_id", "text").alias("draw"), "text").mapInArrow(run, "draw long, ids binary")
+    return store(rows.select(F.pmod("draw", F.lit(ROUNDS)).cast("int").alias("turn"), F.pmod(F.shiftright("draw", 16), F.lit(learners)).cast("int").alias("learner"),
+                             "draw", "ids"), "ids")
+
+
+def _learner(shared, turn: int):
+    """Trains a copy of the shared model on the texts of one learner; gives its rows in blocks, with weights."""
+    def learn(table: pa.Table) -> pa.Table:
+        words, start = shared.value
+        learner = int(table["learner"][0].as_py())
+        table = table.sort_by([("draw", "ascending"), ("ids", "ascending")])
+        streams = [np.frombuffer(s.as_py(), dtype="<u2") for s in table["ids"]]
+        counts = np.array([len(s) for s in streams])
+        ids = np.concatenate(streams).astype(np.int64)
+        before = _before(ids, counts, words.size)
+        model = LogBilinear(words).load(start)
+        step = model.trainer((4, turn, learner))
+        batches = -(-len(ids) // BATCH)
+        for _ in range(min(EPOCHS, max(1, STEPS // batches))):
+            for k in range(0, len(ids), BATCH):
+                step(ids[k:k + BATCH], before[:, k:k + BATCH])
+        rows, weights = model.flat(), _weights(words, np.bincount(ids, minlength=words.size), len(streams))
+        first = range(0, len(rows), BLOCK)
+        return pa.table({
+            "k": pa.array([k // BLOCK for k in first], pa.int32()), "learner": pa.array([learner] * len(first), pa.int32()),
+            "v": pa.array([rows[k:k + BLOCK].tobytes() for k in first], pa.binary()), "w": pa.array([weights[k:k + BLOCK].tobytes() for k in first], pa.binary())})
+
+    return learn
+
+
 def train(folded: DataFrame, vocabulary: Vocabulary) -> np.ndarray:
-    """Parameters of the model, by ``ROUNDS`` of training in every task and averaging.
+    """Parameters of the model, by ``ROUNDS`` of training in every learner and averaging.
 
-    A round is a part of the texts.  Tasks start from the last average; those with few
-    texts repeat them, so the number of steps behind a model does not fall with the
-    size of the partitions.  Each row's average is by how often a task met its word: a
-    task that never saw a word does not hold it back.
+    A round is a part of the texts.  Learners start from the last average and take the texts
+    that their hash deals to them, in the order of the hash, so the model is the same for any
+    partitions and cores.  Each row's average is by how often a learner met its word: one
+    that never saw a word does not hold it back.
     """
     context = folded.sparkSession.sparkContext
-    texts_of = folded.where("not held_out")
+    dealt = _dealt(folded, vocabulary)
     flat = LogBilinear(vocabulary).flat()
     for turn in range(ROUNDS):
-        shared = context.broadcast((vocabulary, flat))
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared, turn=turn) -> Iterator[pa.RecordBatch]:
-            words, start = shared.value
-            model = LogBilinear(words).load(start)
-            step = model.trainer((4, turn, TaskContext.get().partitionId()))
-            met, docs, steps, held = np.zeros(words.size, dtype=np.int64), 0, 0, []
-            for batch in batches:
-                for part in texts.slices(texts.column(batch, "text")):
-                    tokens = Tokens(part)
-                    ids = words.ids(tokens.hashes)
-                    before = _before(ids, tokens, words.size)
-                    for k in range(0, len(ids), BATCH):
-                        step(ids[k:k + BATCH], before[:, k:k + BATCH])
-                        steps += 1
-                        if steps < STEPS:
-                            held.append((ids[k:k + BATCH], before[:, k:k + BATCH]))
-                        else:
-                            held = []
-                    met += np.bincount(ids, minlength=words.size)
-                    docs += len(part)
-            for _ in range(EPOCHS - 1):
-                for own in held if steps < STEPS else []:
-                    step(*own)
-                    steps += 1
-            if docs:
-                rows, weights = model.flat(), _weights(words, met, docs)
-                first = range(0, len(rows), BLOCK)
-                for a in range(0, len(first), 256):
-                    own = first[a:a + 256]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([k // BLOCK for k in own], pa.int32()), pa.array([rows[k:k + BLOCK].tobytes() for k in own], pa.binary()),
-                         pa.array([weights[k:k + BLOCK].tobytes() for k in own], pa.binary())], ["k", "v", "w"])
-
-        part = texts_of.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(ROUNDS)) == turn)
-        rows = part.select("text").coalesce(LEARNERS * context.defaultParallelism).mapInArrow(run, "k int, v binary, w binary")
+        shared = context.broadcast((vocabulary.slim(), flat))
+        own = by_block(dealt.where(F.col("turn") == turn).drop("turn"), "learner")
+        rows = own.groupBy("learner").applyInArrow(_learner(shared, turn), "k int, learner int, v binary, w binary")
         mean = rows.groupBy("k").applyInArrow(_mean, "k int, v binary").collect()  # the model once
         flat = flat.copy()
         for r in mean:
-            own = flat[r["k"] * BLOCK:(r["k"] + 1) * BLOCK]
-            new = np.frombuffer(r["v"], dtype=np.float32).reshape(own.shape)
-            own[:] = np.where(np.isnan(new), own, new)
+            old = flat[r["k"] * BLOCK:(r["k"] + 1) * BLOCK]
+            new = np.frombuffer(r["v"], dtype=np.float32).reshape(old.shape)
+            old[:] = np.where(np.isnan(new), old, new)
         shared.destroy()
+    discard(dealt)
     return flat
 
 
@@ -397,8 +422,9 @@ def score(docs: DataFrame) -> DataFrame:
     (c + 0.1) / (its total + 0.1 * (its words + 1)).
 
     Counts are exact over the whole corpus, by 64-bit hashes of words.  Up to ``KNOWN``
-    frequent words (or the model's own, if more) are looked up in a broadcast table; rarer ones meet their counts in a
-    join, summed per document before.  Null texts count as empty (one end), a null id as
+    frequent words are looked up in a broadcast table; rarer ones meet their counts in a
+    join, summed per document before.  Scores do not depend on partitions or cores, but for
+    the last digits of sums.  Null texts count as empty (one end), a null id as
     an empty one, which is held out.  Repeated rows are scored separately and alike.
     With nothing to learn from, every word is another word and every count 0.
     """
@@ -410,7 +436,7 @@ def score(docs: DataFrame) -> DataFrame:
     known, found = _frequent(counts, KNOWN)
     vocabulary = Vocabulary(known, found, total, different)
     flat = train(folded, vocabulary)
-    shared = spark.sparkContext.broadcast((vocabulary, flat))
+    shared = spark.sparkContext.broadcast((vocabulary, flat[:, :2 * WIDTH + 1]))
     base_of = total + SMOOTH * (different + 1)
     other_of = vocabulary.other_total + SMOOTH * (vocabulary.other_words + 1)
 
@@ -427,7 +453,7 @@ def score(docs: DataFrame) -> DataFrame:
                 here = c >= 0
                 log_c = np.log10(np.maximum(c, 0) + SMOOTH)
                 base = np.where(here, log_c, 0.0) - np.log10(base_of)
-                own = model.log10_probabilities(known_ids, _before(known_ids, tokens, words.size))
+                own = model.log10_probabilities(known_ids, _before(known_ids, tokens.counts, words.size))
                 other = known_ids == words.other
                 own += np.where(other, np.where(here, log_c, 0.0) - np.log10(other_of), 0.0)
                 rows = row + np.arange(n)
