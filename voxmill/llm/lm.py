@@ -183,7 +183,11 @@ def _by_row(rows: np.ndarray, grads: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+    out = np.clip(x, -30, 30)
+    np.negative(out, out=out)
+    np.exp(out, out=out)
+    out += 1
+    return np.reciprocal(out, out=out)
 
 
 class LogBilinear:
@@ -211,7 +215,8 @@ class LogBilinear:
         n, m = self.words.size, len(self.words.class_unigram)
         for of, name in ((self.table, ""), (self.squares, "_squares")):
             parts = {"A": of[:n + 1, :WIDTH], "Q": of[:n, WIDTH:2 * WIDTH], "bias": of[:n, -1], "R": of[n + 1:n + 1 + m, WIDTH:2 * WIDTH],
-                     "class_bias": of[n + 1:n + 1 + m, -1], "C": of[n + 1 + m:, :WIDTH]}
+                     "class_bias": of[n + 1:n + 1 + m, -1], "C": of[n + 1 + m:, :WIDTH],
+                     "word_rows": of[:n, WIDTH:], "class_rows": of[n + 1:n + 1 + m, WIDTH:]}
             for k, part in parts.items():
                 setattr(self, k + name, part)
 
@@ -227,14 +232,20 @@ class LogBilinear:
         return self
 
     def context(self, before: np.ndarray) -> np.ndarray:
-        return sum(self.A[before[k]] * self.C[k] for k in range(ORDER))
+        out = self.A[before[0]] * self.C[0]
+        for k in range(1, ORDER):
+            out += self.A[before[k]] * self.C[k]
+        return out
 
     def _move(self, name: str, rows: np.ndarray | slice, g: np.ndarray, n: int) -> None:
         of, squares = getattr(self, name), getattr(self, name + "_squares")
         g = g / np.float32(n)
         own = squares[rows] + g * g
         squares[rows] = own
-        of[rows] += np.float32(RATE) * g / np.sqrt(own)
+        np.sqrt(own, out=own)
+        g *= np.float32(RATE)
+        g /= own
+        of[rows] += g
 
     def trainer(self, seed: tuple[int, ...] = (4,)):
         """A step on ids and what is before them, by AdaGrad; only rows that a batch meets move."""
@@ -251,9 +262,10 @@ class LogBilinear:
             q = self.context(before)
             own = words.class_of[ids]
             noise = rng.choice(len(words.class_unigram), NOISE, p=words.class_unigram)
-            up = 1 - _sigmoid((q * self.R[own]).sum(1) + self.class_bias[own] - log_class[own])
+            R = self.R[own]
+            up = 1 - _sigmoid(np.einsum("nw,nw->n", q, R) + self.class_bias[own] - log_class[own])
             down = -_sigmoid(q @ self.R[noise].T + self.class_bias[noise] - log_class[noise])
-            dq = up[:, None] * self.R[own] + down @ self.R[noise]
+            dq = up[:, None] * R + down @ self.R[noise]
             rows, g = _by_row(np.concatenate([own, noise]), np.concatenate(
                 [np.column_stack([up[:, None] * q, up]), np.column_stack([down.T @ q, down.sum(0)])]).astype(np.float32))
 
@@ -264,18 +276,19 @@ class LogBilinear:
             odd = np.clip(np.searchsorted(upto, drawn, side="right"), words.first[c][:, None], words.first[c + 1][:, None] - 1)
             both = np.concatenate([w[:, None], odd], axis=1)
             Q = self.Q[both]
-            pull = -_sigmoid(np.einsum("nkw,nw->nk", Q, qw) + self.bias[both] - log_inside[both])
+            pull = -_sigmoid(np.matmul(Q, qw[:, :, None])[:, :, 0] + self.bias[both] - log_inside[both])
             pull[:, 0] += 1
-            dq[at] += np.einsum("nk,nkw->nw", pull, Q)
-            inner, h = _by_row(both.ravel(), np.concatenate([pull[:, :, None] * qw[:, None, :], pull[:, :, None]], axis=2).reshape(-1, WIDTH + 1))
+            dq[at] += np.matmul(pull[:, None, :], Q)[:, 0]
+            pulls = np.empty((*pull.shape, WIDTH + 1), dtype=np.float32)
+            np.multiply(pull[:, :, None], qw[:, None, :], out=pulls[:, :, :-1])
+            pulls[:, :, -1] = pull
+            inner, h = _by_row(both.ravel(), pulls.reshape(-1, WIDTH + 1))
 
             seen, a = _by_row(before.ravel(), np.concatenate([dq * self.C[k] for k in range(ORDER)]))
             dC = np.stack([(dq * self.A[before[k]]).sum(0) for k in range(ORDER)])
-            self._move("R", rows, g[:, :-1], n)
-            self._move("class_bias", rows, g[:, -1], n)
+            self._move("class_rows", rows, g, n)
             if len(at):
-                self._move("Q", inner, h[:, :-1], n)
-                self._move("bias", inner, h[:, -1], n)
+                self._move("word_rows", inner, h, n)
             self._move("A", seen, a, n)
             self._move("C", every, dC, n)
 
@@ -304,10 +317,18 @@ class LogBilinear:
 
 
 def _log_softmax(q: np.ndarray, vectors: np.ndarray, bias: np.ndarray, row: np.ndarray, column: np.ndarray) -> np.ndarray:
-    scores = q @ vectors.T + bias
-    top = scores.max(1)
-    total = np.log(np.exp(scores - top[:, None]).sum(1)) + top
-    return scores[row, column] - total[row]
+    scores = q @ vectors.T
+    scores += bias
+    own = scores[row, column]
+    top = scores.max()
+    scores -= top
+    np.exp(scores, out=scores)
+    total = scores.sum(1)
+    if total.min() < 1e-30:  # rows far below the largest score: each by its own
+        scores = q @ vectors.T + bias
+        high = scores.max(1)
+        return own - (np.log(np.exp(scores - high[:, None]).sum(1)) + high)[row]
+    return own - (np.log(total) + top)[row]
 
 
 def _before(ids: np.ndarray, counts: np.ndarray, nothing: int) -> np.ndarray:
