@@ -97,4 +97,36 @@ SELECT item_id, rank, doc_id, score FROM (
 WHERE rank <= 10
 """
 
-ORACLES = {"op3_decontamination": OP3, "op4_substring_dedup": OP4, "op5_jaccard_join": OP5, "op10_source_mixing": OP10, "op12_lexical_search": OP12}
+# The CRC-32 of the decimal digits, bit by bit; then the rebuilt turns, their prefixes as lists, and each prefix's ancestors.
+OP13 = """
+WITH RECURSIVE t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+o AS (
+  SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(role || chr(10) || text)) AS k FROM t),
+n AS (SELECT conv_id, conv_id - conv_id % 100 AS root_id, count(*) AS n FROM o GROUP BY 1),
+bits AS (
+  SELECT conv_id, CAST(conv_id AS VARCHAR) AS digits, 0 AS i, 4294967295::BIGINT AS c FROM n
+  UNION ALL
+  SELECT conv_id, digits, i + 1, CASE WHEN x % 2 = 1 THEN xor(x >> 1, 3988292384::BIGINT) ELSE x >> 1 END
+  FROM (SELECT conv_id, digits, i, CASE WHEN i % 8 = 0 THEN xor(c, ascii(digits[i // 8 + 1])::BIGINT) ELSE c END AS x FROM bits WHERE i < 8 * length(digits))),
+h AS (SELECT conv_id, xor(c, 4294967295::BIGINT) % 6 AS h FROM bits WHERE i = 8 * length(digits)),
+p AS (SELECT n.conv_id, n.root_id, h, least(h, coalesce(r.n, 0)) AS got FROM n JOIN h USING (conv_id) LEFT JOIN n r ON r.conv_id = n.root_id),
+turns AS (
+  SELECT o.conv_id, k - h + got AS d, role, text FROM o JOIN p USING (conv_id) WHERE k > h
+  UNION ALL SELECT p.conv_id, k, role, text FROM p JOIN o ON o.conv_id = p.root_id WHERE k <= got),
+step AS (
+  SELECT conv_id, d, text, list({'r': role, 't': text}) OVER (PARTITION BY conv_id ORDER BY d) AS key FROM turns
+  UNION ALL SELECT conv_id, 0, '', [] FROM n),
+node AS (SELECT key, max(d) AS d, min(conv_id) AS conv_id, count(*) AS n_convs, max(length(text)) AS chars FROM step GROUP BY key),
+kid AS (SELECT key[:d - 1] AS key, count(*) AS n FROM node WHERE d > 0 GROUP BY 1),
+val AS (SELECT node.*, coalesce(kid.n, 0) AS n_children, (n_convs - 1) * chars AS saved FROM node LEFT JOIN kid USING (key)),
+total AS (
+  SELECT step.key, sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS leaves, sum(saved) AS saved
+  FROM val JOIN step ON step.conv_id = val.conv_id AND step.d <= val.d GROUP BY 1),
+tail AS (SELECT key, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) AS ids
+  FROM step JOIN (SELECT conv_id, max(d) AS d FROM step GROUP BY 1) USING (conv_id, d) GROUP BY 1)
+SELECT val.conv_id, CAST(val.d AS BIGINT) AS depth, up.conv_id AS parent_conv_id, val.n_convs, val.n_children, CAST(leaves AS BIGINT) AS n_leaves,
+  CAST(total.saved AS BIGINT) AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM val JOIN total USING (key) LEFT JOIN tail USING (key) LEFT JOIN node up ON val.d > 0 AND up.key = val.key[:val.d - 1]
+"""
+
+ORACLES = {"op3_decontamination": OP3, "op4_substring_dedup": OP4, "op5_jaccard_join": OP5, "op10_source_mixing": OP10, "op12_lexical_search": OP12, "op13_prefix_trie": OP13}
