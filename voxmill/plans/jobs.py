@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 
 from ..functions import bricks
 from ..functions import runs as R
-from ..operators import background, components, distance, evaluate, features, intensity, morphology, select
+from ..functions.ranking import number_in_order
+from ..operators import background, compare, components, distance, evaluate, features, intensity, morphology, select
 from ..operators.flood import flood, peaks
 from ..params import PRESETS, Flood, Preset
-from ..session import store
-from ..sources.tables import require_same_shape
+from ..session import lookup_join, store, union_all
+from ..sources.tables import cut_crops, require_same_shape
 
 
 @dataclass(frozen=True)
@@ -134,3 +135,46 @@ def detailed(
     return Evaluation(
         best, evaluate.best_per_prediction(table, p.detail),
         evaluate.summary(table, voxels, p.detail, catalog), evaluate.object_recall(best, p.detail, catalog))
+
+
+def compare_on_crops(
+    gray: DataFrame, truth: DataFrame, crops: DataFrame, preset: str | Preset = "production",
+    predictions: dict[str, DataFrame] | None = None, scans: DataFrame | None = None, value: str = "gray", dtype: str = "uint8",
+) -> DataFrame:
+    """From crops to scores: one row per scan, crop and method, as ``compare.detail`` takes them.
+
+    Every box of ``crops`` is cut from each volume of ``gray`` (dense voxels) and ``truth`` (voxels
+    with ``label``).  The threshold baseline (``otsu_ws``) and the refined markers (``refined_ws``)
+    segment all crops in one job each; ``predictions`` adds methods whose labels are there already,
+    voxels of the whole volumes.  Scores are those of the preset's first threshold.  ``scans`` names
+    the volumes ``(vol_id, scan)``; without it a scan is called by its number.
+    """
+    p = PRESETS[preset] if isinstance(preset, str) else preset
+    boxes = number_in_order(crops.withColumn("vol_id", F.lit(0)), [F.col("crop_id").asc()], "box").drop("vol_id")
+    boxes = store(boxes, "boxes")
+    n = boxes.count()
+
+    def keyed(voxels: DataFrame) -> DataFrame:
+        """The crops as volumes of their own."""
+        cut = lookup_join(cut_crops(voxels, boxes.drop("box")), boxes.select("crop_id", "box"), ["crop_id"])
+        key = (F.col("vol_id") * n + F.col("box") - 1).cast("int")
+        return cut.withColumn("_scan", F.col("vol_id")).withColumn("vol_id", key)
+
+    cut = store(keyed(gray.select("vol_id", "z", "y", "x", value)), "crops")
+    catalog = store(cut.groupBy("vol_id", "_scan", "crop_id").agg(
+        (F.max("z") + 1).alias("depth"), (F.max("y") + 1).alias("height"), (F.max("x") + 1).alias("width")), "catalog")
+    shapes, voxels = catalog.drop("_scan", "crop_id"), cut.select("vol_id", "z", "y", "x", value)
+    real = store(keyed(truth.select("vol_id", "z", "y", "x", "label")).select("vol_id", "z", "y", "x", "label"), "truth")
+    found = {"otsu_ws": otsu_baseline(voxels, shapes, p, value, dtype).labels, "refined_ws": segment(voxels, shapes, p, value, dtype).labels}
+    for method, labels in (predictions or {}).items():
+        found[method] = keyed(labels.select("vol_id", "z", "y", "x", "label")).select("vol_id", "z", "y", "x", "label")
+    names = catalog.select("vol_id", F.col("_scan").alias("_vol"), "crop_id")
+    scans = names.select(F.col("_vol").alias("vol_id"), F.col("_vol").cast("string").alias("scan")).distinct() if scans is None else scans
+    names = lookup_join(names, scans.select(F.col("vol_id").alias("_vol"), "scan"), ["_vol"])
+    rows = []
+    for method, labels in found.items():
+        table = store(evaluate.contingency(evaluate.align(real, labels), shapes), "contingency")
+        metrics = evaluate.threshold_metrics(table, p.scoring, volumes=shapes)
+        named = names.select("vol_id", "scan", "crop_id", F.lit(method).alias("method"))
+        rows.append(compare.crop_summary(metrics, named, p.scoring.thresholds[0]))
+    return union_all(*rows)
