@@ -1,6 +1,7 @@
 """URL filter, HTML extraction, mixing and the pipeline."""
 
 import random
+import time
 from collections import defaultdict
 
 import pytest
@@ -104,6 +105,52 @@ def test_extraction_by_host(spark):
     assert pages.extract(frame.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("html, expected", [
+    ('<div id="page" class="content has-sidebar"><p>Main text of the page</p></div>', ["Main text of the page"]),
+    ('<div class="no-sidebar"><p>Main text</p><div class="left-sidebar">Side</div></div>', ["Main text"]),
+    ('<form id="aspnetForm"><p>Whole page</p><div class="menu">Me</div></form>', ["Whole page"]),
+    ('<form><input><p>Mail</p></form><p>All of the main text</p>', ["All of the main text"]),
+    ('<div id="content"><h1>Long main text of this page</h1></div><div class="cards"><article><h3>Other story</h3></article></div>',
+     ["Long main text of this page", "Other story"]),
+    ('<article><div class="entry-header"><h1>Title</h1></div><p>Body</p></article><p>Next</p>', ["Title", "Body"]),
+    ('<article><p>Body</p><p class="notice-of-death">In memory</p><p class="cookie-bar">Yes</p></article>', ["Body", "In memory"]),
+    ('<p>Text</p><div class="comments"><p>Far more was said by the readers of the text</p></div>', ["Text"]),
+    ('<div class="comments-open"><p>Text</p></div>', ["Text"]),
+])
+def test_marked_wrappers_and_teasers_lose_no_text(html, expected):
+    assert pages.main_blocks([pages.blocks(html)]) == [expected]
+
+
+def test_long_and_broken_pages_take_linear_time():
+    start = time.monotonic()
+    assert pages.blocks('<div class="menu">' * 8000 + "</p>" * 8000 + "x")[0] == ["x"]
+    assert pages.blocks('<div class="menu">' + "<div>" * 80000 + "</p>" * 80000 + "x")[1] == [pages.OUTSIDE]
+    assert len(pages.main_blocks([pages.blocks('<p>some words <b>here</b></p><div class="ad">no</div>' * 50000)])[0]) == 50000
+    assert time.monotonic() - start < 30
+
+
+def test_boilerplate_is_judged_by_the_whole_host(spark, monkeypatch):
+    """Blocks without any markup: what repeats on a host goes from all its shards, copies and rare quotations stay."""
+    monkeypatch.setattr(pages, "SHARD", 40)
+    rng = random.Random(5)
+    often, inside, rare = (" ".join(f"{w}{k}" for k in range(12)) for w in ("often", "inside", "rare"))
+    rows, expected = [], {}
+    for k in range(400):
+        own = H.prose(rng, 20)
+        rows.append((k, "http://hot.example/", f"<p>{own}</p>" + (f"<p>{often}</p>" if k % 5 == 0 else "") + (f"<p>{rare}</p>" if k in (3, 250) else "")))
+        expected[k] = own + (f"\n{rare}" if k in (3, 250) else "")
+    for k in range(400, 600):
+        own = H.prose(rng, 20)
+        rows.append((k, "http://articles.example/", f"<article><p>{own}</p>" + (f"<p>{inside}</p>" if k % 4 else "") + "</article>"))
+        expected[k] = own
+    rows += [(k, "http://copies.example/", f"<p>{rows[0][2]}</p>") for k in range(600, 700)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("shard", F.lit("old")).withColumn("runs", F.lit(1))
+    found = {r["page_id"]: r["text"] for r in pages.extract(frame.repartition(5)).collect()}
+    assert len(found) == len(rows)
+    assert {k: found[k] for k in expected} == expected
+    assert all(found[k] == f"{expected[0]}\n{often}" for k in range(600, 700))
+
+
 def goals(sizes):
     """Targets by resharing what is above the caps, again and again."""
     names = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
