@@ -6,6 +6,7 @@ and scoring are Spark ML on a small labelled table.
 
 from __future__ import annotations
 
+import random
 from dataclasses import dataclass
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
@@ -22,28 +23,33 @@ MOST_RULES = 1000
 BUCKETS = 1 << 14
 GRAMS = (3, 4, 5)
 
-#: The labelled table: hosts and paths to block, and such as are fine.
-BLOCKED = (
-    "spam-farm.example.org/en/12", "www.spam-site.example.com/de/9.html", "cheap-pills.example.com/en/77", "pills-online.example.net/fr/5",
-    "casino-win.example.org/es/41", "blog.casino-royal.example.com/en/3", "free-bets.example.com/en/8", "m.bets-now.example.org/de/31/",
-    "adult-x.example.com/en/404", "www.adult-cams.example.net/fr/62", "xxx-video.example.org/en/19", "ads-track.example.com/en/20",
-    "track-click.example.net/es/44", "ad-server.example.org/en/7", "click-track.example.com/de/55", "win-prize.example.com/en/1.html",
-    "free-casino.example.org/fr/91", "cheap-loans.example.com/en/18", "loan-fast.example.net/es/6", "porn-hub.example.com/en/33",
-    "replica-watch.example.org/de/24", "seo-links.example.com/en/72", "link-farm.example.net/en/29", "spam-links.example.org/fr/14",
-)
-ALLOWED = (
-    "library.example.org/en/12", "www.university.example.com/de/9.html", "blog.garden.example.com/en/77", "museum.example.net/fr/5",
-    "weather.example.org/es/41", "blog.kitchen.example.com/en/3", "m.history.example.com/en/8", "m.theatre.example.org/de/31/",
-    "science.example.com/en/404", "www.letters.example.net/fr/62", "thermal.example.org/en/19", "mountain.example.com/en/20",
-    "station.example.net/es/44", "www.tension.example.org/en/7", "nation.example.com/de/55", "blog.thread.example.com/en/1.html",
-    "northern.example.org/fr/91", "m.gather.example.com/en/18", "other.example.net/es/6", "www.weathering.example.com/en/33",
-    "theory.example.org/de/24", "blog.motion.example.com/en/72", "mention.example.net/en/29", "www.then.example.org/fr/14",
-    "health.example.com/en/15", "earth.example.org/fr/88", "www.method.example.net/en/47.html", "blog.pathway.example.com/de/60",
-    "m.athlete.example.org/es/2", "ethics.example.com/en/93/", "harbour.example.net/en/52", "www.village.example.org/fr/11",
-    "painting.example.com/es/38", "m.cinema.example.net/de/70", "blog.railway.example.org/en/85", "forest.example.com/en/26.html",
-)
-#: A url without a rule is blocked from this probability on: the labelled table is small.
-SURE = 0.8
+#: The vocabulary of the labelled table, by topic. It was written down without regard to any test hosts.
+UNWANTED = {
+    "gambling": "poker roulette slots jackpot wager bingo lotto blackjack baccarat bookie bonus sportsbook".split(),
+    "drugs": "viagra cialis pharmacy tablets steroid xanax tramadol botox slimming diet rx potency".split(),
+    "adults only": "porn xxx sex escort nude erotic fetish webcam hookup milf hentai singles".split(),
+    "fraud": "phish verify login account wallet airdrop crypto payout refund unlock prize giveaway".split(),
+    "selling": "discount replica luxury outlet coupon deals promo offer rolex handbag wholesale clearance".split(),
+    "loans": "loan payday cash credit mortgage lender debt quick instant money rich profit".split(),
+    "links": "seo backlinks clicks traffic banner popup redirect affiliate leads rank boost followers".split(),
+    "piracy": "crack keygen warez torrent serial hack cheats download stream mp3 leaked mirror".split(),
+}
+WANTED = {
+    "learning": "university college school academy library lecture science physics chemistry biology history grammar".split(),
+    "places": "harbour village valley mountain river forest garden island county northern coast meadow".split(),
+    "news": "herald gazette tribune journal weather report daily observer chronicle bulletin letters editor".split(),
+    "culture": "museum theatre gallery painting cinema opera poetry orchestra folklore heritage festival ballet".split(),
+    "technology": "kernel compiler protocol network python database archive software robotics layer link docs".split(),
+    "home": "kitchen recipes baking knitting furniture carpentry pottery gardening beekeeping family travel camping".split(),
+    "public": "council parliament ministry hospital clinic railway station health police embassy charity court".split(),
+    "sports": "athletics rowing cycling swimming climbing cricket hockey football tennis sailing archery chess".split(),
+}
+#: Names made of syllables, which are wanted: most hosts are names, and what the model has never met should pass.
+NAMES = 3000
+#: Rows of the table for each word; folds of the words of a topic.
+ROWS, FOLDS = 6, 4
+#: A url without a rule is blocked from this probability on: words that were held out of the table set it.
+SURE = 0.6
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -103,9 +109,41 @@ def _features(df: DataFrame) -> DataFrame:
     return HashingTF(numFeatures=BUCKETS, inputCol="grams", outputCol="features", binary=True).transform(df)
 
 
+def _host(words: list[str], k: int, shape: int) -> str:
+    """Host of the word ``k`` of a topic: alone, with another word of its fold, with a hyphen between, or with a number."""
+    other = words[(k + FOLDS * (1 + shape % 2)) % len(words)]
+    return (f"{words[k]}-{other}", f"{words[k]}{other}", f"{words[k]}", f"{other}-{words[k]}", f"{words[k]}{11 * k + shape + 2}", f"my{words[k]}")[shape % 6]
+
+
+def _name(rng: random.Random) -> str:
+    name = "".join(rng.choice("b c ch d f g h j k l m n p r s sh st t th tr v w z".split()) + rng.choice("a e i o u ai ea ou".split()) + rng.choice(["", "", "n", "r", "l", "s", "t"])
+                   for _ in range(rng.randrange(1, 4)))
+    return name + rng.choice(["", "", "", "", "-", str(rng.randrange(100))])
+
+
 def labelled(spark: SparkSession) -> DataFrame:
-    rows = [(1.0, *u.partition("/")[::2]) for u in BLOCKED] + [(0.0, *u.partition("/")[::2]) for u in ALLOWED]
-    return spark.createDataFrame([(y, h, "/" + p) for y, h, p in rows], "label double, host string, path string").coalesce(1)
+    """(label, host, path, fold): hosts of the words above, and of names; a word's fold is by its place in the topic.
+
+    Both labels have the same shapes, endings, subdomains and paths, except that hyphens
+    are rarer in wanted hosts.
+    """
+    def row(label: float, host: str, n: int, fold: int) -> tuple[float, str, str, int]:
+        sub, end = ("", "www.", "", "blog.", "m.")[n % 5], ("example.com", "example.org", "example.net", "com", "org", "info", "net")[n % 7]
+        return label, f"{sub}{host}.{end}", f"/{('en', 'de', 'fr', 'es')[n % 4]}/{37 * n % 101}{('', '', '/', '.html')[n // 4 % 4]}", fold
+
+    rows = []
+    for label, topics in ((1.0, UNWANTED), (0.0, WANTED)):
+        for t, words in enumerate(topics.values()):
+            for k in range(len(words)):
+                for shape in range(ROWS):
+                    n = 7 * t + 5 * k + 3 * shape
+                    host = _host(words, k, shape)
+                    rows.append(row(label, host.replace("-", "") if label == 0.0 and n % 3 == 0 else host, n, k % FOLDS))
+    rng = random.Random(11)
+    for n in range(NAMES):
+        host = _name(rng)
+        rows.append(row(0.0, host + _name(rng).strip("-") if host.endswith("-") else host, n, n % FOLDS))
+    return spark.createDataFrame(rows, "label double, host string, path string, fold int").coalesce(1)
 
 
 def train(table: DataFrame) -> LogisticRegressionModel:
@@ -114,7 +152,7 @@ def train(table: DataFrame) -> LogisticRegressionModel:
 
 
 def judge(pages: DataFrame, model: LogisticRegressionModel, rules=RULES) -> DataFrame:
-    """``pages`` with ``host``, ``path``, ``rule``, ``probability`` (of block) and ``verdict``.
+    """``pages`` with ``host``, ``path``, ``rule``, ``verdict`` and ``probability`` (of block).
 
     ``pages`` has ``url``.  A rule fits its host and all subdomains if the path starts
     with the rule's; the longest fitting rule decides, else the model.  A null url, or
@@ -122,7 +160,7 @@ def judge(pages: DataFrame, model: LogisticRegressionModel, rules=RULES) -> Data
     other.  One narrow pass; repeated rows get equal results.  Earlier columns of the
     new names are replaced.
     """
-    new = ("host", "path", "rule", "probability", "verdict")
+    new = ("host", "path", "rule", "verdict", "probability")
     kept = [c for c in pages.columns if c.lower() not in new]
     url = F.col({c.lower(): c for c in pages.columns}["url"])
     rows = pages.select(F.struct(*(F.col(f"`{c}`") for c in kept)).alias("d"), host_of(url).alias("host"), path_of(url).alias("path"))
@@ -130,5 +168,5 @@ def judge(pages: DataFrame, model: LogisticRegressionModel, rules=RULES) -> Data
     scored = model.setFeaturesCol("features").transform(_features(rows))
     chance = F.element_at(vector_to_array("probability"), 2)
     return scored.select(
-        *(F.col(f"d.`{c}`").alias(c) for c in kept), "host", "path", F.col("best.rule").alias("rule"), chance.alias("probability"),
-        F.coalesce("best.verdict", F.when(chance >= SURE, "block").otherwise("allow")).alias("verdict"))
+        *(F.col(f"d.`{c}`").alias(c) for c in kept), "host", "path", F.col("best.rule").alias("rule"),
+        F.coalesce("best.verdict", F.when(chance >= SURE, "block").otherwise("allow")).alias("verdict"), chance.alias("probability"))
