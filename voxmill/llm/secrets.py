@@ -49,9 +49,35 @@ _BARE_GROUP = 6
 #: A line that is a name so far, as in settings; and what may follow a bare value there.
 _SETTING = re.compile(r'''(?:^|\n)[ \t]*(?:(?:export|set)[ \t]+|-[ \t]+)?["']?[\w.\-]+["']?$''', re.ASCII)
 _LINE_END = re.compile(r"[ \t]*(?:[#;][^\n]*)?\r?(?:\n|\Z)")
-_PLUS = re.compile(r"[ \t]*\+(?=[ \t]*[\"'`A-Za-z_$])")
+#: A sum, or another choice, of operands; and literals that follow one another.
+_PLUS = re.compile(r"[ \t]*(?:\+|\|\||\?\?|(?<=[ \t])or(?=[ \t]))(?=[ \t]*[\"'`A-Za-z_$])")
+_NEXT = re.compile(r"[ \t]*(?=[\"'])")
+_OPENING = re.compile(r"[ \t]*\((?=[ \t]*[\"'`(])")
 _PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
+#: How far back a declaration is read, beyond blanks and the whole of a name or type that begins farther back.
 _LOOK_BACK = 120
+_NAME_LETTERS = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_.-$")
+
+
+class _Before:
+    """What precedes a separator; names of any length are whole, in time linear in the text."""
+
+    def __init__(self, text: str):
+        self.text, self.low, self.high = text, 0, -1  # the last name that was followed back, from low to high
+
+    def __call__(self, at: int) -> str:
+        text, end = self.text, at
+        while end and text[end - 1] in " \t":
+            end -= 1
+        start = max(0, end - _LOOK_BACK)
+        if self.low <= start <= self.high:
+            start = self.low
+        elif start and text[start] in _NAME_LETTERS:
+            self.high = start
+            while start and text[start - 1] in _NAME_LETTERS:
+                start -= 1
+            self.low = start
+        return text[start:end]
 
 
 @dataclass(frozen=True)
@@ -96,7 +122,8 @@ def literal_spans(text: str) -> list[Span]:
     Reads ``name = value``, ``name: value``, ``name := value``, ``name => value``, and
     ``"name"``, ``x["name"]``, ``name: type`` or ``var name type`` in the name's place.
     A value is a literal in quotes or triple quotes, a bare one, a known name, or a sum
-    of these; a bare one without a digit has to be all of a setting's line.  A name
+    of these, or a choice by ``||``, ``??`` or ``or``; literals may stand in parentheses
+    and follow one another; a bare one without a digit has to be all of a setting's line.  A name
     keeps the literals of its last binding, so a literal counts for every name that it
     reaches; the most sensitive of them scores it.
     """
@@ -104,11 +131,12 @@ def literal_spans(text: str) -> list[Span]:
     pieces: list[list[tuple[int, int] | int]] = []  # of each binding: literals, and bindings that it takes up
     told: list[float] = []
     behind = -1
+    before_at = _Before(text)
     for m in _SEPARATOR.finditer(text):
         at = m.start()
         if at < behind or text[at + 1:at + 2] in ("=", ":") and text[at] == text[at + 1:at + 2]:
             continue
-        before = text[max(0, at - _LOOK_BACK):at]
+        before = before_at(at)
         left = _KEY.search(before) or _NAME.search(before)
         if text[at - 1:at] in ("!", "<", ">", "=") and not (text[at] == "=" and _TYPED.search(before)):
             continue
@@ -120,6 +148,8 @@ def literal_spans(text: str) -> list[Span]:
             continue
         if arrow or text[at] == ":" and text[pos:pos + 1] == "=":
             pos += 1
+        while opening := _OPENING.match(text, pos):
+            pos = opening.end()
         while operand := _OPERAND.match(text, pos):
             group = operand.lastindex
             value, start, pos = operand[group], operand.start(group), operand.end()
@@ -130,9 +160,9 @@ def literal_spans(text: str) -> list[Span]:
                 start += value.index(inner)
                 found.append((start, start + len(inner)))
             elif not arrow and (any(c.isdigit() for c in value) or not found and literal_score(value) >= BARE
-                                and (text[at] == ":" or start == at + 1) and _SETTING.search(before) and _LINE_END.match(text, pos)):
+                                and (text[at] == ":" or start == at + 1) and text[at - 1:at] not in (" ", "\t") and _SETTING.search(before) and _LINE_END.match(text, pos)):
                 found.append((start, pos))
-            plus = _PLUS.match(text, pos)
+            plus = _PLUS.match(text, pos) or group != _BARE_GROUP and _NEXT.match(text, pos)
             if not plus:
                 break
             pos = plus.end()
