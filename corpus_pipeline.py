@@ -7,6 +7,7 @@ return the columns of ``documents``.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from voxmill.llm import decontaminate, jaccard, mixing, quality, secrets
 from voxmill.llm.frames import table
@@ -14,8 +15,11 @@ from voxmill.session import discard, store
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that importance resampling does not draw go."""
-    return quality.resample(docs, table(spark, sf_dir, "labels")).where("kept").select(*docs.columns)
+    """Documents that importance resampling does not draw go; columns named like its own stay as they are."""
+    others = [c for c in docs.columns if c.lower() not in ("doc_id", "text")]
+    row = F.struct(F.lit(0).alias("_"), *(F.col(f"`{c}`") for c in others)).alias("_row")
+    kept = quality.resample(docs.select("doc_id", "text", row), table(spark, sf_dir, "labels")).where("kept")
+    return kept.select(*(F.col(f"_row.`{c}`").alias(c) if c in others else F.col(c).alias(c) for c in docs.columns))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
