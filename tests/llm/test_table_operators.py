@@ -241,3 +241,23 @@ def test_pipeline_stages(spark, tmp_path):
     expected = goals({r[0]: r[1] for r in sizes})
     assert all(abs(r[1] - expected[r[0]]) < 0.1 * expected[r[0]] for r in mixed)
     assert corpus_pipeline.run(spark, folder).count() == docs.count()
+
+
+def test_pipeline_of_nothing_and_of_clashing_columns(spark, tmp_path):
+    folder = str(tmp_path)
+    rows = [(1, "a b c d e f g", "s", 1), (2, None, None, None), (None, "", "s", 0), (None, None, None, None), (3, "A B C D E F G", "t", 1), (3, "A B C D E F G", "t", 1)]
+    docs = spark.createDataFrame(rows, H.DOCS).withColumn("kept", F.lit("user")).withColumn("log_weight", F.lit("own")).withColumn("sample_key", F.lit(None).cast("int"))
+    spark.createDataFrame([], "doc_id long, quality int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    docs.write.parquet(f"{folder}/documents.parquet")
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    for frame in (docs, docs.limit(0)):
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            found = stage(spark, frame, folder)
+            assert found.columns == docs.columns
+            told = found.collect()
+            assert all((r["kept"], r["log_weight"]) == ("user", "own") for r in told)
+            assert len(told) <= frame.count()
+    assert len(corpus_pipeline.quality_stage(spark, docs, folder).collect()) == len(rows)
+    assert {(r["doc_id"], r["text"]) for r in corpus_pipeline.near_duplicate_stage(spark, docs, folder).collect()} == {(1, "a b c d e f g"), (2, None), (None, ""), (None, None)}
+    assert corpus_pipeline.run(spark, folder).where("doc_id = 3").count() == 0
