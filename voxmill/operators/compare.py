@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.quantiles import exact_quantiles
 from ..params import AVERAGED_METRICS, TOTAL_METRICS
@@ -39,6 +41,18 @@ def detail(*scans: DataFrame) -> DataFrame:
     return union_all(*[s.select(*DETAIL) for s in scans])
 
 
+def _mean(value: str) -> Column:
+    """Mean from the exact sum of the values as decimals, the same in any order; of values beyond decimals, as doubles."""
+    exact = F.expr(f"try_cast({value} as decimal(38, 18))")
+    whole = F.count(exact) == F.count(value)
+    return F.when(whole, F.coalesce(F.try_sum(exact).cast("double") / F.count(value), F.avg(value))).otherwise(F.avg(value))
+
+
+def _six_decimals(values: pd.Series) -> pd.Series:
+    """As C prints them: the binary value rounded to nearest, where Java rounds its shortest decimal form."""
+    return values.map("{:.6f}".format)
+
+
 def grouped_statistics(rows: DataFrame, methods: tuple[str, ...]) -> DataFrame:
     """Mean, median, min, max, sample deviation of each metric, over ALL and per scan."""
     listed = rows.filter(F.col("method").isin(*methods))
@@ -49,7 +63,7 @@ def grouped_statistics(rows: DataFrame, methods: tuple[str, ...]) -> DataFrame:
     long = listed.select("method", groups, metrics).select("group", "method", "e.metric", "e.v")
     keys = ["group", "method", "metric"]
     base = long.groupBy(*keys).agg(
-        F.avg("v").alias("mean"), F.min("v").alias("min"), F.max("v").alias("max"),
+        _mean("v").alias("mean"), F.min("v").alias("min"), F.max("v").alias("max"),
         F.coalesce(F.stddev_samp("v"), F.lit(0.0)).alias("std"),
     )
     return base.join(exact_quantiles(long, keys, "v", [50.0], ["median"]), keys).select(
@@ -78,10 +92,11 @@ def statistics(rows: DataFrame, methods: tuple[str, ...]) -> DataFrame:
 def formatted(stats: DataFrame) -> DataFrame:
     """Text form: six decimals, whole numbers for totals, blanks where empty."""
     total = F.col("metric").isin(*TOTAL_METRICS)
+    decimals = F.pandas_udf(_six_decimals, T.StringType())
     shown = [
         F.when(F.col(c).isNull(), "")
         .when(total, F.col(c).cast("long").cast("string"))
-        .otherwise(F.format_string("%.6f", F.col(c)))
+        .otherwise(decimals(F.col(c).cast("double")))
         .alias(c)
         for c in ("mean", "median", "min", "max", "std")
     ]
