@@ -16,6 +16,7 @@ from voxmill.operators import background as B
 from voxmill.operators import components as C
 from voxmill.operators import distance as D
 from voxmill.operators import evaluate as E
+from voxmill.operators import features
 from voxmill.operators import flood as W
 from voxmill.operators import intensity as I
 from voxmill.operators import select as S
@@ -237,3 +238,20 @@ def test_crops_read_only_their_part(spark):
     many = box.crossJoin(spark.range(100).select(F.col("id").cast("int").alias("k"))).select(F.concat("crop_id", F.col("k").cast("string")).alias("crop_id"), (F.col("x") - F.col("k") % 3).alias("x"), "y", "z", "size")
     assert tables.cut_crops(stored, many).filter("crop_id = 'a0'").count() == 20**3
     assert tables.cut_crops(stored, box.filter("false")).count() == 0
+
+
+def test_voxels_are_packed_before_they_are_shuffled(spark):
+    """Rows in any order give the same bricks; null values stay, a null position is an error."""
+    volumes = _volumes()
+    voxels = H.voxel_table(spark, volumes, "v", keep_zero=True)
+    want = {(r.vol_id, r.z, r.y, r.xb): r.v for r in bricks.from_voxels(voxels.orderBy("vol_id", "z", "y", "x"), "v", "int").collect()}
+    assert want == {(v, z, y, b): a[z, y, b * 64:b * 64 + 64].tolist() for v, a in volumes.items()
+                    for z in range(a.shape[0]) for y in range(a.shape[1]) for b in range((a.shape[2] + 63) // 64)}
+    mixed = bricks.from_voxels(voxels.repartition(5, "x"), "v", "int")
+    assert {(r.vol_id, r.z, r.y, r.xb): r.v for r in mixed.collect()} == want
+    for pack in (lambda v: bricks.from_voxels(v, "v", "int"), lambda v: features.pack_lines(v, "v")):
+        assert "MapInArrow" in _plan(pack(voxels)).split("Exchange")[-1]
+    empty = bricks.from_voxels(voxels.withColumn("v", F.when(F.col("x") != 1, F.col("v"))), "v", "int").filter("xb = 0").first()
+    assert empty.v[1] is None and empty.v[0] is not None
+    with pytest.raises(Exception, match="missing or doubled"):
+        bricks.from_voxels(voxels.withColumn("x", F.when(F.col("x") != 0, F.col("x"))), "v", "int").collect()
