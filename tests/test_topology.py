@@ -164,3 +164,17 @@ def test_peaks_are_apart_and_complete(spark):
             tops.append((-d2[p], tuple(int(c) - 1 for c in p)))
     tops = [p for _, p in sorted(tops)]
     assert found == sorted(tops[i] for i in H.greedy(tops, 3))
+
+
+def test_large_lookups_of_small_files_are_not_broadcast(spark, monkeypatch):
+    """Spark takes compressed files for the size of a table; the number of rows decides."""
+    from voxmill import session
+
+    big = session.store(spark.range(3000).selectExpr("cast(id % 7 as int) vol_id", "id piece"), "big")
+    small = session.store(big.withColumn("v", F.lit(1)), "small")
+    monkeypatch.setattr(session, "BROADCAST_ROWS", 10)
+    met = session.lookup_join(big, small, ["vol_id", "piece"])
+    assert "BroadcastHashJoin" not in met._jdf.queryExecution().executedPlan().toString() and met.count() == 3000
+    monkeypatch.setattr(session, "BROADCAST_ROWS", 10_000)
+    met = session.lookup_join(big, small, ["vol_id", "piece"])
+    assert "BroadcastHashJoin" in met._jdf.queryExecution().executedPlan().toString()

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ..session import lookup_join, store
+from ..session import lookup_join, shuffled, store
 
 
 def number_by_bucket(df: DataFrame, order: str, bucket: Column, name: str) -> DataFrame:
@@ -24,7 +24,7 @@ def number_by_bucket(df: DataFrame, order: str, bucket: Column, name: str) -> Da
     inside = W.partitionBy("vol_id", "_bucket").orderBy(order)
     numbered = df.withColumn("_row", F.row_number().over(inside))
     return (
-        numbered.join(starts, ["vol_id", "_bucket"])
+        numbered.join(shuffled(starts), ["vol_id", "_bucket"])
         .withColumn(name, F.col("_start") + F.col("_row"))
         .drop("_bucket", "_row", "_start")
     )

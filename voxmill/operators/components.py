@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import runs as R
 from ..functions.numeric import expand, roots
 from ..functions.ranking import number_by_bucket
-from ..session import by_block, discard, lookup_join, store
+from ..session import by_block, discard, lookup_join, shuffled, store
 
 TILE = 64
 #: Both loops at least halve what is left per round.
@@ -114,7 +114,7 @@ def _face_pairs(pieces: DataFrame, k: int, tile: int) -> DataFrame:
     )
     reach = [F.floor(x / tile).cast("int") for x in (F.col("x0") - F.col("s"), F.col("x1") + F.col("s"))]
     a = a.withColumn("at", F.explode(F.sequence(*reach)))
-    met = a.join(b, [*R.LINE, "at"]).filter(
+    met = a.join(shuffled(b), [*R.LINE, "at"]).filter(
         "(tz <> _tz or ty <> _ty or tx <> _tx) and x0 - s <= _x1 and _x0 <= x1 + s"
     )
     return met.select(
@@ -139,7 +139,7 @@ def merge(pairs: DataFrame) -> DataFrame:
         )
         hooks = shorten(hooks)
         tops = pairs.select("vol_id", F.col("a").alias("node")).distinct()
-        tops = tops.join(hooks, ["vol_id", "node"], "left_anti").withColumn("root", F.col("node"))
+        tops = tops.join(shuffled(hooks), ["vol_id", "node"], "left_anti").withColumn("root", F.col("node"))
         root = hooks.unionByName(tops) if root is None else _follow(root, "root", hooks)
         root = store(root, "roots")
         moved = _follow(_follow(pairs, "a", hooks), "b", hooks)
@@ -192,7 +192,7 @@ def components(mask: DataFrame, k: int = 1, tile: int = TILE) -> tuple[DataFrame
     pieces = tile_pieces(mask, k, tile)
     merged = merge(_face_pairs(pieces, k, tile)).withColumnRenamed("node", "piece")
     known = pieces.select("vol_id", "piece").distinct()
-    mapping = known.join(merged, ["vol_id", "piece"], "left").select(
+    mapping = known.join(shuffled(merged), ["vol_id", "piece"], "left").select(
         "vol_id", "piece", F.coalesce("root", "piece").alias("root")
     )
     return pieces, store(mapping, "components")
@@ -235,7 +235,7 @@ def split_external(mask: DataFrame, catalog: DataFrame, k: int = 1, tile: int =
     touching = lookup_join(pieces, catalog, ["vol_id"]).groupBy("vol_id", "piece").agg(
         F.max(on_border()).alias("_touch")
     )
-    flagged = mapping.join(touching, ["vol_id", "piece"])
+    flagged = mapping.join(shuffled(touching), ["vol_id", "piece"])
     whole = store(flagged.groupBy("vol_id", "root").agg(F.max("_touch").alias("external")), "external")
     flags = lookup_join(mapping, whole, ["vol_id", "root"]).select("vol_id", "piece", "external")
     return lookup_join(pieces, flags, ["vol_id", "piece"]).drop("piece")
@@ -251,7 +251,7 @@ def drop_small(mask: DataFrame, min_size: int, tile: int = TILE) -> DataFrame:
     """Mask runs of components with at least ``min_size`` voxels."""
     pieces, mapping = components(mask, 1, tile)
     sizes = pieces.groupBy("vol_id", "piece").agg(F.sum(R.length()).alias("_n"))
-    whole = mapping.join(sizes, ["vol_id", "piece"]).groupBy("vol_id", "root").agg(F.sum("_n").alias("_n"))
+    whole = mapping.join(shuffled(sizes), ["vol_id", "piece"]).groupBy("vol_id", "root").agg(F.sum("_n").alias("_n"))
     whole = store(whole.filter(F.col("_n") >= min_size).select("vol_id", "root"), "large")
     kept = lookup_join(mapping, whole, ["vol_id", "root"]).select("vol_id", "piece")
     return lookup_join(pieces, kept, ["vol_id", "piece"]).select(*R.RUN)
