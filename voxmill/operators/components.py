@@ -8,13 +8,16 @@ the outside background of a whole scan, therefore never gather in one task.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import runs as R
-from ..functions.numeric import expand, roots
+from ..functions import tiles
+from ..functions.numeric import expand, roots, touching
 from ..functions.ranking import number_by_bucket
 from ..session import by_block, discard, lookup_join, shuffled, store
 
@@ -29,6 +32,7 @@ _AHEAD = {
     2: [(0, 1, 1), (1, 0, 1), (1, -1, 0), (1, 1, 0)],
     3: [(0, 1, 1), (1, 0, 1), (1, -1, 1), (1, 1, 1)],
 }
+_PIECES = pa.schema([*((c, pa.int32()) for c in R.RUN), ("piece", pa.int64())])
 
 
 def _tile_of(tile: int):
@@ -47,31 +51,35 @@ def _cut(mask: DataFrame, tile: int) -> DataFrame:
     )
 
 
-def _label_tile(k: int):
-    ahead = _AHEAD[k]
-
-    def label(pdf: pd.DataFrame) -> pd.DataFrame:
-        z, y, x0, x1 = (pdf[c].to_numpy(np.int64) for c in ("z", "y", "x0", "x1"))
-        order = np.lexsort((x0, y, z))
-        z, y, x0, x1 = z[order], y[order], x0[order], x1[order]
-        starts = np.ones(len(z), bool)
-        starts[1:] = (z[1:] != z[:-1]) | (y[1:] != y[:-1]) | (x0[1:] != x1[:-1] + 1)
-        ends = np.append(starts[1:], True)
-        z, y, x0, x1 = z[starts], y[starts], x0[starts], x1[ends]
-        line = (z << 21 | y) << 21
+def _label_tiles(k: int, tile: int):
+    """Labels the tiles of a table ``(vol_id, tz, ty, tx, z, y, x0, x1)`` of whole, sorted groups, all in one go."""
+    ahead, side = _AHEAD[k], np.int64(tile + 2)
+
+    def label(table: pa.Table) -> pa.Table:
+        own = np.zeros(table.num_rows, np.int64)
+        own[tiles.group_starts(table, 4)[1:]] = 1
+        own = np.cumsum(own)
+        tz, ty, tx, z, y, x0, x1 = (c.to_numpy().astype(np.int64) for c in table.columns[1:])
+        order = np.lexsort((x0, y, z, own))
+        own, z, y, x0, x1, tz, ty, tx = (c[order] for c in (own, z, y, x0, x1, tz, ty, tx))
+        at = touching([own, z, y], x0, x1)
+        last = np.append(at[1:], len(own))[:len(at)] - 1
+        z, y, x0, x1 = z[at], y[at], x0[at], x1[last]
+        # Places in the tile, with a layer around it: no line beside a tile's is another's.
+        line = ((own[at] * side + z - tz[at] * tile + 1) * side + y - ty[at] * tile + 1) * side
+        left, right = (x - tx[at] * tile + 1 for x in (x0, x1))
         a, b = [], []
         for dz, dy, slack in ahead:
-            target = line + ((dz << 21) + dy << 21)
-            first = np.searchsorted(line | x1, target + x0 - slack, "left")
-            last = np.searchsorted(line | x0, target + x1 + slack, "right")
-            row, other = expand(first, last)
+            target = line + (dz * side + dy) * side
+            first = np.searchsorted(line + right, target + left - slack, "left")
+            until = np.searchsorted(line + left, target + right + slack, "right")
+            row, other = expand(first, until)
             a.append(row)
             b.append(other)
         root = roots(len(z), np.concatenate(a), np.concatenate(b))
-        piece = (line | x0)[root]
-        return pd.DataFrame(
-            {"vol_id": pdf["vol_id"].iloc[0], "z": z, "y": y, "x0": x0, "x1": x1, "piece": piece}
-        )
+        piece = ((z << 21 | y) << 21 | x0)[root]
+        found = [pa.array(c.astype(np.int32)) for c in (z, y, x0, x1)]
+        return pa.table([table.column(0).take(pa.array(order[at])), *found, pa.array(piece)], schema=_PIECES)
 
     return label
 
@@ -79,41 +87,43 @@ def _label_tile(k: int):
 def tile_pieces(mask: DataFrame, k: int = 1, tile: int = TILE) -> DataFrame:
     """Runs with ``piece``: the first voxel of their component within the tile."""
     block = ["vol_id", "tz", "ty", "tx"]
-    cut = by_block(_cut(mask, tile).select("*", *_tile_of(tile)), *block)
-    return store(
-        cut.groupBy(*block).applyInPandas(
-            _label_tile(k), "vol_id int, z int, y int, x0 int, x1 int, piece long"
-        ),
-        "pieces",
-    )
+    names = [*block, "z", "y", "x0", "x1"]
+    cut = _cut(mask, tile).select("*", *_tile_of(tile)).select(*(F.col(c).cast("int").alias(c) for c in names))
+    label = _label_tiles(k, tile)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in tiles.whole_groups(batches, 4):
+            yield from label(table).to_batches()
+
+    dealt = by_block(cut, *block).sortWithinPartitions(*block)
+    return store(dealt.mapInArrow(run, "vol_id int, z int, y int, x0 int, x1 int, piece long"), "pieces")
 
 
 def _face_pairs(pieces: DataFrame, k: int, tile: int) -> DataFrame:
-    """Distinct pairs of pieces of different tiles that touch each other."""
-    edge = F.lit(tile - 1)
-    near = (
-        (F.col("z") % tile).isin(0, tile - 1)
-        | (F.col("y") % tile).isin(0, tile - 1)
-        | (F.col("x0") % tile == 0)
-        | (F.col("x1") % tile == edge)
-    )
-    face = pieces.filter(near).select("*", *_tile_of(tile))
+    """Distinct pairs of pieces of different tiles that touch each other.
+
+    Only runs that reach across a face are asked for, so the rows grow with the faces.
+    """
+    edge = tile - 1
+    located = pieces.select("*", *_tile_of(tile))
     # A run lies in one tile along x; whoever touches it lies there or beside it.
-    b = face.select(
+    near = (F.col("z") % tile == 0) | (F.col("y") % tile).isin(0, edge) | (F.col("x0") % tile == 0) | (F.col("x1") % tile == edge)
+    b = located.filter(near).select(
         "vol_id", "z", "y", F.col("tx").alias("at"),
         *[F.col(c).alias("_" + c) for c in ("x0", "x1", "piece", "tz", "ty", "tx")],
     )
     steps = F.array(
         *[F.struct(*[F.lit(v).alias(n) for n, v in zip(("dz", "dy", "s"), o)]) for o in [(0, 0, 1), *_AHEAD[k]]]
     )
-    a = face.withColumn("o", F.explode(steps)).select(
+    a = located.withColumn("o", F.explode(steps)).select(
         "vol_id",
         (F.col("z") + F.col("o.dz")).alias("z"),
         (F.col("y") + F.col("o.dy")).alias("y"),
         *["x0", "x1", "piece", "tz", "ty", "tx", "o.s"],
     )
     reach = [F.floor(x / tile).cast("int") for x in (F.col("x0") - F.col("s"), F.col("x1") + F.col("s"))]
-    a = a.withColumn("at", F.explode(F.sequence(*reach)))
+    leaves = (F.floor(F.col("z") / tile) != F.col("tz")) | (F.floor(F.col("y") / tile) != F.col("ty")) | (F.col("at") != F.col("tx"))
+    a = a.withColumn("at", F.explode(F.sequence(*reach))).filter(leaves)
     met = a.join(shuffled(b), [*R.LINE, "at"]).filter(
         "(tz <> _tz or ty <> _ty or tx <> _tx) and x0 - s <= _x1 and _x0 <= x1 + s"
     )
