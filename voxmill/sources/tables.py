@@ -117,19 +117,21 @@ def label_width(labels: DataFrame, label: str = "label") -> DataFrame:
 
 
 def write_labels(labels: DataFrame, path: str, label: str = "label") -> None:
-    """Write labels above zero as one folder per volume, in its ``label_width``.
+    """Write labels above zero, each volume in its ``label_width``.
 
     16-bit labels lie in ``bits=16`` as shorts, those from 32768 on less 65536 (Spark
-    has no unsigned type); the others in ``bits=32``.  Rows are spread by slices first,
-    so a huge volume is written by many tasks.
+    has no unsigned type); the others in ``bits=32``.  Every task writes what it reads, so
+    no voxel is shuffled and files grow with the data, not with the number of volumes;
+    where the input is ordered by volume, the files' least and largest ``vol_id`` tell which one a volume needs.
     """
     some = labels.filter(F.col(label) > 0)
-    wide = lookup_join(some, label_width(some, label).select("vol_id", "stored_bits"), ["vol_id"])
-    wide = wide.withColumn("_slice", F.floor(F.col("z") / TILE))
+    # Only the volumes with wide labels are looked up: few, however many volumes there are.
+    large = label_width(some, label).filter("stored_bits = 32").select("vol_id", "stored_bits")
+    wide = lookup_join(some, large, ["vol_id"], "left").fillna(16, ["stored_bits"])
     short = F.when(F.col(label) > 32767, F.col(label) - 65536).otherwise(F.col(label)).cast("short")
     for bits, value in ((16, short), (32, F.col(label).cast("int"))):
         rows = wide.filter(F.col("stored_bits") == bits).withColumn(label, value)
-        rows.repartition("vol_id", "_slice").drop("stored_bits", "_slice").write.partitionBy("vol_id").parquet(f"{path}/bits={bits}")
+        rows.drop("stored_bits").write.parquet(f"{path}/bits={bits}")
 
 
 def read_labels(spark: SparkSession, path: str, label: str = "label") -> DataFrame:
