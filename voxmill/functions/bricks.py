@@ -95,6 +95,101 @@ def to_voxels(bricks: DataFrame) -> DataFrame:
     )
 
 
+BLOCK = ["vol_id", "tz", "ty", "tx"]
+_BLOCK_TYPES = "vol_id int, tz int, ty int, tx int, z array<int>, y array<int>, x array<int>, n array<int>, low long, v binary"
+_ABSENT = -(2**31)
+
+
+def _narrow(values: np.ndarray) -> tuple[int, bytes]:
+    """Whole numbers as their smallest and the differences from it, in as few bytes as hold them."""
+    low = int(values.min())
+    above = (values - low).astype(np.uint64)
+    width = next(w for w in (1, 2, 4, 8) if int(above.max()) < 1 << 8 * w)
+    return low, above.astype(f"<u{width}").tobytes()
+
+
+def pack_blocks(rows: DataFrame, value: str, kind: str, sides: tuple[int, int, int]) -> DataFrame:
+    """Dense values as one row per block of ``sides`` voxels and batch, packed by the task that reads them.
+
+    ``rows`` are voxels, or brick rows with the array ``value``; ``kind`` is ``float`` or
+    ``long``.  A side of 0 takes the whole axis.  A row holds stretches of lines: the first
+    voxel ``z, y, x`` and the length ``n`` of each, and their values as bytes.
+    """
+    arrays = "xb" in rows.columns
+    typed = F.col(value).cast(f"array<{kind}>" if arrays else kind)
+    place = (F.col("xb") * SPAN if arrays else F.col("x")).cast("int")
+    rows = rows.filter("vol_id is not null and z is not null and y is not null").select(
+        *(F.col(c).cast("int").alias(c) for c in ("vol_id", "z", "y")), place.alias("x"), typed.alias("v"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = [pc.fill_null(batch.column(k), _ABSENT).to_numpy().astype(np.int64) for k in range(4)]
+            if arrays:
+                n = pc.fill_null(batch.column(4).value_lengths(), 0).to_numpy().astype(np.int64)
+                found = batch.column(4).flatten()
+            else:
+                # A voxel of unlike line or block, or that does not follow, begins a stretch.
+                opens = np.ones(len(keys[3]), bool)
+                opens[1:] = np.any([k[1:] != k[:-1] for k in keys[:3]], axis=0) | (keys[3][1:] != keys[3][:-1] + 1)
+                opens |= keys[3] % sides[2] == 0 if sides[2] else False
+                first = np.flatnonzero(opens)
+                n = np.diff(np.append(first, len(opens)))
+                keys, found = [k[first] for k in keys], batch.column(4)
+            if found.null_count:
+                raise ValueError("a voxel of a dense volume has no value")
+            values = found.to_numpy(zero_copy_only=False)
+            block = [keys[0], *(k // side if side else np.zeros_like(k) for k, side in zip(keys[1:], sides))]
+            starts = np.cumsum(n) - n
+            order = np.lexsort(block[::-1])
+            if not (np.diff(order) == 1).all():
+                keys, block = [k[order] for k in keys], [b[order] for b in block]
+                n, moved = n[order], starts[order]
+                starts = np.cumsum(n) - n
+                values = values[np.arange(len(values)) + np.repeat(moved - starts, n)]
+            cuts = np.flatnonzero(np.append(True, np.any([b[1:] != b[:-1] for b in block], axis=0)))
+            offsets = pa.array(np.append(cuts, len(n)).astype(np.int32))
+            edges = np.append(starts[cuts], len(values))
+            if kind == "float":
+                low, packed = [0] * len(cuts), [values[a:b].astype("<f4").tobytes() for a, b in zip(edges, edges[1:])]
+            else:
+                low, packed = zip(*(_narrow(values[a:b]) if b > a else (0, b"") for a, b in zip(edges, edges[1:])))
+            yield pa.RecordBatch.from_arrays([
+                *(pa.array(b[cuts].astype(np.int32)) for b in block),
+                *(pa.ListArray.from_arrays(offsets, pa.array(c.astype(np.int32))) for c in (*keys[1:], n)),
+                pa.array(low, pa.int64()), pa.array(packed, pa.binary())], [*BLOCK, "z", "y", "x", "n", "low", "v"])
+
+    return rows.mapInArrow(run, _BLOCK_TYPES)
+
+
+def dense_block(table: pa.Table, kind: str, begin: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The packed rows of one block as an array over its lines: (z and y of the lines, ascending, values, length of each line).
+
+    All lines have to begin at x = ``begin``; shorter ones are filled up with zeros.  A voxel that is missing inside a line, or doubled, is an error.
+    """
+    z, y, x, n = (_flat(table[c].combine_chunks()).astype(np.int64) for c in ("z", "y", "x", "n"))
+    parts = []
+    for counts, low, v in zip(table["n"], table["low"], table["v"], strict=True):
+        size, packed = sum(counts.as_py()), v.as_py()
+        if kind == "float":
+            parts.append(np.frombuffer(packed, "<f4"))
+        else:
+            parts.append(np.frombuffer(packed, f"<u{max(1, len(packed) // max(1, size))}").astype(np.int64) + low.as_py())
+    values = np.concatenate(parts)
+    line, row = np.unique(z << 32 | y, return_inverse=True)
+    x = x - begin
+    length = np.bincount(row, n, len(line)).astype(np.int64)
+    order = np.lexsort((x, row))
+    follows = (np.cumsum(n[order]) - n[order]) - np.repeat(np.cumsum(length) - length, np.bincount(row, minlength=len(line)))
+    if not (x[order] == follows).all():
+        raise ValueError("a line of a dense volume has a missing or doubled voxel")
+    out = np.zeros((len(line), int(length.max(initial=0))), values.dtype)
+    of = np.repeat(np.arange(len(n)), n)
+    out[row[of], x[of] + np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)] = values
+    return line >> 32, line & 0xFFFFFFFF, out, length
+
+
 _KEY_TYPES = "vol_id int, z int, y int, xb int"
 
 
@@ -173,6 +268,21 @@ def histogram(rows: DataFrame, array: str) -> DataFrame:
     return counted.groupBy("vol_id", "value").agg(F.sum("n").alias("n"))
 
 
+def weighted_sums(rows: DataFrame, array: str, name: str) -> DataFrame:
+    """Per line the sum of the values and of the values times x + 1, in doubles, added in the order of x."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = batch.column(4).value_lengths().to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            v = _flat(batch.column(4)).astype(np.float64)
+            x = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + batch.column(3).to_numpy().astype(np.int64)[row] * SPAN
+            sums = [np.bincount(row, w, len(sizes)) for w in (v, v * (x + 1))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *map(pa.array, sums)], ["vol_id", "z", "y", name, f"{name}x"])
+
+    parts = rows.select(*KEYS, array).mapInArrow(run, f"vol_id int, z int, y int, {name} double, {name}x double")
+    return parts.groupBy("vol_id", "z", "y").agg(*(F.sum(c).alias(c) for c in (name, f"{name}x")))
+
+
 def line_sums(rows: DataFrame, array: str) -> DataFrame:
     """Per line ``n``, ``sum_x``, ``sum_v`` and ``sum_vx`` (values times x + 1) of whole numbers."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
