@@ -164,6 +164,26 @@ def test_boilerplate_is_judged_by_the_whole_host(spark, monkeypatch):
     assert all(found[k] == f"{expected[0]}\n{often}" for k in range(600, 700))
 
 
+def test_verdicts_do_not_depend_on_the_number_of_shards(spark, monkeypatch):
+    """Substrings just above and below the share of a host, pages of copies among them: as with one suffix array."""
+    rng = random.Random(6)
+    plates = {m: " ".join(f"plate{m}x{k}" for k in range(9)) for m in (2, 3, 11, 12, 13, 14, 15, 16)}
+    rows = []
+    for k in range(600):
+        shown = [f"<p>{plates[m]}</p>" for m in plates if k % 43 < 1 and k // 43 < m or m < 4 and k in (7, 80, 300)[:m]]
+        rows.append((k, "http://hot.example/", f"<p>{H.prose(rng, 12)}</p>" + "".join(shown)))
+    rows += [(k, "http://hot.example/", rows[k % 40][2]) for k in range(600, 900)]  # copies: 600 different pages, 2 % are 12
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    found = {}
+    for size in (1000, 300, 150, 60, 25):
+        monkeypatch.setattr(pages, "SHARD", size)
+        found[size] = {r["page_id"]: r["text"] for r in pages.extract(frame).collect()}
+    assert len(found[1000]) == len(rows)
+    assert all(f"plate{m}x" not in t for m in (12, 13, 14) for t in found[1000].values()) and any("plate11x" in t for t in found[1000].values())
+    for size in (300, 150, 60, 25):
+        assert found[size] == found[1000], size
+
+
 def goals(sizes):
     """Targets by resharing what is above the caps, again and again."""
     names = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
