@@ -17,6 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import by_block
 from .bricks import SPAN
 
 BLOCK = ["vol_id", "tz", "ty", "tx"]
@@ -74,28 +75,60 @@ def cut(runs: DataFrame, tile: int, *carry: Column) -> DataFrame:
         "x0": F.greatest("x0", F.col("tx") * tile), "x1": F.least("x1", F.col("tx") * tile + (tile - 1))})
 
 
-def dense(table: pa.Table, tile: int) -> tuple[np.ndarray, list[int]]:
-    """The stretches of one group in a cube with a layer of one around the tile, and the cube's origin."""
-    low = [int(table[t][0].as_py()) * tile - 1 for t in BLOCK[1:]]
-    z, y, x0 = (table[c].to_numpy() - a for c, a in zip(("z", "y", "x0"), low))
-    lists = table["v"].combine_chunks()
-    lengths = lists.value_lengths().to_numpy()
+#: Most values that one call holds as cubes.
+CELLS = 1 << 21
+
+
+def cubes(own: np.ndarray, z: np.ndarray, y: np.ndarray, x0: np.ndarray, lists: pa.Array, cells: int = CELLS) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Stretches of many groups as dense values: (numbers of the groups, their cubes, the first voxel of each cube).
+
+    ``own`` numbers the groups in ascending order.  The cubes of one array are as large as its largest
+    group with an empty layer around it; an array holds some ``cells`` values, or one group.
+    """
+    lengths = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
     values = lists.flatten().to_numpy(zero_copy_only=False)
-    cube = np.zeros((tile + 2,) * 3, values.dtype if len(values) else np.int64)
-    row = np.repeat(np.arange(len(lengths)), lengths)
-    x = x0[row] + np.arange(len(row)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    cube[z[row], y[row], x] = values
-    return cube, low
-
-
-def cropped(cube: np.ndarray, low: list[int]) -> tuple[np.ndarray, list[int]]:
-    """The part of the cube that holds values, with an empty layer around it."""
-    found = np.nonzero(cube)
-    if not len(found[0]):
-        return cube[:2, :2, :2], low
-    first = [max(0, int(f.min()) - 1) for f in found]
-    until = [int(f.max()) + 2 for f in found]
-    return cube[tuple(slice(a, b) for a, b in zip(first, until))], [a + f for a, f in zip(low, first)]
+    at = np.flatnonzero(values)
+    if not len(at):
+        return
+    begins = np.cumsum(lengths) - lengths
+    row = np.searchsorted(begins + lengths, at, "right")
+    place = [z[row].astype(np.int64), y[row].astype(np.int64), at - begins[row] + x0[row]]
+    group, value = own[row], values[at]
+    cuts = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+    until = np.append(cuts[1:], len(group))
+    low = np.stack([np.minimum.reduceat(c, cuts) - 1 for c in place], 1)
+    shape = np.stack([np.maximum.reduceat(c, cuts) + 2 for c in place], 1) - low
+    first = 0
+    while first < len(cuts):
+        box, last = shape[first], first + 1
+        while last < len(cuts) and (last + 1 - first) * np.prod(wide := np.maximum(box, shape[last])) <= cells:
+            box, last = wide, last + 1
+        a, b = cuts[first], until[last - 1]
+        of = np.repeat(np.arange(last - first), (until - cuts)[first:last])
+        cube = np.zeros((last - first, *box), values.dtype)
+        cube[(of, *(c[a:b] - low[first:last, k][of] for k, c in enumerate(place)))] = value[a:b]
+        yield group[cuts[first:last]], cube, low[first:last]
+        first = last
+
+
+def in_tables(df: DataFrame, work, schema: str, rows: int, keys: list[str] = BLOCK) -> DataFrame:
+    """Rows that ``work`` makes of tables of some ``rows`` rows with whole groups, sorted by the first columns ``keys``.
+
+    A group is held by one task, and many small groups share a call.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches, len(keys), rows):
+            for made in work(table):
+                yield from made.to_batches()
+
+    return by_block(df.select(*keys, *(c for c in df.columns if c not in keys)), *keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
+
+
+def numbers_of(table: pa.Table, keys: int) -> np.ndarray:
+    """The number of its group for every row of such a table."""
+    own = np.zeros(table.num_rows, np.int64)
+    own[group_starts(table, keys)[1:]] = 1
+    return np.cumsum(own)
 
 
 def whole_groups(batches: Iterator[pa.RecordBatch], keys: int, rows: int = 1 << 16) -> Iterator[pa.Table]:

@@ -9,11 +9,14 @@ watershed cuts: Cousty, Bertrand, Najman, Couprie, PAMI 2009).
 Every fragment without marker joins over its lightest outgoing edge.  Within a
 tile this runs until each fragment's lightest edge leaves the tile, then likewise on
 the fragments of a block of tiles; the rounds over a volume work on what is left.
-Distances reach a tile as packed stretches of lines, with a layer of its neighbours.
+Distances reach a tile as packed stretches of lines, with a layer of its neighbours;
+small blocks of tiles are dealt whole.  One call works on all tiles of a table.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -21,15 +24,20 @@ from pyspark.sql import functions as F
 
 from ..functions import runs as R
 from ..functions import tiles
+from ..functions.bricks import SPAN
 from ..functions.numeric import FAR, expand
 from ..functions.ranking import number_in_order
 from ..functions.tiles import BLOCK
-from ..session import by_block, discard, lookup_join, store, union_all
+from ..session import discard, lookup_join, store, union_all
 from .components import _follow, shorten
 from .select import suppress
 
 #: Tiles a side of the blocks in which fragments are joined before the rounds over a whole volume.
 ACROSS = 4
+#: Widest blocks that one task gets whole, so that no edge between their tiles is shuffled.
+DEALT = 64
+#: Values, and rows of links, that one call takes at least.
+_VALUES, _LINKS = 1 << 20, 1 << 18
 _OUT = (
     "vol_id int, kind int, z int, y int, x0 int, x1 int, frag long, label long, "
     "w1 long, w2 long, lo long, hi long"
@@ -41,24 +49,23 @@ def _position(z, y, x):
     return (z << 42) | (y << 21) | x
 
 
-def lightest_edges(n: int, u: np.ndarray, v: np.ndarray, rooted: np.ndarray) -> np.ndarray:
+def lightest_edges(n: int, u: np.ndarray, v: np.ndarray, rooted: np.ndarray, frag: np.ndarray | None = None) -> np.ndarray:
     """Fragment of each of ``n`` nodes once no free fragment can join inside.
 
     Edges are sorted by weight; ``v`` is -1 where the other end lies outside.
     A rooted fragment never moves; a free one follows its lightest edge unless
-    that edge leads outside.
+    that edge leads outside.  ``frag`` holds the fragments to begin with.
     """
-    frag = np.arange(n)
-    order = np.arange(len(u))
+    frag = np.arange(n) if frag is None else frag
     while True:
         fu, fv = frag[u], np.where(v >= 0, frag[v], -1)
         open_ = (fu != fv) & ~(rooted[fu] & ((fv < 0) | rooted[fv]))
-        u, v, order, fu, fv = u[open_], v[open_], order[open_], fu[open_], fv[open_]
+        u, v, fu, fv = u[open_], v[open_], fu[open_], fv[open_]
+        # The first edge of a fragment is its lightest: of equal places the last one assigned stays.
         best = np.full(n, len(u))
         position = np.arange(len(u))
-        np.minimum.at(best, fu, position)
-        inner = fv >= 0
-        np.minimum.at(best, fv[inner], position[inner])
+        ends = np.stack([fu, np.where(fv >= 0, fv, fu)], 1).reshape(-1)[::-1]
+        best[ends] = np.repeat(position, 2)[::-1]
         movers = np.flatnonzero((best < len(u)) & ~rooted)
         edge = best[movers]
         target = np.where(fu[edge] == movers, fv[edge], fu[edge])
@@ -78,98 +85,155 @@ def lightest_edges(n: int, u: np.ndarray, v: np.ndarray, rooted: np.ndarray) ->
         frag = up[frag]
 
 
-def _contract(n, u, v, w1, w2, lo, hi, labels, name):
-    """Join fragments inside a block; ``u, v`` are nodes, ``v`` -1 outside, edges in any order.
+def _contract(n: int, u: np.ndarray, v: np.ndarray, labels: np.ndarray, apart: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Join fragments inside blocks; ``u, v`` are nodes, ``v`` -1 outside, edges sorted by weight.
 
-    Returns the fragment of each node and the table of edges that stay open: those to the
-    outside, and the lightest one between two fragments that are not both rooted.
+    Edges that are ``apart`` lead to another tile of the block: fragments are joined inside the
+    tiles first.  Returns the fragment of each node, and (node, edge) of the ends of all edges
+    that stay open: those to the outside, and the lightest one between two fragments that are
+    not both rooted.
     """
-    rank = np.lexsort((hi, lo, w2, w1))
-    u, v, w1, w2, lo, hi = (c[rank] for c in (u, v, w1, w2, lo, hi))
-    frag = lightest_edges(n, u, v, labels > 0)
+    rooted, frag = labels > 0, None
+    if apart is not None and apart.any():
+        # An edge between tiles leads outside for both of them.
+        twice = np.where(apart, 2, 1)
+        edge = np.repeat(np.arange(len(u)), twice)
+        second = np.append(False, edge[1:] == edge[:-1])
+        frag = lightest_edges(n, np.where(second, v[edge], u[edge]), np.where(apart[edge], -1, v[edge]), rooted)
+    frag = lightest_edges(n, u, v, rooted, frag)
     fu, fv = frag[u], np.where(v >= 0, frag[v], -1)
     outer = v < 0
-    inner = np.flatnonzero((fu != fv) & ~outer & ~((labels[fu] > 0) & (labels[fv] > 0)))
+    inner = np.flatnonzero((fu != fv) & ~outer & ~(rooted[fu] & rooted[fv]))
     pair = np.minimum(fu, fv)[inner] * np.int64(n) + np.maximum(fu, fv)[inner]
     inner = inner[np.sort(np.unique(pair, return_index=True)[1])]
-    end = np.concatenate([fu[outer], fu[inner], fv[inner]])
-    edge = np.concatenate([np.flatnonzero(outer), inner, inner])
-    return frag, {"frag": name[end], "label": labels[end], "w1": w1[edge], "w2": w2[edge], "lo": lo[edge], "hi": hi[edge]}
+    outer = np.flatnonzero(outer)
+    return frag, np.concatenate([fu[outer], fu[inner], fv[inner]]), np.concatenate([outer, inner, inner])
 
 
-def _table(vol_id: int, filled: dict[str, np.ndarray], links: dict[str, np.ndarray]) -> pa.Table:
+def _table(filled: dict[str, np.ndarray], links: dict[str, np.ndarray]) -> pa.Table:
     """Rows of kind 0 (``filled``) and 1 (``links``); columns that a kind lacks are 0."""
     n, m = len(filled["frag"]), len(links["frag"])
-    columns = {"vol_id": np.full(n + m, vol_id), "kind": np.repeat([0, 1], [n, m])}
+    columns = {"kind": np.repeat([0, 1], [n, m])}
     for field in _OUT_ARROW:
         if field.name not in columns:
             columns[field.name] = np.concatenate([part.get(field.name, np.zeros(size, np.int64)) for part, size in ((filled, n), (links, m))])
     return pa.table({f.name: pa.array(columns[f.name].astype(f.type.to_pandas_dtype())) for f in _OUT_ARROW}, schema=_OUT_ARROW)
 
 
-def _flood_tile(tile: int):
-    def flood(table: pa.Table) -> pa.Table:
-        marked = table["label"].to_numpy() > 0
-        rows, marks = table.filter(pa.array(~marked)), table.filter(pa.array(marked))
-        vol_id = int(table["vol_id"][0].as_py())
-        empty = np.zeros(0, np.int64)
-        if not len(rows):
-            return _table(vol_id, {"frag": empty}, {"frag": empty})
-        own = [int(table[t][0].as_py()) * tile for t in BLOCK[1:]]
-        grid_d, low = tiles.cropped(*tiles.dense(rows, tile))
-        shape = grid_d.shape
-        axes = [(np.arange(m) + a).reshape([-1 if i == j else 1 for j in range(3)])
-                for i, (m, a) in enumerate(zip(shape, low))]
-        core = grid_d > 0
-        for ax, start in zip(axes, own):
-            core &= (ax >= start) & (ax < start + tile)
-        node = np.full(shape, -1)
-        n = int(core.sum())
+def _by_weight(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Order of edges, given by position, by their weight: the larger of the lesser distances first, then of the greater."""
+    top = int(high.max(initial=0))
+    if top < 1 << 16:
+        seen = np.zeros(top + 1, bool)
+        seen[low] = seen[high] = True
+        level = np.cumsum(seen[::-1])[::-1] - 1
+        n, low, high = int(seen.sum()), level[low], level[high]
+    else:
+        values = np.unique(np.concatenate([low, high]))
+        n, low, high = len(values), np.searchsorted(values, low), np.searchsorted(values, high)
+        low, high = n - 1 - low, n - 1 - high
+    key = low.astype(np.int64) * n + high
+    return np.argsort(key.astype(np.uint16) if n <= 256 else key, kind="stable")
+
+
+def _flood_tiles(tile: int, side: int):
+    """Floods a table of whole blocks of ``side`` voxels, first inside their tiles of ``tile``."""
+    def flood(cube: np.ndarray, low: np.ndarray, own: np.ndarray, vol_id: np.ndarray, marks: tuple[np.ndarray, ...]) -> pa.Table:
+        axes = [(low[:, k, None] + np.arange(m)).reshape([-1, *(m if i == k else 1 for i in range(3))]) for k, m in enumerate(cube.shape[1:])]
+        core = cube > 0
+        for ax, start in zip(axes, own.T):
+            start = start[:, None, None, None]
+            core &= (ax >= start) & (ax < start + side)
+        of, *at = np.nonzero(core)
+        n = len(of)
+        node = np.full(cube.shape, -1)
         node[core] = np.arange(n)
-        place = np.broadcast_to(_position(*axes), shape)
-        grid_l = np.zeros(shape, np.int64)
-        run, x = expand(marks["x0"].to_numpy().astype(np.int64), marks["x1"].to_numpy().astype(np.int64) + 1)
-        at = [c - a for c, a in zip((marks["z"].to_numpy()[run], marks["y"].to_numpy()[run], x), low)]
-        inside = np.logical_and.reduce([(c >= 0) & (c < m) for c, m in zip(at, shape)])
-        grid_l[tuple(c[inside] for c in at)] = marks["label"].to_numpy()[run][inside]
-
-        parts = []
-        for axis in range(3):
-            a = tuple(slice(None, -1) if i == axis else slice(None) for i in range(3))
-            b = tuple(slice(1, None) if i == axis else slice(None) for i in range(3))
-            both = (grid_d[a] > 0) & (grid_d[b] > 0) & (core[a] | core[b])
-            parts.append([g[s][both] for g in (node, grid_d, place) for s in (a, b)])
-        na, nb, da, db, lo, hi = (np.concatenate(p) for p in zip(*parts))
+        kz, ky, kx = (c + low[of, k] for k, c in enumerate(at))
+        place = _position(kz, ky, kx)
+        labels = np.zeros(n, np.int64)
+        group, *there, label = marks
+        there = [c - low[group, k] for k, c in enumerate(there)]
+        inside = np.logical_and.reduce([(c >= 0) & (c < m) for c, m in zip(there, cube.shape[1:])])
+        marked = node[(group[inside], *(c[inside] for c in there))]
+        labels[marked[marked >= 0]] = label[inside][marked >= 0]
+
+        # Edges stand under their first voxel, along x, y, z: in the order of both positions.
+        filled, met = cube > 0, np.zeros((*cube.shape, 3), bool)
+        for k, axis in enumerate((3, 2, 1)):
+            a = tuple(slice(None, -1) if i == axis else slice(None) for i in range(4))
+            b = tuple(slice(1, None) if i == axis else slice(None) for i in range(4))
+            met[(*a, k)] = filled[a] & filled[b] & (core[a] | core[b])
+        first, along = np.divmod(np.flatnonzero(met), 3)
+        second = first + np.array([1, cube.shape[3], cube.shape[2] * cube.shape[3]])[along]
+        da, db = cube.reshape(-1)[first], cube.reshape(-1)[second]
+        order = _by_weight(np.minimum(da, db), np.maximum(da, db))
+        first, second = first[order], second[order]
+        na, nb = node.reshape(-1)[first], node.reshape(-1)[second]
         u, v = np.where(na >= 0, na, nb), np.where(na >= 0, nb, -1)
-        labels, name = grid_l[core], place[core]
-        frag, links = _contract(n, u, v, -np.minimum(da, db), -np.maximum(da, db), lo, hi, labels, name)
+        apart = None
+        if tile < side:
+            own_tile = (kz // tile << 42) | (ky // tile << 21) | kx // tile
+            apart = (v >= 0) & (own_tile[u] != own_tile[v])
+        frag, end, edge = _contract(n, u, v, labels, apart)
 
-        kz, ky, kx = (np.broadcast_to(ax, shape)[core] for ax in axes)
         starts = np.ones(n, bool)
-        starts[1:] = (frag[1:] != frag[:-1]) | (kx[1:] != kx[:-1] + 1) | (ky[1:] != ky[:-1]) | (kz[1:] != kz[:-1])
+        starts[1:] = (frag[1:] != frag[:-1]) | (of[1:] != of[:-1]) | (kx[1:] != kx[:-1] + 1) | (ky[1:] != ky[:-1]) | (kz[1:] != kz[:-1])
         ends = np.append(starts[1:], True)[:n]
-        filled = {"z": kz[starts], "y": ky[starts], "x0": kx[starts], "x1": kx[ends], "frag": name[frag[starts]], "label": labels[frag[starts]]}
-        return _table(vol_id, filled, links)
-
-    return flood
-
-
-def _flood_block(table: pa.Table) -> pa.Table:
-    """The same for the fragments of a block of tiles: kind 0 maps ``lo`` to ``frag``."""
+        runs = {"vol_id": vol_id[of[starts]], "z": kz[starts], "y": ky[starts], "x0": kx[starts], "x1": kx[ends], "frag": place[frag[starts]], "label": labels[frag[starts]]}
+        da, db = cube.reshape(-1)[first[edge]], cube.reshape(-1)[second[edge]]
+        ends = [np.unravel_index(f[edge], cube.shape) for f in (first, second)]
+        lo, hi = (_position(*(c + low[e[0], k] for k, c in enumerate(e[1:]))) for e in ends)
+        return _table(runs, {"vol_id": vol_id[of[end]], "frag": place[end], "label": labels[end], "w1": -np.minimum(da, db), "w2": -np.maximum(da, db), "lo": lo, "hi": hi})
+
+    def work(table: pa.Table) -> Iterator[pa.Table]:
+        group = tiles.numbers_of(table, 4)
+        starts = tiles.group_starts(table, 4)
+        vol_id = table["vol_id"].to_numpy()[starts]
+        own = np.stack([table[t].to_numpy()[starts].astype(np.int64) * side for t in BLOCK[1:]], 1)
+        z, y, x0, x1, label = (table[c].to_numpy().astype(np.int64) for c in ("z", "y", "x0", "x1", "label"))
+        mark = np.flatnonzero(label > 0)
+        rows = np.flatnonzero(label <= 0)
+        run, x = expand(x0[mark], x1[mark] + 1)
+        run = mark[run]
+        lists = table["v"].combine_chunks().take(pa.array(rows))
+        local = np.full(len(starts), -1)
+        for groups, cube, low in tiles.cubes(group[rows], z[rows], y[rows], x0[rows], lists):
+            local[groups] = np.arange(len(groups))
+            here = local[group[run]] >= 0
+            at = run[here]
+            yield flood(cube, low, own[groups], vol_id[groups], (local[group[at]], z[at], y[at], x[here], label[at]))
+            local[groups] = -1
+
+    return work
+
+
+def _flood_blocks(table: pa.Table) -> Iterator[pa.Table]:
+    """The same for the fragments of blocks of tiles: kind 0 maps ``lo`` to ``frag``."""
+    group = tiles.numbers_of(table, 4)
+    vol_id = table["vol_id"].to_numpy()
     own, label, w1, w2, lo, hi = (table[c].to_numpy() for c in ("frag", "label", "w1", "w2", "lo", "hi"))
-    name, node = np.unique(own, return_inverse=True)
+    order = np.lexsort((own, group))
+    opens = np.ones(len(order), bool)
+    opens[1:] = (own[order][1:] != own[order][:-1]) | (group[order][1:] != group[order][:-1])
+    node = np.empty(len(order), np.int64)
+    node[order] = np.cumsum(opens) - 1
+    name, vol = own[order[opens]], vol_id[order[opens]]
     labels = np.zeros(len(name), np.int64)
     labels[node] = label
     # The two ends of an edge stand one behind the other; an edge seen once leads outside.
-    order = np.lexsort((node, hi, lo))
-    node, w1, w2, lo, hi = (c[order] for c in (node, w1, w2, lo, hi))
+    order = np.lexsort((node, hi, lo, group))
+    node, w1, w2, lo, hi, group = (c[order] for c in (node, w1, w2, lo, hi, group))
     first = np.ones(len(node), bool)
-    first[1:] = (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])
+    first[1:] = (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1]) | (group[1:] != group[:-1])
     at = np.flatnonzero(first)
     paired = np.append(~first[1:], False)[at]
     v = np.where(paired, node[np.minimum(at + 1, len(node) - 1)], -1)
-    frag, links = _contract(len(name), node[at], v, w1[at], w2[at], lo[at], hi[at], labels, name)
-    return _table(int(table["vol_id"][0].as_py()), {"lo": name, "frag": name[frag], "label": labels[frag]}, links)
+    rank = np.lexsort((hi[at], lo[at], w2[at], w1[at]))
+    at, v = at[rank], v[rank]
+    frag, end, edge = _contract(len(name), node[at], v, labels)
+    edge = at[edge]
+    yield _table({"vol_id": vol, "lo": name, "frag": name[frag], "label": labels[frag]},
+                 {"vol_id": vol[end], "frag": name[end], "label": labels[end], "w1": w1[edge], "w2": w2[edge], "lo": lo[edge], "hi": hi[edge]})
 
 
 def _join_fragments(links: DataFrame) -> DataFrame:
@@ -221,7 +285,7 @@ def _in_blocks(links: DataFrame, tile: int) -> tuple[DataFrame, DataFrame]:
     side = tile * ACROSS
     axis = [F.shiftright("frag", 42), F.shiftright("frag", 21).bitwiseAND(F.lit((1 << 21) - 1)), F.col("frag").bitwiseAND(F.lit((1 << 21) - 1))]
     boxed = links.withColumns({t: F.floor(a / side).cast("int") for t, a in zip(BLOCK[1:], axis)})
-    out = store(by_block(boxed, *BLOCK).groupBy(*BLOCK).applyInArrow(_flood_block, _OUT), "blocks")
+    out = store(tiles.in_tables(boxed, _flood_blocks, _OUT, _LINKS), "blocks")
     mapped = out.filter("kind = 0").select("vol_id", F.col("lo").alias("node"), F.col("frag").alias("root"), "label")
     return mapped, out.filter("kind = 1")
 
@@ -247,22 +311,27 @@ def flood(distance_rows: DataFrame, markers: DataFrame, tile: int = 64) -> DataF
     ``markers`` are runs with ``component``.  Foreground that no marker reaches
     stays out of the result.
     """
-    seeds = tiles.cut(markers, tile, F.col("component").cast("long").alias("label"))
-    rows = tiles.exchange(distance_rows, "d2", tile, corners=False)
+    side = tile * ACROSS if tile * ACROSS <= DEALT and SPAN % (tile * ACROSS) == 0 else tile
+    seeds = tiles.cut(markers, side, F.col("component").cast("long").alias("label"))
+    rows = tiles.exchange(distance_rows, "d2", side, corners=False)
     # Markers ride along as runs without values; both meet inside the tile.
     shape = ["vol_id", "tz", "ty", "tx", "z", "y", "x0", "x1", "label", "v"]
     boxed = union_all(
         rows.withColumns({"x1": F.lit(0), "label": F.lit(0).cast("long")}).select(*shape),
         seeds.withColumn("v", F.lit(None).cast("array<bigint>")).select(*shape),
     )
-    tiled = store(by_block(boxed, *BLOCK).groupBy(*BLOCK).applyInArrow(_flood_tile(tile), _OUT), "flooded")
+    tiled = store(tiles.in_tables(boxed, _flood_tiles(tile, side), _OUT, _VALUES // min(side, SPAN)), "flooded")
     filled = tiled.filter("kind = 0").select(*R.RUN, "frag", "label")
-    mapped, left = _in_blocks(tiled.filter("kind = 1"), tile)
+    mapped, left = None, tiled.filter("kind = 1")
+    if side == tile:
+        mapped, left = _in_blocks(left, tile)
     joined = _join_fragments(left).select("vol_id", "root", F.col("node"), F.col("label").alias("_label"))
-    final = joined.select("vol_id", F.col("node").alias("root"), "_label")
-    named = lookup_join(mapped, final, ["vol_id", "root"], "left").select(
-        "vol_id", F.col("node").alias("frag"), F.coalesce("_label", "label").alias("_label")
-    )
+    named = joined.select("vol_id", F.col("node").alias("frag"), "_label")
+    if mapped is not None:
+        final = joined.select("vol_id", F.col("node").alias("root"), "_label")
+        named = lookup_join(mapped, final, ["vol_id", "root"], "left").select(
+            "vol_id", F.col("node").alias("frag"), F.coalesce("_label", "label").alias("_label")
+        )
     return (
         lookup_join(filled, named, ["vol_id", "frag"], "left")
         .select(*R.RUN, F.coalesce("_label", "label").alias("label"))
@@ -270,23 +339,28 @@ def flood(distance_rows: DataFrame, markers: DataFrame, tile: int = 64) -> DataF
     )
 
 
-def _tops_of_tile(tile: int):
-    def tops(table: pa.Table) -> pa.Table:
-        cube, low = tiles.dense(table, tile)
+def _tops_of_tiles(tile: int):
+    def tops(cube: np.ndarray, low: np.ndarray, own: np.ndarray, vol_id: np.ndarray) -> pa.Table:
         around = cube
-        for axis in range(3):  # the maximum of three neighbours, one axis after the other
-            wide = np.pad(around, [(1, 1) if i == axis else (0, 0) for i in range(3)])
+        for axis in (1, 2, 3):  # the maximum of three neighbours, one axis after the other
+            wide = np.pad(around, [(1, 1) if i == axis else (0, 0) for i in range(4)])
             n = cube.shape[axis]
-            around = np.maximum.reduce([np.take(wide, np.arange(k, k + n), axis) for k in range(3)])
-        top = (cube > 0) & (cube == around)
-        inner = np.zeros_like(top)
-        inner[1:-1, 1:-1, 1:-1] = top[1:-1, 1:-1, 1:-1]
-        at = np.nonzero(inner & (cube < FAR))
-        z, y, x = (c + a for c, a in zip(at, low))
-        vol_id = np.full(len(z), table["vol_id"][0].as_py())
-        return pa.table({n: pa.array(c.astype(np.int32)) for n, c in (("vol_id", vol_id), ("z", z), ("y", y), ("x", x))} | {"d2": pa.array(cube[at])})
+            around = np.maximum.reduce([wide[(slice(None),) * axis + (slice(k, k + n),)] for k in range(3)])
+        of, *at = np.nonzero((cube > 0) & (cube == around) & (cube < FAR))
+        place = [c + low[of, k] for k, c in enumerate(at)]
+        inner = np.logical_and.reduce([(c >= own[of, k]) & (c < own[of, k] + tile) for k, c in enumerate(place)])
+        columns = [("vol_id", vol_id[of]), *zip("zyx", place)]
+        return pa.table({n: pa.array(c[inner].astype(np.int32)) for n, c in columns} | {"d2": pa.array(cube[(of, *at)][inner])})
+
+    def work(table: pa.Table) -> Iterator[pa.Table]:
+        starts = tiles.group_starts(table, 4)
+        vol_id = table["vol_id"].to_numpy()[starts]
+        own = np.stack([table[t].to_numpy()[starts].astype(np.int64) * tile for t in BLOCK[1:]], 1)
+        z, y, x0 = (table[c].to_numpy() for c in ("z", "y", "x0"))
+        for groups, cube, low in tiles.cubes(tiles.numbers_of(table, 4), z, y, x0, table["v"].combine_chunks()):
+            yield tops(cube, low, own[groups], vol_id[groups])
 
-    return tops
+    return work
 
 
 def peaks(distance_rows: DataFrame, min_distance: int, tile: int = 64) -> DataFrame:
@@ -296,8 +370,8 @@ def peaks(distance_rows: DataFrame, min_distance: int, tile: int = 64) -> DataFr
     from the background; candidates are taken by (distance desc, position).
     Tiles with one layer of their neighbours take a running maximum per axis.
     """
-    boxed = by_block(tiles.exchange(distance_rows, "d2", tile, corners=True), *BLOCK)
-    tops = boxed.groupBy(*BLOCK).applyInArrow(_tops_of_tile(tile), "vol_id int, z int, y int, x int, d2 long")
+    boxed = tiles.exchange(distance_rows, "d2", tile, corners=True)
+    tops = tiles.in_tables(boxed, _tops_of_tiles(tile), "vol_id int, z int, y int, x int, d2 long", _VALUES // min(tile, SPAN))
     tops = store(tops.withColumn("place", R.place(x="x")), "tops")
     kept = suppress(tops, min_distance, [F.col("d2").desc(), F.col("place")])
     ranked = number_in_order(kept, [F.col("place").asc()], "component")
