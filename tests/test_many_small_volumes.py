@@ -10,6 +10,7 @@ from voxmill.functions import runs as R
 from voxmill.operators import components as C
 from voxmill.operators import distance as D
 from voxmill.operators import flood as W
+from voxmill.operators import select as S
 from voxmill.session import store
 
 
@@ -93,3 +94,35 @@ def test_runs_of_lines_in_one_brick_are_not_shuffled(spark):
         found = bricks.runs_where(rows, "v", "level", np.greater_equal)
         assert ("Exchange" in _plan(found)) == shuffles
         assert sorted(map(tuple, found.collect())) == sorted(map(tuple, R.from_voxels(voxels.filter("v >= 1")).collect()))
+
+
+def test_points_go_to_no_tile_beyond_all_points(spark, monkeypatch):
+    """Small volumes, whose points all lie near the border of the first tile: one row a point, and many volumes a call."""
+    monkeypatch.setattr(S, "discard", lambda *_: None)
+    rng = np.random.default_rng(26)
+    places = [(v, *map(int, p)) for v in range(12) for p in rng.integers(0, 7, (30, 3))]
+    points = spark.createDataFrame([(*p, k) for k, p in enumerate(places)], "vol_id int, z int, y int, x int, k int")
+    dealt, real = [], S._around_tiles
+
+    def counted(*given):
+        found = real(*given)
+        dealt.append((found.count(), given[0].count()))
+        return found
+
+    monkeypatch.setattr(S, "_around_tiles", counted)
+    kept = {r.k for r in S.suppress(points, 3.0, [S.F.col("k").asc()]).collect()}
+    assert dealt and all(rows == n for rows, n in dealt)
+    for v in range(12):
+        own = [k for k, p in enumerate(places) if p[0] == v]
+        assert {own[i] for i in H.greedy([places[k][1:] for k in own], 3.0)} == kept & set(own)
+
+
+def test_a_number_a_volume_is_broadcast_further(spark, monkeypatch):
+    from voxmill import session
+
+    monkeypatch.setattr(session, "BROADCAST_ROWS", 10)
+    big = session.store(spark.range(300).selectExpr("cast(id as int) vol_id", "id piece"), "big")
+    for n, narrow, broadcast in ((40, True, True), (60, True, False), (40, False, False)):
+        small = big.limit(n).selectExpr("vol_id", "1 as level" if narrow else "'a' as level")
+        met = session.lookup_join(big, small, ["vol_id"])
+        assert ("BroadcastHashJoin" in _plan(met)) == broadcast and met.count() == n
