@@ -22,6 +22,8 @@ from ..functions.ranking import number_by_bucket
 from ..session import by_block, discard, lookup_join, shuffled, store
 
 TILE = 64
+#: Runs that one call takes at least.
+_ROWS = 1 << 15
 #: Both loops at least halve what is left per round.
 MOST_ROUNDS = 64
 
@@ -293,6 +295,60 @@ def split_external(mask: DataFrame, catalog: DataFrame, k: int = 1, tile: int =
     return closed.unionByName(lookup_join(opened, flags, ["vol_id", "piece"]).select(*R.RUN, "external"))
 
 
+def neighbour_pairs(mask: DataFrame, catalog: DataFrame, steps: dict[int, list[tuple[int, int, int, int]]], tile: int = TILE) -> DataFrame:
+    """``(vol_id, k, pairs)``: pairs of a mask voxel and one of its neighbours by ``steps[k]`` in the mask and the volume.
+
+    Runs go to the tiles that they reach, with the steps' reach around them, and are moved and
+    met there: one row a run and tile, however many steps.
+    """
+    moves = {k: {(dz, dy, dx) for dz, dy, dx0, dx1 in of for dx in range(dx0, dx1 + 1)} for k, of in steps.items()}
+    every = sorted(set().union(*moves.values()))
+    reach = max(abs(c) for move in every for c in move)
+
+    def work(table: pa.Table) -> Iterator[pa.Table]:
+        own, starts = tiles.numbers_of(table, 4), tiles.group_starts(table, 4)
+        vol_id = table["vol_id"].to_numpy()[starts]
+        first = np.stack([table[t].to_numpy()[starts].astype(np.int64) * tile for t in ("tz", "ty", "tx")])
+        z, y, x0, x1 = (table[c].to_numpy().astype(np.int64) for c in ("z", "y", "x0", "x1"))
+        told = np.flatnonzero(x1 == _SIZE)
+        size = np.zeros((3, len(starts)), np.int64)
+        size[:, own[told]] = z[told], y[told], x0[told]
+        rows = np.flatnonzero((x1 != _SIZE) & (size[0, own] > 0))
+        offsets = np.append(0, np.cumsum(x1[rows] - x0[rows] + 1))
+        ones = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(np.ones(offsets[-1], np.uint8)))
+        for groups, cube, low in tiles.cubes(own[rows], z[rows], y[rows], x0[rows], ones):
+            inner, inside = cube > 0, cube > 0
+            for axis, n in enumerate(cube.shape[1:]):
+                at = (low[:, axis, None] + np.arange(n)).reshape([-1, *(n if i == axis else 1 for i in range(3))])
+                start, side = (c[axis, groups][:, None, None, None] for c in (first, size))
+                inner &= (at >= start) & (at < start + tile)
+                inside &= (at >= 0) & (at < side)
+            pairs = {}
+            for move in every:
+                if any(abs(d) >= n for d, n in zip(move, cube.shape[1:])):
+                    pairs[move] = np.zeros(len(groups), np.int64)
+                    continue
+                a = tuple(slice(max(0, -d), n - max(0, d)) for d, n in zip(move, cube.shape[1:]))
+                b = tuple(slice(max(0, d), n + min(0, d)) for d, n in zip(move, cube.shape[1:]))
+                pairs[move] = np.count_nonzero(inner[:, *a] & inside[:, *b], axis=(1, 2, 3))
+            for k, of in moves.items():
+                n = sum(pairs[move] for move in of)
+                some = n > 0
+                yield pa.table({"vol_id": pa.array(vol_id[groups][some].astype(np.int32)), "k": pa.array(np.full(some.sum(), k, np.int32)), "pairs": pa.array(n[some].astype(np.int64))})
+
+    reached = {t: F.sequence(F.greatest(F.lit(0), F.floor((F.col(a) - reach) / tile)).cast("int"), F.floor((F.col(b) + reach) / tile).cast("int"))
+               for t, a, b in (("tz", "z", "z"), ("ty", "y", "y"), ("tx", "x0", "x1"))}
+    near = mask.select(*R.RUN).filter(F.least(F.col("z"), F.col("y"), F.col("x1")) >= -reach)
+    for t, of in reached.items():
+        near = near.withColumn(t, F.explode(of))
+    near = near.withColumns({"x0": F.greatest("x0", F.col("tx") * tile - reach), "x1": F.least("x1", F.col("tx") * tile + (tile - 1 + reach))})
+    names = ["vol_id", "tz", "ty", "tx", "z", "y", "x0", "x1"]
+    dealt = near.select(*(F.col(c).cast("int").alias(c) for c in names)).unionByName(
+        _sizes(catalog, tile).select(*(F.col(c).cast("int").alias(c) for c in names)))
+    counted = tiles.in_tables(dealt, work, "vol_id int, k int, pairs long", _ROWS)
+    return counted.groupBy("vol_id", "k").agg(F.sum("pairs").alias("pairs"))
+
+
 def fill_holes(mask: DataFrame, catalog: DataFrame, tile: int = TILE) -> DataFrame:
     """Mask runs plus the background that is cut off from every volume face."""
     outside = split_external(R.complement(mask, catalog), catalog, 1, tile)
