@@ -22,6 +22,8 @@ from ..functions.ranking import number_by_bucket
 from ..session import by_block, discard, lookup_join, shuffled, store
 
 TILE = 64
+#: Tiles a side of the blocks in which holes are filled, and the widest of them that one task gets whole.
+ACROSS, DEALT = 4, 64
 #: Runs that one call takes at least.
 _ROWS = 1 << 15
 #: Both loops at least halve what is left per round.
@@ -287,12 +289,16 @@ def split_external(mask: DataFrame, catalog: DataFrame, k: int = 1, tile: int =
     opened = pieces.filter("open")
     if opened.isEmpty():
         return closed
+    return closed.unionByName(lookup_join(opened, _external(opened, k, tile), ["vol_id", "piece"]).select(*R.RUN, "external"))
+
+
+def _external(opened: DataFrame, k: int, tile: int) -> DataFrame:
+    """``(vol_id, piece, external)`` of pieces that are ``open``: whether what they are part of is on an edge."""
     mapping = _merged(opened, opened, k, tile)
     touching = opened.groupBy("vol_id", "piece").agg(F.max("edge").alias("_touch"))
     flagged = mapping.join(shuffled(touching), ["vol_id", "piece"])
     whole = store(flagged.groupBy("vol_id", "root").agg(F.max("_touch").alias("external")), "external")
-    flags = lookup_join(mapping, whole, ["vol_id", "root"]).select("vol_id", "piece", "external")
-    return closed.unionByName(lookup_join(opened, flags, ["vol_id", "piece"]).select(*R.RUN, "external"))
+    return lookup_join(mapping, whole, ["vol_id", "root"]).select("vol_id", "piece", "external")
 
 
 def neighbour_pairs(mask: DataFrame, catalog: DataFrame, steps: dict[int, list[tuple[int, int, int, int]]], tile: int = TILE) -> DataFrame:
@@ -349,10 +355,144 @@ def neighbour_pairs(mask: DataFrame, catalog: DataFrame, steps: dict[int, list[t
     return counted.groupBy("vol_id", "k").agg(F.sum("pairs").alias("pairs"))
 
 
+def _background(line, x0, x1, wide) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Stretches ``(line, from, until)`` of lines 0..n-1 of ``wide`` voxels each that no run covers; runs by line, places from 0 on."""
+    n = len(wide)
+    every = np.arange(n)
+    at, start, end = (np.concatenate(c) for c in ((every, line, every), (np.full(n, -1), x0, wide), (np.full(n, -1), x1, wide)))
+    order = np.lexsort((start, at))
+    at, start, end = at[order], start[order], end[order]
+    side = int(end.max(initial=0)) + 2
+    free = np.maximum.accumulate(at * side + end + 1) - at * side
+    gap = np.flatnonzero((at[1:] == at[:-1]) & (free[:-1] < start[1:]))
+    return at[gap], free[gap], start[gap + 1]
+
+
+def _pieces(of, z, y, x0, x1, vol_id: pa.ChunkedArray, corner: np.ndarray, size: np.ndarray, tile: int, side: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``piece``, ``open`` and ``edge`` of runs of many blocks of ``side`` voxels, sorted by block and place and cut at tiles.
+
+    Tiles are labelled one by one, then pieces that touch across the faces of the tiles of a block are made one.
+    """
+    of_tile = [c // tile for c in (z, y, x0)]
+    order = np.lexsort((x0, y, z, *of_tile[::-1], of))
+    # Every tile begins with the row that tells the size of its volume; runs that do not touch keep their order.
+    sorted_ = [c[order] for c in (of, *of_tile)]
+    begins = np.flatnonzero(np.append(True, np.any([c[1:] != c[:-1] for c in sorted_], axis=0))[:len(order)])
+    row = np.insert(order, begins, order[begins])
+    told = begins + np.arange(len(begins))
+    keys = [vol_id.take(pa.array(of[row])), *(pa.array(c[row].astype(np.int32)) for c in of_tile)]
+    places = [c[row] for c in (z, y, x0, x1)]
+    for place, c in zip(places, (*size[:, of[order[begins]]], _SIZE)):
+        place[told] = c
+    found = _label_tiles(1, tile, True)(pa.table([*keys, *(pa.array(c.astype(np.int32)) for c in places)], ["vol_id", "tz", "ty", "tx", "z", "y", "x0", "x1"]))
+    first = np.empty(len(of), np.int64)
+    first[order] = found["piece"].to_numpy()
+
+    order = np.lexsort((first, of))
+    opens = np.append(True, (first[order][1:] != first[order][:-1]) | (of[order][1:] != of[order][:-1]))[:len(of)]
+    node = np.empty(len(of), np.int64)
+    node[order] = np.cumsum(opens) - 1
+    n = int(opens.sum())
+    if side > tile:
+        wide = np.int64(side + 2)
+        line = ((of * wide + z - corner[0, of] + 1) * wide + y - corner[1, of] + 1) * wide + 1 - corner[2, of]
+        left, right = line + x0, line + x1
+        met = np.flatnonzero(left[1:] == right[:-1] + 1)
+        a, b = [met], [met + 1]
+        for c, step in ((y, wide), (z, wide * wide)):
+            rows = np.flatnonzero((c + 1) % tile == 0)
+            k, other = expand(np.searchsorted(right, left[rows] + step, "left"), np.searchsorted(left, right[rows] + step, "right"))
+            a.append(rows[k])
+            b.append(other)
+        root = roots(n, node[np.concatenate(a)], node[np.concatenate(b)])[node]
+    else:
+        root = node
+    leaves, ends = np.zeros(len(of), bool), np.zeros(len(of), bool)
+    for low, high, start, m in zip((z, y, x0), (z, y, x1), corner[:, of], size[:, of]):
+        leaves |= (low == start) & (start > 0) | (high == start + side - 1) & (start + side < m)
+        ends |= (low == 0) | (high == m - 1)
+    opened, edge = (np.bincount(root, flag, n)[root] > 0 for flag in (leaves, ends))
+    return first[order[opens]][root], opened, edge
+
+
+def _fill_tiles(tile: int, side: int):
+    """Fills the closed holes of the blocks of ``side`` voxels of a table like that of ``_label_tiles``: runs of kind 0 (final),
+    1 (may be joined beyond their block or with a hole) and 2 (pieces of the background that are open)."""
+    wide = np.int64(side + 2)
+
+    def work(table: pa.Table) -> Iterator[pa.Table]:
+        own, starts = tiles.numbers_of(table, 4), tiles.group_starts(table, 4)
+        corner = np.stack([table[t].to_numpy()[starts].astype(np.int64) * side for t in ("tz", "ty", "tx")])
+        z, y, x0, x1 = (table[c].to_numpy().astype(np.int64) for c in ("z", "y", "x0", "x1"))
+        told = np.flatnonzero(x1 == _SIZE)
+        size = np.zeros_like(corner)
+        size[:, own[told]] = z[told], y[told], x0[told]
+        run = np.flatnonzero(x1 != _SIZE)
+        group, z, y, x0, x1 = (c[run] for c in (own, z, y, x0, x1))
+        n = np.maximum(np.minimum(corner + side, size) - corner, 0)
+        lines = np.where(n[2] > 0, n[0] * n[1], 0)
+        base = np.cumsum(lines) - lines
+        of, k = expand(np.zeros_like(lines), lines)
+        dz, dy, dx = z - corner[0, group], y - corner[1, group], x0 - corner[2, group]
+        inside = (dz < n[0, group]) & (dy < n[1, group]) & (dx < n[2, group])
+        line = (base[group] + dz * n[1, group] + dy)[inside]
+        line, first, until = _background(line, dx[inside], (x1 - corner[2, group])[inside], n[2, of])
+        gap, part = expand(first // tile, (until - 1) // tile + 1)
+        line, first, until = line[gap], np.maximum(first[gap], part * tile), np.minimum(until[gap], (part + 1) * tile)
+        of, k = of[line], k[line]
+        bz, by, b0, b1 = corner[0, of] + k // n[1, of], corner[1, of] + k % n[1, of], corner[2, of] + first, corner[2, of] + until - 1
+        piece, opened, edge = _pieces(of, bz, by, b0, b1, table.column(0).take(pa.array(starts)), corner, size, tile, side)
+
+        hole = ~opened & ~edge
+        group, z, y, x0, x1 = (np.concatenate([c, b[hole]]) for c, b in zip((group, z, y, x0, x1), (of, bz, by, b0, b1)))
+        order = np.lexsort((x0, y, z, group))
+        group, z, y, x0, x1 = (c[order] for c in (group, z, y, x0, x1))
+
+        def code(group, z, y, x):
+            return (((group * wide + z - corner[0, group]) * wide + y - corner[1, group]) * wide) + x - corner[2, group] + 1
+
+        left, right = code(group, z, y, x0), code(group, z, y, x1)
+        reach = np.maximum.accumulate(right)
+        # The layer of one on both sides keeps runs of neighbouring lines apart.
+        opens = np.append(True, left[1:] > reach[:-1] + 1)[:len(left)]
+        at = np.flatnonzero(opens)
+        last = np.append(at[1:], len(left))[:len(at)] - 1
+        group, z, y, x0, left, right = group[at], z[at], y[at], x0[at], left[at], reach[last]
+        x1 = x0 + right - left
+        start, width = corner[2, group], size[2, group]
+        loose = (width == 0) | (x0 == start) & (start > 0) | (x1 == start + side - 1) & (x1 < width - 1)
+        loose |= np.isin(right + 1, code(of, bz, by, b0)[opened]) | np.isin(left - 1, code(of, bz, by, b1)[opened])
+        rows = {"z": (z, bz), "y": (y, by), "x0": (x0, b0), "x1": (x1, b1)}
+        whose = np.concatenate([starts[group], starts[of][opened]])
+        yield pa.table({
+            "vol_id": table.column(0).take(pa.array(whose)),
+            **{c: pa.array(np.concatenate([a, b[opened]]).astype(np.int32)) for c, (a, b) in rows.items()},
+            "piece": pa.array(np.concatenate([np.zeros(len(z), np.int64), piece[opened]])),
+            "edge": pa.array(np.concatenate([np.zeros(len(z), bool), edge[opened]])),
+            "kind": pa.array(np.concatenate([loose.astype(np.int32), np.full(opened.sum(), 2, np.int32)]))})
+
+    return work
+
+
 def fill_holes(mask: DataFrame, catalog: DataFrame, tile: int = TILE) -> DataFrame:
-    """Mask runs plus the background that is cut off from every volume face."""
-    outside = split_external(R.complement(mask, catalog), catalog, 1, tile)
-    return R.union(mask, outside.filter("not external"))
+    """Mask runs plus the background that is cut off from every volume face.
+
+    A tile tells its background by itself, fills the holes that do not leave it, and joins runs;
+    small blocks of tiles are dealt whole and do so together.  Only open pieces of the background and
+    the runs that may be joined with them or beyond the tile are shuffled again.
+    """
+    side = tile * ACROSS if tile * ACROSS <= DEALT else tile
+    names = ["vol_id", "tz", "ty", "tx", "z", "y", "x0", "x1"]
+    cut = _cut(mask, side).select("*", *_tile_of(side)).select(*names).unionByName(_sizes(catalog, side).select(*names))
+    cut = cut.select(*(F.col(c).cast("int").alias(c) for c in names))
+    schema = "vol_id int, z int, y int, x0 int, x1 int, piece long, edge boolean, kind int"
+    filled = store(tiles.in_tables(cut, _fill_tiles(tile, side), schema, _ROWS), "filled")
+    final, loose, opened = (filled.filter(f"kind = {k}") for k in range(3))
+    loose = loose.select(*R.RUN)
+    if not opened.isEmpty():
+        holes = _external(opened, 1, side).filter("not external").select("vol_id", "piece")
+        loose = loose.unionByName(lookup_join(opened, holes, ["vol_id", "piece"]).select(*R.RUN))
+    return final.select(*R.RUN).unionByName(R.joined(loose))
 
 
 def drop_small(mask: DataFrame, min_size: int, tile: int = TILE) -> DataFrame:
