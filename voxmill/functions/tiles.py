@@ -79,8 +79,8 @@ def cut(runs: DataFrame, tile: int, *carry: Column) -> DataFrame:
         "x0": F.greatest("x0", F.col("tx") * tile), "x1": F.least("x1", F.col("tx") * tile + (tile - 1))})
 
 
-#: Most values that one call holds as cubes.
-CELLS = 1 << 21
+#: Values that are held as cubes at a time: they stay in the cache.
+CELLS = 1 << 17
 
 
 def cubes(own: np.ndarray, z: np.ndarray, y: np.ndarray, x0: np.ndarray, lists: pa.Array, cells: int = CELLS) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:

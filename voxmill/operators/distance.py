@@ -21,7 +21,7 @@ PLANES = 8
 #: Most lines of a brick column that one call takes whole.
 WHOLE = 1 << 14
 #: Rows that one call takes at least, and values of a step of it.
-_ROWS, _BLOCK = 1 << 14, 1 << 21
+_ROWS, _BLOCK = 1 << 14, 1 << 17
 #: In the place of a run's last voxel: the row holds the size of the volume.
 _SIZE = -1
 _SCHEMA = "vol_id int, z int, y int, xb int, d2 array<long>"
